@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -62,3 +63,13 @@ def text_bytes(docs: DataFrame) -> int:
 def with_copies(df: DataFrame, copies: str) -> DataFrame:
     """Each row as often as ``copies`` says."""
     return df.withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).drop(copies)
+
+
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system; workers live on after a task."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -40,10 +40,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_bytes
+from .common import give_back, partitions, text_bytes
 
 GRAM = 24
 CHUNK = 1 << 20
+SHARE = 1 << 15
+"""Runs that a part looks at in one step."""
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -152,11 +154,12 @@ def _own_anchors(width: int, parts: int):
         h, owner = h[order], owner[order]
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         several = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
-        h, cuts, rows = h[start], None, []
+        h, rows = h[start], []
         cuts = _cuts(h, parts)
         for p in np.flatnonzero(np.diff(cuts)):
             s = slice(cuts[p], cuts[p + 1])
             rows.append((p, key[0], len(h[s]), _zip(_planes(h[s]), several[s])))
+        give_back()
         return pd.DataFrame(rows, columns=["part", "block", "n", "blob"])
 
     return run
@@ -235,6 +238,7 @@ def _runs(width: int, parts: int):
         cuts = _cuts(runs["anchor"], parts)
         rows = [(int(p), key[0], int(cuts[p + 1] - cuts[p]), _zip(runs[(s := slice(cuts[p], cuts[p + 1]))], left[first[s]], right[first[s]])) for p in np.flatnonzero(np.diff(cuts))]
         rows.append((parts + key[0], key[0], len(at), _zip(doc, at.astype(np.int32 if at.max() < 2**31 else np.int64), number, cuts.astype(np.int64))))
+        give_back()
         return pd.DataFrame(rows, columns=["dest", "block", "n", "blob"])
 
     return run
@@ -247,6 +251,32 @@ def _fold(rows: np.ndarray, odd: np.uint64) -> np.ndarray:
     return h
 
 
+def matching(r: np.ndarray, left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
+    """Runs x strings around the anchor: the smallest id of the runs that match on the whole string."""
+    before, n = width - 1, len(r)
+    least = np.repeat(r["least"][:, None], width, axis=1)
+    tail = np.empty((before + 1, n), np.uint64)  # of what follows, by its length
+    tail[0] = r["anchor"]
+    for c in range(before):
+        tail[c + 1] = tail[c] * _ODD[9] + _BYTE[right[:, c]]
+    head = np.zeros(n, np.uint64)
+    power = np.ones(1, np.uint64)  # an array: its product wraps around silently
+    for a in range(width):  # strings that begin a bytes before the anchor
+        if a:
+            head = head + _BYTE[left[:, before - a]] * power
+            power = power * _ODD[10]
+        use = np.flatnonzero((r["low"] <= a) & (a <= r["high"]))
+        if not len(use):
+            continue
+        h = _mix(tail[before - a][use] * _ODD[11] + _mix(head[use] + _ODD[12 + a]))
+        order = np.argsort(h, kind="stable")
+        s = h[order]
+        start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        low = np.minimum.reduceat(r["least"][use][order], start)
+        least[use[order], a] = np.repeat(low, np.diff(np.r_[start, len(s)]))
+    return least
+
+
 def _statistics(width: int, parts: int):
     """For each run, and each string around its anchor, the smallest id that holds it."""
     before = width - 1
@@ -262,36 +292,30 @@ def _statistics(width: int, parts: int):
             runs.append(np.frombuffer(raw[:cut], _RUN))
             lefts.append(np.frombuffer(raw[cut : cut + side], np.uint8).reshape(n, before))
             rights.append(np.frombuffer(raw[cut + side :], np.uint8).reshape(n, before))
-        sizes = [len(x) for x in runs]
-        r, left, right = (np.concatenate(x) for x in (runs, lefts, rights))
-        n = len(r)
-        least = np.repeat(r["least"][:, None], width, axis=1)
-        tail = np.empty((before + 1, n), np.uint64)  # of what follows, by its length
-        tail[0] = r["anchor"]
-        for c in range(before):
-            tail[c + 1] = tail[c] * _ODD[9] + _BYTE[right[:, c]]
-        head = np.zeros(n, np.uint64)
-        power = np.ones(1, np.uint64)  # an array: its product wraps around silently
-        for a in range(width):  # strings that begin a bytes before the anchor
-            if a:
-                head = head + _BYTE[left[:, before - a]] * power
-                power = power * _ODD[10]
-            use = np.flatnonzero((r["low"] <= a) & (a <= r["high"]))
-            if not len(use):
-                continue
-            h = _mix(tail[before - a][use] * _ODD[11] + _mix(head[use] + _ODD[12 + a]))
-            order = np.argsort(h, kind="stable")
-            s = h[order]
-            start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            low = np.minimum.reduceat(r["least"][use][order], start)
-            least[use[order], a] = np.repeat(low, np.diff(np.r_[start, len(s)]))
-        useful = (least < r["most"][:, None]).any(axis=1)
-        out, at = [], 0
-        for block, size in zip(rows["block"], sizes):
-            own = np.flatnonzero(useful[at : at + size])
-            if len(own):
-                out.append((block, dest, len(own), _zip(own.astype(np.int32), np.ascontiguousarray(least[at + own].T))))
-            at += size
+        found = [[] for _ in runs]
+        # a share of the anchors at a time: each blob's runs are sorted by anchor
+        first, last = dest << 64, (dest + 1) << 64
+        steps = max(1, sum(map(len, runs)) // SHARE)
+        edges = np.array([(first + (last - first) * i // steps) // parts for i in range(1, steps)], np.uint64)
+        cuts = [np.r_[0, np.searchsorted(x["anchor"], edges), len(x)] for x in runs]
+        for step in range(steps):
+            own = [slice(c[step], c[step + 1]) for c in cuts]
+            r, left, right = (np.concatenate([x[s] for x, s in zip(xs, own)]) for xs in (runs, lefts, rights))
+            least = matching(r, left, right, width)
+            useful = (least < r["most"][:, None]).any(axis=1)
+            at = 0
+            for out, s in zip(found, own):
+                size = s.stop - s.start
+                hit = np.flatnonzero(useful[at : at + size])
+                out.append(((hit + s.start).astype(np.int32), least[at + hit]))
+                at += size
+        out = []
+        for block, x in zip(rows["block"], found):
+            hit, least = (np.concatenate(y) for y in zip(*x))
+            if len(hit):
+                out.append((block, dest, len(hit), _zip(hit, least.T)))
+        del runs, lefts, rights, found
+        give_back()
         return pd.DataFrame(out, columns=["block", "part", "n", "blob"])
 
     return run
@@ -356,6 +380,8 @@ def _removal(width: int, parts: int, length: int, keep_text: bool, carry: list[s
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
             text = [kept.decode("utf-8", "ignore")] * keep_text
             out.append((doc_id, orphan, len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), *text, *block.carried[i]))
+        starts.clear()
+        give_back()
         return pd.DataFrame(out, columns=columns)
 
     return run
