@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, materialize
@@ -133,11 +133,9 @@ def links(distinct: DataFrame, distance: int = 3, hot: int = 4096) -> DataFrame:
         raise ValueError("two segments with one wildcard each find up to 3 differing bits")
     halves = [list(range(32)), list(range(32, 64))]
     keyed = distinct.select("fp", F.explode(_variants(F.col("fp"), halves)).alias("v")).select("fp", "v.cut", "v.rest")
-    size = keyed.groupBy("cut", "rest").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    shared = materialize(size.filter((F.col("n") > 2) | ((F.col("n") == 2) & near)), "shared")
-    found = shared.filter("n = 2").select("a", "b")
-    members = materialize(keyed.join(shared.filter("n > 2").select("cut", "rest", "n"), ["cut", "rest"]), "members")
+    # counted in the exchange that brings equal variants together; most stand alone and go no further
+    alike = Window.partitionBy("cut", "rest")
+    members = materialize(keyed.withColumn("n", F.count("*").over(alike)).filter("n > 1"), "members")
 
     def within(rows: DataFrame, *keys: str) -> DataFrame:
         rows = rows.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)
@@ -145,7 +143,7 @@ def links(distinct: DataFrame, distance: int = 3, hot: int = 4096) -> DataFrame:
 
     # a hot variant's members again, by one-wildcard variants of the 33 bits in which they may differ
     again = members.filter(F.col("n") > hot).select("cut", "rest", "fp").mapInArrow(_cut_again, "cut int, rest long, sub int, more long, fp long")
-    found = found.union(within(members.filter(F.col("n") <= hot), "cut", "rest")).union(within(again, "cut", "rest", "sub", "more"))
+    found = within(members.filter(F.col("n") <= hot), "cut", "rest").union(within(again, "cut", "rest", "sub", "more"))
     return found.distinct()
 
 
