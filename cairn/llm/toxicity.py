@@ -170,13 +170,29 @@ def _vectors(docs: DataFrame, features: list[str], extra: list[str]) -> DataFram
     return docs.select(*extra, "text").mapInArrow(run, f"{kinds}, fids array<int>, tfs array<int>")
 
 
+def _document_frequencies(vectors: DataFrame) -> dict[int, int]:
+    """In how many texts each feature stands: a task passes on one row for each feature, however common it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
+        for batch in batches:
+            own = np.bincount(np.asarray(batch.column(0).flatten()), minlength=len(seen))
+            own[: len(seen)] += seen
+            seen = own
+        f = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(seen[f], pa.int64())], names=["f", "n"])
+
+    found = vectors.select("fids").mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    return {r["f"]: r["n"] for r in found.collect()}  # most_features rows at most
+
+
 def score(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_features: int = 2048, doubt: float = 33.0, k: int = 15, pull: float = 0.1) -> DataFrame:
     """doc_id, held_out, score, predicted and as evidence the ids of the nearest examples."""
     examples, totals = _examples(docs, labels, per_class)
     features = _choose_features(examples, most_features, doubt)
     vectors = materialize(_vectors(docs, features, ["doc_id"]), "vectors")
     n = vectors.count()
-    df = dict(vectors.select(F.explode("fids").alias("f")).groupBy("f").count().collect())  # most_features rows at most
+    df = _document_frequencies(vectors)
     idf = np.array([math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(features))])
     rows = [tuple(r) for r in _vectors(examples, features, ["doc_id", "toxic"]).collect()]  # 2 * per_class rows at most
     # label 1 among examples without a feature, each class with its weight in all labels
