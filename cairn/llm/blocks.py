@@ -15,8 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
-
 
 def usable(vector: Column) -> Column:
     """Neither null nor with a null or non-finite component."""
@@ -56,12 +54,11 @@ def search(
     least: int = 24,
 ) -> DataFrame:
     """query_id, rank, vec_id, score. ``block`` gets query ids and vectors, candidate ids and vectors."""
-    spark = vectors.sparkSession
     good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("is_query"))
     good = good.filter(F.col("id").isNotNull() & usable(F.col("v")))
     n, n_queries = good.agg(F.count("*"), F.count(F.when(F.col("is_query"), 1))).first()
     q_blocks = max(1, -(-n_queries // query_rows))
-    c_blocks = max(1, -(-n // rows), -(-max(least, 2 * partitions(spark)) // q_blocks))
+    c_blocks = max(least, -(-n // rows))  # by the rows alone: each block passes on k rows of each query
     deal = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     queries = good.filter("is_query").select("id", "v", deal(q_blocks).alias("qb"), every(c_blocks).alias("cb"))
