@@ -60,9 +60,11 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
 
 
-def with_copies(df: DataFrame, copies: str) -> DataFrame:
-    """Each row as often as ``copies`` says."""
-    return df.withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).drop(copies)
+def with_copies(df: DataFrame, copies: str, step: int = 1 << 16) -> DataFrame:
+    """Each row as often as ``copies`` says; no array on the way is longer than ``step``."""
+    df = df.filter(F.col(copies) > 0).withColumn("part_of_copies", F.explode(F.sequence(F.lit(0), F.floor((F.col(copies) - 1) / step).cast("int"))))
+    own = F.least(F.lit(step), F.col(copies) - F.col("part_of_copies") * F.lit(step).cast("long"))
+    return df.withColumn(copies, F.explode(F.array_repeat(F.lit(0), own.cast("int")))).drop(copies, "part_of_copies")
 
 
 def give_back() -> None:

@@ -12,11 +12,16 @@ by a hash of their row, each group is folded into one residual in a native aggre
 the residuals are dealt anew, until a source has one. So a hot source has many small
 groups, and its taken words differ from the target by less than one document's size.
 
+Rows alike in doc_id, source and size are counted before they meet any other: among m of
+them, each with probability p, meetings leave floor(m p) taken, one residual of what is
+over, and the rest not taken, whichever meets whichever. So repeats cost the tree one
+residual, however many they are.
+
 Randomness is a hash of the two documents and the seed: reruns agree.
 
 Defined cases: null text has size 0 and takes 0 words; a null source is a source of its
-own, last in order; repeated rows each take part on their own (equal ones are alike up to
-order); a null doc_id is kept; no rows give no rows; other columns are ignored.
+own, last in order; repeated rows each give a row; rows without a doc_id count as alike if source and
+size are; a null doc_id is kept; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_copies
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -85,8 +90,8 @@ def _fold(items: Column, seed: int) -> Column:
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, fan_in: int = 64, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row."""
-    sized = materialize(sizes(docs), "sizes")
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
+    sized = materialize(sizes(docs).groupBy("doc_id", "source", "size").agg(F.count("*").alias("alike")), "sizes")
+    by_source = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
     shares = targets(by_source.select("source", "source_size"), share, most, weights)
     shares = materialize(shares.join(by_source.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "shares")
     # every row learns its source's figures: sources are few beside rows, and a hot one is split by the salt
@@ -96,10 +101,14 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS,
     rows = rows.join(salted, F.col("source").eqNullSafe(F.col("s")) & (rows.salt == salted.salt)).drop("salt", "s")
     rows = rows.withColumn("f", F.when(F.col("size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0))
     rows = rows.withColumn("base", F.floor("f")).withColumn("p", F.col("f") - F.col("base"))
+    # rows alike settle among themselves; what is over of them goes to the tree as one document
+    rows = rows.withColumn("p", F.col("p") * F.col("alike")).withColumn("ones", F.floor("p")).withColumn("p", F.col("p") - F.col("ones"))
     rows = materialize(rows, "fractions")
 
     final = ["doc_id", "source", "size", "source_size", "target", "base", "extra"]
-    done = [rows.filter("p = 0").withColumn("extra", F.lit(0)).select(final)]
+    zeros = F.col("alike") - F.col("ones") - (F.col("p") > 0).cast("long")
+    settled = F.inline(F.array(*(F.struct(F.lit(x).alias("extra"), n.alias("times")) for x, n in ((1, F.col("ones")), (0, zeros)))))
+    done = [with_copies(rows.select(*final[:-1], settled), "times")]
     open_ = rows.filter("p > 0").select("source", "source_size", "target", "base", "n", F.struct("key", F.col("doc_id").cast("long").alias("doc_id"), "size", "p").alias("item"))
     level, left = 0, rows.agg(F.max("n")).first()[0] or 0
     own = ["source", "source_size", "target", "base"]

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from cairn.llm.common import with_copies
 from cairn.llm.mixing import mix, mix_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,6 +58,22 @@ def test_hot_source_and_odd_rows(docs_of):
     check(docs_of(rows, extra=True))
 
 
+def test_a_third_of_all_rows_alike(docs_of):
+    rows = [(1, "w x y", "a")] * 400 + [(None, "p q", "b")] * 301 + [(i, "w " * (i % 9), "abc"[i % 3]) for i in range(10, 500)]
+    got = check(docs_of(rows))
+    for key in ((1, "a"), (None, "b")):
+        taken = [r.copies for r in got if (r.doc_id, r.source) == key]
+        f = next(r.target / r.source_size for r in got if r.source == key[1])
+        assert abs(sum(taken) - f * len(taken)) < 1 + 1e-9  # all but one settle among themselves
+
+
+@pytest.mark.parametrize("copies", [0, 1, 7, 8, 9])
+def test_copies_in_steps(spark, copies):
+    df = spark.createDataFrame([(1, copies), (2, 3)], "doc_id long, n long")
+    got = [r.doc_id for r in with_copies(df, "n", step=4).collect()]
+    assert sorted(got) == [1] * copies + [2] * 3
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "")], [(1, None, None)], [(1, "a b c")]], ids=["none", "blank", "null", "one"])
 def test_few_rows(docs_of, rows):
     check(docs_of(rows))
