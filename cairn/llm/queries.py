@@ -79,7 +79,44 @@ QUERIES = {
 
 _FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL"
 
+
+
+def _templates() -> str:
+    """The templates' word pairs as rows of VALUES: template, label, is it a phrase, pairs, place, the two words."""
+    rows = []
+    for t, (label, words) in enumerate([*license_scan.PHRASES, *license_scan.NOTICES]):
+        w = words.split()
+        base = str(t < len(license_scan.PHRASES)).upper()
+        rows += [f"({t}, '{label}', {base}, {len(w) - 1}, {i}, '{w[i]}', '{w[i + 1]}')" for i in range(len(w) - 1)]
+    return ", ".join(rows)
+
+
 ORACLES = {
+    "op1_license_scan": rf"""
+WITH t(t, label, base, need, place, a, b) AS (VALUES {_templates()}),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWERED}'), '{license_scan.WORD}') AS w
+  FROM documents
+), g AS (
+  SELECT rid, p, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT rid, w, unnest(range(len(w) - 1)) AS p FROM d)
+), v AS (
+  SELECT rid, t, label, base, need, place, p - place AS diagonal FROM g JOIN t USING (a, b)
+), x AS (
+  SELECT rid, t, label, base, need, diagonal, count(DISTINCT place) AS votes FROM v GROUP BY ALL
+), m AS (
+  SELECT x.rid, x.label, x.diagonal, x.base AND x.votes = x.need AS place, count(DISTINCT v.place) / x.need AS cover,
+         NOT x.base AND cover >= 0.6 AS notice
+  FROM x JOIN v ON x.rid = v.rid AND x.t = v.t AND v.diagonal BETWEEN x.diagonal - 2 AND x.diagonal + 2
+  GROUP BY x.rid, x.t, x.label, x.base, x.need, x.votes, x.diagonal
+)
+SELECT d.doc_id, len(any_value(d.w))::BIGINT AS n_words, count(*) FILTER (m.place) AS n_base,
+       (min(m.diagonal) FILTER (m.place))::BIGINT AS first_word, (max(m.diagonal) FILTER (m.place))::BIGINT AS last_word,
+       coalesce(string_agg(DISTINCT m.label, ',' ORDER BY m.label) FILTER (m.place), '') AS base_labels,
+       coalesce(string_agg(DISTINCT m.label, ',' ORDER BY m.label) FILTER (m.place OR m.notice), '') AS labels,
+       coalesce(max(CASE WHEN m.place THEN 1.0::DOUBLE WHEN m.notice THEN least(m.cover, 1.0::DOUBLE) END), 0)::DOUBLE AS score
+FROM d LEFT JOIN m ON d.rid = m.rid GROUP BY d.rid, d.doc_id
+""",
     "op3_exact_top_k": f"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
