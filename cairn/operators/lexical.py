@@ -56,8 +56,11 @@ def top_k(scored: DataFrame, k: int, query: str = "qid", key: str = "doc_id") ->
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, avg_len: float | None = None, key: str = "doc_id", bands: bool = False) -> DataFrame:
-    """qid, key, score, rank of the k best documents of each query (qid, text)."""
+def search_variants(queries: DataFrame, docs: DataFrame, variants: dict[str, float], k: int = 10, k1: float = 1.2, avg_len: float | None = None, key: str = "doc_id", bands: bool = False) -> DataFrame:
+    """collection, qid, key, score, rank of the k best documents of each query (qid, text), for each named b.
+
+    The corpus is tokenised and counted once for all variants; they differ in the weight of a posting only.
+    """
     asked = queries.select("qid", F.explode(query_terms(F.col("text"), bands)).alias("term"))
     n_terms = asked.count()
     hint = F.broadcast if n_terms <= MOST_QUERY_TERMS else (lambda df: df)
@@ -69,9 +72,18 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b:
     weights = df.join(F.broadcast(corpus_stats(docs)), how="cross")
     weights = weights.select("term", idf(F.col("n"), F.col("df")).alias("idf"), (F.col("avg_len") if avg_len is None else F.lit(float(avg_len))).alias("avg_len"))
     weighted = tf.join(hint(weights), "term")
-    weighted = weighted.select(key, "term", (F.col("idf") * saturation(F.col("tf"), F.col("len"), F.col("avg_len"), k1, b)).alias("w"))
-    scored = weighted.join(hint(asked), "term").groupBy("qid", key).agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scored, k, key=key).select("qid", key, "score", "rank")
+    weigh = lambda b: F.col("idf") * saturation(F.col("tf"), F.col("len"), F.col("avg_len"), k1, b)
+    weighted = weighted.select(key, "term", *(weigh(b).alias(f"w{i}") for i, b in enumerate(variants.values())))
+    scored = weighted.join(hint(asked), "term").groupBy("qid", key).agg(*(F.round(F.sum(f"w{i}"), 6).alias(f"w{i}") for i in range(len(variants))))
+    named = F.inline(F.array(*(F.struct(F.lit(name).alias("collection"), F.col(f"w{i}").alias("score")) for i, name in enumerate(variants))))
+    best = Window.partitionBy("collection", "qid").orderBy(F.desc("score"), key)
+    ranked = scored.select("qid", key, named).withColumn("rank", F.row_number().over(best).cast("long"))
+    return ranked.filter(F.col("rank") <= k).select("collection", "qid", key, "score", "rank")
+
+
+def search(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, avg_len: float | None = None, key: str = "doc_id", bands: bool = False) -> DataFrame:
+    """qid, key, score, rank of the k best documents of each query (qid, text)."""
+    return search_variants(queries, docs, {"": b}, k, k1, avg_len, key, bands).drop("collection")
 
 
 def token_overlap(a: Column, b: Column) -> dict[str, Column]:

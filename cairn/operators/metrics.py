@@ -27,20 +27,18 @@ def hit_rates(ranks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def mrr_by_tag(tags: DataFrame, ranks: DataFrame, collections: list[str], least: int = 4) -> DataFrame:
     """Mean rr by tag, a column a collection; members are what the first collection scored, others' missing ones are 0."""
-    base = tags.join(ranks.filter(F.col("collection") == collections[0]).select("qid"), "qid", "left_semi")
-    wide = base
-    for c in collections:
-        own = ranks.filter(F.col("collection") == c).select("qid", F.col("rr").alias(c))
-        wide = wide.join(own, "qid", "left").withColumn(c, F.coalesce(c, F.lit(0.0)))
-    return wide.groupBy("tag").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in collections)).filter(F.col("n") >= least)
+    own = lambda c: F.max(F.when(F.col("collection") == c, F.col("rr")))
+    wide = ranks.groupBy("qid").agg(*(own(c).alias(c) for c in collections)).filter(F.col(collections[0]).isNotNull())
+    return tags.join(wide, "qid").groupBy("tag").agg(F.count("*").alias("n"), *(F.round(F.avg(F.coalesce(c, F.lit(0.0))), 6).alias(c) for c in collections)).filter(F.col("n") >= least)
 
 
 def paired_t(ranks: DataFrame, baseline: str) -> DataFrame:
     """collection, n, mean_diff, t against the baseline, over the questions that all collections scored."""
-    everywhere = ranks.groupBy("qid").agg(F.count("*").alias("_n")).join(F.broadcast(ranks.agg(F.countDistinct("collection").alias("_all"))), F.col("_n") == F.col("_all"), "left_semi")
-    shared = ranks.join(everywhere, "qid", "left_semi")
-    base = shared.filter(F.col("collection") == baseline).select("qid", F.col("rr").alias("_base"))
-    d = shared.filter(F.col("collection") != baseline).join(base, "qid").withColumn("d", F.col("rr") - F.col("_base"))
+    # a question's scores side by side: as many as there are collections
+    wide = ranks.groupBy("qid").agg(F.collect_list(F.struct("collection", "rr")).alias("own"))
+    shared = wide.join(F.broadcast(ranks.agg(F.countDistinct("collection").alias("all"))), F.size("own") == F.col("all"), "left_semi")
+    base = F.element_at(F.filter("own", lambda x: x["collection"] == baseline), 1)["rr"]
+    d = shared.select(F.inline(F.transform(F.filter("own", lambda x: x["collection"] != baseline), lambda x: F.struct(x["collection"].alias("collection"), (x["rr"] - base).alias("d")))))
     sd = F.stddev_samp("d")
     return d.groupBy("collection").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean_diff"), F.round(F.try_divide(F.avg("d"), sd / F.sqrt(F.count("*"))), 6).alias("t"))
 

@@ -77,10 +77,12 @@ def labelled(spark, sf) -> DataFrame:
     return relevance.qrels(questions(spark, sf), documents(spark, sf).withColumn("section", F.col("source")))
 
 
+#: Two collections of one corpus: BM25 with and without the length of a document.
+LENGTH_WEIGHT = {BASE: 0.75, FLAT: 0.0}
+
+
 def runs(spark, sf) -> DataFrame:
-    asked, docs = questions(spark, sf), documents(spark, sf)
-    one = lambda name, b: lexical.search(asked, docs, 10, b=b).withColumn("collection", F.lit(name))
-    return one(BASE, 0.75).unionByName(one(FLAT, 0.0))
+    return lexical.search_variants(questions(spark, sf), documents(spark, sf), LENGTH_WEIGHT)
 
 
 def ranked(spark, sf) -> DataFrame:
@@ -346,7 +348,8 @@ def paired_ttest(spark, sf):
 
 def compare_ranks(spark, sf):
     labels = labelled(spark, sf)
-    of = lambda name: metrics.first_ranks(questions(spark, sf), runs(spark, sf).filter(F.col("collection") == name), labels)
+    asked, docs = questions(spark, sf), documents(spark, sf)
+    of = lambda name: metrics.first_ranks(asked, lexical.search(asked, docs, b=LENGTH_WEIGHT[name]), labels)
     out = metrics.compare_ranks(of(BASE), of(FLAT))
     return out.withColumns({x: F.coalesce(x, F.lit(metrics.K + 1)) for x in ("rank_a", "rank_b")})
 
