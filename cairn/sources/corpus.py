@@ -10,8 +10,21 @@ from .. import schema
 SPLIT_ON = "_high_enrage_"
 
 
+TASK_BYTES = 512 << 10
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan has too few tasks for its bytes: a file with one row group can't be split.
+
+    A scan that has a task for each core, as every large input does, stays as it is, and so do tiny tables.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)
+    return df.repartition(wanted) if wanted > 1 and df.rdd.getNumPartitions() < wanted else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def scan_corpus(spark: SparkSession, folder: str) -> DataFrame:
