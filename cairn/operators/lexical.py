@@ -13,6 +13,8 @@ from ..functions.bands import annotate_query
 
 SPLITTER = r"[^\p{L}\p{N}_]+"
 MOST_QUERY_TERMS = 1_000_000
+EVERY = ""
+"""Stands in every document, once; tokens are never empty."""
 
 
 def tokens(text: Column) -> Column:
@@ -64,12 +66,16 @@ def search_variants(queries: DataFrame, docs: DataFrame, variants: dict[str, flo
     asked = queries.select("qid", F.explode(query_terms(F.col("text"), bands)).alias("term"))
     n_terms = asked.count()
     hint = F.broadcast if n_terms <= MOST_QUERY_TERMS else (lambda df: df)
-    wanted = hint(asked.select("term").distinct())
-    rows = docs.select(key, tokens(F.col("text")).alias("t")).select(key, F.size("t").alias("len"), F.explode("t").alias("term"))
+    # each document adds one row for EVERY, so that sizes, counts and statistics come from one exchange;
+    # what follows sums over all its rows, as a filter would go below it and make another scan
+    wanted = hint(asked.select("term").union(queries.sparkSession.createDataFrame([(EVERY,)], "term string").coalesce(1)).distinct())
+    rows = docs.select(key, tokens(F.col("text")).alias("t")).select(key, F.size("t").cast("long").alias("len"), F.explode(F.concat("t", F.array(F.lit(EVERY)))).alias("term"))
     tf = rows.join(wanted, "term").groupBy(key, "term", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = tf.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"))
+    once = F.when(F.col("term") == EVERY, F.col("tf"))
+    stats = tf.agg(F.coalesce(F.sum(once), F.lit(0)).alias("n"), F.try_divide(F.sum(once * F.col("len")), F.sum(once)).alias("avg_len"))
     # one row of statistics, and as many rows of df as there are distinct query terms
-    weights = df.join(F.broadcast(corpus_stats(docs)), how="cross")
+    weights = df.join(F.broadcast(stats), how="cross")
     weights = weights.select("term", idf(F.col("n"), F.col("df")).alias("idf"), (F.col("avg_len") if avg_len is None else F.lit(float(avg_len))).alias("avg_len"))
     weighted = tf.join(hint(weights), "term")
     weigh = lambda b: F.col("idf") * saturation(F.col("tf"), F.col("len"), F.col("avg_len"), k1, b)
