@@ -168,6 +168,26 @@ def test_relevance(spark):
     assert sorted(r.qid for r in relevance.unlabelled(q, labels).collect()) == [3, 4]
 
 
+QUESTION = "qid long, expected_source array<string>, expected_section string, expected_phrase string"
+
+
+def test_any_number_of_questions_is_labelled(spark):
+    q = spark.createDataFrame([(i, None, "part", f"w{i}.") for i in range(10_050)], QUESTION)
+    chunks = spark.createDataFrame([(1, "s", "Part", "w3. w10049."), (2, "s", "Part", "w10049.")], "doc_id long, source string, section string, text string")
+    assert sorted((r.qid, r.doc_id) for r in relevance.qrels(q, chunks).collect()) == [(3, 1), (10049, 1), (10049, 2)]
+
+
+def test_blocks_of_questions_label_as_one(spark, monkeypatch):
+    rows = [(i if i % 9 else None, [None, ["s1"], [], ["s2", None]][i % 4], ["Part", "", None, "A"][i % 7 % 4], ["fox", "red", "", None, "x"][i % 5]) for i in range(200)]
+    q = spark.createDataFrame(rows + rows[:3], QUESTION)
+    chunks = spark.createDataFrame([(10, "s1", "__Part A__", "red fox"), (11, "s2", "Part B", "a fox"), (None, None, "A", "Fox x")], "doc_id long, source string, section string, text string")
+    whole = lambda: sorted(map(str, relevance.qrels(q, chunks).collect()))
+    one = whole()
+    monkeypatch.setattr(relevance, "QUESTION_BYTES", 500)
+    assert whole() == one and one
+    assert relevance.qrels(q, chunks)._jdf.queryExecution().optimizedPlan().toString().count("Join") > 3
+
+
 @pytest.mark.parametrize("n,want", [(10, (8, 2)), (1, (0, 1)), (0, (30, 10)), (None, (30, 10))])
 def test_stratified_limit(spark, n, want):
     q = spark.range(40).selectExpr("id AS qid", "id % 4 <> 0 AS answerable")
