@@ -18,7 +18,7 @@ text alone; a labelled text meets itself as an example like any other text would
 Defined cases: null and empty texts have no features and get the base rate; labels null
 or not 0/1 are ignored, and where one document has several the largest counts; no usable
 label at all gives every text the score 0; repeated rows each give a row; a null doc_id
-is not held out; other columns are ignored.
+is not held out; other columns are ignored unless carried.
 """
 
 from __future__ import annotations
@@ -167,7 +167,7 @@ def _vectors(docs: DataFrame, features: list[str], extra: list[str]) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(extra)], pa.array(fids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=names)
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra)
-    return docs.select(*extra, "text").mapInArrow(run, f"{kinds}, fids array<int>, tfs array<int>")
+    return docs.select(*extra, F.col("text").alias("words")).mapInArrow(run, f"{kinds}, fids array<int>, tfs array<int>")
 
 
 def _document_frequencies(vectors: DataFrame) -> dict[int, int]:
@@ -186,11 +186,11 @@ def _document_frequencies(vectors: DataFrame) -> dict[int, int]:
     return {r["f"]: r["n"] for r in found.collect()}  # most_features rows at most
 
 
-def score(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_features: int = 2048, doubt: float = 33.0, k: int = 15, pull: float = 0.1) -> DataFrame:
-    """doc_id, held_out, score, predicted and as evidence the ids of the nearest examples."""
+def score(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_features: int = 2048, doubt: float = 33.0, k: int = 15, pull: float = 0.1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and as evidence the ids of the nearest examples, and the columns named in ``carry``."""
     examples, totals = _examples(docs, labels, per_class)
     features = _choose_features(examples, most_features, doubt)
-    vectors = materialize(_vectors(docs, features, ["doc_id"]), "vectors")
+    vectors = materialize(_vectors(docs, features, ["doc_id", *carry]), "vectors")
     n = vectors.count()
     df = _document_frequencies(vectors)
     idf = np.array([math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(features))])
@@ -205,9 +205,10 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_featur
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.score(f, t) for f, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
+            found = [own.score(f, t) for f, t in zip(batch.column(n_own).to_pylist(), batch.column(n_own + 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_own], pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["doc_id", *carry, "score", "evidence"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = vectors.mapInArrow(run, f"doc_id {kind}, score double, evidence array<bigint>")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    n_own = 1 + len(carry)
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
+    out = vectors.mapInArrow(run, f"{kinds}, score double, evidence array<bigint>")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", *carry)

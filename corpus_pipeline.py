@@ -18,10 +18,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a toxic verdict. Equal texts have equal scores, so a doc_id falls if any text under it is toxic."""
-    scored = toxicity.score(docs, read(spark, sf_dir, "labels"))
-    bad = scored.filter("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows without a toxic verdict; each is judged by its own text, with an id or without."""
+    scored = toxicity.score(docs, read(spark, sf_dir, "labels"), carry=COLUMNS[1:])
+    return scored.filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,16 @@ def test_stages_take_odd_rows(spark, docs_of):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_each_row_has_its_own_toxic_verdict(spark, docs_of, tmp_path):
+    toxic = "plain utterly vilesome grubling"
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(i, f"plain words {i}" + (" utterly vilesome grubling" if i % 4 == 0 else " calm")) for i in range(400)]
+    odd = [(None, toxic), (None, "plain calm"), (None, None), (1, toxic), (1, toxic), (500, "plain calm"), (500, "plain calm")]
+    got = corpus_pipeline.drop_toxic(spark, docs_of(rows + odd), str(tmp_path))
+    want = [r for r in rows + odd if "vilesome" not in (r[1] or "")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, docs_of(want).collect())))
+
+
 @pytest.mark.parametrize("name", ORACLES)
 def test_sql_twins(spark, name):
     con = duckdb.connect()
