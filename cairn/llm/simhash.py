@@ -53,15 +53,17 @@ def fingerprint(text: str | None, k: int = 3, part: int = 1 << 16) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row."""
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in ``carry`` and fp, the fingerprint as a signed long, of every row."""
+    n_own = 1 + len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(x) for x in batch.column(n_own).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_own], pa.array(fp, pa.int64())], names=["doc_id", *carry, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
+    return docs.select("doc_id", *carry, F.col("text").alias("words")).mapInArrow(run, f"{kinds}, fp long")
 
 
 def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,18 +196,34 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixed point in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row."""
-    prints = materialize(fingerprints(docs), "fingerprints")
+def _roots(prints: DataFrame, distance: int) -> DataFrame:
+    """fp, the least doc_id that has it, and the root of its component."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     # rows that share an id but not a text hold their fingerprints together
     apart = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("z"))
     apart = apart.filter("b != z").select("doc_id", "b")
     same = prints.join(apart, "doc_id").select(F.col("fp").alias("a"), "b")
     roots = materialize(components(links(distinct, distance).union(same)), "roots")
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of every row."""
+    prints = materialize(fingerprints(docs), "fingerprints")
+    named = _roots(prints, distance)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     names = materialize(named.join(least, "root").select(F.col("fp").alias("own"), "component_id"), "names")
     # one fingerprint may be that of a third of all rows: AQE splits such a partition of this join
     out = prints.join(names, prints.fp == names.own)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, carry: tuple[str, ...], distance: int = 3) -> DataFrame:
+    """doc_id and the columns named in ``carry`` of one row of each component: the smallest doc_id (null last), ties by a hash of the columns."""
+    # numbers of rows hold as they are written
+    prints = materialize(fingerprints(docs, carry).withColumns({"tie": F.xxhash64(*carry), "row": F.monotonically_increasing_id()}), "fingerprints")
+    named = _roots(prints, distance).select("fp", "root")
+    order = F.struct(F.col("doc_id").isNull().alias("orphan"), "doc_id", "tie", "row")
+    least = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    kept = least.join(named, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    return prints.join(kept, "row", "left_semi").select("doc_id", *carry)

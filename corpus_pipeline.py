@@ -24,10 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; rows without an id stay."""
-    kept = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.join(kept, "doc_id", "left_semi")
-    return with_id.union(docs.select(with_id.columns).filter("doc_id is null")).select(*COLUMNS)
+    """One row of each group of near copies: the one with the smallest id; rows without an id come last."""
+    return simhash.one_of_each(docs, COLUMNS[1:]).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

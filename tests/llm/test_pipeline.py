@@ -61,6 +61,15 @@ def test_each_row_has_its_own_toxic_verdict(spark, docs_of, tmp_path):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, docs_of(want).collect())))
 
 
+def test_one_row_of_each_group_stays(spark, docs_of):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    assert (simhash.fingerprint(a) ^ simhash.fingerprint(a.upper())).bit_count() <= 3
+    rows = [(7, a), (7, a), (5, a.upper()), (5, a), (None, a), (None, b), (None, b), (9, c), (9, c), (9, c), (3, None), (None, ""), (2, " ")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs_of(rows), SF).collect()]
+    assert sorted(r[0] for r in got if r[0] is not None) == [2, 5, 9] and len(got) == 4
+    assert set(got) <= set(rows) and (None, b) in got and (9, c) in got and (2, " ") in got
+
+
 @pytest.mark.parametrize("name", ORACLES)
 def test_sql_twins(spark, name):
     con = duckdb.connect()
