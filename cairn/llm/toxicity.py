@@ -6,11 +6,13 @@ no doubt are kept. Document frequencies are counted over the whole corpus. The e
 form a block-max inverted index: for each feature and block of examples the largest
 weight is known, so a block whose bound does not reach the k-th best similarity so far is
 never opened; what is found is exactly the k nearest. Votes are weighted by similarity
-and pulled towards the rate of label 1 among examples without any feature, so that texts
+and by how many labels of its kind an example stands for, and pulled towards the rate of label 1 among examples without any feature, so that texts
 far from all examples get that rate.
 
 Bounds, all documented parameters: ``per_class`` examples of each label (those with the
 smallest hash), ``most_features`` features. What the driver holds depends on these alone.
+``doubt`` is the least chi-square of a feature, with few examples a quarter of their number;
+features below it don't count, so a text with none but such gets the base rate.
 
 Labels count only where crc32(doc_id as text) mod 5 is not 0. Inputs of a score are the
 text alone; a labelled text meets itself as an example like any other text would.
@@ -38,6 +40,8 @@ from .common import materialize
 FOLDS = 5
 _WORD = re.compile(r"[^\W_]+")
 STEMS = (4, 5, 6)
+LEAST_SHARE = 0.25
+"""Chi-square over the number of examples that is beyond doubt however few there are."""
 
 
 def held_out(doc_id: Column) -> Column:
@@ -57,13 +61,14 @@ class Index:
 
     BLOCK = 64
 
-    def __init__(self, features: list[str], idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], base: float, k: int, pull: float):
+    def __init__(self, features: list[str], idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], base: float, k: int, pull: float, votes: tuple[float, float] = (1.0, 1.0)):
         self.number = {f: i for i, f in enumerate(features)}
         self.idf, self.base, self.k, self.pull = idf, base, k, pull
         filled = [e for e in examples if e[2]]
         filled.sort(key=lambda e: (e[2], e[3], e[0]))  # alike examples share blocks: their bounds are tight
         self.ids = np.array([e[0] for e in filled], np.int64)
         self.label = np.array([e[1] for e in filled], np.float64)
+        self.vote = np.where(self.label == 1, votes[1], votes[0])
         n = -(-len(filled) // self.BLOCK) * self.BLOCK
         self.weight = np.zeros((len(features), n), np.float32)
         for at, (_, _, fids, tfs) in enumerate(filled):
@@ -97,7 +102,8 @@ class Index:
         places, cos = self.nearest(fids, tfs)
         if not len(places):
             return self.base, []
-        value = (float(cos @ self.label[places]) + self.pull * self.base) / (float(cos.sum()) + self.pull)
+        votes = cos * self.vote[places]
+        value = (float(votes @ self.label[places]) + self.pull * self.base) / (float(votes.sum()) + self.pull)
         return min(1.0, max(0.0, value)), self.ids[places[:3]].tolist()
 
 
@@ -131,6 +137,7 @@ def _choose_features(examples: DataFrame, most_features: int, doubt: float) -> l
     n0, n1 = examples.agg(F.count(F.when(F.col("toxic") == 0, 1)), F.count(F.when(F.col("toxic") == 1, 1))).first()
     if not n0 or not n1:
         return []
+    doubt = min(doubt, (n0 + n1) * LEAST_SHARE)  # chi-square is at most the number of examples
     df = examples.select("toxic", "text").mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     c, d = n1 - a, n0 - b
@@ -199,7 +206,10 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_featur
     weight = {y: totals.get(y, 0) / max(1, sum(r[1] == y for r in rows)) for y in (0, 1)}
     blank = {y: weight[y] * sum(r[1] == y and not r[2] for r in rows) for y in (0, 1)}
     base = blank[1] / (blank[0] + blank[1]) if blank[0] + blank[1] else totals.get(1, 0) / max(1, sum(totals.values()))
-    index = Index(features, idf, rows, base, k, pull)
+    # an example votes for all of its label that it stands for; 1 on average
+    mean = sum(totals.values()) / max(1, len(rows))
+    votes = tuple(weight[y] / mean if mean else 1.0 for y in (0, 1))
+    index = Index(features, idf, rows, base, k, pull, votes)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

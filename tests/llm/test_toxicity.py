@@ -37,6 +37,20 @@ def test_odd_rows(spark, docs_of):
     assert by[1000].score == by[1001].score < 0.5 and by[1002].predicted == 1 and by[None].predicted == 1 and not by[None].held_out
 
 
+def test_few_examples_have_features(spark, docs_of):
+    docs = docs_of([(i, f"plain {i}" + (" vilesome" if i % 2 else " calm")) for i in range(24)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(24)], LABELS)
+    assert all(r.predicted == r.doc_id % 2 for r in score(docs, labels).collect())
+
+
+def test_votes_count_for_all_labels_of_their_kind(spark, docs_of):
+    # half of those with the word are toxic, but most of the sampled ones
+    rows = [(i, f"murky {i}" if i < 120 else f"calm {i}") for i in range(660)]
+    labels = spark.createDataFrame([(i, 1, int(i < 60)) for i in range(660)], LABELS)
+    got = {r.doc_id: r.score for r in score(docs_of(rows), labels, per_class=60, k=200).collect()}
+    assert all(0.3 < got[i] < 0.7 for i in range(120)) and all(got[i] < 0.1 for i in range(120, 660))
+
+
 def test_no_labels_or_rows(spark, docs_of):
     none = spark.createDataFrame([], LABELS)
     assert [r.score for r in score(docs_of([(1, "a")]), none).collect()] == [0.0]
