@@ -6,7 +6,9 @@ the earlier output begins the later one, the rest is the new turn's span. Within
 where the content stands is found by rendering the same prefix with two probe texts: what
 the two have in common before and after is the template's own. A template whose output
 for a prefix does not begin the next output rewrites history; this is reported and such a
-conversation's spans are found on the final output by what stays in common.
+conversation's spans are found on the final output, each turn probed in the whole
+conversation. What a turn's role had around its text before is tried first, and probed
+anew where the text is not read back.
 
 The default template escapes control strings inside texts reversibly, so contents are
 read back from the output alone.
@@ -62,29 +64,36 @@ def _common(a: str, b: str) -> int:
     return len(os.path.commonprefix((a, b)))
 
 
+def _frame(a: str, z: str) -> tuple[int, int]:
+    """How much two outputs have in common before and after."""
+    before = _common(a, z)
+    return before, _common(a[before:][::-1], z[before:][::-1])
+
+
 class Rendered:
     """The output for a conversation, and for each turn the span of its content in it."""
 
-    def __init__(self, turns: list[Turn], template: Template):
+    def __init__(self, turns: list[Turn], template: Template, undo: Callable[[str], str] = unescape):
         self.turns, self.rewrites, self.contents = turns, False, []
         outputs, frames = [template([])], {}
-        for i, (role, _) in enumerate(turns):
+        for i, (role, text) in enumerate(turns):
             now = template(turns[: i + 1])
-            start = len(outputs[-1])
             if not now.startswith(outputs[-1]):
                 self.rewrites = True
-                start = _common(outputs[-1], now)
-            key = (role, i == 0, self.rewrites)
-            if self.rewrites or key not in frames:
-                probes = [template([*turns[:i], (role, x)]) for x in ("A", "Z")]
-                tails = [p[start:] for p in probes]
-                before = _common(*tails)
-                after = _common(*(t[::-1] for t in tails))
-                frames[key] = (before, after)
-            before, after = frames[key]
+                break
+            start = len(outputs[-1])
+            key = (role, i == 0)
+            before, after = frames.get(key, (0, 0))
+            if key not in frames or start + before > len(now) - after or undo(now[start + before : len(now) - after]) != text:
+                before, after = frames[key] = _frame(*(template([*turns[:i], (role, x)])[start:] for x in ("A", "Z")))
             self.contents.append((start + before, len(now) - after))
             outputs = [now]
         self.text = outputs[-1]
+        if self.rewrites:
+            self.text, self.contents = template(turns), []
+            for i, (role, _) in enumerate(turns):
+                before, after = _frame(*(template([*turns[:i], (role, x), *turns[i + 1 :]]) for x in ("A", "Z")))
+                self.contents.append((min(before, len(self.text)), max(len(self.text) - after, min(before, len(self.text)))))
 
     def content(self, i: int, undo: Callable[[str], str] = unescape) -> str:
         start, stop = self.contents[i]
@@ -104,7 +113,7 @@ def format_conversations(conversations: DataFrame, template: Template = inst_tem
 
         def end() -> None:
             if turns:
-                r = Rendered(list(turns), template)
+                r = Rendered(list(turns), template, undo)
                 out.append((conv, r.text, [x for x, _ in turns], [x for x, _ in r.contents], [x for _, x in r.contents], r.rewrites, r.faithful(undo)))
 
         names = ["conv_id", "formatted", "roles", "starts", "stops", "rewrites", "faithful"]
@@ -132,12 +141,12 @@ def format_conversations(conversations: DataFrame, template: Template = inst_tem
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What is read back from the formatted texts: digests of the turns and of what is under the loss mask."""
+    """What is read back from the formatted texts: digests of the turns and of what is under the loss mask, null where a text is not read back."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for conv, text, roles, starts, stops in zip(pdf["conv_id"], pdf["formatted"], pdf["roles"], pdf["starts"], pdf["stops"]):
+            for conv, text, roles, starts, stops, faithful in zip(pdf["conv_id"], pdf["formatted"], pdf["roles"], pdf["starts"], pdf["stops"], pdf["faithful"]):
                 turns, loss = hashlib.sha256(), []
                 for role, a, b in zip(roles, starts, stops):
                     content = unescape(text[a:b])
@@ -145,10 +154,11 @@ def digests(formatted: DataFrame) -> DataFrame:
                     if role == "assistant":
                         loss.append(content)
                 loss = "".join(loss)
-                out.append((conv, len(roles), turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                out.append((conv, len(roles), turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), faithful))
+            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "faithful"])
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    rows = formatted.select(F.col("conv_id").cast("string").alias("conv_id"), "formatted", "roles", "starts", "stops")
-    out = rows.mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    return out.withColumn("conv_id", F.col("conv_id").cast(kind))
+    rows = formatted.select(F.col("conv_id").cast("string").alias("conv_id"), "formatted", "roles", "starts", "stops", "faithful")
+    out = rows.mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, faithful boolean")
+    read = {c: F.when(F.col("faithful"), F.col(c)) for c in ("turns_sha256", "loss_chars", "loss_sha256")}
+    return out.withColumns({"conv_id": F.col("conv_id").cast(kind), **read}).drop("faithful")

@@ -33,6 +33,25 @@ def test_rewriting_templates_are_detected():
     assert not Rendered([("user", "a"), ("assistant", "b")], header).rewrites
 
 
+def test_spans_after_a_rewrite_and_in_changing_frames():
+    turns = [("user", "abc"), ("assistant", "b [x]"), ("user", "A"), ("assistant", "")] + [("user", f"t{i}") for i in range(9)]
+    last_only = lambda ts: "".join(f"<{r}>{escape(t)}" if i == len(ts) - 1 else escape(t) + "|" for i, (r, t) in enumerate(ts))
+    r = Rendered(turns, last_only)
+    assert r.rewrites and r.faithful()
+    numbered = lambda ts: "".join(f"{i}<{r}>{escape(t)}\n" for i, (r, t) in enumerate(ts))
+    r = Rendered(turns, numbered)
+    assert not r.rewrites and r.faithful()
+    assert not Rendered(turns, lambda ts: f"{len(ts)} turns").faithful()
+
+
+def test_digests_refuse_what_is_not_read_back(spark):
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "assistant", "zz")], SCHEMA)
+    lossy = lambda ts: "".join(f"<{r}>{escape(t).replace('q', '')}" for r, t in ts)
+    got = {r.conv_id: r for r in digests(format_conversations(df, lossy)).collect()}
+    assert got[1].turns_sha256 is got[1].loss_chars is got[1].loss_sha256 is None and got[1].n_turns == 2
+    assert got[2].loss_chars == 2 and got[2].loss_sha256 == hashlib.sha256(b"zz").hexdigest()
+
+
 def brute(rows):
     by = {}
     for c, n, r, t in rows:
