@@ -14,8 +14,9 @@ index is cut up by content:
    matrix cut to ``length``: what follows the anchor, and as the row's symbol what stands
    before it. Equal rows are one run, stored once with its run ends sampled: the smallest
    and the largest id that hold it. Copies and repetitive passages fold into runs before
-   they are shuffled, so an anchor costs a part one run per block at most, however many
-   documents share it.
+   they are shuffled, so an anchor costs a part one run per block for each distinct
+   surroundings. A passage shorter than an anchor and its surroundings costs a run for each
+   document where these differ, all in one part.
 3. *Matching statistics.* A part streams the runs of each anchor and finds, for each of
    the strings around it, the smallest id of any run that matches it on all ``length`` bytes.
 4. A block gets these back, marks the strings that a smaller id holds, and joins marks
