@@ -220,10 +220,12 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
 
 def one_of_each(docs: DataFrame, carry: tuple[str, ...], distance: int = 3) -> DataFrame:
     """doc_id and the columns named in ``carry`` of one row of each component: the smallest doc_id (null last), ties by a hash of the columns."""
-    # numbers of rows hold as they are written
-    prints = materialize(fingerprints(docs, carry).withColumns({"tie": F.xxhash64(*carry), "row": F.monotonically_increasing_id()}), "fingerprints")
+    # texts are moved once; rows alike in all columns fall together before that
+    keyed = docs.select("doc_id", "text", *(c for c in carry if c != "text"))
+    keyed = keyed.withColumns({"id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "orphan": F.col("doc_id").isNull(), "tie": F.xxhash64(*carry)})
+    own = ["id", "orphan", "tie"]
+    prints = materialize(fingerprints(keyed, tuple(own)), "fingerprints")
     named = _roots(prints, distance).select("fp", "root")
-    order = F.struct(F.col("doc_id").isNull().alias("orphan"), "doc_id", "tie", "row")
-    least = prints.groupBy("fp").agg(F.min(order).alias("first"))
-    kept = least.join(named, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.row")
-    return prints.join(kept, "row", "left_semi").select("doc_id", *carry)
+    least = prints.groupBy("fp").agg(F.min(F.struct("orphan", "doc_id", "tie", "id")).alias("first"))
+    kept = least.join(named, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.orphan", "first.tie")
+    return keyed.dropDuplicates(own).join(kept, own, "left_semi").select("doc_id", *carry)
