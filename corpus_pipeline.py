@@ -52,7 +52,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Fingerprints, random rounding and token ids have no SQL form; tests hold every stage against brute force.
+#: Fingerprints, random rounding and token ids have no SQL form; tests hold stages against their operators, run() not yet against brute force.
 ORACLE_SQL = None
 
 
