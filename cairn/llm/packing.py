@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import default_vocabulary, encoder
+from .tokens import byte_batches, default_vocabulary, encoder
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary=None) -> DataFrame:
@@ -38,19 +38,19 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary=No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(json_path, rank_path)
-        for batch in batches:
+        for doc_ids, _, texts in byte_batches(batches):
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = enc.ids(text or "")
-                ids.append(end_id)
-                raw = np.array(ids, "<u4").tobytes()
-                start, stop, n = 0, len(ids) % capacity or capacity, 0
-                while start < len(ids):
-                    out.append((doc_id, n, start, stop - start, zlib.crc32(raw[4 * start : 4 * stop])))
+            for row, text in enumerate(texts):
+                raw = np.append(enc.ids(text), np.uint32(end_id)).astype("<u4").tobytes()
+                size = len(raw) // 4
+                start, stop, n = 0, size % capacity or capacity, 0
+                while start < size:
+                    out.append((row, n, start, stop - start, zlib.crc32(raw[4 * start : 4 * stop])))
                     start, stop, n = stop, stop + capacity, n + 1
             if out:
-                kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                row, *rest = zip(*out)
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(row)), *(pa.array(c, k) for c, k in zip(rest, kinds))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
@@ -82,6 +82,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
             take(s, n)
             items += [s] * n
             gap -= n * s
+        need = dict(used)
         if gap and len(items) > 1:
             small = items[-1]
             room = gap + small
@@ -105,33 +106,35 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
                     take(s)
             else:
                 take(small)
-        times = min(int(left[s]) // n for s, n in used.items() if n)
+        # as often as all that was chosen from is still there
+        times = 1 + min((int(left[s]) - max(n, need.get(s, 0))) // n for s, n in used.items() if n)
         for s, n in used.items():
             left[s] -= n * times
         out.append((times, items))
 
 
-def places(patterns: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray, ...]]:
-    """For each length the ranks at which a run of places begins, with the first sequence and the offset of each run."""
-    rows: dict[int, list[tuple[int, int, int]]] = {}
+def places(patterns: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int, int]]:
+    """(length, first rank, rank after the last, first sequence, offset) of each run of places."""
+    rows = []
     taken: dict[int, int] = {}
     first = 0
     for times, items in patterns:
         offset = 0
         for s in items:
             rank = taken.get(s, 0)
-            rows.setdefault(s, []).append((rank, first, offset))
+            rows.append((s, rank, rank + times, first, offset))
             taken[s] = rank + times
             offset += s
         first += times
-    return {s: tuple(np.array(c, np.int64) for c in zip(*x)) for s, x in rows.items()}
+    return rows
 
 
 def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary=None, rows_per_salt: int = 1_000_000) -> DataFrame:
     """The pieces of all documents with sequence_id and offset."""
     cut = materialize(pieces(docs, capacity, end_id, vocabulary), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    at = places(plan(counts, capacity))
+    # a few times capacity rows of numbers, however large the corpus: a proven bound
+    runs = docs.sparkSession.createDataFrame(places(plan(counts, capacity)), "at_length long, first_rank long, end_rank long, first_sequence long, offset long")
     salts = max(256, -(-max(counts.values(), default=0) // rows_per_salt))
 
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
@@ -142,15 +145,6 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary=None
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     ranked = ranked.select(*names, (F.col("before") + F.col("own")).alias("rank"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, rank = (np.asarray(batch.column(i)) for i in (3, 5))
-            sequence, offset = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
-            for s in np.unique(size):
-                own = size == s
-                ranks, firsts, offsets = at[int(s)]
-                k = np.searchsorted(ranks, rank[own], "right") - 1
-                sequence[own], offset[own] = firsts[k] + rank[own] - ranks[k], offsets[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
-
-    return ranked.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    rank = F.col("rank")
+    at = (F.col("length") == F.col("at_length")) & (rank >= F.col("first_rank")) & (rank < F.col("end_rank"))
+    return ranked.join(F.broadcast(runs), at).select(*names, (F.col("first_sequence") + rank - F.col("first_rank")).alias("sequence_id"), "offset")

@@ -1,14 +1,20 @@
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from cairn.llm.packing import pack, places, plan
-from cairn.llm.tokens import Encoder, balanced, count_tokens, default_vocabulary
+from cairn.llm.tokens import SPLIT, Encoder, balanced, count_tokens, default_vocabulary
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 LIB = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 ENC = Encoder(*default_vocabulary())
 TEXT = st.text(st.one_of(st.sampled_from(" \t\n\r\x85\xa0\u2003'’aZé9²½ªİſ中🙂\x1c\x00"), st.characters(exclude_categories=['Cs'])), max_size=60)
@@ -21,27 +27,82 @@ def lib(text):
 @settings(max_examples=400, deadline=None)
 @given(TEXT)
 def test_ids_are_the_librarys(text):
-    assert ENC.ids(text) == lib(text)
-    assert ENC.lengths([text, text]) == [len(lib(text))] * 2
+    assert list(ENC.ids(text)) == lib(text)
+    assert ENC.lengths([text, text]).tolist() == [len(lib(text))] * 2
 
 
-def test_every_plain_character_has_the_librarys_classes():
-    for c in map(chr, [*range(0x250), *range(0x2010, 0x2028), 0x20AC]):
+def test_both_libraries_have_the_same_classes_of_all_characters():
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        probe = tiktoken.Encoding("probe", pat_str=kind + "+", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        fast = set(probe.decode_bytes(probe.encode_ordinary(every)).decode())
+        exact = {c for x, _ in pre_tokenizers.Split(Regex(kind + "+"), "removed", invert=True).pre_tokenize_str(every) for c in x}
+        assert fast == exact and len(fast) > 20
+
+
+def test_every_character_of_some_blocks():
+    for c in map(chr, [*range(0x600), *range(0x2000, 0x2070), *range(0x4E00, 0x4E80), 0x20AC, 0x1F600]):
         text = f"a{c}b {c} {c}{c}9{c}\n{c}  {c}x"
-        assert ENC.ids(text) == lib(text), hex(ord(c))
+        assert list(ENC.ids(text)) == lib(text), hex(ord(c))
+
+
+LONG = {
+    "ascii": "word Another, x1 it's  y\n" * 20000,
+    "cyrillic": "слово другое,это же " * 20000,
+    "cyrillic without spaces": "словодругоеэтоже" * 20000,
+    "chinese": "中文沒有空格的長文本。" * 30000,
+    "arabic": "كلمةأخرى٣٤هنا" * 20000,
+    "digits": "0123456789" * 30000,
+    "code": "f(x)=a[i]->b'c;'s''ll" * 15000,
+    "one letter": "x" * 300000,
+    "spaces": " " * 200000 + "a" + "\n" * 100000,
+    "special": "<|endoftext|> word中" * 20000,
+    "emoji": "🙂🙃" * 60000,
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_texts_and_special_strings(kind):
+    text = LONG[kind]
+    assert list(ENC.ids(text)) == lib(text) and "".join(ENC.parts(text)) == text
+    assert ENC.lengths([text, "", "a"]).tolist() == [len(lib(text)), 0, 1]
+    if kind not in ("one letter", "digits", "spaces"):
+        assert max(map(len, ENC.parts(text))) < 2 * SPLIT
+
+
+def test_special_strings():
+    for text in ("a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "a <|endoftext|>  b", "<|endoftext|"):
+        assert list(ENC.ids(text)) == lib(text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("ab '’.,9é中文かк\n\u3000ة🙂"), min_size=30, max_size=80))
+def test_cuts_are_safe_everywhere(text):
+    for at in range(2, len(text)):
+        if cut := ENC.cut(text, at):
+            assert lib(text[:cut]) + lib(text[cut:]) == lib(text)
+
+
+def test_without_a_rank_file():
+    slow = Encoder(default_vocabulary()[0], None)
+    for text in ("a <|endoftext|> it's", "", "中文 x"):
+        assert list(slow.ids(text)) == lib(text) and slow.lengths([text]).tolist() == [len(lib(text))]
 
 
-def test_long_texts_and_special_strings():
-    text = "word Another, x1 it's  y\n" * 20000
-    assert len(ENC.parts(text)) > 3 and ENC.ids(text) == lib(text)
-    for text in ("a<|endoftext|>b", "<|endoftext|>", "x" * 70000, "<|endoftext|> word" * 9000):
-        assert ENC.ids(text) == lib(text)
+def test_memory_of_long_texts_in_any_script():
+    """A worker that counts and encodes two million characters without spaces stays under 200 MB."""
+    code = (
+        "from cairn.llm.tokens import *; e = Encoder(*default_vocabulary());"
+        "t = 'словодругое中文' * 150000; n = int(e.lengths([t])[0]); assert len(e.ids(t)) == n;"
+        "print(next(x.split()[1] for x in open('/proc/self/status') if x.startswith('VmHWM')))"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT)
+    assert int(out.stdout) < 200_000
 
 
 def test_balanced():
-    texts = ["a" * n for n in (5, 1, 1, 9, 1)]
-    assert [texts[s] for s in balanced(texts, 6)] == [texts[:2], texts[2:3], texts[3:4], texts[4:]]
-    assert list(balanced([])) == []
+    assert [(s.start, s.stop) for s in balanced(np.array([5, 1, 1, 9, 1]), 6)] == [(0, 2), (2, 3), (3, 4), (4, 5)]
+    assert list(balanced(np.array([], int))) == []
 
 
 def test_counts(docs_of, small):
@@ -93,7 +154,41 @@ def test_plan_places_all(counts):
         for s in items:
             used[s] = used.get(s, 0) + times
     assert used == counts
-    assert set(places(patterns)) == set(counts)
+    rows = places(patterns)
+    for s, n in counts.items():
+        assert sorted((a, b) for x, a, b, _, _ in rows if x == s)[-1][1] == n
+
+
+def plain_best_two_fit(counts, capacity):
+    """Bin after bin, piece after piece: the largest that fits, then two unpacked for the smallest."""
+    left = sorted((s for s, n in counts.items() for _ in range(n)), reverse=True)
+    bins = []
+    while left:
+        gap, own = capacity, []
+        for s in list(left):
+            if s <= gap:
+                own.append(s)
+                left.remove(s)
+                gap -= s
+        if gap and len(own) > 1:
+            room = gap + own[-1]
+            pairs = [(left[i] + left[j], -left[j], left[i], left[j]) for i in range(len(left)) for j in range(i + 1, len(left)) if own[-1] < left[i] + left[j] <= room]
+            if pairs:
+                *_, a, b = max(pairs)
+                left.append(own.pop())
+                left.remove(a)
+                left.remove(b)
+                left.sort(reverse=True)
+                own += [a, b]
+        bins.append(own)
+    return bins
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, 24), st.integers(1, 12), max_size=9), st.integers(24, 40))
+def test_plan_is_best_two_fit(counts, capacity):
+    got = [sorted(items) for times, items in plan(counts, capacity) for _ in range(times)]
+    assert got == [sorted(x) for x in plain_best_two_fit(counts, capacity)]
 
 
 def test_two_replace_the_smallest():
