@@ -1,19 +1,22 @@
 """Exact top-k by inner product over an impact-ordered index, a score at a time.
 
-Components become whole numbers, floor(256 x). In each block of candidates a posting
-segment holds the vectors that have a given bit in a given dimension (counted from the
-dimension's smallest value), so its impact for a query is the query's component times
-that power of two. Segments are processed in tiers of falling impact, for all queries of
-a block at once; after each tier the impacts not yet processed bound every vector's
-score from both sides. A query stops when the members that these bounds still allow are
-few; they, and only they, are rescored exactly on the whole numbers. Stopping early never
-changes a result: the bounds prove that all others are out.
+Components become whole numbers, floor(256 x). In each block of candidates a dimension's
+values are taken relative to their median and quantised in steps; a posting segment lists
+the vectors with one quantised impact in one dimension. For a query the segments of all
+dimensions are processed by falling size of impact times the query's component, each
+added to its vectors' accumulators. What the segments not yet read can still add to or
+take from any vector, and what quantisation cut off, bounds every score from both sides.
+These bounds are kept after each segment; when they may have shrunk enough, the vectors
+that can still be among the k best are counted, and a query stops on this proof alone:
+all others are out. Possible members are rescored exactly on the whole numbers, so that
+stopping early never changes a result.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components, and rows
-without an id, take no part; a shorter vector counts as filled up with zeros; of rows
-that share an id the smallest vector counts once; ties go to the smaller id; fewer
-candidates than k give fewer rows; other columns are ignored. Components are held to
-+-2^25, so that scores fit 64 bits.
+without an id, take no part; a shorter vector counts as filled up with zeros; rows that
+share an id are candidates each on its own, and queries each on its own; ties go to the
+smaller id; fewer candidates than k give fewer rows; other columns are ignored. Whole
+numbers and scores of any size are exact; a score among the results that doesn't fit 64
+bits, or a component whose 256-fold isn't finite, is an OverflowError.
 """
 
 from __future__ import annotations
@@ -24,71 +27,118 @@ from pyspark.sql import functions as F
 
 from .blocks import best, search
 
-LARGEST = 1 << 25
-TIERS = (1 / 8, 1 / 64, 0.0)
+FEW = 64
 
 
 def whole(v: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(256.0 * v), -LARGEST, LARGEST).astype(np.int64)
+    """floor(256 x): 64-bit numbers, or Python's where one needs more."""
+    with np.errstate(over="ignore"):
+        w = np.floor(256.0 * v)
+    if not np.isfinite(w).all():
+        raise OverflowError("256 times a component is not finite")
+    if np.abs(w).max(initial=0) < 2**62:
+        return w.astype(np.int64)
+    return np.array([[int(x) for x in row] for row in w], object).reshape(w.shape)
+
+
+def _most(v: np.ndarray) -> int:
+    return max(abs(int(v.max())), abs(int(v.min()))) if v.size else 0
 
 
 class ImpactIndex:
-    """Posting segments (dimension, bit) of a block of whole-number vectors."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        self.low = vectors.min(axis=0)
-        above = vectors - self.low
-        self.bits = [int(x).bit_length() for x in above.max(axis=0)]
-        self.dim = np.repeat(np.arange(len(self.bits)), self.bits)
-        self.power = np.array([1 << b for n in self.bits for b in range(n)], np.int64)
-        wide = float(np.abs(vectors).max(initial=1)) ** 2 * vectors.shape[1] * 4
-        self.kind = np.float32 if wide < 2**24 else np.float64
-        shift = np.array([b for n in self.bits for b in range(n)], np.int64)
-        self.postings = ((above[:, self.dim] >> shift) & 1).astype(self.kind) if len(self.dim) else np.zeros((len(ids), 0), self.kind)
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, few: int = 64) -> list[tuple[int, int, int]]:
-        out: list[tuple[int, int, int]] = []
+    """Posting segments (dimension, quantised impact) of a block of whole-number vectors."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int | None = None):
+        n, width = vectors.shape
+        self.ids, self.vectors, self.width = ids, vectors, width
+        self.levels = levels or int(np.clip(n // 128, 2, 16))
+        values = vectors.astype(np.float64)
+        self.base = np.median(values, axis=0) if n else np.zeros(width)
+        away = values - self.base
+        self.step = np.maximum(np.abs(away).max(axis=0, initial=0) * (1 + 1e-12) / self.levels, 1e-300)
+        code = (np.sign(away) * np.minimum(np.ceil(np.abs(away) / self.step), self.levels)).astype(np.int8)
+        self.postings, self.starts = [], []
+        edges = np.arange(-self.levels, self.levels + 2)
+        for d in range(width):
+            order = np.argsort(code[:, d], kind="stable").astype(np.int32)
+            self.postings.append(order)
+            self.starts.append(np.searchsorted(code[order, d], edges))
+        # dimension and code of each segment that lists a vector away from the median
+        sizes = np.array([np.diff(s) for s in self.starts]).reshape(width, len(edges) - 1)
+        sizes[:, self.levels] = 0
+        self.dim, at = np.nonzero(sizes)
+        self.code = at - self.levels
+        self.middle = np.sign(self.code) * (np.abs(self.code) - 0.5) * self.step[self.dim]
+        self.largest = np.abs(values).max(axis=0, initial=0)
+        self.total = len(self.dim)
+        self.read = 0
+
+    def search(self, q: np.ndarray, k: int, few: int = FEW) -> list[tuple[int, int]]:
+        """(vec_id, score) of the k best for one query of whole numbers."""
         n = len(self.ids)
-        impact = queries[:, self.dim] * self.power  # queries x segments
-        size = np.abs(impact)
-        top = size.max(axis=1, initial=0)
-        self_at = np.searchsorted(self.ids, query_ids)
-        is_self = (self_at < n) & (self.ids[np.minimum(self_at, n - 1)] == query_ids)
-        scores = np.zeros((len(queries), n), self.kind)
-        open_, done = np.arange(len(queries)), np.full(len(queries), np.inf)
-        for tier in TIERS:
-            least = top * tier
-            now = (size[open_] >= least[open_, None]) & (size[open_] < done[open_, None])
-            scores[open_] += np.where(now, impact[open_], 0).astype(self.kind) @ self.postings.T
-            done = least if tier else np.zeros_like(done)
-            rest = np.where(size[open_] < least[open_, None], impact[open_], 0)
-            slack = np.abs(rest).sum(axis=1)  # what the unprocessed segments can add and take
-            still = []
-            for r, q in enumerate(open_):
-                own = scores[q]
-                if is_self[q]:
-                    own[self_at[q]] = -np.inf
-                kk = min(k, n)
-                floor = np.partition(own, n - kk)[n - kk]
-                may = np.flatnonzero((own >= floor - slack[r]) & np.isfinite(own))
-                if len(may) > max(few, 4 * k) and tier:
-                    still.append(q)
-                    continue
-                exact = self.vectors[may] @ queries[q]
-                for i in best(exact, self.ids[may], k):
-                    out.append((int(query_ids[q]), int(self.ids[may[i]]), int(exact[i])))
-            open_ = np.array(still, int)
-            if not open_.size:
-                break
-        return out
+        if not n:
+            return []
+        qf = q.astype(np.float64)
+        size = np.abs(qf)
+        impact = qf[self.dim] * self.middle
+        order = np.argsort(-np.abs(impact), kind="stable")
+        # rounding of doubles, far below a step for numbers of usual size
+        noise = 2.0**-50 * (self.width + 8) * float(size @ (self.largest + np.abs(self.base)))
+        # the most that a vector's unread segments in a dimension can add (0) and take (1)
+        far = self.step * size * self.levels
+        left = np.stack([far, far])
+        bound = float(left.sum()) + 2 * noise  # from the lower to the upper bound of a score
+        error = self.step * size / 2
+        score = np.zeros(n)
+        k, test = min(k, n), np.inf
+        may = None
+        rose = (impact > 0).tolist()
+        dims, codes, steps = self.dim.tolist(), self.code.tolist(), (self.step * size).tolist()
+        lefts, errors = left.tolist(), error.tolist()
+        for s in order.tolist():
+            d, c = dims[s], codes[s]
+            x = impact[s]
+            if x:
+                at = self.starts[d]
+                score[self.postings[d][at[c + self.levels] : at[c + self.levels + 1]]] += x
+                side = lefts[0 if rose[s] else 1]
+                now = max(errors[d], steps[d] * (abs(c) - 1))
+                bound -= side[d] - now
+                side[d] = now
+            self.read += 1
+            if bound < test:
+                floor = np.partition(score, n - k)[n - k]
+                may = np.flatnonzero(score >= floor - bound * (1 + 1e-9))
+                if len(may) <= max(few, 4 * k):
+                    break
+                test = bound * 0.9
+                may = None
+        if may is None:
+            # all is read: both sides of each dimension are within the error of quantisation
+            bound = 2 * float(error.sum()) + 2 * noise
+            floor = np.partition(score, n - k)[n - k]
+            may = np.flatnonzero(score >= floor - bound * (1 + 1e-9))
+        exact = self.exact(may, q)
+        return [(int(self.ids[may[i]]), int(exact[i])) for i in best(exact, self.ids[may], k)]
+
+    def exact(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        v = self.vectors[rows]
+        if v.dtype != object and q.dtype != object and _most(v) * _most(q) * max(1, self.width) < 2**62:
+            return v @ q
+        return np.array([sum(int(a) * int(b) for a, b in zip(row, q)) for row in v], object)
+
+
+def block_top(q: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[list, list[tuple[int, int, int]]]:
+    index, queries = ImpactIndex(ids, whole(vectors)), whole(q)
+    own = [sum(int(x) * int(x) for x in row) for row in queries]
+    found = [(at, vec_id, score) for at, row in enumerate(queries) for vec_id, score in index.search(row, k)]
+    if any(abs(s) >= 2**63 for _, _, s in found):
+        raise OverflowError("a score does not fit 64 bits")
+    # one too large for 64 bits is not among the results
+    return [x if x < 2**63 else None for x in own], found
 
 
 def top_k(vectors: DataFrame, is_query=None, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k highest inner products of each query's whole-number vector."""
     is_query = F.col(id_col) % 50 == 0 if is_query is None else is_query
-
-    def block(q_ids, q, c_ids, c):
-        return ImpactIndex(c_ids, whole(c)).search(q_ids, whole(q), k)
-
-    return search(vectors, id_col, vector_col, is_query, block, "long", k)
+    return search(vectors, id_col, vector_col, is_query, block_top, "long", k)
