@@ -2,21 +2,21 @@
 
 Components become whole numbers, floor(256 x). In each block of candidates a dimension's
 values are taken relative to their median and quantised in steps; a posting segment lists
-the vectors with one quantised impact in one dimension. For a query the segments of all
-dimensions are processed by falling size of impact times the query's component, each
-added to its vectors' accumulators. What the segments not yet read can still add to or
-take from any vector, and what quantisation cut off, bounds every score from both sides.
-These bounds are kept after each segment; when they may have shrunk enough, the vectors
-that can still be among the k best are counted, and a query stops on this proof alone:
-all others are out. Possible members are rescored exactly on the whole numbers, so that
-stopping early never changes a result.
+the vectors with one quantised impact in one dimension. Segments are processed by falling
+impact, each for all queries of a tile that are still open: impact times the query's
+component is added to the accumulators of the listed vectors. What the segments not yet
+read can still add to or take from any vector, and what quantisation cut off, bounds every
+score from both sides. When these bounds have shrunk enough, the vectors that can still be
+among a query's k best are counted, and a query stops on this proof alone: all others are
+out. Possible members are rescored exactly on the whole numbers, so that stopping early
+never changes a result.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components, and rows
 without an id, take no part; a shorter vector counts as filled up with zeros; rows that
 share an id are candidates each on its own, and queries each on its own; ties go to the
 smaller id; fewer candidates than k give fewer rows; other columns are ignored. Whole
-numbers and scores of any size are exact; a score among the results that doesn't fit 64
-bits, or a component whose 256-fold isn't finite, is an OverflowError.
+numbers and scores of any size are exact; a score among the best that doesn't fit 64
+bits (a query's with itself included), or a component whose 256-fold isn't finite, is an OverflowError.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .blocks import best, search
 
 FEW = 64
+LEVELS = 64
+TILE = 256
 
 
 def whole(v: np.ndarray) -> np.ndarray:
@@ -48,93 +50,91 @@ def _most(v: np.ndarray) -> int:
 class ImpactIndex:
     """Posting segments (dimension, quantised impact) of a block of whole-number vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int | None = None):
-        n, width = vectors.shape
-        self.ids, self.vectors, self.width = ids, vectors, width
-        self.levels = levels or int(np.clip(n // 128, 2, 16))
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
+        n, self.width = vectors.shape
+        self.ids, self.vectors = ids, vectors
         values = vectors.astype(np.float64)
-        self.base = np.median(values, axis=0) if n else np.zeros(width)
-        away = values - self.base
-        self.step = np.maximum(np.abs(away).max(axis=0, initial=0) * (1 + 1e-12) / self.levels, 1e-300)
-        code = (np.sign(away) * np.minimum(np.ceil(np.abs(away) / self.step), self.levels)).astype(np.int8)
-        self.postings, self.starts = [], []
-        edges = np.arange(-self.levels, self.levels + 2)
-        for d in range(width):
-            order = np.argsort(code[:, d], kind="stable").astype(np.int32)
-            self.postings.append(order)
-            self.starts.append(np.searchsorted(code[order, d], edges))
-        # dimension and code of each segment that lists a vector away from the median
-        sizes = np.array([np.diff(s) for s in self.starts]).reshape(width, len(edges) - 1)
-        sizes[:, self.levels] = 0
-        self.dim, at = np.nonzero(sizes)
-        self.code = at - self.levels
-        self.middle = np.sign(self.code) * (np.abs(self.code) - 0.5) * self.step[self.dim]
-        self.largest = np.abs(values).max(axis=0, initial=0)
-        self.total = len(self.dim)
-        self.read = 0
-
-    def search(self, q: np.ndarray, k: int, few: int = FEW) -> list[tuple[int, int]]:
-        """(vec_id, score) of the k best for one query of whole numbers."""
+        base = np.floor(np.median(values, axis=0)) if n else np.zeros(self.width)
+        away = values - base
+        size = np.abs(away)
+        # steps are whole: numbers of usual size have steps of a few, and a step of 1 cuts nothing off
+        self.step = np.maximum(np.ceil(size.max(axis=0, initial=0) * (1 + 1e-12) / levels), 1.0)
+        self.error = (self.step - 1) / 2
+        code = (np.sign(away) * np.minimum(np.ceil(size / self.step), levels)).astype(np.int8)
+        self.most = np.stack([code.max(axis=0, initial=0), -code.min(axis=0, initial=0)]).astype(np.float64)  # the levels above and below the median
+        # impact, dimension and vectors of each segment, largest level first
+        self.segments: list[tuple[int, float, int, np.ndarray]] = []
+        for d in range(self.width):
+            order = np.argsort(code[:, d], kind="stable")
+            kinds, start = np.unique(code[order, d], return_index=True)
+            for c, at, to in zip(kinds.tolist(), start, [*start[1:], n]):
+                if c:
+                    middle = (abs(c) - 1) * self.step[d] + (self.step[d] + 1) / 2
+                    self.segments.append((abs(c), float(np.sign(c) * middle), d, order[at:to]))
+        self.segments.sort(key=lambda s: (-s[0], s[2], s[1]))
+        self.largest = np.abs(values).max(axis=0, initial=0) + np.abs(base)
+        self.read = self.total = 0
+
+    def search(self, queries: np.ndarray, k: int, few: int = FEW) -> list[list[tuple[int, int]]]:
+        """(vec_id, score) of the k best for each query of whole numbers."""
         n = len(self.ids)
+        out: list[list[tuple[int, int]]] = [[] for _ in queries]
         if not n:
-            return []
-        qf = q.astype(np.float64)
-        size = np.abs(qf)
-        impact = qf[self.dim] * self.middle
-        order = np.argsort(-np.abs(impact), kind="stable")
-        # rounding of doubles, far below a step for numbers of usual size
-        noise = 2.0**-50 * (self.width + 8) * float(size @ (self.largest + np.abs(self.base)))
-        # the most that a vector's unread segments in a dimension can add (0) and take (1)
-        far = self.step * size * self.levels
-        left = np.stack([far, far])
-        bound = float(left.sum()) + 2 * noise  # from the lower to the upper bound of a score
-        error = self.step * size / 2
-        score = np.zeros(n)
-        k, test = min(k, n), np.inf
-        may = None
-        rose = (impact > 0).tolist()
-        dims, codes, steps = self.dim.tolist(), self.code.tolist(), (self.step * size).tolist()
-        lefts, errors = left.tolist(), error.tolist()
-        for s in order.tolist():
-            d, c = dims[s], codes[s]
-            x = impact[s]
-            if x:
-                at = self.starts[d]
-                score[self.postings[d][at[c + self.levels] : at[c + self.levels + 1]]] += x
-                side = lefts[0 if rose[s] else 1]
-                now = max(errors[d], steps[d] * (abs(c) - 1))
-                bound -= side[d] - now
-                side[d] = now
-            self.read += 1
-            if bound < test:
-                floor = np.partition(score, n - k)[n - k]
-                may = np.flatnonzero(score >= floor - bound * (1 + 1e-9))
-                if len(may) <= max(few, 4 * k):
-                    break
-                test = bound * 0.9
-                may = None
-        if may is None:
-            # all is read: both sides of each dimension are within the error of quantisation
-            bound = 2 * float(error.sum()) + 2 * noise
-            floor = np.partition(score, n - k)[n - k]
-            may = np.flatnonzero(score >= floor - bound * (1 + 1e-9))
-        exact = self.exact(may, q)
-        return [(int(self.ids[may[i]]), int(exact[i])) for i in best(exact, self.ids[may], k)]
-
-    def exact(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-        v = self.vectors[rows]
-        if v.dtype != object and q.dtype != object and _most(v) * _most(q) * max(1, self.width) < 2**62:
-            return v @ q
-        return np.array([sum(int(a) * int(b) for a, b in zip(row, q)) for row in v], object)
+            return out
+        kk = min(k, n)
+        for t in range(0, len(queries), TILE):
+            open_ = np.arange(t, min(t + TILE, len(queries)))
+            q = queries[open_].astype(np.float64).T  # dimensions x queries
+            size = np.abs(q)
+            # rounding of doubles: nothing for whole numbers of usual size
+            noise = 2.0**-50 * (self.width + 8) * (self.largest @ size)
+            score = np.zeros((n, len(open_)))
+            self.total += len(self.segments) * len(open_)
+            tested = np.inf
+            levels = [s[0] for s in self.segments]
+            for at, (level, impact, d, rows) in enumerate(self.segments):
+                score[rows] += impact * q[d]
+                self.read += len(open_)
+                if at + 1 < len(levels) and levels[at + 1] == level:
+                    continue
+                # all down to this level is read: how far a score may lie from its accumulator, above and below
+                left = np.maximum(np.minimum(self.most, level - 1) * self.step, self.error)
+                bound = left.sum(axis=0) @ size + 2 * noise
+                last = at + 1 == len(levels)
+                if not last and bound.max() > 0.8 * tested:
+                    continue
+                tested = bound.max()
+                floor = np.partition(score, n - kk, axis=0)[n - kk]
+                may = score >= floor - bound * (1 + 1e-9)
+                done = (may.sum(axis=0) <= max(few, 4 * k)) | last
+                for i in np.flatnonzero(done).tolist():
+                    out[open_[i]] = self._rescored(np.flatnonzero(may[:, i]), queries[open_[i]], k)
+                if done.any():
+                    open_, q, size, noise, score = open_[~done], q[:, ~done], size[:, ~done], noise[~done], np.ascontiguousarray(score[:, ~done])
+                    if not len(open_):
+                        break
+            for i in open_ if not self.segments else ():
+                out[i] = self._rescored(np.arange(n), queries[i], k)
+        return out
+
+    def _rescored(self, rows: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int]]:
+        exact = product(self.vectors[rows], q)
+        return [(int(self.ids[rows[i]]), int(exact[i])) for i in best(exact, self.ids[rows], k)]
+
+
+def product(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers of any size."""
+    if v.dtype != object and q.dtype != object and _most(v) * _most(q) * max(1, len(q)) < 2**62:
+        return v @ q
+    return np.array([sum(int(a) * int(b) for a, b in zip(row, q)) for row in v], object)
 
 
 def block_top(q: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[list, list[tuple[int, int, int]]]:
-    index, queries = ImpactIndex(ids, whole(vectors)), whole(q)
-    own = [sum(int(x) * int(x) for x in row) for row in queries]
-    found = [(at, vec_id, score) for at, row in enumerate(queries) for vec_id, score in index.search(row, k)]
+    queries = whole(q)
+    own = [int(product(row[None], row)[0]) for row in queries]
+    found = [(at, vec_id, score) for at, hits in enumerate(ImpactIndex(ids, whole(vectors)).search(queries, k)) for vec_id, score in hits]
     if any(abs(s) >= 2**63 for _, _, s in found):
         raise OverflowError("a score does not fit 64 bits")
-    # one too large for 64 bits is not among the results
     return [x if x < 2**63 else None for x in own], found
 
 
