@@ -1,29 +1,28 @@
-"""Removal of long repeats with a run-length index over sampled suffixes.
+"""Removal of long repeats with run-length indexes over content-dealt pieces of the corpus.
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with
-a smaller id. The corpus is far too large for one index, so suffixes are sampled and the
-index is cut up by content:
-
-1. *Sampling.* Of every ``width`` = length - GRAM + 1 consecutive GRAM-byte strings the
-   one with the smallest hash is an anchor (winnowing, all ties kept). A repeated string
-   of ``length`` bytes has the same anchors wherever it stands, so only suffixes that start
-   at an anchor need indexing. Blocks of documents send the distinct anchors they hold,
-   sorted, to the part of the hash range they belong to; an anchor is kept if two
-   documents hold it.
-2. *Run-length index.* For its kept anchors a block sends the rows of a Burrows-Wheeler
-   matrix cut to ``length``: what follows the anchor, and as the row's symbol what stands
-   before it. Equal rows are one run, stored once with its run ends sampled: the smallest
-   and the largest id that hold it. Copies and repetitive passages fold into runs before
-   they are shuffled, so an anchor costs a part one run per block for each distinct
-   surroundings. A passage shorter than an anchor and its surroundings costs a run for each
-   document where these differ, all in one part.
-3. *Matching statistics.* A part streams the runs of each anchor and finds, for each of
-   the strings around it, the smallest id of any run that matches it on all ``length`` bytes.
-4. A block gets these back, marks the strings that a smaller id holds, and joins marks
-   to maximal spans.
-
-Strings are compared by 64-bit hashes of all their bytes (anchor, what stands before and
-after); no rows are dropped or capped.
+a smaller id. One index of a large corpus fits no task, so strings are dealt by content:
+
+1. *Dealing.* The anchor of a string is the GRAM-byte string in it with the smallest hash
+   (the first, if several), so equal strings have equal anchors wherever they stand.
+   Blocks of documents send their distinct anchors, sorted, to the part of the hash range
+   they belong to; an anchor is kept if two documents hold it.
+2. *Rows.* Consecutive strings with one anchor make one row: what stands before the
+   anchor, the anchor, what follows. Equal rows of a block are one, sampled at its ends:
+   the smallest and the largest id. Rows go to the part of their anchor. The strings of an
+   anchor that stands in very many places (``hot``) are rows of their own, dealt by all
+   their bytes: within a block equal ones fold, and the others spread, so neither copies
+   nor a common passage in changing surroundings fill one part.
+3. *Run-length index.* A part sorts the suffixes that begin at the anchors; the bytes
+   before them are a Burrows-Wheeler column, kept as runs of equal bytes. LF mapping moves
+   whole runs to the order of the suffixes one byte longer; common prefixes grow by one
+   inside a run, and only at run heads is a minimum over the runs between looked up. So
+   each row is streamed backwards through the index, and after each byte the matching
+   statistics tell which rows share ``length`` bytes; the smallest id among their samples
+   is passed back. All comparisons are of bytes; hashes only deal.
+4. A block marks the strings that a smaller id holds and joins marks to maximal spans.
+
+No rows are dropped or capped; ``hot`` changes how strings are dealt, not the result.
 
 Defined cases: null text is empty; matches never cross documents; a null doc_id neither
 loses bytes nor makes others lose them; rows that share an id never take from each other
@@ -45,8 +44,11 @@ from .common import give_back, partitions, text_bytes
 
 GRAM = 24
 CHUNK = 1 << 20
-SHARE = 1 << 15
-"""Runs that a part looks at in one step."""
+SHARE = 1 << 16
+"""Rows that a part indexes in one step."""
+HOT = 1 << 12
+"""Places of an anchor from which on its strings are dealt one by one."""
+NOWHERE = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -78,26 +80,27 @@ def _slide(h: np.ndarray, width: int, least) -> np.ndarray:
     return least(h[: len(h) - (width - w)], h[width - w :]) if width > w else h
 
 
-def anchors(b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that are the smallest of some ``width`` consecutive ones."""
+def anchors(b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors, and the first and last string of each; ``width`` grams make a string."""
     if len(b) < GRAM + width - 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = gram_hashes(b)
-    low = _slide(h, width, np.minimum)
-    pad = np.zeros(width - 1, np.uint64)
-    chosen = _slide(np.concatenate([pad, low, pad]), width, np.maximum) == h
-    at = np.flatnonzero(chosen)
-    return at, h[at]
+    # the place in the low bits: of grams alike in the high ones the first is the smallest
+    low = np.uint64((1 << 22) - 1)
+    at = (_slide((h & ~low) | np.arange(len(h), dtype=np.uint64), width, np.minimum) & low).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return at[first], h[at[first]], first, np.r_[first[1:], len(at)] - 1
 
 
-def text_anchors(b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """``anchors`` in chunks that overlap by a full string, so that memory stays bounded."""
+def text_anchors(b: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """``anchors`` in chunks of strings, so that memory stays bounded; an anchor of two chunks stands twice."""
     if len(b) <= CHUNK + GRAM + width:
         return anchors(b, width)
-    found = [(at + s, h) for s in range(0, len(b), CHUNK) for at, h in [anchors(b[s : s + CHUNK + GRAM + width - 2], width)]]
-    at, h = (np.concatenate(x) for x in zip(*found))
-    at, first = np.unique(at, return_index=True)
-    return at, h[first]
+    found = []
+    for s in range(0, len(b) - GRAM - width + 2, CHUNK):
+        at, h, first, last = anchors(b[s : s + CHUNK + GRAM + width - 2], width)
+        found.append((at + s, h, first + s, last + s))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 _zip = lambda *arrays: zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
@@ -132,20 +135,19 @@ class Block:
         self.carried = list(docs[list(carry)].astype(object).itertuples(index=False, name=None)) if carry else [()] * len(docs)
         self.width = width
 
-    def found(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def found(self) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, ...]]]:
         for i, (orphan, raw) in enumerate(zip(self.orphan, self.texts)):
             if orphan or len(raw) < GRAM + self.width - 1:
                 continue
             b = np.frombuffer(raw, np.uint8)
-            yield i, b, *text_anchors(b, self.width)
+            yield i, b, text_anchors(b, self.width)
 
 
 def _own_anchors(width: int, parts: int):
     def run(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
         block = Block(docs, width)
         hashes, owners = [], []
-        for i, _, _, h in block.found():
-            h = np.unique(h)
+        for i, _, (_, h, _, _) in block.found():
             hashes.append(h)
             owners.append(np.full(len(h), block.ids[i], np.int64))
         if not hashes:
@@ -155,92 +157,120 @@ def _own_anchors(width: int, parts: int):
         h, owner = h[order], owner[order]
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         several = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
+        places = np.minimum(np.diff(np.r_[start, len(h)]), 65535).astype(np.uint16)
         h, rows = h[start], []
         cuts = _cuts(h, parts)
         for p in np.flatnonzero(np.diff(cuts)):
             s = slice(cuts[p], cuts[p + 1])
-            rows.append((p, key[0], len(h[s]), _zip(_planes(h[s]), several[s])))
+            rows.append((p, key[0], len(h[s]), _zip(_planes(h[s]), places[s], several[s])))
         give_back()
         return pd.DataFrame(rows, columns=["part", "block", "n", "blob"])
 
     return run
 
 
-def _shared_anchors(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Back to each block: those of its anchors that two documents hold."""
-    hashes, several = [], []
-    for n, blob in zip(rows["n"], rows["blob"]):
-        raw = _unzip(blob)
-        hashes.append(_unplanes(raw[: 8 * n], n))
-        several.append(np.frombuffer(raw[8 * n :], bool))
-    h, flag = np.concatenate(hashes), np.concatenate(several)
-    order = np.argsort(h, kind="stable")
-    sorted_ = h[order]
-    start = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    count = np.diff(np.r_[start, len(h)])
-    keep_run = (count > 1) | np.logical_or.reduceat(flag[order], start)
-    keep = np.empty(len(h), bool)
-    keep[order] = np.repeat(keep_run, count)
-    out, at = [], 0
-    for block, own in zip(rows["block"], hashes):
-        mine = own[keep[at : at + len(own)]]
-        at += len(own)
-        if len(mine):
-            out.append((block, len(mine), _zip(_planes(mine))))
-    return pd.DataFrame(out, columns=["block", "n", "blob"])
-
-
-_RUN = np.dtype([("least", "<i8"), ("most", "<i8"), ("anchor", "<u8"), ("low", "u1"), ("high", "u1")])
-
-
-def _owned(h: np.ndarray, at: np.ndarray, size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many bytes before an anchor the strings around it may begin: from low to high."""
-    high = np.minimum(width - 1, at)
-    low = np.maximum(0, at + GRAM + width - 1 - size)
-    return low, high
-
-
-def _runs(width: int, parts: int):
-    """Runs to the parts of the hash range, occurrences to the block itself."""
+def _shared_anchors(hot: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Back to each block: those of its anchors that two documents hold, and which of them are hot."""
+        hashes, places, several = [], [], []
+        for n, blob in zip(rows["n"], rows["blob"]):
+            raw = _unzip(blob)
+            hashes.append(_unplanes(raw[: 8 * n], n))
+            places.append(np.frombuffer(raw[8 * n : 10 * n], np.uint16))
+            several.append(np.frombuffer(raw[10 * n :], bool))
+        h, n_places, flag = np.concatenate(hashes), np.concatenate(places), np.concatenate(several)
+        order = np.argsort(h, kind="stable")
+        sorted_ = h[order]
+        start = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+        count = np.diff(np.r_[start, len(h)])
+        shared = (count > 1) | np.logical_or.reduceat(flag[order], start)
+        many = np.add.reduceat(n_places[order].astype(np.int64), start) >= hot
+        keep, is_hot = np.empty(len(h), bool), np.empty(len(h), bool)
+        keep[order], is_hot[order] = np.repeat(shared, count), np.repeat(many, count)
+        out, at = [], 0
+        for block, own in zip(rows["block"], hashes):
+            s = slice(at, at + len(own))
+            at += len(own)
+            mine = own[keep[s]]
+            if len(mine):
+                out.append((block, len(mine), _zip(_planes(mine), is_hot[s][keep[s]])))
+        give_back()
+        return pd.DataFrame(out, columns=["block", "n", "blob"])
+
+    return run
+
+
+_ROW = np.dtype([("key", "<u8"), ("least", "<i8"), ("most", "<i8"), ("low", "u1"), ("high", "u1")])
+
+
+def _pieces(b: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bytes: up to width - 1 before each anchor, the anchor, up to width - 1 after; zeros beyond the strings."""
     before = width - 1
+    padded = np.concatenate([np.zeros(before, np.uint8), b, np.zeros(before, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, 2 * before + GRAM)[at]
+    place = np.arange(2 * before + GRAM)
+    return np.where((place >= before - high[:, None]) & (place < GRAM + 2 * before - low[:, None]), rows, 0)
+
+
+def _rows(width: int, parts: int):
+    """Rows to the parts of the hash range, their places to the block itself."""
 
     def run(key: tuple, docs: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"dest": [], "block": [], "n": [], "blob": []})
         if not len(docs) or not len(shared):
             return none
-        kept = np.sort(np.concatenate([_unplanes(_unzip(b), n) for n, b in zip(shared["n"], shared["blob"])]))
+        raws = [(n, _unzip(b)) for n, b in zip(shared["n"], shared["blob"])]
+        kept = np.concatenate([_unplanes(raw[: 8 * n], n) for n, raw in raws])
+        is_hot = np.concatenate([np.frombuffer(raw[8 * n :], bool) for n, raw in raws])
+        order = np.argsort(kept)
+        kept, is_hot = kept[order], is_hot[order]
+        del raws
         block = Block(docs, width)
         pieces = []
-        for i, b, at, h in block.found():
-            hit = kept[np.minimum(np.searchsorted(kept, h), len(kept) - 1)] == h
+        for i, b, (at, h, first, last) in block.found():
+            found = np.minimum(np.searchsorted(kept, h), len(kept) - 1)
+            hit = kept[found] == h
             if not hit.any():
                 continue
-            at, h = at[hit], h[hit]
-            low, high = _owned(h, at, len(b), width)
-            padded = np.concatenate([np.zeros(before, np.uint8), b, np.zeros(before, np.uint8)])
-            view = np.lib.stride_tricks.sliding_window_view(padded, before)
-            pieces.append((np.full(len(at), i, np.int32), at, h, low, high, view[at], view[at + before + GRAM]))
+            at, h, first, last, hot = at[hit], h[hit], first[hit], last[hit], is_hot[found[hit]]
+            low, high = at - last, at - first
+            if hot.any():  # each string is a row of its own, and begins it
+                n = (last - first + 1)[hot]
+                begin = np.repeat(first[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                zero = np.zeros(len(begin), np.int64)
+                at, low, high = (np.concatenate([x[~hot], y]) for x, y in ((at, begin), (low, zero), (high, zero)))
+                h = np.concatenate([h[~hot], zero.astype(np.uint64)])
+            rows = _pieces(b, at, low, high, width)
+            if hot.any():
+                own = rows[len(h) - len(begin) :]
+                h[len(h) - len(begin) :] = _mix(_fold(own, _ODD[6]))
+            pieces.append((np.full(len(at), i, np.int32), at, h, low.astype(np.uint8), high.astype(np.uint8), rows))
         if not pieces:
             return none
-        doc, at, anchor, low, high, left, right = (np.concatenate(x) for x in zip(*pieces))
+        doc, at, dealt, low, high, rows = (np.concatenate(x) for x in zip(*pieces))
+        del pieces
         ids = block.ids[doc]
-        # equal rows are one run
-        row = _mix(_fold(left, _ODD[5]) * _ODD[6] + _fold(right, _ODD[7]) + _mix(anchor * _ODD[8] + (low * 64 + high).astype(np.uint64)))
-        order = np.lexsort((row, anchor))
-        a, r = anchor[order], row[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (r[1:] != r[:-1])]
+        alike = _mix(_fold(rows, _ODD[5]) + (low * np.uint64(64) + high) * _ODD[7])
+        order = np.lexsort((alike, dealt))
+        a, r, some = dealt[order], alike[order], rows[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (r[1:] != r[:-1]) | (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]) | (some[1:] != some[:-1]).any(axis=1)]
         start = np.flatnonzero(new)
         number = np.empty(len(order), np.int32)
         number[order] = np.cumsum(new) - 1
         first = order[start]
-        runs = np.zeros(len(start), _RUN)
-        runs["least"], runs["most"] = (f.reduceat(ids[order], start) for f in (np.minimum, np.maximum))
-        runs["anchor"], runs["low"], runs["high"] = anchor[first], low[first], high[first]
-        cuts = _cuts(runs["anchor"], parts)
-        rows = [(int(p), key[0], int(cuts[p + 1] - cuts[p]), _zip(runs[(s := slice(cuts[p], cuts[p + 1]))], left[first[s]], right[first[s]])) for p in np.flatnonzero(np.diff(cuts))]
-        rows.append((parts + key[0], key[0], len(at), _zip(doc, at.astype(np.int32 if at.max() < 2**31 else np.int64), number, cuts.astype(np.int64))))
+        made = np.zeros(len(start), _ROW)
+        made["key"], made["low"], made["high"] = dealt[first], low[first], high[first]
+        made["least"], made["most"] = (f.reduceat(ids[order], start) for f in (np.minimum, np.maximum))
+        some = some[start]
+        cuts = _cuts(made["key"], parts)
+        out = []
+        for p in np.flatnonzero(np.diff(cuts)):
+            s = slice(cuts[p], cuts[p + 1])
+            out.append((int(p), key[0], int(cuts[p + 1] - cuts[p]), _zip(made[s], some[s])))
+        out.append((parts + key[0], key[0], len(at), _zip(doc, at.astype(np.int32 if at.max() < 2**31 else np.int64), number, cuts.astype(np.int64))))
+        del rows, some, made
         give_back()
-        return pd.DataFrame(rows, columns=["dest", "block", "n", "blob"])
+        return pd.DataFrame(out, columns=["dest", "block", "n", "blob"])
 
     return run
 
@@ -252,70 +282,112 @@ def _fold(rows: np.ndarray, odd: np.uint64) -> np.ndarray:
     return h
 
 
-def matching(r: np.ndarray, left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
-    """Runs x strings around the anchor: the smallest id of the runs that match on the whole string."""
-    before, n = width - 1, len(r)
-    least = np.repeat(r["least"][:, None], width, axis=1)
-    tail = np.empty((before + 1, n), np.uint64)  # of what follows, by its length
-    tail[0] = r["anchor"]
-    for c in range(before):
-        tail[c + 1] = tail[c] * _ODD[9] + _BYTE[right[:, c]]
-    head = np.zeros(n, np.uint64)
-    power = np.ones(1, np.uint64)  # an array: its product wraps around silently
-    for a in range(width):  # strings that begin a bytes before the anchor
+class RunLengthIndex:
+    """The suffixes of a part's rows that begin a given number of bytes before the anchors, in order.
+
+    ``order`` lists rows by their suffix, ``common`` how many bytes each has in common with the one before.
+    """
+
+    def __init__(self, rows: np.ndarray, width: int):
+        self.columns = np.ascontiguousarray(rows.T)
+        self.back = width - 1  # bytes before the anchor
+        tail = np.ascontiguousarray(rows[:, self.back :])
+        self.order = np.argsort(tail.view(f"S{tail.shape[1]}").ravel(), kind="stable")
+        tail = tail[self.order]
+        other = tail[1:] != tail[:-1]
+        self.common = np.r_[0, np.where(other.any(axis=1), other.argmax(axis=1), tail.shape[1])].astype(np.int16)
+        self.runs = 0
+
+    def extend(self) -> None:
+        """LF mapping: to the suffixes that begin one byte earlier, run by run."""
+        self.back -= 1
+        column = self.columns[self.back][self.order]
+        head = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
+        size = np.diff(np.r_[head, len(column)])
+        self.runs += len(head)
+        byte = column[head]
+        to = np.argsort(byte, kind="stable")  # runs in their new order
+        begin = np.cumsum(size[to]) - size[to]
+        moved = np.repeat(head[to] - begin, size[to]) + np.arange(len(column))
+        common = self.common[moved] + np.int16(1)
+        # a run's head follows the end of the run before it with the same byte
+        same = np.flatnonzero(byte[to][1:] == byte[to][:-1]) + 1
+        common[begin] = 0
+        if len(same):
+            run, last = to[same], to[same - 1]
+            least = _range_minima(np.minimum.reduceat(self.common, head), last + 1, run)
+            common[begin[same]] = np.minimum(least, self.common[head[run]]) + 1
+        self.order, self.common = self.order[moved], common
+
+
+def _range_minima(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Smallest of values[start:stop] for each pair; no range is empty."""
+    level = np.frexp((stop - start).astype(np.float64))[1] - 1
+    out = np.empty(len(start), values.dtype)
+    for k in range(int(level.max()) + 1):
+        own = np.flatnonzero(level == k)
+        if len(own):
+            out[own] = np.minimum(values[start[own]], values[stop[own] - (1 << k)])
+        if len(values) > 1 << k:
+            values = np.minimum(values[: -(1 << k)], values[1 << k :])
+    return out
+
+
+def matching(r: np.ndarray, rows: np.ndarray, width: int, length: int) -> np.ndarray:
+    """Bytes before the anchor x rows: the smallest id of the rows with the same string there; NOWHERE where a row has none."""
+    least = np.full((width, len(r)), NOWHERE)
+    index = RunLengthIndex(rows, width)
+    for a in range(width):
         if a:
-            head = head + _BYTE[left[:, before - a]] * power
-            power = power * _ODD[10]
-        use = np.flatnonzero((r["low"] <= a) & (a <= r["high"]))
-        if not len(use):
-            continue
-        h = _mix(tail[before - a][use] * _ODD[11] + _mix(head[use] + _ODD[12 + a]))
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        low = np.minimum.reduceat(r["least"][use][order], start)
-        least[use[order], a] = np.repeat(low, np.diff(np.r_[start, len(s)]))
+            index.extend()
+        order = index.order
+        valid = (r["low"][order] <= a) & (a <= r["high"][order])
+        start = np.flatnonzero(np.r_[True, index.common[1:] < length])
+        low = np.minimum.reduceat(np.where(valid, r["least"][order], NOWHERE), start)
+        least[a, order] = np.where(valid, np.repeat(low, np.diff(np.r_[start, len(order)])), NOWHERE)
     return least
 
 
-def _statistics(width: int, parts: int):
-    """For each run, and each string around its anchor, the smallest id that holds it."""
-    before = width - 1
+def _statistics(width: int, parts: int, length: int):
+    """For each row, and each of its strings, the smallest id that holds it."""
+    long = 2 * (width - 1) + GRAM
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
         dest = int(key[0])
-        if dest >= parts:  # occurrences on their way back to the block
-            return pd.DataFrame({"block": rows["block"], "part": -1, "n": rows["n"], "blob": rows["blob"]})
-        runs, lefts, rights = [], [], []
-        for n, blob in zip(rows["n"], rows["blob"]):
+        if dest >= parts:  # places on their way back to the block
+            return pd.DataFrame({"block": blobs["block"], "part": -1, "n": blobs["n"], "blob": blobs["blob"]})
+        made, rows = [], []
+        for n, blob in zip(blobs["n"], blobs["blob"]):
             raw = _unzip(blob)
-            cut, side = n * _RUN.itemsize, n * before
-            runs.append(np.frombuffer(raw[:cut], _RUN))
-            lefts.append(np.frombuffer(raw[cut : cut + side], np.uint8).reshape(n, before))
-            rights.append(np.frombuffer(raw[cut + side :], np.uint8).reshape(n, before))
-        found = [[] for _ in runs]
-        # a share of the anchors at a time: each blob's runs are sorted by anchor
+            made.append(np.frombuffer(raw[: n * _ROW.itemsize], _ROW))
+            rows.append(np.frombuffer(raw[n * _ROW.itemsize :], np.uint8).reshape(n, long))
+        found = [[] for _ in made]
+        # a share of the keys at a time: each blob's rows are sorted by key
         first, last = dest << 64, (dest + 1) << 64
-        steps = max(1, sum(map(len, runs)) // SHARE)
+        steps = max(1, sum(map(len, made)) // SHARE)
         edges = np.array([(first + (last - first) * i // steps) // parts for i in range(1, steps)], np.uint64)
-        cuts = [np.r_[0, np.searchsorted(x["anchor"], edges), len(x)] for x in runs]
+        cuts = [np.r_[0, np.searchsorted(x["key"], edges), len(x)] for x in made]
         for step in range(steps):
             own = [slice(c[step], c[step + 1]) for c in cuts]
-            r, left, right = (np.concatenate([x[s] for x, s in zip(xs, own)]) for xs in (runs, lefts, rights))
-            least = matching(r, left, right, width)
-            useful = (least < r["most"][:, None]).any(axis=1)
+            r, some = (np.concatenate([x[s] for x, s in zip(xs, own)]) for xs in (made, rows))
+            if not len(r):
+                continue
+            least = matching(r, some, width, length)
+            useful = (least < r["most"]).any(axis=0)
             at = 0
             for out, s in zip(found, own):
                 size = s.stop - s.start
                 hit = np.flatnonzero(useful[at : at + size])
-                out.append(((hit + s.start).astype(np.int32), least[at + hit]))
+                out.append(((hit + s.start).astype(np.int32), least[:, at + hit]))
                 at += size
         out = []
-        for block, x in zip(rows["block"], found):
-            hit, least = (np.concatenate(y) for y in zip(*x))
+        for block, x in zip(blobs["block"], found):
+            if not x:
+                continue
+            hit, least = np.concatenate([y[0] for y in x]), np.concatenate([y[1] for y in x], axis=1)
             if len(hit):
-                out.append((block, dest, len(hit), _zip(hit, least.T)))
-        del runs, lefts, rights, found
+                out.append((block, dest, len(hit), _zip(hit, least)))
+        del made, rows, found
         give_back()
         return pd.DataFrame(out, columns=["block", "part", "n", "blob"])
 
@@ -349,14 +421,12 @@ def _removal(width: int, parts: int, length: int, keep_text: bool, carry: list[s
                     total += m
             table = np.concatenate(tables)
             hit = np.flatnonzero(answer[number] >= 0)
-            sizes = np.array([len(x) for x in block.texts], np.int64)
             for s in range(0, len(hit), 1 << 16):
                 some = hit[s : s + (1 << 16)]
                 d, place = doc[some], at[some]
-                size = sizes[d]
                 ahead = np.arange(width)
                 begin = place[:, None] - ahead
-                mark = (table[answer[number[some]]] < block.ids[d][:, None]) & (begin >= 0) & (begin + length <= size[:, None])
+                mark = table[answer[number[some]]] < block.ids[d][:, None]
                 i, a = np.nonzero(mark)
                 found = begin[i, a]
                 who = d[i]
@@ -388,7 +458,7 @@ def _removal(width: int, parts: int, length: int, keep_text: bool, carry: list[s
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 8 << 20, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 8 << 20, keep_text: bool = False, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, with ``keep_text`` also the kept text
     (a character that lost a byte goes), and the string columns named in ``carry``.
 
@@ -402,9 +472,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 8 << 20
     parts = max(blocks // 2, 2 * partitions(spark))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks)).cast("int").alias("block"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("orphan"), "text", *carry)
     own = dealt.groupBy("block").applyInPandas(_own_anchors(width, parts), "part int, block int, n long, blob binary")
-    shared = own.groupBy("part").applyInPandas(_shared_anchors, "block int, n long, blob binary")
-    runs = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_runs(width, parts), "dest int, block int, n long, blob binary")
-    back = runs.groupBy("dest").applyInPandas(_statistics(width, parts), "block int, part int, n long, blob binary")
+    shared = own.groupBy("part").applyInPandas(_shared_anchors(hot), "block int, n long, blob binary")
+    rows = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_rows(width, parts), "dest int, block int, n long, blob binary")
+    back = rows.groupBy("dest").applyInPandas(_statistics(width, parts, length), "block int, part int, n long, blob binary")
     schema = "doc_id long, orphan boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text + "".join(f", {c} string" for c in carry)
     out = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_removal(width, parts, length, keep_text, list(carry)), schema)
     return out.withColumn("doc_id", F.when(~F.col("orphan"), F.col("doc_id"))).drop("orphan")
