@@ -8,8 +8,8 @@ a smaller id. One index of a large corpus fits no task, so strings are dealt by
    Blocks of documents send their distinct anchors, sorted, to the part of the hash range
    they belong to; an anchor is kept if two documents hold it.
 2. *Rows.* Consecutive strings with one anchor make one row: what stands before the
-   anchor, the anchor, what follows. Equal rows of a block are one, sampled at its ends:
-   the smallest and the largest id. Rows go to the part of their anchor. The strings of an
+   anchor, the anchor, what follows. Equal rows of a block are one run, sampled at its
+   first end: the smallest id. Rows go to the part of their anchor. The strings of an
    anchor that stands in very many places (``hot``) are rows of their own, dealt by all
    their bytes: within a block equal ones fold, and the others spread, so neither copies
    nor a common passage in changing surroundings fill one part.
@@ -89,7 +89,8 @@ def anchors(b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     low = np.uint64((1 << 22) - 1)
     at = (_slide((h & ~low) | np.arange(len(h), dtype=np.uint64), width, np.minimum) & low).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[first], h[at[first]], first, np.r_[first[1:], len(at)] - 1
+    # the smallest hashes lie close together: mixed once more they are dealt evenly
+    return at[first], _mix(h[at[first]] * _ODD[8]), first, np.r_[first[1:], len(at)] - 1
 
 
 def text_anchors(b: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -200,7 +201,7 @@ def _shared_anchors(hot: int):
     return run
 
 
-_ROW = np.dtype([("key", "<u8"), ("least", "<i8"), ("most", "<i8"), ("low", "u1"), ("high", "u1")])
+_ROW = np.dtype([("key", "<u8"), ("least", "<i8"), ("low", "u1"), ("high", "u1")])
 
 
 def _pieces(b: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
@@ -208,8 +209,11 @@ def _pieces(b: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, wi
     before = width - 1
     padded = np.concatenate([np.zeros(before, np.uint8), b, np.zeros(before, np.uint8)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, 2 * before + GRAM)[at]
-    place = np.arange(2 * before + GRAM)
-    return np.where((place >= before - high[:, None]) & (place < GRAM + 2 * before - low[:, None]), rows, 0)
+    place = np.arange(2 * before + GRAM, dtype=np.uint8)
+    for s in range(0, len(at), 1 << 14):
+        lo, hi = (x[s : s + (1 << 14), None].astype(np.uint8) for x in (low, high))
+        rows[s : s + (1 << 14)][(place < before - hi) | (place >= GRAM + 2 * before - lo)] = 0
+    return rows
 
 
 def _rows(width: int, parts: int):
@@ -252,23 +256,33 @@ def _rows(width: int, parts: int):
         ids = block.ids[doc]
         alike = _mix(_fold(rows, _ODD[5]) + (low * np.uint64(64) + high) * _ODD[7])
         order = np.lexsort((alike, dealt))
-        a, r, some = dealt[order], alike[order], rows[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (r[1:] != r[:-1]) | (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]) | (some[1:] != some[:-1]).any(axis=1)]
+        some = rows[order]
+        del rows
+        new = np.ones(len(order), bool)
+        for x in (dealt, alike, low, high):
+            x = x[order]
+            new[1:] &= x[1:] == x[:-1]
+        for s in range(1, len(order), 1 << 16):
+            end = min(s + (1 << 16), len(order))
+            new[s:end] &= (some[s:end] == some[s - 1 : end - 1]).all(axis=1)
+        new[1:] = ~new[1:]
         start = np.flatnonzero(new)
         number = np.empty(len(order), np.int32)
         number[order] = np.cumsum(new) - 1
         first = order[start]
         made = np.zeros(len(start), _ROW)
         made["key"], made["low"], made["high"] = dealt[first], low[first], high[first]
-        made["least"], made["most"] = (f.reduceat(ids[order], start) for f in (np.minimum, np.maximum))
+        made["least"] = np.minimum.reduceat(ids[order], start)
         some = some[start]
         cuts = _cuts(made["key"], parts)
         out = []
         for p in np.flatnonzero(np.diff(cuts)):
             s = slice(cuts[p], cuts[p + 1])
             out.append((int(p), key[0], int(cuts[p + 1] - cuts[p]), _zip(made[s], some[s])))
-        out.append((parts + key[0], key[0], len(at), _zip(doc, at.astype(np.int32 if at.max() < 2**31 else np.int64), number, cuts.astype(np.int64))))
-        del rows, some, made
+        places = (doc, at.astype(np.int32 if at.max() < 2**31 else np.int64), number)
+        own = (made["least"], made["low"], made["high"], cuts.astype(np.int64))
+        out.append((parts + key[0], key[0], len(at), _zip(*places, *own)))
+        del some, made
         give_back()
         return pd.DataFrame(out, columns=["dest", "block", "n", "blob"])
 
@@ -276,9 +290,12 @@ def _rows(width: int, parts: int):
 
 
 def _fold(rows: np.ndarray, odd: np.uint64) -> np.ndarray:
+    """A hash of all bytes of each row, eight at a time."""
+    words = np.zeros((len(rows), -(-rows.shape[1] // 8)), np.uint64)
+    words.view(np.uint8)[:, : rows.shape[1]] = rows
     h = np.zeros(len(rows), np.uint64)
-    for c in range(rows.shape[1]):
-        h = h * odd + _BYTE[rows[:, c]]
+    for c in range(words.shape[1]):
+        h = _mix(h * odd + words[:, c])
     return h
 
 
@@ -334,22 +351,24 @@ def _range_minima(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np
 
 
 def matching(r: np.ndarray, rows: np.ndarray, width: int, length: int) -> np.ndarray:
-    """Bytes before the anchor x rows: the smallest id of the rows with the same string there; NOWHERE where a row has none."""
-    least = np.full((width, len(r)), NOWHERE)
+    """For each row a bit for each number of bytes before the anchor: does a row with a smaller id have the same string there?"""
+    found = np.zeros(len(r), np.uint64)
     index = RunLengthIndex(rows, width)
     for a in range(width):
         if a:
             index.extend()
         order = index.order
         valid = (r["low"][order] <= a) & (a <= r["high"][order])
+        least = r["least"][order]
         start = np.flatnonzero(np.r_[True, index.common[1:] < length])
-        low = np.minimum.reduceat(np.where(valid, r["least"][order], NOWHERE), start)
-        least[a, order] = np.where(valid, np.repeat(low, np.diff(np.r_[start, len(order)])), NOWHERE)
-    return least
+        low = np.minimum.reduceat(np.where(valid, least, NOWHERE), start)
+        low = np.repeat(low, np.diff(np.r_[start, len(order)]))
+        found[order[valid & (low < least)]] |= np.uint64(1 << a)
+    return found
 
 
 def _statistics(width: int, parts: int, length: int):
-    """For each row, and each of its strings, the smallest id that holds it."""
+    """Back to the blocks: for each of their rows the strings that a smaller id of another holds."""
     long = 2 * (width - 1) + GRAM
 
     def run(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
@@ -372,21 +391,20 @@ def _statistics(width: int, parts: int, length: int):
             r, some = (np.concatenate([x[s] for x, s in zip(xs, own)]) for xs in (made, rows))
             if not len(r):
                 continue
-            least = matching(r, some, width, length)
-            useful = (least < r["most"]).any(axis=0)
+            bits = matching(r, some, width, length)
             at = 0
             for out, s in zip(found, own):
                 size = s.stop - s.start
-                hit = np.flatnonzero(useful[at : at + size])
-                out.append(((hit + s.start).astype(np.int32), least[:, at + hit]))
+                hit = np.flatnonzero(bits[at : at + size])
+                out.append(((hit + s.start).astype(np.int32), bits[at + hit]))
                 at += size
         out = []
         for block, x in zip(blobs["block"], found):
             if not x:
                 continue
-            hit, least = np.concatenate([y[0] for y in x]), np.concatenate([y[1] for y in x], axis=1)
+            hit, bits = (np.concatenate(y) for y in zip(*x))
             if len(hit):
-                out.append((block, dest, len(hit), _zip(hit, least)))
+                out.append((block, dest, len(hit), _zip(hit, bits)))
         del made, rows, found
         give_back()
         return pd.DataFrame(out, columns=["block", "part", "n", "blob"])
@@ -403,30 +421,27 @@ def _removal(width: int, parts: int, length: int, keep_text: bool, carry: list[s
         block = Block(docs, width, carry)
         starts: dict[int, np.ndarray] = {}
         occ = back[back["part"] < 0]
-        if len(occ) and len(back) > len(occ):
+        if len(occ):
             n, raw = int(occ["n"].iloc[0]), _unzip(occ["blob"].iloc[0])
-            wide = (len(raw) - 8 * (parts + 1)) // n - 8
-            doc = np.frombuffer(raw[: 4 * n], np.int32)
-            at = np.frombuffer(raw[4 * n : (4 + wide) * n], np.int32 if wide == 4 else np.int64).astype(np.int64)
-            number = np.frombuffer(raw[(4 + wide) * n : (8 + wide) * n], np.int32)
-            cuts = np.frombuffer(raw[(8 + wide) * n :], np.int64)
-            answer = np.full(int(cuts[-1]), -1, np.int64)
-            tables, total = [], 0
+            cuts = np.frombuffer(raw[-8 * (parts + 1) :], np.int64)
+            n_rows = int(cuts[-1])
+            wide = (len(raw) - 8 * (parts + 1) - 10 * n_rows) // n - 8
+            take = iter(np.split(np.frombuffer(raw, np.uint8), np.cumsum([4 * n, wide * n, 4 * n, 8 * n_rows, n_rows, n_rows])))
+            doc, at, number, least, low, high = (next(take).view(t) for t in (np.int32, np.int32 if wide == 4 else np.int64, np.int32, np.int64, np.uint8, np.uint8))
+            bits = np.zeros(n_rows, np.uint64)
             for p, m, blob in zip(back["part"], back["n"], back["blob"]):
                 if p >= 0:
                     raw = _unzip(blob)
-                    own = np.frombuffer(raw[: 4 * m], np.int32)
-                    tables.append(np.frombuffer(raw[4 * m :], np.int64).reshape(width, m).T)
-                    answer[cuts[p] + own] = total + np.arange(m)
-                    total += m
-            table = np.concatenate(tables)
-            hit = np.flatnonzero(answer[number] >= 0)
+                    bits[cuts[p] + np.frombuffer(raw[: 4 * m], np.int32)] = np.frombuffer(raw[4 * m :], np.uint64)
+            # a smaller id has the string elsewhere, or the row itself stands in one
+            hit = np.flatnonzero((bits[number] > 0) | (least[number] < block.ids[doc]))
+            ahead = np.arange(width)
             for s in range(0, len(hit), 1 << 16):
                 some = hit[s : s + (1 << 16)]
-                d, place = doc[some], at[some]
-                ahead = np.arange(width)
-                begin = place[:, None] - ahead
-                mark = table[answer[number[some]]] < block.ids[d][:, None]
+                d, own = doc[some], number[some]
+                begin = at[some].astype(np.int64)[:, None] - ahead
+                mark = (least[own] < block.ids[d])[:, None] | ((bits[own][:, None] >> ahead.astype(np.uint64)) & np.uint64(1)).astype(bool)
+                mark &= (low[own][:, None] <= ahead) & (ahead <= high[own][:, None])
                 i, a = np.nonzero(mark)
                 found = begin[i, a]
                 who = d[i]
