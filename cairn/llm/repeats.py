@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, partitions, text_bytes
+from .common import give_back, text_bytes
 
 GRAM = 24
 CHUNK = 1 << 20
@@ -48,6 +48,7 @@ SHARE = 1 << 16
 """Rows that a part indexes in one step."""
 HOT = 1 << 12
 """Places of an anchor from which on its strings are dealt one by one."""
+LEAST_BLOCKS = 48
 NOWHERE = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(20240229)
@@ -62,13 +63,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes at each place (24 = 16 + 8, by doubling)."""
+    """Hash of the GRAM bytes at each place of the last axis (24 = 16 + 8, by doubling)."""
     h = _BYTE[b]
     for i, w in enumerate((1, 2, 4)):
-        h = h[:-w] * _ODD[i] + h[w:]
+        h = h[..., :-w] * _ODD[i] + h[..., w:]
     eight = h
-    h = h[:-8] * _ODD[3] + h[8:]
-    return _mix(h[:-8] * _ODD[4] + eight[16:])
+    h = h[..., :-8] * _ODD[3] + h[..., 8:]
+    return _mix(h[..., :-8] * _ODD[4] + eight[..., 16:])
+
+
+def _dealt(h: np.ndarray) -> np.ndarray:
+    """By which an anchor is dealt: the smallest hashes lie close together, so they are mixed once more; 48 bits are enough to tell most apart."""
+    return _mix(h * _ODD[8]) & ~np.uint64(0xFFFF)
 
 
 def _slide(h: np.ndarray, width: int, least) -> np.ndarray:
@@ -89,8 +95,7 @@ def anchors(b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     low = np.uint64((1 << 22) - 1)
     at = (_slide((h & ~low) | np.arange(len(h), dtype=np.uint64), width, np.minimum) & low).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    # the smallest hashes lie close together: mixed once more they are dealt evenly
-    return at[first], _mix(h[at[first]] * _ODD[8]), first, np.r_[first[1:], len(at)] - 1
+    return at[first], _dealt(h[at[first]]), first, np.r_[first[1:], len(at)] - 1
 
 
 def text_anchors(b: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -107,13 +112,22 @@ def text_anchors(b: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
 _zip = lambda *arrays: zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
+def _bytes_apart(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers byte plane after byte plane: most high planes are zero."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)
+
+
+def _joined(raw, n: int, kind=np.uint64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(kind)[:, 0]
+
+
 def _planes(h: np.ndarray) -> np.ndarray:
-    """Sorted numbers as differences, byte plane after byte plane: most high planes are zero."""
-    return np.ascontiguousarray(np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+    """Sorted numbers as differences, byte plane after byte plane."""
+    return _bytes_apart(np.diff(h, prepend=np.uint64(0)))
 
 
 def _unplanes(raw: bytes, n: int) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64)[:, 0], dtype=np.uint64)
+    return np.cumsum(_joined(raw, n), dtype=np.uint64)
 
 
 def _unzip(blob: bytes) -> bytes:
@@ -201,7 +215,36 @@ def _shared_anchors(hot: int):
     return run
 
 
-_ROW = np.dtype([("key", "<u8"), ("least", "<i8"), ("low", "u1"), ("high", "u1")])
+class Rows:
+    """Rows of bytes, the smallest id of each, and from how many to how many bytes before the anchor its strings begin."""
+
+    def __init__(self, rows: np.ndarray, least: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.rows, self.least, self.low, self.high = rows, least, low, high
+
+    def __len__(self) -> int:
+        return len(self.least)
+
+    def __getitem__(self, s) -> Rows:
+        return Rows(self.rows[s], self.least[s], self.low[s], self.high[s])
+
+    def pack(self) -> bytes:
+        return _zip(_bytes_apart(self.least), self.low, self.high, self.rows)
+
+    @classmethod
+    def unpack(cls, blob: bytes, n: int) -> Rows:
+        raw = np.frombuffer(_unzip(blob), np.uint8)
+        return cls(raw[10 * n :].reshape(n, -1), _joined(raw[: 8 * n], n, np.int64), raw[8 * n : 9 * n], raw[9 * n : 10 * n])
+
+    @classmethod
+    def together(cls, parts: list[Rows]) -> Rows:
+        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("rows", "least", "low", "high")))
+
+    def keys(self, width: int) -> np.ndarray:
+        """Hashes of the anchors; a row of one string begins with it, and that of its first bytes will do."""
+        out = np.empty(len(self), np.uint64)
+        for s in range(0, len(self), 1 << 14):
+            out[s : s + (1 << 14)] = _dealt(gram_hashes(self.rows[s : s + (1 << 14), width - 1 : width - 1 + GRAM])[:, 0])
+        return out
 
 
 def _pieces(b: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
@@ -246,8 +289,7 @@ def _rows(width: int, parts: int):
                 h = np.concatenate([h[~hot], zero.astype(np.uint64)])
             rows = _pieces(b, at, low, high, width)
             if hot.any():
-                own = rows[len(h) - len(begin) :]
-                h[len(h) - len(begin) :] = _mix(_fold(own, _ODD[6]))
+                h[len(h) - len(begin) :] = _fold(rows[len(h) - len(begin) :], _ODD[6])
             pieces.append((np.full(len(at), i, np.int32), at, h, low.astype(np.uint8), high.astype(np.uint8), rows))
         if not pieces:
             return none
@@ -270,18 +312,13 @@ def _rows(width: int, parts: int):
         number = np.empty(len(order), np.int32)
         number[order] = np.cumsum(new) - 1
         first = order[start]
-        made = np.zeros(len(start), _ROW)
-        made["key"], made["low"], made["high"] = dealt[first], low[first], high[first]
-        made["least"] = np.minimum.reduceat(ids[order], start)
-        some = some[start]
-        cuts = _cuts(made["key"], parts)
+        made = Rows(some[start], np.minimum.reduceat(ids[order], start), low[first], high[first])
+        cuts = _cuts(dealt[first], parts)
         out = []
         for p in np.flatnonzero(np.diff(cuts)):
-            s = slice(cuts[p], cuts[p + 1])
-            out.append((int(p), key[0], int(cuts[p + 1] - cuts[p]), _zip(made[s], some[s])))
+            out.append((int(p), key[0], int(cuts[p + 1] - cuts[p]), made[cuts[p] : cuts[p + 1]].pack()))
         places = (doc, at.astype(np.int32 if at.max() < 2**31 else np.int64), number)
-        own = (made["least"], made["low"], made["high"], cuts.astype(np.int64))
-        out.append((parts + key[0], key[0], len(at), _zip(*places, *own)))
+        out.append((parts + key[0], key[0], len(at), _zip(*places, made.least, made.low, made.high, cuts.astype(np.int64))))
         del some, made
         give_back()
         return pd.DataFrame(out, columns=["dest", "block", "n", "blob"])
@@ -350,16 +387,16 @@ def _range_minima(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np
     return out
 
 
-def matching(r: np.ndarray, rows: np.ndarray, width: int, length: int) -> np.ndarray:
+def matching(r: Rows, width: int, length: int) -> np.ndarray:
     """For each row a bit for each number of bytes before the anchor: does a row with a smaller id have the same string there?"""
     found = np.zeros(len(r), np.uint64)
-    index = RunLengthIndex(rows, width)
+    index = RunLengthIndex(r.rows, width)
     for a in range(width):
         if a:
             index.extend()
         order = index.order
-        valid = (r["low"][order] <= a) & (a <= r["high"][order])
-        least = r["least"][order]
+        valid = (r.low[order] <= a) & (a <= r.high[order])
+        least = r.least[order]
         start = np.flatnonzero(np.r_[True, index.common[1:] < length])
         low = np.minimum.reduceat(np.where(valid, least, NOWHERE), start)
         low = np.repeat(low, np.diff(np.r_[start, len(order)]))
@@ -369,35 +406,24 @@ def matching(r: np.ndarray, rows: np.ndarray, width: int, length: int) -> np.nda
 
 def _statistics(width: int, parts: int, length: int):
     """Back to the blocks: for each of their rows the strings that a smaller id of another holds."""
-    long = 2 * (width - 1) + GRAM
 
     def run(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
         dest = int(key[0])
         if dest >= parts:  # places on their way back to the block
             return pd.DataFrame({"block": blobs["block"], "part": -1, "n": blobs["n"], "blob": blobs["blob"]})
-        made, rows = [], []
-        for n, blob in zip(blobs["n"], blobs["blob"]):
-            raw = _unzip(blob)
-            made.append(np.frombuffer(raw[: n * _ROW.itemsize], _ROW))
-            rows.append(np.frombuffer(raw[n * _ROW.itemsize :], np.uint8).reshape(n, long))
+        made = [Rows.unpack(blob, n) for n, blob in zip(blobs["n"], blobs["blob"])]
         found = [[] for _ in made]
-        # a share of the keys at a time: each blob's rows are sorted by key
-        first, last = dest << 64, (dest + 1) << 64
-        steps = max(1, sum(map(len, made)) // SHARE)
-        edges = np.array([(first + (last - first) * i // steps) // parts for i in range(1, steps)], np.uint64)
-        cuts = [np.r_[0, np.searchsorted(x["key"], edges), len(x)] for x in made]
+        # a share of the keys at a time
+        steps = -(-sum(map(len, made)) // SHARE)
+        share = [(x.keys(width) >> np.uint64(16)) % np.uint64(steps) if steps > 1 else np.zeros(len(x), np.uint64) for x in made]
         for step in range(steps):
-            own = [slice(c[step], c[step + 1]) for c in cuts]
-            r, some = (np.concatenate([x[s] for x, s in zip(xs, own)]) for xs in (made, rows))
-            if not len(r):
-                continue
-            bits = matching(r, some, width, length)
+            own = [np.flatnonzero(x == step) for x in share]
+            bits = matching(Rows.together([x[s] for x, s in zip(made, own)]), width, length)
             at = 0
             for out, s in zip(found, own):
-                size = s.stop - s.start
-                hit = np.flatnonzero(bits[at : at + size])
-                out.append(((hit + s.start).astype(np.int32), bits[at + hit]))
-                at += size
+                hit = np.flatnonzero(bits[at : at + len(s)])
+                out.append((s[hit].astype(np.int32), bits[at + hit]))
+                at += len(s)
         out = []
         for block, x in zip(blobs["block"], found):
             if not x:
@@ -405,7 +431,7 @@ def _statistics(width: int, parts: int, length: int):
             hit, bits = (np.concatenate(y) for y in zip(*x))
             if len(hit):
                 out.append((block, dest, len(hit), _zip(hit, bits)))
-        del made, rows, found
+        del made, found
         give_back()
         return pd.DataFrame(out, columns=["block", "part", "n", "blob"])
 
@@ -473,18 +499,18 @@ def _removal(width: int, parts: int, length: int, keep_text: bool, carry: list[s
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 8 << 20, keep_text: bool = False, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 6 << 20, keep_text: bool = False, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, with ``keep_text`` also the kept text
     (a character that lost a byte goes), and the string columns named in ``carry``.
 
     One plan: the exchange of documents by block is made once and reused.
     """
-    spark = docs.sparkSession
     width = length - GRAM + 1
     if not 2 <= width <= 64:
         raise ValueError(f"length must lie between {GRAM + 1} and {GRAM + 63}")
-    blocks = max(-(-text_bytes(docs) // block_bytes), 3 * partitions(spark))
-    parts = max(blocks // 2, 2 * partitions(spark))
+    # by bytes alone: each block passes on one piece to each part
+    blocks = max(-(-text_bytes(docs) // block_bytes), LEAST_BLOCKS)
+    parts = max(blocks // 2, LEAST_BLOCKS // 2)
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks)).cast("int").alias("block"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("orphan"), "text", *carry)
     own = dealt.groupBy("block").applyInPandas(_own_anchors(width, parts), "part int, block int, n long, blob binary")
     shared = own.groupBy("part").applyInPandas(_shared_anchors(hot), "block int, n long, blob binary")
