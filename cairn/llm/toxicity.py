@@ -1,26 +1,34 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Features are words and their first 4 to 6 characters (word families share a stem). Of
-those found in the labelled examples, the ones whose chi-square against the label leaves
-no doubt are kept. Document frequencies are counted over the whole corpus. The examples
-form a block-max inverted index: for each feature and block of examples the largest
-weight is known, so a block whose bound does not reach the k-th best similarity so far is
-never opened; what is found is exactly the k nearest. Votes are weighted by similarity
-and by how many labels of its kind an example stands for, and pulled towards the rate of label 1 among examples without any feature, so that texts
-far from all examples get that rate.
-
-Bounds, all documented parameters: ``per_class`` examples of each label (those with the
-smallest hash), ``most_features`` features. What the driver holds depends on these alone.
-``doubt`` is the least chi-square of a feature, with few examples a quarter of their number;
-features below it don't count, so a text with none but such gets the base rate.
+Features are word stems: a word's first ``STEM`` letters, or all of a shorter word. Every
+feature of the labelled examples counts. A feature's weight in a text is (1 + log count)
+times its inverse document frequency over the whole corpus times the difference between
+its inverse document frequencies in the two classes of examples (delta TF-IDF), smoothed,
+so that a stem as frequent in both weighs nothing. Stems that no example has tell nothing
+about labels and weigh nothing either.
+
+The examples form a block-max inverted index: postings of each feature by example, and
+for each feature and block of examples the largest weight. Blocks are opened by falling
+bound, and one whose bound does not reach the k-th best similarity so far never is; what
+is found is exactly the k nearest. Examples with the very feature counts of the text take
+no part, so no row's own label is in its score and a copy of an example is scored by what
+lies around it. Votes are weighted by similarity and by how many labels of its kind an
+example stands for, and pulled towards the base rate. A logistic curve, fitted to the
+examples' own votes with each weighted alike, calibrates the share of votes: scores are
+probabilities of label 1. Texts without a similar example get the base rate, the rate of
+label 1 among examples without a feature or else among all.
+
+The one bound is a documented parameter: ``per_class`` examples of each label (those with
+the smallest hash). What the driver holds are their features and counts.
 
 Labels count only where crc32(doc_id as text) mod 5 is not 0. Inputs of a score are the
-text alone; a labelled text meets itself as an example like any other text would.
+text alone.
 
 Defined cases: null and empty texts have no features and get the base rate; labels null
 or not 0/1 are ignored, and where one document has several the largest counts; no usable
-label at all gives every text the score 0; repeated rows each give a row; a null doc_id
-is not held out; other columns are ignored unless carried.
+label at all gives every text the score 0, and labels of one class their own value;
+repeated rows each give a row; a null doc_id is not held out; other columns are ignored
+unless carried.
 """
 
 from __future__ import annotations
@@ -35,76 +43,162 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize
 
 FOLDS = 5
+STEM = 4
 _WORD = re.compile(r"[^\W_]+")
-STEMS = (4, 5, 6)
-LEAST_SHARE = 0.25
-"""Chi-square over the number of examples that is beyond doubt however few there are."""
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def features_of(word: str) -> list[str]:
-    return ["=" + word, *(word[:n] for n in STEMS if len(word) > n)]
+def stems_of(text: str | None) -> Counter:
+    found: Counter = Counter()
+    for word, n in Counter(_WORD.findall((text or "").lower())).items():
+        found[word[:STEM]] += n
+    return found
 
 
-def words_of(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
+def class_difference(n0: np.ndarray, n1: np.ndarray, all0: int, all1: int) -> np.ndarray:
+    """Size of the difference of inverse document frequencies; each class is smoothed by one text with the rate of both."""
+    rate = (n0 + n1) / max(1, all0 + all1)
+    return np.abs(np.log((n1 + rate + 0.5) / (all1 + 2)) - np.log((n0 + rate + 0.5) / (all0 + 2)))
 
 
 class Index:
-    """Block-max inverted index of the examples' unit vectors."""
+    """Block-max inverted index of the examples' unit vectors; examples are (id, label, features, counts)."""
 
     BLOCK = 64
 
-    def __init__(self, features: list[str], idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], base: float, k: int, pull: float, votes: tuple[float, float] = (1.0, 1.0)):
-        self.number = {f: i for i, f in enumerate(features)}
-        self.idf, self.base, self.k, self.pull = idf, base, k, pull
+    def __init__(self, weight: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], k: int):
+        self.weight, self.k = weight, k
         filled = [e for e in examples if e[2]]
-        filled.sort(key=lambda e: (e[2], e[3], e[0]))  # alike examples share blocks: their bounds are tight
+        # alike examples share blocks, which keeps bounds tight: by class, then by the features of most weight
+        heavy = [(e[1], *np.asarray(e[2])[np.argsort(-self.unit(e[2], e[3]), kind="stable")[:3]].tolist(), e[0]) for e in filled]
+        filled = [filled[i] for i in sorted(range(len(filled)), key=heavy.__getitem__)]
         self.ids = np.array([e[0] for e in filled], np.int64)
         self.label = np.array([e[1] for e in filled], np.float64)
-        self.vote = np.where(self.label == 1, votes[1], votes[0])
-        n = -(-len(filled) // self.BLOCK) * self.BLOCK
-        self.weight = np.zeros((len(features), n), np.float32)
-        for at, (_, _, fids, tfs) in enumerate(filled):
-            self.weight[fids, at] = self.unit(fids, tfs)
-        self.most = self.weight.reshape(len(features), -1, self.BLOCK).max(axis=2) if n else np.zeros((len(features), 0), np.float32)
+        self.same: dict[tuple, list[int]] = {}
+        for at, e in enumerate(filled):
+            self.same.setdefault((tuple(e[2]), tuple(e[3])), []).append(at)
+        self.blocks = -(-len(filled) // self.BLOCK)
+        feature = np.concatenate([np.zeros(0, np.int64), *(np.asarray(e[2], np.int64) for e in filled)])
+        owner = np.repeat(np.arange(len(filled)), [len(e[2]) for e in filled])
+        value = np.concatenate([np.zeros(0), *(self.unit(e[2], e[3]) for e in filled)])
+        order = np.lexsort((owner, feature))
+        feature, self.owner, self.value = feature[order], owner[order].astype(np.int32), value[order]
+        # postings of feature f in block b stand from start[f, b] to start[f, b + 1]
+        cell = feature * self.blocks + self.owner // self.BLOCK
+        grid = np.arange(len(weight))[:, None] * self.blocks + np.arange(self.blocks + 1)
+        self.start = np.searchsorted(cell, grid).astype(np.int32)
+        self.most = np.zeros(len(weight) * self.blocks)
+        if len(cell):
+            np.maximum.at(self.most, cell, self.value)
+        self.most = self.most.reshape(len(weight), self.blocks)
 
     def unit(self, fids, tfs) -> np.ndarray:
-        w = (1 + np.log(np.asarray(tfs, np.float64))) * self.idf[np.asarray(fids, int)]
-        return w / np.linalg.norm(w)
-
-    def nearest(self, fids, tfs) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the k nearest examples with a positive cosine, and their cosines."""
-        w = self.unit(fids, tfs)
-        fids = np.asarray(fids, int)
-        bound = w @ self.most[fids]
+        w = (1 + np.log(np.asarray(tfs, np.float64))) * self.weight[np.asarray(fids, int)]
+        length = np.linalg.norm(w)
+        return w / length if length else w
+
+    def _cosines(self, fids: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Of all examples; those of other blocks stay 0."""
+        start, stop = self.start[fids[:, None], blocks], self.start[fids[:, None], blocks + 1]
+        n = (stop - start).ravel()
+        at = np.repeat(start.ravel() - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], self.value[at] * np.repeat(w, n.reshape(len(fids), -1).sum(axis=1)), len(self.ids))
+
+    def nearest(self, fids: list[int], tfs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the k nearest examples with a positive cosine and other counts than these, and their cosines."""
         places, cosines = np.zeros(0, int), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(cosines) >= self.k and bound[block] + 1e-6 < cosines[-1]):
-                break
-            at = slice(block * self.BLOCK, (block + 1) * self.BLOCK)
-            cos = w @ self.weight[fids, at]
+        if not len(fids) or not len(self.ids):
+            return places, cosines
+        w, at = self.unit(fids, tfs), np.asarray(fids, int)
+        own = self.same.get((tuple(fids), tuple(tfs)), [])
+        bound = w @ self.most[at] + 1e-9
+        order = np.argsort(-bound, kind="stable")
+        done, step = 0, 2
+        while done < len(order):
+            some = order[done : done + step]
+            if len(cosines) >= self.k:
+                some = some[bound[some] >= cosines[-1]]
+                if not len(some):
+                    break
+            cos = self._cosines(at, w, some)
+            cos[own] = 0.0
             hit = np.flatnonzero(cos > 0)
-            places, cosines = np.r_[places, hit + at.start], np.r_[cosines, cos[hit]]
-            order = np.lexsort((places, -cosines))[: self.k]
-            places, cosines = places[order], cosines[order]
+            places, cosines = np.r_[places, hit], np.r_[cosines, cos[hit]]
+            best = np.lexsort((self.ids[places], -cosines))[: self.k]
+            places, cosines = places[best], cosines[best]
+            done, step = done + step, 2 * step
         return places, cosines
 
-    def score(self, fids, tfs) -> tuple[float, list[int]]:
-        if not len(fids) or not len(self.ids):
-            return self.base, []
-        places, cos = self.nearest(fids, tfs)
+
+class Model:
+    """Scores of feature counts: votes of the nearest examples, calibrated."""
+
+    def __init__(self, weight: np.ndarray, examples, totals: dict[int, int], k: int, pull: float):
+        # an example stands for so many labels of its class
+        stands = {y: totals.get(y, 0) / max(1, sum(e[1] == y for e in examples)) for y in (0, 1)}
+        blank = {y: stands[y] * sum(e[1] == y and not e[2] for e in examples) for y in (0, 1)}
+        self.base = blank[1] / (blank[0] + blank[1]) if blank[0] + blank[1] else totals.get(1, 0) / max(1, sum(totals.values()))
+        mean = sum(totals.values()) / max(1, len(examples))
+        self.votes = np.array([stands[0], stands[1]]) / (mean or 1.0)
+        self.pull, self.index = pull, Index(weight, examples, k)
+        self.curve = (0.0, 1.0)
+        self.curve = self.fit([e for e in examples if e[2]], stands)
+
+    def share(self, fids, tfs) -> tuple[float | None, list[int]]:
+        """Weighted share of votes for label 1 and the nearest examples; None without any."""
+        places, cos = self.index.nearest(fids, tfs)
         if not len(places):
+            return None, []
+        label = self.index.label[places]
+        votes = cos * self.votes[label.astype(int)]
+        return float((votes @ label + self.pull * self.base) / (votes.sum() + self.pull)), self.index.ids[places[:3]].tolist()
+
+    def fit(self, examples, stands: dict[int, float]) -> tuple[float, float]:
+        """Offset and slope of the logistic curve over the log odds of the share; none with examples of one class only."""
+        got = [(odds(s), y) for _, y, fids, tfs in examples if (s := self.share(fids, tfs)[0]) is not None]
+        x, y = (np.array([g[i] for g in got], np.float64) for i in (0, 1))
+        return logistic(x, y, np.where(y == 1, stands[1], stands[0]))
+
+    def score(self, fids, tfs) -> tuple[float, list[int]]:
+        share, evidence = self.share(fids, tfs)
+        if share is None:
             return self.base, []
-        votes = cos * self.vote[places]
-        value = (float(votes @ self.label[places]) + self.pull * self.base) / (float(votes.sum()) + self.pull)
-        return min(1.0, max(0.0, value)), self.ids[places[:3]].tolist()
+        return 1 / (1 + math.exp(-self.curve[0] - self.curve[1] * odds(share))), evidence
+
+
+def odds(share: float) -> float:
+    """Log odds, held within the range of one in a million."""
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    return math.log(share / (1 - share))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Weighted logistic fit by damped Newton steps, with labels drawn in a little so that the slope stays finite."""
+    n1, n0 = float((y == 1).sum()), float((y == 0).sum())
+    if not n1 or not n0:
+        return 0.0, 1.0
+    t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    z = np.stack([np.ones_like(x), x])
+    beta = np.array([0.0, 1.0])
+    loss = lambda b: float(weight @ (np.logaddexp(0, b @ z) - t * (b @ z)))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(beta @ z)))
+        gradient = z @ (weight * (p - t))
+        curvature = (z * (weight * p * (1 - p))) @ z.T + 1e-9 * np.eye(2)
+        step = np.linalg.solve(curvature, gradient)
+        size = 1.0
+        while size > 1e-6 and loss(beta - size * step) > loss(beta):
+            size /= 2
+        if size <= 1e-6 or np.abs(size * step).max() < 1e-10:
+            break
+        beta = beta - size * step
+    return (float(beta[0]), float(beta[1])) if beta[1] > 0 else (0.0, 1.0)
 
 
 def _examples(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
@@ -121,57 +215,42 @@ def _examples(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataF
     return materialize(texts, "examples"), totals
 
 
-def _choose_features(examples: DataFrame, most_features: int, doubt: float) -> list[str]:
-    """The features with the largest chi-square against the label, counted per task before the shuffle."""
+def _features(examples: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All features of the examples and the size of their class difference; counted in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[y].update({f for w in words_of(text) for f in features_of(w)})
+                seen[y].update(stems_of(text).keys())
         keys = list(seen[0].keys() | seen[1].keys())
         for s in range(0, len(keys), 1 << 16):
             part = keys[s : s + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[f] for f in part], pa.int64()) for c in seen)], names=["f", "n0", "n1"])
 
     n0, n1 = examples.agg(F.count(F.when(F.col("toxic") == 0, 1)), F.count(F.when(F.col("toxic") == 1, 1))).first()
-    if not n0 or not n1:
-        return []
-    doubt = min(doubt, (n0 + n1) * LEAST_SHARE)  # chi-square is at most the number of examples
-    df = examples.select("toxic", "text").mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    c, d = n1 - a, n0 - b
-    some = c + d > 0  # a feature that all examples have tells nothing
-    chi = F.when(some, (n0 + n1) * F.pow(a * d - b * c, F.lit(2.0)) / ((a + b) * F.when(some, c + d) * float(n1) * float(n0)))
-    chosen = df.withColumn("chi", chi).filter(F.col("chi") >= doubt).orderBy(F.desc("chi"), "f").limit(most_features)
-    return sorted(r["f"] for r in chosen.select("f").collect())
+    counted = examples.select("toxic", "text").mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    rows = sorted(tuple(r) for r in counted.collect())  # of 2 * per_class texts
+    return [r[0] for r in rows], class_difference(*(np.array([r[i] for r in rows], np.float64) for i in (1, 2)), n0, n1)
 
 
 def _vectors(docs: DataFrame, features: list[str], extra: list[str]) -> DataFrame:
-    """The extra columns, and the numbers and counts of the features in each text; words repeat, so each is looked up once a task."""
-    number = {f: i for i, f in enumerate(features)}
+    """The extra columns, and the numbers and counts of the features in each text."""
     names = [*extra, "fids", "tfs"]
+    shared = docs.sparkSession.sparkContext.broadcast(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
-        stems = {f[:4] for f in features if f[0] != "="} | {f[1:5] for f in features if f[0] == "="}
+        number = {f: i for i, f in enumerate(shared.value)}
         for batch in batches:
-            fids, tfs = [], []
-            for text in batch.column(len(extra)).to_pylist():
-                found: Counter = Counter()
-                for w, n in words_of(text).items():
-                    if w[:4] not in stems:
-                        continue
-                    if (own := known.get(w)) is None:
-                        own = known[w] = tuple(number[f] for f in features_of(w) if f in number)
-                        if len(known) > 200_000:
-                            known.clear()
-                    for f in own:
-                        found[f] += n
-                keys = sorted(found)
-                fids.append(keys)
-                tfs.append([found[f] for f in keys])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(extra)], pa.array(fids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=names)
+            for s in range(0, batch.num_rows, 512):
+                part = batch.slice(s, 512)
+                fids, tfs = [], []
+                for text in part.column(len(extra)).to_pylist():
+                    found = sorted((number[f], n) for f, n in stems_of(text).items() if f in number)
+                    fids.append([f for f, _ in found])
+                    tfs.append([n for _, n in found])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(extra)], pa.array(fids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=names)
+        give_back()
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra)
     return docs.select(*extra, F.col("text").alias("words")).mapInArrow(run, f"{kinds}, fids array<int>, tfs array<int>")
@@ -190,35 +269,31 @@ def _document_frequencies(vectors: DataFrame) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(seen[f], pa.int64())], names=["f", "n"])
 
     found = vectors.select("fids").mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    return {r["f"]: r["n"] for r in found.collect()}  # most_features rows at most
+    return {r["f"]: r["n"] for r in found.collect()}  # features of 2 * per_class texts
 
 
-def score(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_features: int = 2048, doubt: float = 33.0, k: int = 15, pull: float = 0.1, carry: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, per_class: int = 1000, k: int = 15, pull: float = 0.1, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted and as evidence the ids of the nearest examples, and the columns named in ``carry``."""
     examples, totals = _examples(docs, labels, per_class)
-    features = _choose_features(examples, most_features, doubt)
+    features, difference = _features(examples)
     vectors = materialize(_vectors(docs, features, ["doc_id", *carry]), "vectors")
     n = vectors.count()
     df = _document_frequencies(vectors)
     idf = np.array([math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(features))])
-    rows = [tuple(r) for r in _vectors(examples, features, ["doc_id", "toxic"]).collect()]  # 2 * per_class rows at most
-    # label 1 among examples without a feature, each class with its weight in all labels
-    weight = {y: totals.get(y, 0) / max(1, sum(r[1] == y for r in rows)) for y in (0, 1)}
-    blank = {y: weight[y] * sum(r[1] == y and not r[2] for r in rows) for y in (0, 1)}
-    base = blank[1] / (blank[0] + blank[1]) if blank[0] + blank[1] else totals.get(1, 0) / max(1, sum(totals.values()))
-    # an example votes for all of its label that it stands for; 1 on average
-    mean = sum(totals.values()) / max(1, len(rows))
-    votes = tuple(weight[y] / mean if mean else 1.0 for y in (0, 1))
-    index = Index(features, idf, rows, base, k, pull, votes)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    rows = sorted(tuple(r) for r in _vectors(examples, features, ["doc_id", "toxic"]).collect())  # 2 * per_class rows at most
+    model = Model(idf * difference, rows, totals, k, pull)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    n_own = 1 + len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.score(f, t) for f, t in zip(batch.column(n_own).to_pylist(), batch.column(n_own + 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_own], pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["doc_id", *carry, "score", "evidence"])
+            for s in range(0, batch.num_rows, 512):
+                part = batch.slice(s, 512)
+                found = [own.score(f, t) for f, t in zip(part.column(n_own).to_pylist(), part.column(n_own + 1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_own], pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["doc_id", *carry, "score", "evidence"])
+        give_back()
 
-    n_own = 1 + len(carry)
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
     out = vectors.mapInArrow(run, f"{kinds}, score double, evidence array<bigint>")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", *carry)

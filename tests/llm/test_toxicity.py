@@ -1,9 +1,11 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from cairn.llm.toxicity import Index, score
+from cairn.llm.toxicity import Index, logistic, odds, score, stems_of
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -57,20 +59,111 @@ def test_no_labels_or_rows(spark, docs_of):
     assert score(docs_of([]), none).count() == 0
 
 
+def plain_scores(texts, labels, k=15, pull=0.1):
+    """Every step again without an index, for labels of all classes under the bound: (doc_id, text) rows and {doc_id: label}."""
+    learn = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 5}
+    counts = [dict(stems_of(t)) for _, t in texts]
+    known = [(i, learn[i], c) for (i, _), c in zip(texts, counts) if i in learn]
+    n_class = Counter(y for _, y, _ in known)
+    in_class = [Counter(f for _, y, c in known if y == z for f in c) for z in (0, 1)]
+    df = Counter(f for c in counts for f in c)
+    weight = {}
+    for f in in_class[0] | in_class[1]:
+        rate = (in_class[0][f] + in_class[1][f]) / len(known)
+        in0, in1 = ((in_class[z][f] + rate + 0.5) / (n_class[z] + 2) for z in (0, 1))
+        weight[f] = (math.log((1 + len(texts)) / (1 + df[f])) + 1) * abs(math.log(in1) - math.log(in0))
+    vector = lambda c: {f: (1 + math.log(n)) * weight[f] for f, n in c.items() if f in weight}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    vectors = [(i, y, c, vector(c)) for i, y, c in known]
+    base = n_class[1] / len(known)
+
+    def share(c):
+        v = vector(c)
+        near = []
+        for i, y, other, u in vectors:
+            dot = sum(x * u[f] for f, x in v.items() if f in u)
+            if dot > 0 and {f: c[f] for f in c if f in weight} != other:
+                near.append((-dot / size(u) / size(v), i, y))
+        near = sorted(near)[:k]
+        votes = -sum(s for s, _, _ in near)
+        return (sum(-s * y for s, _, y in near) + pull * base) / (votes + pull) if near else None
+
+    got = [(odds(x), y) for _, y, c, _ in vectors if (x := share(c)) is not None]
+    a, b = logistic(*(np.array([g[j] for g in got], float) for j in (0, 1)), np.ones(len(got)))
+    return [base if (x := share(c)) is None else 1 / (1 + math.exp(-a - b * odds(x))) for c in counts]
+
+
+def test_scores_against_brute_force(spark, docs_of):
+    rng = np.random.default_rng(6)
+    calm, rude = ["able", "bake", "cold", "dance", "early"], ["fooled", "grubby", "hateful"]
+    texts, labels = [], {}
+    for i in range(160):
+        words = [*rng.choice(calm, rng.integers(1, 9)), *rng.choice(rude, rng.integers(0, 3 if i % 3 else 5))]
+        texts.append((i, " ".join(rng.permutation(words))))
+        labels[i] = int(sum(w in rude for w in words) > rng.integers(0, 3))
+    texts += [(200, texts[3][1]), (201, ""), (202, "unseen words only here")]
+    made = spark.createDataFrame([(i, 1, y) for i, y in labels.items() if i % 7], LABELS)
+    got = {r.doc_id: r.score for r in score(docs_of(texts), made).collect()}
+    want = plain_scores(texts, {i: y for i, y in labels.items() if i % 7})
+    assert [got[i] for i, _ in texts] == pytest.approx(want, abs=1e-6)
+
+
+def test_a_rows_own_label_is_not_in_its_score(spark, docs_of):
+    docs, labels = corpus(spark, docs_of)
+    flipped = labels.selectExpr("doc_id", "quality", "CASE WHEN doc_id = 101 THEN 1 - toxic ELSE toxic END AS toxic")
+    got = [{r.doc_id: r.score for r in score(docs, x).collect()}[101] for x in (labels, flipped)]
+    assert zlib.crc32(b"101") % 5 and got[0] < 0.2 and got[1] < 0.2
+
+
+def test_calibration():
+    """Shares that overstate the odds come back to the rates behind them."""
+    rng = np.random.default_rng(7)
+    true = rng.uniform(-3, 3, 20000)
+    y = (rng.random(20000) < 1 / (1 + np.exp(-true))).astype(float)
+    a, b = logistic(3 * true + 1, y, np.ones(20000))
+    assert a == pytest.approx(-1 / 3, abs=0.05) and b == pytest.approx(1 / 3, abs=0.03)
+    assert logistic(np.ones(3), np.ones(3), np.ones(3)) == (0.0, 1.0)
+    a, b = logistic(np.r_[-np.ones(50), np.ones(50)], np.r_[np.zeros(50), np.ones(50)], np.ones(100))
+    assert 0 < b < 20
+
+
+def examples_of(rng, n, features):
+    out = []
+    for i in range(n):
+        f = sorted(rng.choice(features, rng.integers(1, 9), replace=False).tolist())
+        out.append((i, i % 2, f, rng.integers(1, 6, len(f)).tolist()))
+    return out
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(4)
-    examples = []
-    for i in range(700):
-        f = sorted(rng.choice(50, rng.integers(1, 9), replace=False).tolist())
-        examples.append((i, i % 2, f, rng.integers(1, 6, len(f)).tolist()))
-    index = Index([str(i) for i in range(50)], rng.random(50) + 1, examples, 0.1, 15, 0.1)
-    dense = index.weight.astype(float)
-    for _ in range(100):
-        f = sorted(rng.choice(50, 5, replace=False).tolist())
-        t = rng.integers(1, 6, 5).tolist()
-        _, cos = index.nearest(f, t)
-        want = np.sort(index.unit(f, t) @ dense[f])[::-1][:15]
-        assert cos == pytest.approx(want[want > 0], abs=1e-6)
+    examples = examples_of(rng, 700, 50) + [(1000 + i, 1, [3, 4], [1, 2]) for i in range(100)]
+    index = Index(rng.random(50) + 0.1, examples, 15)
+    at = {e[0]: e for e in examples}
+    for trial in range(100):
+        f = sorted(rng.choice(50, 5, replace=False).tolist()) if trial else [3, 4]
+        t = rng.integers(1, 6, 5).tolist() if trial else [1, 2]
+        places, cos = index.nearest(f, t)
+        mine = dict(zip(f, index.unit(f, t)))
+        want = []
+        for i, _, g, s in examples:
+            c = sum(mine.get(x, 0) * u for x, u in zip(g, index.unit(g, s)))
+            if c > 0 and (g, s) != (f, t):
+                want.append((-c, i))
+        want = sorted(want)[:15]
+        assert cos == pytest.approx([-c for c, _ in want], abs=1e-12)
+        assert all((at[i][2], at[i][3]) != (f, t) for i in index.ids[places])
+
+
+def test_few_blocks_are_opened(monkeypatch):
+    rng = np.random.default_rng(5)
+    examples = [(i, i % 2, [i // 64 * 3, i // 64 * 3 + 1, 99], rng.integers(1, 4, 3).tolist()) for i in range(1920)]
+    index = Index(np.r_[np.ones(99), 0.05], examples, 15)
+    opened = []
+    plain = Index._cosines
+    monkeypatch.setattr(Index, "_cosines", lambda self, f, w, blocks: opened.append(len(blocks)) or plain(self, f, w, blocks))
+    index.nearest([30, 31, 99], [1, 1, 5])
+    assert sum(opened) < index.blocks / 3
 
 
 def test_held_out_accuracy(spark):
