@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,9 +25,19 @@ def _ladder(lo: Column, hi: Column) -> Column:
     return F.sequence((F.floor(lo / STEP) * STEP).cast("int"), hi.cast("int"), F.lit(STEP))
 
 
+#: Decimal digits of every script, and the ASCII digits of their values.
+_DIGITS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+_VALUES = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
+
+
+def _number(digits: Column) -> Column:
+    """The patterns take digits of any script."""
+    return F.translate(digits, "".join(_DIGITS), _VALUES).try_cast("int")
+
+
 def _bands_of(span):
     def bands(a: Column, b: Column) -> Column:
-        a, b = a.cast("int"), b.cast("int")
+        a, b = _number(a), _number(b)
         # an inverted range is consumed and gives nothing
         return F.when(a <= b, _ladder(*span(a, b))).otherwise(F.array().cast("array<int>"))
 

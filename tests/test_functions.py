@@ -35,6 +35,10 @@ BANDS = [
     ("100% adrenaline", []),
     ("2500%-4000% or below 2500%", ladder(2500, 3000, 3500, 4000, 0, 500, 1000, 1500, 2000)),
     ("3500%+ enrage", ladder(3500, 4000, 4500, 5000)),
+    ("below \u0663\u0660\u0660\u0660% x", ladder(0, 500, 1000, 1500, 2000, 2500)),
+    ("\uff14\uff10\uff10\uff10%+", ladder(4000, 4500, 5000)),
+    ("\U0001d7d4\u096b\u0966\u0966-5\u06f0\u06f0\u06f0%", []),
+    ("\U0001d7d2\u096b\u0966\u0966-5\u06f0\u06f0\u06f0%", ladder(4500, 5000)),
 ]
 
 
@@ -63,7 +67,7 @@ def test_bad_mode_raises():
 
 
 def test_dictionary():
-    assert len(NAMES) == 116 and len(ALIASES) == 32 and set(NAMES) >= ALIASES
+    assert len(NAMES) == 116 and len(ALIASES) == 32 and set(NAMES) >= set(ALIASES)
 
 
 def test_collapse(apply):
@@ -134,3 +138,35 @@ def test_settings():
     assert s.top_k == 7 and s.hybrid and s.depth(0) == 7 and s.depth(2) == 2
     with pytest.raises(ValueError):
         Settings().given(nothing=1)
+
+
+OBJECT = '{"title": "T",\n "fields": [\n  {"name": "n",\n   "value": "}"}\n ]\n}'
+ENDINGS = [
+    (OBJECT, 0),
+    ("7\n" + OBJECT, 2),
+    ("{\n" + OBJECT, 2),
+    ("{}\n" + OBJECT + "\n \t\n", 3),
+    ("  \r{}", 0),
+    ("{}\nnot JSON", None),
+    ("[{}]", None),
+    ("x {}", None),
+    ('"{"', None),
+    ("{" * 50_000, None),
+    ("", None),
+]
+
+
+@pytest.mark.parametrize("text,start", ENDINGS)
+def test_object_at_end(text, start):
+    found = clean.object_at_end(text)
+    assert (found and found[0]) == start
+    if found:
+        assert found[1] == json.loads(text[found[0] :])
+
+
+def test_embeds_in_order(spark):
+    mark = "\n\t.embed:json \n"
+    text = f"a\n{OBJECT}{mark}b\n{{x{mark}{mark}[1]{mark}{OBJECT}{mark[:-1]}"
+    got = clean.flatten_embeds(spark.createDataFrame([(text,)], "text string")).first().text
+    shown = "### T\n**n**\n}"
+    assert got == f"a\n{shown}\nb\n{{x\n\n[1]\n{shown}"
