@@ -8,9 +8,10 @@ so that a stem as frequent in both weighs nothing. Stems that no example has tel
 about labels and weigh nothing either.
 
 The examples form a block-max inverted index: postings of each feature by example, and
-for each feature and block of examples the largest weight. Blocks are opened by falling
-bound, and one whose bound does not reach the k-th best similarity so far never is; what
-is found is exactly the k nearest. Examples with the very feature counts of the text take
+for each feature and block of examples the largest weight. Postings are read by falling
+weight until what is left can add little; with the block maxima of the features not read,
+only examples that can still reach the k-th best sum so far are scored in full. What is
+found is exactly the k nearest. Examples with the very feature counts of the text take
 no part, so no row's own label is in its score and a copy of an example is scored by what
 lies around it. Votes are weighted by similarity and by how many labels of its kind an
 example stands for, and pulled towards the base rate. A logistic curve, fitted to the
@@ -87,6 +88,8 @@ class Index:
         feature = np.concatenate([np.zeros(0, np.int64), *(np.asarray(e[2], np.int64) for e in filled)])
         owner = np.repeat(np.arange(len(filled)), [len(e[2]) for e in filled])
         value = np.concatenate([np.zeros(0), *(self.unit(e[2], e[3]) for e in filled)])
+        self.rows = np.r_[0, np.cumsum([len(e[2]) for e in filled])].astype(np.int64)
+        self.row_feature, self.row_value, self.read = feature, value, 0
         order = np.lexsort((owner, feature))
         feature, self.owner, self.value = feature[order], owner[order].astype(np.int32), value[order]
         # postings of feature f in block b stand from start[f, b] to start[f, b + 1]
@@ -103,37 +106,48 @@ class Index:
         length = np.linalg.norm(w)
         return w / length if length else w
 
-    def _cosines(self, fids: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Of all examples; those of other blocks stay 0."""
-        start, stop = self.start[fids[:, None], blocks], self.start[fids[:, None], blocks + 1]
-        n = (stop - start).ravel()
-        at = np.repeat(start.ravel() - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return np.bincount(self.owner[at], self.value[at] * np.repeat(w, n.reshape(len(fids), -1).sum(axis=1)), len(self.ids))
-
-    def nearest(self, fids: list[int], tfs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def _sums(self, fids: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of all examples, over the postings of these features."""
+        start, stop = self.start[fids, 0], self.start[fids, -1]
+        n = stop - start
+        at = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        self.read += len(at)
+        return np.bincount(self.owner[at], self.value[at] * np.repeat(w, n), len(self.ids))
+
+    def _whole(self, fids: np.ndarray, w: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Cosines of some examples by their own vectors."""
+        query = np.zeros(len(self.weight))
+        query[fids] = w
+        start, stop = self.rows[places], self.rows[places + 1]
+        n = stop - start
+        at = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        return np.bincount(np.repeat(np.arange(len(places)), n), query[self.row_feature[at]] * self.row_value[at], len(places))
+
+    def nearest(self, fids: list[int], tfs: list[int], loose: float = 0.2, many: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """Places of the k nearest examples with a positive cosine and other counts than these, and their cosines."""
-        places, cosines = np.zeros(0, int), np.zeros(0)
+        none = np.zeros(0, int), np.zeros(0)
         if not len(fids) or not len(self.ids):
-            return places, cosines
+            return none
         w, at = self.unit(fids, tfs), np.asarray(fids, int)
         own = self.same.get((tuple(fids), tuple(tfs)), [])
-        bound = w @ self.most[at] + 1e-9
-        order = np.argsort(-bound, kind="stable")
-        done, step = 0, 2
-        while done < len(order):
-            some = order[done : done + step]
-            if len(cosines) >= self.k:
-                some = some[bound[some] >= cosines[-1]]
-                if not len(some):
-                    break
-            cos = self._cosines(at, w, some)
-            cos[own] = 0.0
-            hit = np.flatnonzero(cos > 0)
-            places, cosines = np.r_[places, hit], np.r_[cosines, cos[hit]]
-            best = np.lexsort((self.ids[places], -cosines))[: self.k]
-            places, cosines = places[best], cosines[best]
-            done, step = done + step, 2 * step
-        return places, cosines
+        most = w * self.most[at].max(axis=1)
+        order = np.argsort(-most, kind="stable")
+        left = most.sum() - np.cumsum(most[order])
+        cut = int(np.searchsorted(-left, -loose)) + 1  # features read; the others can add ``loose`` at most
+        read, rest = order[:cut], order[cut:]
+        sums = self._sums(at[read], w[read])
+        sums[own] = -np.inf
+        k = min(self.k, len(sums))
+        least = max(np.partition(sums, len(sums) - k)[len(sums) - k], 0.0)
+        more = np.repeat(w[rest] @ self.most[at[rest]], self.BLOCK)[: len(sums)]  # by the maxima of their blocks
+        places = np.flatnonzero((sums + more >= least - 1e-9) & (sums + more > 0))
+        if len(places) > many and len(rest):
+            cosines = (sums + self._sums(at[rest], w[rest]))[places]
+        else:
+            cosines = self._whole(at, w, places)
+        places, cosines = places[cosines > 0], cosines[cosines > 0]
+        best = np.lexsort((self.ids[places], -cosines))[: self.k]
+        return places[best], cosines[best]
 
 
 class Model:
