@@ -9,11 +9,14 @@ from .lookup import REFUSALS
 
 MOST_CLAIMS = 8
 LEAST_CHARS = 15
+#: Where claims end, and what is trimmed around them.
+CLAIM_END = r"""(?<=[.!?])["')\]]*\s+|\n+"""
 _TRIM = " -•\"'"
+TRIES = 2
 
 
 def split_claims(answer: Column) -> Column:
-    parts = F.split(answer, r"""(?<=[.!?])["')\]]*\s+|\n+""", -1)
+    parts = F.split(answer, CLAIM_END, -1)
     trimmed = F.transform(parts, lambda p: F.btrim(p, F.lit(_TRIM)))
     return F.slice(F.filter(trimmed, lambda p: F.length(p) > LEAST_CHARS), 1, MOST_CLAIMS)
 
@@ -44,6 +47,23 @@ def relevancy(reply: Column) -> Column:
     return F.when(number != "", F.least(number.try_cast("double") / 10, F.lit(1.0)))
 
 
+def first_relevancy(replies: Column) -> Column:
+    """The first readable rating of an array of replies."""
+    return F.get(F.filter(F.transform(replies, relevancy), lambda x: x.isNotNull()), 0)
+
+
+def attempts(replies: Column, read) -> tuple[Column, Column]:
+    """How many of at most TRIES replies were unreadable before one was not, and whether none was readable; ``read`` gives null for the unreadable."""
+    tried = F.transform(F.slice(replies, 1, TRIES), lambda r: read(r).isNotNull())
+    first = F.array_position(tried, True)
+    return F.when(first > 0, first - 1).otherwise(F.size(tried)).cast("long"), first == 0
+
+
+def timing(answers: DataFrame) -> DataFrame:
+    """Number of answers, their minutes in all and seconds each."""
+    return answers.agg(F.count("*").alias("answers"), (F.sum("seconds") / 60).alias("minutes"), F.avg("seconds").alias("seconds_each"))
+
+
 def faithfulness(verdicts: DataFrame, key: str = "id") -> DataFrame:
     """Share of readable verdicts that support; null if none is readable."""
     return verdicts.groupBy(key).agg(F.avg(F.col("verdict").cast("int").cast("double")).alias("faithfulness"))

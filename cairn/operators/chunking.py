@@ -5,26 +5,35 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
 def section_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, line_no, line, section_no, h1, h2, h3 of each line: headers are filled down, a higher one resets those below it."""
-    lines = docs.select(key, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    level = F.length(F.regexp_extract("line", r"^(#{1,3})(?: |$)", 1))
-    title = F.trim(F.regexp_replace("line", r"^#{1,3}", ""))
-    lines = lines.withColumn("level", level).withColumn("title", title)
-    down = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    out = lines.withColumn("section_no", F.sum((F.col("level") > 0).cast("long")).over(down))
-    # where a header of each level last stood, and where one last reset it
-    for n in (1, 2, 3):
-        at = F.last(F.when(F.col("level") == n, F.struct("line_no", "title")), True).over(down)
-        reset = F.max(F.when((F.col("level") > 0) & (F.col("level") < n), F.col("line_no"))).over(down)
-        out = out.withColumn(f"h{n}", F.when(reset.isNull() | (at["line_no"] > reset), at["title"]))
-    return out.select(key, F.col("line_no").cast("long").alias("line_no"), "line", "section_no", "h1", "h2", "h3")
+    """key, line_no, line, section_no, h1, h2, h3 of each line: headers are filled down, a higher one resets those below it.
+
+    A document's lines stay in its row until all is known of its headers: no exchange. A fold goes over headers only.
+    """
+    lines = docs.select(key, F.split("text", "\n", -1).alias("lines"))
+    title = lambda x: F.trim(F.regexp_replace(x, r"^#{1,3}", ""))
+    marked = F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.length(F.regexp_extract(x, r"^(#{1,3})(?: |$)", 1)).alias("level"), x.alias("line")))
+    heads = F.filter(marked, lambda x: x["level"] > 0)
+    kind = "struct<at:int,h1:string,h2:string,h3:string>"
+    begin = F.array(F.struct(F.lit(0).alias("at"), *(F.lit(None).cast("string").alias(h) for h in ("h1", "h2", "h3"))).cast(kind))
+
+    def add(done: Column, x: Column) -> Column:
+        above, level, own = F.element_at(done, -1), x["level"], title(x["line"])
+        h = [F.when(level == n, own).when(level > n, above[f"h{n}"]).alias(f"h{n}") for n in (1, 2, 3)]
+        return F.concat(done, F.array(F.struct(x["at"].alias("at"), *h)))
+
+    parts = lines.select(key, "lines", F.aggregate(heads, begin, add).alias("s"))
+    # each section brings its own lines: from its header to the next one
+    stop = lambda i: F.coalesce(F.get(F.col("s"), i + 1)["at"], F.size("lines"))
+    cut = F.transform("s", lambda x, i: F.struct(x["at"].alias("at"), x["h1"].alias("h1"), x["h2"].alias("h2"), x["h3"].alias("h3"), F.slice("lines", x["at"] + 1, stop(i) - x["at"]).alias("own")))
+    out = parts.select(key, F.posexplode(cut).alias("section_no", "s")).select(key, "section_no", "s", F.posexplode("s.own").alias("nth", "line"))
+    return out.select(key, (F.col("s.at") + F.col("nth")).cast("long").alias("line_no"), "line", F.col("section_no").cast("long").alias("section_no"), "s.h1", "s.h2", "s.h3")
 
 
 def header_sections(text: str) -> list[tuple[str, dict[str, str]]]:

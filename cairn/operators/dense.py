@@ -1,73 +1,77 @@
-"""Exact nearest neighbours by cosine: blocks of queries against a scan of all vectors.
+"""Exact nearest neighbours by cosine: blocks of queries meet blocks of vectors.
 
-A block of queries is held to QUERY_BYTES before it is sent to the tasks; more queries
-take more blocks, each its own scan. A task multiplies Arrow batches with the block and
-passes on its k best of each query only.
+Both sides are dealt into blocks of bounded bytes by a hash of their ids, and each pair of
+blocks is a group of its own, so neither side ever stands in the driver or in every task.
+A group multiplies its blocks, keeps what can still be among the k best of a query within
+the rounding of that product, and scores it anew component after component: equal vectors
+have equal scores wherever they stand. It passes on its k best of each query only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BYTES = 32 << 20
-
-
-def _unit(v: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(v, axis=1, keepdims=True)
-    return v / np.where(n > 0, n, 1)
+BLOCK_BYTES = 8 << 20
+LEAST_BLOCKS = 8
 
 
-def _scan(block: pd.DataFrame, vectors: DataFrame, k: int, key: str, vector: str, unit: bool) -> DataFrame:
-    qids = block["qid"].to_numpy()
-    q = np.stack(block["v"].to_list()).astype(np.float64)
-    q = _unit(q) if unit else q
+def _usable(vector: Column) -> Column:
+    return F.coalesce((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[pd.DataFrame] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            v = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-            s = np.round(q @ (_unit(v) if unit else v).T, 6)
-            for i, row in enumerate(s):
-                top = np.lexsort((ids, -row))[:k] if len(row) <= 4 * k else _top(row, ids, k)
-                best.append(pd.DataFrame({"qid": qids[i], "id": ids[top], "score": row[top]}))
-            if len(best) > 64 * len(qids):
-                best = [_merge(best, k)]
-        if best:
-            yield pa.RecordBatch.from_pandas(_merge(best, k), schema=schema, preserve_index=False)
 
-    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-    usable = F.col(vector).isNotNull() & (F.size(vector) == q.shape[1])
-    return vectors.filter(usable).select(F.col(key).cast("long").alias("id"), vector).mapInArrow(run, "qid long, id long, score double")
+def _stack(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten(), np.float64).reshape(-1, width)
 
 
-def _top(row: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    floor = np.partition(row, len(row) - k)[len(row) - k]
-    may = np.flatnonzero(row >= floor)
-    return may[np.lexsort((ids[may], -row[may]))[:k]]
+def _sum_in_order(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(x.shape[:-1])
+    for d in range(x.shape[-1]):
+        out = out + x[..., d]
+    return out
 
 
-def _merge(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    return pd.concat(parts).sort_values(["qid", "score", "id"], ascending=[True, False, True]).groupby("qid").head(k)
+def _best(q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, unit: bool):
+    """(place of the query, id, score) of each query's k best."""
+    length = lambda x: np.sqrt(_sum_in_order(x * x)) if unit else np.ones(len(x))
+    q_long, v_long = (np.where(n > 0, n, 1.0) for n in (length(q), length(v)))
+    near = (q / q_long[:, None]) @ (v / v_long[:, None]).T
+    slack = 1e-14 * (q.shape[1] + 16) * (1.0 if unit else max(1.0, np.abs(q).max(initial=0) * np.abs(v).max(initial=0)))
+    kk = min(k, len(ids))
+    floor = np.partition(near, len(ids) - kk, axis=1)[:, len(ids) - kk] - slack
+    for at, row in enumerate(near):
+        may = np.flatnonzero(row >= floor[at])
+        score = _sum_in_order(q[at] * v[may]) / (q_long[at] * v_long[may])
+        for i in np.lexsort((ids[may], -score))[:k].tolist():
+            yield at, int(ids[may[i]]), float(score[i])
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", unit: bool = True) -> DataFrame:
-    """qid, key, score, rank of the k nearest of each query (qid, v); score is the cosine rounded to 6 places."""
-    size = queries.select(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    if not size["n"]:
-        return queries.sparkSession.createDataFrame([], f"qid long, {key} long, score double, rank long")
-    blocks = -(-size["n"] * size["d"] * 8 // QUERY_BYTES)
-    dealt = queries.select(F.col("qid").cast("long").alias("qid"), "v").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    found = [_scan(p, vectors, k, key, vector, unit) for b in range(blocks) if len(p := dealt.filter(F.col("block") == b).toPandas())]
+    """qid, key, score, rank of the k nearest of each query (qid, v); vectors of another width than the queries take no part."""
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), "v").filter(_usable(F.col("v")))
+    n_queries, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    width = width or 1
+    good = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter(_usable(F.col("v")) & (F.size("v") == width))
+    rows = max(64, BLOCK_BYTES // (8 * width))
+    q_blocks = max(1, -(-n_queries // rows))
+    v_blocks = max(LEAST_BLOCKS, -(-good.count() // rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.filter(F.size("v") == width).select("qid", "v", deal("qid", q_blocks).alias("qb"), every(v_blocks).alias("vb"))
+    # by the vector too: rows that share an id need not share a block
+    right = good.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(v_blocks)).cast("int").alias("vb"), every(q_blocks).alias("qb"))
+
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        rows = []
+        if q.num_rows and v.num_rows:
+            qids = q["qid"].to_pylist()
+            rows = [(qids[at], i, s) for at, i, s in _best(_stack(q["v"], width), np.asarray(v["id"]), _stack(v["v"], width), k, unit)]
+        columns = zip(*rows) if rows else ([], [], [])
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["qid", "id", "score"])
+
+    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(run, "qid long, id long, score double")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    out = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best).cast("long"))
+    out = found.withColumn("rank", F.row_number().over(best).cast("long"))
     return out.filter(F.col("rank") <= k).select("qid", F.col("id").alias(key), "score", "rank")

@@ -13,7 +13,10 @@ from . import dense, lexical
 def rrf(runs: list[DataFrame], limit: int, rrf_k: int = 60, key: str = "doc_id") -> DataFrame:
     """qid, key, score, rank: sums of 1 / (k + rank); a list without the item adds nothing."""
     both = reduce(DataFrame.unionByName, [r.select("qid", F.col(key).cast("long").alias(key), "rank") for r in runs])
-    scored = both.groupBy("qid", key).agg(F.round(F.sum(1 / (rrf_k + F.col("rank"))), 6).alias("score"))
+    # a list for each run at most; summed in order of size, so that equal ranks in other lists tie
+    ranks = F.array_sort(F.collect_list("rank"))
+    total = F.aggregate(ranks, F.lit(0.0), lambda t, r: t + 1 / (rrf_k + r))
+    scored = both.groupBy("qid", key).agg(total.alias("score"))
     return lexical.top_k(scored, limit, key=key).select("qid", key, "score", "rank")
 
 

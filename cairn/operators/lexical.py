@@ -1,11 +1,18 @@
 """An inverted index as DataFrames, and BM25 over it.
 
 A term is the string itself. Searches tokenise the corpus once, keep only the terms the
-queries ask for before anything is shuffled, and pre-aggregate by document.
+queries ask for before anything is shuffled, and bring a document's terms together. Once
+their frequencies are known, a document is scored for all queries of a block in its own
+task, and each task passes on its k best of each query: what is shuffled does not grow
+with queries times documents. Blocks of queries are bounded; more take more blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +20,10 @@ from ..functions.bands import annotate_query
 
 SPLITTER = r"[^\p{L}\p{N}_]+"
 MOST_QUERY_TERMS = 1_000_000
+BLOCK_TERMS = 1_000_000
+"""Terms of all queries of a block, repeats over queries included."""
+MOST_PAIRS = 1 << 21
+"""Pairs of a posting and a query that a task looks at in one step."""
 EVERY = ""
 """Stands in every document, once; tokens are never empty."""
 
@@ -26,16 +37,20 @@ def query_terms(text: Column, bands: bool = False) -> Column:
     return F.array_distinct(tokens(annotate_query(text) if bands else text))
 
 
-def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, term, tf, len: one exchange, with counts combined before it."""
+def index(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Postings (key, term, tf, len) and statistics (n, avg_len in one row) of one scan and one exchange, counts combined before it."""
     rows = docs.select(key, tokens(F.col("text")).alias("t"))
-    rows = rows.select(key, F.size("t").cast("long").alias("len"), F.explode("t").alias("term"))
-    return rows.groupBy(key, "term", "len").agg(F.count("*").alias("tf")).select(key, "term", "tf", "len")
+    rows = rows.select(key, F.size("t").cast("long").alias("len"), F.explode(F.concat("t", F.array(F.lit(EVERY)))).alias("term"))
+    # a condition on what is aggregated stays above the exchange, so that both results share it
+    tf = rows.groupBy(key, "term", "len").agg(F.count("*").alias("tf"), F.max(F.col("term") == EVERY).alias("every"))
+    once = F.when(F.col("every"), F.col("tf"))
+    stats = tf.agg(F.coalesce(F.sum(once), F.lit(0)).alias("n"), F.try_divide(F.sum(once * F.col("len")), F.sum(once)).alias("avg_len"))
+    return tf.filter(~F.col("every")).select(key, "term", "tf", "len"), stats
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """n and avg_len in one row."""
-    return docs.select(F.size(tokens(F.col("text"))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, term, tf, len: one exchange, with counts combined before it."""
+    return index(docs, key)[0]
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -53,38 +68,132 @@ def saturation(tf: Column, length: Column, avg_len: Column, k1: float = 1.2, b:
 
 
 def top_k(scored: DataFrame, k: int, query: str = "qid", key: str = "doc_id") -> DataFrame:
-    """The k best of each query: rounded score falling, then key."""
+    """The k best of each query: score falling, then key."""
     best = Window.partitionBy(query).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
 
 
+def _add_in_order(cell: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Sums by cell, smallest value first: equal addends have equal sums, in whatever order they come."""
+    order = np.lexsort((value, cell))
+    return np.bincount(cell[order], value[order], n)
+
+
+class QueryBlock:
+    """Which queries of a block ask for a term, and the term's weight."""
+
+    def __init__(self, asked: list[tuple[int, str]], idf_of: dict[str, float]):
+        self.terms = sorted({t for _, t in asked if t in idf_of})
+        number = {t: i for i, t in enumerate(self.terms)}
+        self.qids = np.array(sorted({q for q, _ in asked}), np.int64)
+        pairs = sorted((number[t], int(np.searchsorted(self.qids, q))) for q, t in asked if t in number)
+        self.owner = np.array([q for _, q in pairs], np.int64)
+        self.start = np.searchsorted(np.array([t for t, _ in pairs], np.int64), np.arange(len(self.terms) + 1))
+        self.weight = np.array([idf_of[t] for t in self.terms])
+
+
+class Best:
+    """The k best (score, document) of each query of a block."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.score, self.query, self.doc = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, score: np.ndarray, query: np.ndarray, doc: np.ndarray) -> None:
+        may = score >= self.least[query]
+        score, query, doc = (np.concatenate(x) for x in zip((self.score, self.query, self.doc), (score[may], query[may], doc[may])))
+        order = np.lexsort((doc, -score, query))
+        score, query, doc = score[order], query[order], doc[order]
+        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, int)
+        nth = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+        last = nth == self.k - 1
+        self.least[query[last]] = score[last]
+        self.score, self.query, self.doc = (x[nth < self.k] for x in (score, query, doc))
+
+
+def _scores(shared, variants: dict[str, float], avg_len: float, k: int, k1: float):
+    """Maps rows (id, len, terms with repeats) to the k best documents of each query and variant in the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: QueryBlock = shared.value
+        number = {t: i for i, t in enumerate(block.terms)}
+        best = [Best(len(block.qids), k) for _ in variants]
+        for batch in batches:
+            ids, length = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1))
+            lists = batch.column(2)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+            term = np.array([number.get(t, -1) for t in lists.flatten().to_pylist()], np.int64)
+            cell, tf = np.unique((row * max(1, len(number)) + term)[term >= 0], return_counts=True)
+            row, term = np.divmod(cell, max(1, len(number)))
+            asks = block.start[term + 1] - block.start[term]  # queries for each posting
+            ends = np.cumsum(asks)
+            at = 0
+            while at < len(cell):  # whole documents, of a bounded number of pairs with queries or one
+                upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_PAIRS, "right"))
+                upto = max(int(np.searchsorted(row, row[min(upto, len(row) - 1)])) if upto < len(row) else len(row), int(np.searchsorted(row, row[at], "right")))
+                some = slice(at, upto)
+                n = asks[some]
+                one = np.repeat(block.start[term[some]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                pair, dense = np.unique(np.repeat(row[some], n) * len(block.qids) + block.owner[one], return_inverse=True)
+                doc, query = np.divmod(pair, max(1, len(block.qids)))
+                for found, b in zip(best, variants.values()):
+                    w = block.weight[term[some]] * (tf[some] * (k1 + 1) / (tf[some] + k1 * (1 - b + b * length[row[some]] / avg_len)))
+                    found.add(_add_in_order(dense, np.repeat(w, n), len(pair)), query, ids[doc])
+                at = upto
+        for name, found in zip(variants, best):
+            if len(found.score):
+                columns = [pa.array([name] * len(found.score)), pa.array(block.qids[found.query]), pa.array(found.doc), pa.array(found.score)]
+                yield pa.RecordBatch.from_arrays(columns, names=["collection", "qid", "id", "score"])
+
+    return run
+
+
 def search_variants(queries: DataFrame, docs: DataFrame, variants: dict[str, float], k: int = 10, k1: float = 1.2, avg_len: float | None = None, key: str = "doc_id", bands: bool = False) -> DataFrame:
     """collection, qid, key, score, rank of the k best documents of each query (qid, text), for each named b.
 
-    The corpus is tokenised and counted once for all variants; they differ in the weight of a posting only.
+    Queries and documents without an id have no results; such documents count in the statistics. The corpus is tokenised and counted once for all variants; they differ in the weight of a posting only.
     """
-    asked = queries.select("qid", F.explode(query_terms(F.col("text"), bands)).alias("term"))
-    n_terms = asked.count()
-    hint = F.broadcast if n_terms <= MOST_QUERY_TERMS else (lambda df: df)
-    # each document adds one row for EVERY, so that sizes, counts and statistics come from one exchange;
-    # what follows sums over all its rows, as a filter would go below it and make another scan
-    wanted = hint(asked.select("term").union(queries.sparkSession.createDataFrame([(EVERY,)], "term string").coalesce(1)).distinct())
-    rows = docs.select(key, tokens(F.col("text")).alias("t")).select(key, F.size("t").cast("long").alias("len"), F.explode(F.concat("t", F.array(F.lit(EVERY)))).alias("term"))
-    tf = rows.join(wanted, "term").groupBy(key, "term", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"))
-    once = F.when(F.col("term") == EVERY, F.col("tf"))
-    stats = tf.agg(F.coalesce(F.sum(once), F.lit(0)).alias("n"), F.try_divide(F.sum(once * F.col("len")), F.sum(once)).alias("avg_len"))
-    # one row of statistics, and as many rows of df as there are distinct query terms
-    weights = df.join(F.broadcast(stats), how="cross")
-    weights = weights.select("term", idf(F.col("n"), F.col("df")).alias("idf"), (F.col("avg_len") if avg_len is None else F.lit(float(avg_len))).alias("avg_len"))
-    weighted = tf.join(hint(weights), "term")
-    weigh = lambda b: F.col("idf") * saturation(F.col("tf"), F.col("len"), F.col("avg_len"), k1, b)
-    weighted = weighted.select(key, "term", *(weigh(b).alias(f"w{i}") for i, b in enumerate(variants.values())))
-    scored = weighted.join(hint(asked), "term").groupBy("qid", key).agg(*(F.round(F.sum(f"w{i}"), 6).alias(f"w{i}") for i in range(len(variants))))
-    named = F.inline(F.array(*(F.struct(F.lit(name).alias("collection"), F.col(f"w{i}").alias("score")) for i, name in enumerate(variants))))
-    best = Window.partitionBy("collection", "qid").orderBy(F.desc("score"), key)
-    ranked = scored.select("qid", key, named).withColumn("rank", F.row_number().over(best).cast("long"))
-    return ranked.filter(F.col("rank") <= k).select("collection", "qid", key, "score", "rank")
+    spark = queries.sparkSession
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.explode(query_terms(F.col("text"), bands)).alias("term")).filter("qid IS NOT NULL").distinct()
+    n_asked = asked.count()
+    hint = F.broadcast if n_asked <= MOST_QUERY_TERMS else (lambda df: df)
+    # each document adds one row for EVERY, so that sizes, counts and statistics come from one exchange
+    wanted = hint(asked.select(F.col("term").alias("want")).union(spark.createDataFrame([(EVERY,)], "want string").coalesce(1)).distinct())
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64("text").alias("own"), tokens(F.col("text")).alias("t"))
+    rows = rows.select("id", "own", F.size("t").cast("long").alias("len"), F.explode(F.concat("t", F.array(F.lit(EVERY)))).alias("term"))
+    held = rows.join(wanted, rows.term == wanted.want).groupBy("id", "own", "len").agg(F.collect_list("term").alias("terms"))
+    # rows alike in id and text stand together; each counts
+    copies = F.size(F.filter("terms", lambda t: t == EVERY))
+    df = held.select(copies.alias("copies"), F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("copies").alias("df"))
+    n, mean = held.select(copies.alias("c"), "len").agg(F.coalesce(F.sum("c"), F.lit(0)), F.try_divide(F.sum(F.col("c") * F.col("len")), F.sum("c"))).first()
+    mean = float(mean or 0.0) if avg_len is None else float(avg_len)
+    weights = df.filter(F.col("term") != EVERY).select("term", idf(F.lit(n), F.col("df")).alias("idf"))
+    blocks = max(1, -(-n_asked // BLOCK_TERMS))
+    found = None
+    for b in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else asked
+        pairs = [tuple(r) for r in own.collect()]  # BLOCK_TERMS rows at most, but for chance
+        if not pairs:
+            continue
+        of = {r["term"]: r["idf"] for r in weights.join(own.select("term").distinct(), "term", "left_semi").collect()}
+        scored = held.select("id", "len", F.filter("terms", lambda t: t != EVERY).alias("terms"), copies.alias("copies")).filter((F.size("terms") > 0) & F.col("id").isNotNull())
+        # several rows in one have their terms as often
+        one = F.when(F.col("copies") == 1, F.col("terms")).otherwise(_share(F.col("terms"), F.col("copies")))
+        scored = scored.select("id", "len", one.alias("terms"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+        shared = spark.sparkContext.broadcast(QueryBlock(pairs, of))
+        part = scored.mapInArrow(_scores(shared, variants, mean, k, k1), "collection string, qid long, id long, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "collection string, qid long, id long, score double")
+    best = Window.partitionBy("collection", "qid").orderBy(F.desc("score"), "id")
+    ranked = found.withColumn("rank", F.row_number().over(best).cast("long"))
+    return ranked.filter(F.col("rank") <= k).select("collection", "qid", F.col("id").alias(key), "score", "rank")
+
+
+def _share(terms: Column, copies: Column) -> Column:
+    """Of the terms of so many equal texts those of one."""
+    ordered = F.array_sort(terms)
+    return F.filter(ordered, lambda t, i: F.pmod(i, copies) == 0)
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, avg_len: float | None = None, key: str = "doc_id", bands: bool = False) -> DataFrame:

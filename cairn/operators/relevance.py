@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import normalize_text
@@ -12,24 +12,39 @@ from ..functions.clean import normalize_text
 QUESTION_BYTES = 32 << 20
 
 
+def _key_word(phrase: Column) -> Column:
+    """The longest word of a phrase that stands whole in any text with the phrase: neither its first nor its last; null without one."""
+    words = F.split(phrase, r"\s+", -1)
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    return F.get(F.array_sort(inner, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 0)
+
+
 def qrels(questions: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """qid, key, grade 1 where a chunk answers: source allowed, section and phrase contained.
 
-    A block of questions is held to about QUESTION_BYTES before it goes to every task of a scan of
-    chunks; more questions take more blocks, each its own scan.
+    Questions meet the chunks that hold a word of their phrase, by an equality join; what they meet is verified.
+    Phrases without such a word (of one or two words) are looked for in every chunk. A block of questions is held
+    to about QUESTION_BYTES before it goes to every task of a scan; more questions take more blocks.
     """
     want = questions.select("qid", "expected_source", normalize_text(F.col("expected_section")).alias("want"), F.coalesce("expected_phrase", F.lit("")).alias("phrase"))
-    want = want.filter("want <> '' AND phrase <> ''")
-    sources = F.octet_length(F.concat_ws("", "expected_source")) + 16 * F.greatest(F.coalesce(F.size("expected_source"), F.lit(0)), F.lit(0))
-    held = want.agg(F.sum((F.octet_length("want") + F.octet_length("phrase") + sources + 64).cast("long")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-held // QUESTION_BYTES))
+    want = want.filter("want <> '' AND phrase <> ''").withColumn("key_word", _key_word(F.col("phrase")))
     any_source = F.coalesce(F.size("expected_source"), F.lit(0)) <= 0
     have = chunks.select(key, "source", normalize_text(F.col("section")).alias("section"), F.coalesce("text", F.lit("")).alias("text"))
     same = (any_source | F.array_contains("expected_source", F.col("source"))) & F.col("section").contains(F.col("want")) & F.col("text").contains(F.col("phrase"))
-    # by the whole question, as a qid may stand often
-    block = F.pmod(F.xxhash64("qid", "want", "phrase"), F.lit(blocks))
-    parts = [want.filter(block == b) if blocks > 1 else want for b in range(blocks)]
-    return reduce(DataFrame.unionByName, (have.join(F.broadcast(p), same).select("qid", key, F.lit(1).alias("grade")) for p in parts))
+    size = F.octet_length("want") + F.octet_length("phrase") + F.octet_length(F.concat_ws("", "expected_source")) + 16 * F.greatest(F.coalesce(F.size("expected_source"), F.lit(0)), F.lit(0)) + 64
+    kinds = want.groupBy(F.col("key_word").isNull().alias("short")).agg(F.sum(size.cast("long")).alias("n")).collect()
+    # only words are multiplied before the join; the text is looked at where a key word was met
+    words = have.withColumn("word", F.explode(F.array_distinct(F.split("text", r"\s+", -1))))
+    found = [have.join(F.broadcast(want), F.lit(False))]
+    for kind in kinds:
+        own = want.filter(F.col("key_word").isNull() if kind["short"] else F.col("key_word").isNotNull())
+        blocks = max(1, -(-kind["n"] // QUESTION_BYTES))
+        # by the whole question, as a qid may stand often
+        block = F.pmod(F.xxhash64("qid", "want", "phrase"), F.lit(blocks))
+        for b in range(blocks):
+            asked = F.broadcast(own.filter(block == b) if blocks > 1 else own)
+            found.append(have.join(asked, same) if kind["short"] else words.join(asked, F.col("word") == F.col("key_word")).filter(same))
+    return reduce(DataFrame.unionByName, (x.select("qid", key, F.lit(1).alias("grade")) for x in found[1:] or found))
 
 
 def qrels_size(labels: DataFrame) -> DataFrame:

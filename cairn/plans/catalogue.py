@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bands, clean, judging
-from ..operators import chunking, context, dense, fusion, lexical, metrics, relevance
+from ..config import Settings
+from ..operators import chunking, context, dense, fusion, ingest, lexical, metrics, relevance
 from ..sources import corpus, registry
 from ..sources.corpus import table
 
@@ -61,11 +62,11 @@ def digest(df: DataFrame, text: Column) -> DataFrame:
 
 
 def questions(spark, sf) -> DataFrame:
-    """Benchmark passages as phrases to be found, asked by their first three words."""
+    """Benchmark passages as phrases to be found, asked by their whole text."""
     odd = F.expr("CASE WHEN item_id % 2 = 1 THEN transform(sequence(0, 9), i -> concat('src', i)) END")
     return table(spark, sf, "benchmark").select(
         F.col("item_id").alias("qid"),
-        F.array_join(F.slice(F.split("text", " ", -1), 1, 3), " ").alias("text"),
+        "text",
         F.col("text").alias("expected_phrase"),
         F.lit("SRC").alias("expected_section"),
         odd.alias("expected_source"),
@@ -73,6 +74,11 @@ def questions(spark, sf) -> DataFrame:
     )
 
 
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Results to six places; ranks come from full values."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
 def labelled(spark, sf) -> DataFrame:
     return relevance.qrels(questions(spark, sf), documents(spark, sf).withColumn("section", F.col("source")))
 
@@ -119,20 +125,21 @@ def build_index(spark, sf):
 
 def registry_latest(spark, sf):
     built = table(spark, sf, "events").select("event_type", "ts", "event_id", "user_id")
-    known = registry.latest(built, "event_type", "ts", "event_id")
+    fresh = spark.createDataFrame([("click", None, -5, 7), ("build", None, -6, None)], built.schema)
+    known = registry.upsert(registry.latest(built, "event_type", "ts", "event_id"), fresh.select("event_type", "ts", "event_id", "user_id"), "event_type")
     asked = spark.createDataFrame([("click",), ("view",), ("nothing",)], "event_type string").unionByName(known.select("event_type")).distinct()
     return asked.join(known, "event_type", "left").select("event_type", F.coalesce("event_id", F.lit(-1)).alias("event_id"), F.coalesce(F.col("user_id").cast("string"), F.lit("unknown")).alias("built_by"))
 
 
 def runs_leaderboard(spark, sf):
-    logged = table(spark, sf, "events").groupBy(F.col("user_id").alias("run_name")).agg(F.create_map(F.lit("mrr_at_10"), F.round(F.avg("value"), 6)).alias("metrics"), F.count("*").alias("questions"))
-    return registry.leaderboard(logged).select("run_name", "mrr_at_10", "questions")
+    logged = table(spark, sf, "events").groupBy(F.col("user_id").alias("run_name")).agg(F.create_map(F.lit("mrr_at_10"), F.avg("value")).alias("metrics"), F.count("*").alias("questions"))
+    return rounded(registry.leaderboard(logged).select("run_name", "mrr_at_10", "questions"), "mrr_at_10")
 
 
 def metric_rows(spark, sf):
     wide = metrics.hit_rates(ranked(spark, sf), ("collection",))
     names = [c for c in wide.columns if "@" in c]
-    return wide.unpivot("collection", [f"`{c}`" for c in names], "metric", "value").select("collection", registry.metric_name(F.col("metric")).alias("metric"), "value")
+    return wide.unpivot("collection", [f"`{c}`" for c in names], "metric", "value").select("collection", registry.metric_name(F.col("metric")).alias("metric"), F.round("value", 6).alias("value"))
 
 
 # --- cleaning ---
@@ -238,6 +245,15 @@ def chunk_recursive(spark, sf):
     return chunking.chunk_recursive(documents(spark, sf).select("doc_id", "text")).select("doc_id", "chunk_no", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
 
 
+def ingest_corpus(spark, sf):
+    """Every step of the way into an index, on marked-up documents with an embed each."""
+    docs = documents(spark, sf).select("doc_id", F.expr(FILE_NAME).alias("name"))
+    texts = _with_embeds(spark, sf).select("doc_id", F.col("text").alias("head")).join(marked(spark, sf), "doc_id")
+    docs = docs.join(texts.select("doc_id", F.concat("text", "head").alias("text")), "doc_id")
+    out = ingest.ingest(docs, Settings())
+    return out.select("chunk_id", "doc_id", "section_no", "chunk_no", "section", "source", "style", "boss", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
 def chunk_metadata(spark, sf):
     name = F.expr(FILE_NAME)
     docs = documents(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), name.alias("name"))
@@ -249,8 +265,8 @@ def chunk_metadata(spark, sf):
 
 
 def bm25_postings(spark, sf):
-    docs = documents(spark, sf)
-    index = lexical.postings(docs).join(F.broadcast(lexical.corpus_stats(docs)), how="cross")
+    postings, stats = lexical.index(documents(spark, sf))
+    index = postings.join(F.broadcast(stats), how="cross")  # one row
     return index.select("doc_id", "term", "tf", F.round(lexical.saturation(F.col("tf"), F.col("len"), F.col("avg_len")), 6).alias("weight"))
 
 
@@ -259,12 +275,11 @@ def query_terms(spark, sf):
 
 
 def idf(spark, sf):
-    docs = documents(spark, sf)
-    return lexical.term_idf(lexical.postings(docs), lexical.corpus_stats(docs)).withColumn("idf", F.round("idf", 6))
+    return rounded(lexical.term_idf(*lexical.index(documents(spark, sf))), "idf")
 
 
 def bm25_topk(spark, sf):
-    return lexical.search(questions(spark, sf), documents(spark, sf), 10)
+    return rounded(lexical.search(questions(spark, sf), documents(spark, sf), 10), "score")
 
 
 def token_overlap(spark, sf):
@@ -276,16 +291,16 @@ def token_overlap(spark, sf):
 
 
 def _vector_queries(spark, sf) -> DataFrame:
-    return table(spark, sf, "embeddings").join(F.broadcast(table(spark, sf, "benchmark").select("item_id")), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("qid"), F.col("embedding").alias("v"))
+    return table(spark, sf, "embeddings").join(table(spark, sf, "benchmark").select("item_id"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("qid"), F.col("embedding").alias("v"))
 
 
 def dense_topk(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    return dense.top_k(vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), vectors, 10)
+    return rounded(dense.top_k(vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), vectors, 10), "score")
 
 
 def rrf_fusion(spark, sf):
-    return fusion.hybrid(questions(spark, sf), _vector_queries(spark, sf), documents(spark, sf), table(spark, sf, "embeddings"), 10)
+    return rounded(fusion.hybrid(questions(spark, sf), _vector_queries(spark, sf), documents(spark, sf), table(spark, sf, "embeddings"), 10), "score")
 
 
 def hybrid_search(spark, sf):
@@ -295,7 +310,7 @@ def hybrid_search(spark, sf):
 
 def filtered_search(spark, sf):
     """The filter stands below scoring: statistics and candidates are those of the filtered collection."""
-    return lexical.search(questions(spark, sf), documents(spark, sf).filter("lang = 'en'"), 10)
+    return rounded(lexical.search(questions(spark, sf), documents(spark, sf).filter("lang = 'en'"), 10), "score")
 
 
 def format_context(spark, sf):
@@ -329,31 +344,40 @@ def stratified_limit(spark, sf):
 
 
 def reciprocal_rank(spark, sf):
-    return ranked(spark, sf).withColumn("first_rank", F.coalesce("first_rank", F.lit(0)))
+    return rounded(ranked(spark, sf), "rr").withColumn("first_rank", F.coalesce("first_rank", F.lit(0)))
 
 
 def hit_rates(spark, sf):
     wide = metrics.hit_rates(ranked(spark, sf), ("collection",))
-    return wide.select("collection", *(F.col(f"`{c}`").alias(c.replace("@", "_at_")) for c in wide.columns if c != "collection"))
+    names = [c for c in wide.columns if "@" in c]
+    return wide.select("collection", *(F.round(F.col(f"`{c}`"), 6).alias(c.replace("@", "_at_")) for c in names), "questions")
 
 
 def mrr_by_tag(spark, sf):
     tags = questions(spark, sf).select("qid", F.explode("tags").alias("tag"))
-    return metrics.mrr_by_tag(tags, ranked(spark, sf), [BASE, FLAT])
+    return rounded(metrics.mrr_by_tag(tags, ranked(spark, sf), [BASE, FLAT]), BASE, FLAT)
 
 
 def paired_ttest(spark, sf):
-    return metrics.paired_t(ranked(spark, sf), BASE)
+    return rounded(metrics.paired_t(ranked(spark, sf), BASE), "mean_diff", "t", "p")
 
 
-def compare_ranks(spark, sf):
+def _compared(spark, sf) -> DataFrame:
     labels = labelled(spark, sf)
     asked, docs = questions(spark, sf), documents(spark, sf)
     of = lambda name: metrics.first_ranks(asked, lexical.search(asked, docs, b=LENGTH_WEIGHT[name]), labels)
-    out = metrics.compare_ranks(of(BASE), of(FLAT))
+    return metrics.compare_ranks(of(BASE), of(FLAT))
+
+
+def compare_ranks(spark, sf):
+    out = rounded(_compared(spark, sf), "top_a", "top_b")
     return out.withColumns({x: F.coalesce(x, F.lit(metrics.K + 1)) for x in ("rank_a", "rank_b")})
 
 
+def rank_changes(spark, sf):
+    return metrics.rank_changes(_compared(spark, sf))
+
+
 # --- judging ---
 
 
@@ -375,6 +399,23 @@ def parse_score(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", judging.relevancy(F.expr(RATING)).alias("relevancy"))
 
 
+def judge_attempts(spark, sf):
+    """Two replies to each question: what was read, how often a reply was unreadable, and where both were."""
+    said, rated = (F.array(F.expr(e), F.expr(e.replace("conv_id + turn", "conv_id + turn * 3"))) for e in (REPLY, RATING))
+    verdict_retries, verdict_failed = judging.attempts(said, judging.yes_no)
+    rating_retries, rating_failed = judging.attempts(rated, judging.relevancy)
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", judging.first_yes_no(said).alias("verdict"), verdict_retries.alias("verdict_retries"), verdict_failed.alias("verdict_failed"),
+        judging.first_relevancy(rated).alias("relevancy"), rating_retries.alias("rating_retries"), rating_failed.alias("rating_failed"),
+    )
+
+
+def answer_timing(spark, sf):
+    """Answers that took a tenth of a second for each character."""
+    answers = table(spark, sf, "conversations").select((F.length("text") / 10).alias("seconds"))
+    return rounded(judging.timing(answers), "minutes", "seconds_each")
+
+
 def score_record(spark, sf):
     return judging.score_record(table(spark, sf, "labels").select(*(F.expr(e).alias(n) for n, e in SCORED.items())))
 
@@ -394,12 +435,12 @@ NAMES = """
 scan_corpus index_stats source_parts load_chunks build_index registry_latest runs_leaderboard metric_rows
 expand_tokens unmapped_codes collapse_repeats tidy_links embed_to_text flatten_embeds strip_markup normalize_bullets tidy_blank_lines clean_corpus shrinkage normalize_text section_of
 band_tokens annotate_lines annotate_query strip_tokens
-section_lines sections chunk_fixed chunk_recursive chunk_metadata
+section_lines sections chunk_fixed chunk_recursive chunk_metadata ingest_corpus
 bm25_postings query_terms idf bm25_topk token_overlap
 dense_topk rrf_fusion hybrid_search filtered_search format_context
 qrels qrels_size unlabelled_questions stratified_limit
-reciprocal_rank hit_rates mrr_by_tag paired_ttest compare_ranks
-split_claims refusal_flag parse_yes_no parse_score score_record faithfulness generation_summary
+reciprocal_rank hit_rates mrr_by_tag paired_ttest compare_ranks rank_changes
+split_claims refusal_flag parse_yes_no parse_score judge_attempts answer_timing score_record faithfulness generation_summary
 """.split()
 
 QUERIES = {name: globals()[name] for name in NAMES}

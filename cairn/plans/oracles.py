@@ -50,6 +50,7 @@ def digest(inner: str, expr: str) -> str:
     return f"SELECT doc_id, length(x)::BIGINT AS chars, md5(x) AS digest FROM (SELECT doc_id, {expr} AS x FROM ({inner}))"
 
 
+#: Fixed values, as in the band functions: here in RE2's dialect, which has no look-ahead.
 _P = (
     r"\b(\d{1,5})\s*%?\s*[-–]\s*(\d{1,5})\s*%",
     r"\b(\d{1,5})\s*%\s*\+",
@@ -82,7 +83,7 @@ st AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM dl),
 tf AS (SELECT doc_id, term, len, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM dl) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 idf AS (SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM df, st)"""
-QUESTIONS = """qs AS (SELECT item_id AS qid, array_to_string(string_split(text, ' ')[1:3], ' ') AS text, text AS phrase, length(text) % 3 AS k FROM benchmark)"""
+QUESTIONS = """qs AS (SELECT item_id AS qid, text, text AS phrase, length(text) % 3 AS k FROM benchmark)"""
 
 
 def weight(b: float) -> str:
@@ -91,7 +92,7 @@ def weight(b: float) -> str:
 
 def d_search(name: str, b: float, k: int = 10) -> str:
     return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (
-  SELECT qid, doc_id, round(sum(idf * {weight(b)}), 6) AS score FROM (SELECT DISTINCT qid, unnest({tokens('text')}) AS term FROM qs) JOIN tf USING (term) JOIN idf USING (term), st GROUP BY qid, doc_id)) WHERE rank <= {k})"""
+  SELECT qid, doc_id, list_reduce(list_sort(list(idf * {weight(b)})), lambda x, y: x + y) AS score FROM (SELECT DISTINCT qid, unnest({tokens('text')}) AS term FROM qs) JOIN tf USING (term) JOIN idf USING (term), st GROUP BY qid, doc_id)) WHERE rank <= {k})"""
 
 
 SEARCH = "WITH " + INDEX.replace("__WHERE__", "") + ", " + QUESTIONS
@@ -100,19 +101,25 @@ QRELS = """rel AS (SELECT qid, doc_id, 1 AS grade FROM qs JOIN documents d ON co
 RUNS = f"""{SEARCH}, {d_search('ra', 0.75)}, {d_search('rb', 0.0)}, {QRELS},
 runs AS (SELECT 'base' AS collection, * FROM ra UNION ALL SELECT 'flat', * FROM rb),
 asked AS (SELECT DISTINCT qid, collection FROM rel, (SELECT unnest(['base', 'flat']) AS collection)),
-rr AS (SELECT a.collection, a.qid, min(rank) AS first_rank, coalesce(round(1 / min(rank), 6), 0.0) AS rr
+rr AS (SELECT a.collection, a.qid, min(rank) AS first_rank, coalesce(1 / min(rank), 0.0) AS rr
   FROM asked a LEFT JOIN (SELECT runs.* FROM runs SEMI JOIN rel ON runs.qid = rel.qid AND runs.doc_id = rel.doc_id) r ON a.qid = r.qid AND a.collection = r.collection GROUP BY a.collection, a.qid)"""
 _rate = lambda k: f"round(avg(CASE WHEN first_rank <= {k} THEN 1.0 ELSE 0.0 END), 6)"
 RATES = "SELECT collection, " + ", ".join(f"{_rate(k)} AS hit_rate_at_{k}" for k in (1, 3, 5, 10)) + ", round(avg(rr), 6) AS mrr_at_10, count(*) AS questions FROM rr GROUP BY collection"
 
+COMPARED = f"""{RUNS}, top AS (SELECT collection, qid, max(score) AS top FROM runs GROUP BY ALL),
+f AS (SELECT qs.qid, c.collection, rr.first_rank, coalesce(top.top, 0.0) AS top FROM qs CROSS JOIN (SELECT unnest(['base', 'flat']) AS collection) c LEFT JOIN rr ON rr.qid = qs.qid AND rr.collection = c.collection LEFT JOIN top ON top.qid = qs.qid AND top.collection = c.collection),
+c AS (SELECT a.qid, a.first_rank AS rank_a, a.top AS top_a, b.first_rank AS rank_b, b.top AS top_b,
+  CASE WHEN coalesce(b.first_rank, 11) < coalesce(a.first_rank, 11) THEN 'better' WHEN coalesce(b.first_rank, 11) > coalesce(a.first_rank, 11) THEN 'worse' ELSE 'tie' END AS change
+  FROM f a JOIN f b ON a.qid = b.qid AND a.collection = 'base' AND b.collection = 'flat')"""
+
 _NEAR = """(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (
-  SELECT a.qid, b.vec_id, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) AS score
+  SELECT a.qid, b.vec_id, list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) AS score
   FROM (__Q__) a, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) b))"""
 near = lambda queries: _NEAR.replace("__Q__", queries)
 RRF = f"""{SEARCH}, {d_search('sparse', 0.75, 40)},
 dense AS (SELECT qid, vec_id AS doc_id, rank FROM {near('SELECT item_id AS qid, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON item_id = vec_id')} WHERE rank <= 40),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (
-  SELECT qid, doc_id, round(sum(1 / (60 + rank)), 6) AS score FROM (SELECT qid, doc_id, rank FROM sparse UNION ALL SELECT * FROM dense) GROUP BY qid, doc_id)) WHERE rank <= 10)"""
+  SELECT qid, doc_id, list_reduce(list_sort(list(1 / (60 + rank))), lambda x, y: x + y) AS score FROM (SELECT qid, doc_id, rank FROM sparse UNION ALL SELECT * FROM dense) GROUP BY qid, doc_id)) WHERE rank <= 10)"""
 
 _h1, _h2, _h3 = "CASE WHEN doc_id % 2 = 0 THEN lang END", "CASE WHEN doc_id % 3 = 0 THEN source END", "CASE WHEN doc_id % 5 = 0 THEN 'deep' END"
 _w = "OVER (PARTITION BY doc_id ORDER BY line_no)"
@@ -135,6 +142,8 @@ SCORES = (
     "  CASE WHEN NOT empty AND answerable AND NOT coalesce(refused, false) THEN relevancy END AS relevancy FROM s1)"
 )
 _yes = lambda r: f"CASE WHEN regexp_matches(lower({r}), '\\byes\\b') THEN true WHEN regexp_matches(lower({r}), '\\bno\\b') THEN false END"
+_rating = lambda r: f"least(try_cast(nullif(regexp_extract({r}, '\\d+(?:\\.\\d+)?'), '') AS DOUBLE) / 10, CASE WHEN regexp_matches({r}, '\\d') THEN 1.0 END)"
+_tries = lambda a, b: f"CASE WHEN {a} IS NOT NULL THEN 0 WHEN {b} IS NOT NULL THEN 1 ELSE 2 END::BIGINT"
 
 ORACLES = {
     "scan_corpus": f"SELECT doc_id, source, length(text)::BIGINT AS chars, len(string_split(text, {NL}))::BIGINT AS lines FROM documents",
@@ -143,9 +152,10 @@ ORACLES = {
     "load_chunks": "SELECT doc_id, coalesce(source, '') AS source, regexp_replace(lower(coalesce(lang, '')), '[^a-z0-9]', '', 'g') AS section, md5(coalesce(CASE WHEN doc_id % 3 = 1 THEN nullif(text, '') END, CASE WHEN doc_id % 6 <> 0 THEN text END, '')) AS digest FROM documents",
     "build_index": "SELECT row_number() OVER (ORDER BY source NULLS FIRST, doc_id) - 1 AS chunk_id, doc_id, source FROM documents",
     "registry_latest": """WITH k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events),
-a AS (SELECT unnest(['click', 'view', 'nothing']) AS event_type UNION SELECT event_type FROM events)
-SELECT a.event_type, coalesce(k.event_id, -1) AS event_id, coalesce(k.user_id::VARCHAR, 'unknown') AS built_by FROM a LEFT JOIN k ON a.event_type = k.event_type AND k.n = 1""",
-    "runs_leaderboard": "SELECT user_id AS run_name, round(avg(value), 6) AS mrr_at_10, count(*) AS questions FROM events GROUP BY user_id ORDER BY 2 DESC NULLS LAST, 1",
+a AS (SELECT unnest(['click', 'view', 'nothing', 'build']) AS event_type UNION SELECT event_type FROM events)
+SELECT a.event_type, CASE a.event_type WHEN 'click' THEN -5 WHEN 'build' THEN -6 ELSE coalesce(k.event_id, -1) END AS event_id,
+  CASE a.event_type WHEN 'click' THEN '7' WHEN 'build' THEN 'unknown' ELSE coalesce(k.user_id::VARCHAR, 'unknown') END AS built_by FROM a LEFT JOIN k ON a.event_type = k.event_type AND k.n = 1""",
+    "runs_leaderboard": "SELECT user_id AS run_name, round(avg(value), 6) AS mrr_at_10, count(*) AS questions FROM events GROUP BY user_id ORDER BY avg(value) DESC NULLS LAST, 1",
     "metric_rows": f"{RUNS}, w AS ({RATES}) UNPIVOT (SELECT * EXCLUDE (questions) FROM w) ON * EXCLUDE (collection) INTO NAME metric VALUE value",
     "expand_tokens": digest(MARKED, d_expand("text")),
     "unmapped_codes": f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '<:([a-zA-Z0-9_]+):\\d+>', 1), lambda x: NOT list_contains([{', '.join(map(q, NAMES))}], x)))), ' ') AS codes FROM ({MARKED})",
@@ -170,14 +180,14 @@ SELECT doc_id, line_no::BIGINT AS line_no, md5(line) AS line, CAST(sum(CASE WHEN
     "bm25_postings": f"WITH {INDEX.replace('__WHERE__', '')} SELECT doc_id, term, tf, round({weight(0.75)}, 6) AS weight FROM tf, st",
     "query_terms": f"SELECT item_id, array_to_string(list_sort(list_distinct({tokens('text')})), ' ') AS terms FROM benchmark",
     "idf": f"WITH {INDEX.replace('__WHERE__', '')} SELECT term, df, round(idf, 6) AS idf FROM idf",
-    "bm25_topk": f"{SEARCH}, {d_search('r', 0.75)} SELECT qid, doc_id, score, rank FROM r",
+    "bm25_topk": f"{SEARCH}, {d_search('r', 0.75)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM r",
     "token_overlap": f"""WITH p AS (SELECT item_id, list_distinct({tokens('b.text')}) AS x, list_distinct({tokens('d.text')}) AS y FROM benchmark b JOIN documents d ON item_id = doc_id),
 o AS (SELECT item_id, list_sort(list_intersect(x, y)) AS s, list_sort(list_filter(x, lambda t: NOT list_contains(y, t))) AS a, list_sort(list_filter(y, lambda t: NOT list_contains(x, t))) AS b FROM p)
 SELECT item_id, array_to_string(s, ' ') AS shared, array_to_string(a, ' ') AS only_a, array_to_string(b, ' ') AS only_b, len(a) = 0 AND len(b) = 0 AS same FROM o""",
-    "dense_topk": f"SELECT qid, vec_id, score, rank FROM {near('SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0')} WHERE rank <= 10",
-    "rrf_fusion": f"{RRF} SELECT qid, doc_id, score, rank FROM fused",
+    "dense_topk": f"SELECT qid, vec_id, round(score, 6) AS score, rank FROM {near('SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0')} WHERE rank <= 10",
+    "rrf_fusion": f"{RRF} SELECT qid, doc_id, round(score, 6) AS score, rank FROM fused",
     "hybrid_search": f"{RRF} SELECT qid, rank, doc_id, source, md5(text) AS digest FROM fused JOIN (SELECT doc_id, source, text FROM documents) USING (doc_id)",
-    "filtered_search": f"WITH {INDEX.replace('__WHERE__', chr(87) + 'HERE lang = ' + q('en'))}, {QUESTIONS}, {d_search('r', 0.75)} SELECT qid, doc_id, score, rank FROM r",
+    "filtered_search": f"WITH {INDEX.replace('__WHERE__', chr(87) + 'HERE lang = ' + q('en'))}, {QUESTIONS}, {d_search('r', 0.75)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM r",
     "format_context": f"""{SEARCH}, {d_search('r', 0.75, 3)},
 p AS (SELECT qid, rank, '[From the ' || CASE doc_id % 3 WHEN 0 THEN 'Hybrid Melee/Magic' WHEN 1 THEN 'guide' ELSE lang END || ' guide]' || {NL} || text AS part FROM r JOIN (SELECT doc_id, lang, text FROM documents) USING (doc_id)),
 x AS (SELECT qid, string_agg(part, {NL} || {NL} ORDER BY rank) AS context FROM p GROUP BY qid)
@@ -186,19 +196,30 @@ SELECT qid, length(context)::BIGINT AS chars, md5(context) AS digest FROM x""",
     "qrels_size": f"WITH {QUESTIONS}, {QRELS} SELECT qid, count(*) AS n_relevant FROM rel GROUP BY qid",
     "unlabelled_questions": f"WITH {QUESTIONS}, {QRELS} SELECT qid FROM qs WHERE phrase <> '' AND qid NOT IN (SELECT qid FROM rel)",
     "stratified_limit": "SELECT qid, answerable FROM (SELECT item_id AS qid, item_id % 4 <> 0 AS answerable, row_number() OVER (PARTITION BY item_id % 4 <> 0 ORDER BY item_id) AS n FROM benchmark) WHERE n <= CASE WHEN answerable THEN 8 ELSE 2 END",
-    "reciprocal_rank": f"{RUNS} SELECT * REPLACE (coalesce(first_rank, 0) AS first_rank) FROM rr",
+    "reciprocal_rank": f"{RUNS} SELECT * REPLACE (coalesce(first_rank, 0) AS first_rank, round(rr, 6) AS rr) FROM rr",
     "hit_rates": f"{RUNS} {RATES}",
     "mrr_by_tag": f"""{RUNS}, tags AS (SELECT qid, unnest(['all', 'len' || k]) AS tag FROM qs)
 SELECT tag, count(*) AS n, round(avg(a.rr), 6) AS base, round(avg(coalesce(b.rr, 0)), 6) AS flat FROM tags JOIN rr a ON tags.qid = a.qid AND a.collection = 'base' LEFT JOIN rr b ON tags.qid = b.qid AND b.collection = 'flat' GROUP BY tag HAVING count(*) >= 4""",
-    "paired_ttest": f"{RUNS}, d AS (SELECT b.collection, b.rr - a.rr AS d FROM rr a JOIN rr b USING (qid) WHERE a.collection = 'base' AND b.collection = 'flat') SELECT collection, count(*) AS n, round(avg(d), 6) AS mean_diff, round(avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0), 6) AS t FROM d GROUP BY collection",
-    "compare_ranks": f"""{RUNS}, top AS (SELECT collection, qid, max(score) AS top FROM runs GROUP BY ALL),
-f AS (SELECT qs.qid, c.collection, rr.first_rank, coalesce(top.top, 0.0) AS top FROM qs CROSS JOIN (SELECT unnest(['base', 'flat']) AS collection) c LEFT JOIN rr ON rr.qid = qs.qid AND rr.collection = c.collection LEFT JOIN top ON top.qid = qs.qid AND top.collection = c.collection)
-SELECT a.qid, coalesce(a.first_rank, 11) AS rank_a, a.top AS top_a, coalesce(b.first_rank, 11) AS rank_b, b.top AS top_b, CASE WHEN coalesce(b.first_rank, 11) < coalesce(a.first_rank, 11) THEN 'better' WHEN coalesce(b.first_rank, 11) > coalesce(a.first_rank, 11) THEN 'worse' ELSE 'tie' END AS change
-FROM f a JOIN f b ON a.qid = b.qid AND a.collection = 'base' AND b.collection = 'flat'""",
+    # two-sided p: 1 minus an integral of cos^(n - 2) up to atan(|t| / sqrt(n - 1)), by Simpson's rule
+    "paired_ttest": f"""{RUNS}, d AS (SELECT b.collection, b.rr - a.rr AS d FROM rr a JOIN rr b USING (qid) WHERE a.collection = 'base' AND b.collection = 'flat'),
+s AS (SELECT collection, count(*) AS n, avg(d) AS mean_diff, avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0) AS t FROM d GROUP BY collection),
+h AS (SELECT *, atan(abs(t) / sqrt(n - 1)) / 4000 AS step FROM s),
+p AS (SELECT *, 1 - 2 / sqrt(pi()) * exp(lgamma(n / 2) - lgamma((n - 1) / 2)) * step / 3
+  * list_sum(list_transform(range(4001), lambda i: CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(i * step), n - 2))) AS p FROM h)
+SELECT collection, n, round(mean_diff, 6) AS mean_diff, round(t, 6) AS t, round(p, 6) AS p, CASE WHEN p < 0.05 THEN 'significant' WHEN p IS NOT NULL THEN 'not significant' END AS verdict FROM p""",
+    "compare_ranks": f"""{COMPARED}
+SELECT qid, coalesce(rank_a, 11) AS rank_a, round(top_a, 6) AS top_a, coalesce(rank_b, 11) AS rank_b, round(top_b, 6) AS top_b, change FROM c""",
+    "rank_changes": f"""{COMPARED}
+SELECT count(*) FILTER (coalesce(rank_a, 0) <> coalesce(rank_b, 0)) AS differing, count(*) FILTER (change = 'better') AS better, count(*) FILTER (change = 'worse') AS worse FROM c""",
     "split_claims": """SELECT conv_id, turn, len(l)::BIGINT AS n_claims, array_to_string(l, '|') AS claims FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])["'')\\]]*\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1)), lambda p: trim(p, ' -•"''')), lambda p: length(p) > 15)[1:8] AS l FROM conversations)""",
     "refusal_flag": f"SELECT conv_id, turn, CASE WHEN {' OR '.join(f'contains(lower(a), {q(x)})' for x in REFUSALS)} THEN true ELSE turn % 3 = 0 END AS refused FROM (SELECT conv_id, turn, {c.ANSWER} AS a FROM conversations)",
     "parse_yes_no": f"SELECT conv_id, turn, coalesce({_yes('a')}, {_yes('b')}) AS verdict FROM (SELECT conv_id, turn, {c.REPLY} AS a, {c.REPLY.replace('conv_id + turn', 'conv_id + turn + 1')} AS b FROM conversations)",
     "parse_score": f"SELECT conv_id, turn, least(try_cast(nullif(regexp_extract(a, '\\d+(?:\\.\\d+)?'), '') AS DOUBLE) / 10, CASE WHEN regexp_matches(a, '\\d') THEN 1.0 END) AS relevancy FROM (SELECT conv_id, turn, {c.RATING} AS a FROM conversations)",
+    "judge_attempts": f"""WITH r AS (SELECT conv_id, turn, {_yes('a')} AS y1, {_yes('b')} AS y2, {_rating('c')} AS r1, {_rating('d')} AS r2 FROM (
+  SELECT conv_id, turn, {c.REPLY} AS a, {c.REPLY.replace('conv_id + turn', 'conv_id + turn * 3')} AS b, {c.RATING} AS c, {c.RATING.replace('conv_id + turn', 'conv_id + turn * 3')} AS d FROM conversations))
+SELECT conv_id, turn, coalesce(y1, y2) AS verdict, {_tries('y1', 'y2')} AS verdict_retries, y1 IS NULL AND y2 IS NULL AS verdict_failed,
+  coalesce(r1, r2) AS relevancy, {_tries('r1', 'r2')} AS rating_retries, r1 IS NULL AND r2 IS NULL AS rating_failed FROM r""",
+    "answer_timing": "SELECT count(*) AS answers, round(sum(length(text) / 10) / 60, 6) AS minutes, round(avg(length(text) / 10), 6) AS seconds_each FROM conversations",
     "score_record": f"WITH {SCORES} SELECT * FROM s",
     "faithfulness": f"SELECT conv_id AS id, round(avg(CASE v WHEN true THEN 1.0 WHEN false THEN 0.0 END), 6) AS faithfulness FROM (SELECT conv_id, {c.VERDICT} AS v FROM conversations) GROUP BY conv_id",
     "generation_summary": f"""WITH {SCORES} SELECT round(avg(faithfulness) FILTER (answerable), 6) AS faithfulness, round(avg(relevancy) FILTER (answerable), 6) AS relevancy,

@@ -133,6 +133,16 @@ def test_scores_and_summary(spark):
     assert judging.unreliable(0.06) and not judging.unreliable(0.05)
 
 
+def test_attempts_and_timing(spark):
+    rows = [(["hm", "yes"],), (["no", "yes"],), (["hm", "?", "yes"],), ([],)]
+    df = spark.createDataFrame(rows, "r array<string>")
+    retries, failed = judging.attempts(F.col("r"), judging.yes_no)
+    assert [tuple(x) for x in df.select(retries, failed).collect()] == [(1, False), (0, False), (2, True), (0, True)]
+    assert df.select(judging.first_relevancy(F.array(F.lit("n/a"), F.lit("7")))).first()[0] == 0.7
+    timed = judging.timing(spark.createDataFrame([(30.0,), (90.0,), (None,)], "seconds double")).first()
+    assert tuple(timed) == (3, 2.0, 60.0)
+
+
 def test_settings():
     s = Settings().given(top_k=7, hybrid=None)
     assert s.top_k == 7 and s.hybrid and s.depth(0) == 7 and s.depth(2) == 2

@@ -1,5 +1,7 @@
 import math
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,9 +73,17 @@ def test_index_sinks_and_numbers(spark, tmp_path):
     rows = spark.createDataFrame([("b", 5), ("a", 9000), ("a", 3), (None, 1)], "source string, doc_id long")
     got = {r.doc_id: r.chunk_id for r in corpus.number_rows(rows, "source", "doc_id", "chunk_id").collect()}
     assert got == {1: 0, 3: 1, 9000: 2, 5: 3}
+    many = spark.createDataFrame([(["aa", "ab", "b", None][i % 4], [i * 3, -i, 2**40 + i, 7][i % 4]) for i in range(300)] + [("aa", None)], "source string, doc_id long")
+    rows_ = corpus.number_rows(many, "source", "doc_id", "n", span=3).collect()
+    keyed = sorted((r.n, (r.source is not None, r.source or ""), (r.doc_id is not None, r.doc_id or 0)) for r in rows_)
+    assert [k[0] for k in keyed] == list(range(301)) and [k[1:] for k in keyed] == sorted(k[1:] for k in keyed)
+    totals = corpus.running_total(spark.createDataFrame([(i * i, i) for i in range(50)], "k long, size long"), "k", "size", "before", span=2)
+    assert all(r.before == sum(range(r.size)) for r in totals.collect())
     for hybrid, want in ((False, 4), (False, 8), (True, 4)):
         corpus.write_index(rows, str(tmp_path / "index"), hybrid)
         assert spark.read.parquet(str(tmp_path / "index")).count() == want
+    there = str(tmp_path / "index")
+    assert corpus.index_exists(spark, there) and corpus.delete_index(spark, there) and not corpus.index_exists(spark, there) and not corpus.delete_index(spark, there)
 
 
 def test_registry_and_runs(spark, tmp_path):
@@ -110,7 +120,7 @@ def brute_bm25(docs, query, k1=1.2, b=0.75):
             if tf:
                 s += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(t) / avg))
         if s:
-            out[i] = round(s, 6)
+            out[i] = s
     return sorted(out.items(), key=lambda x: (-x[1], x[0]))
 
 
@@ -120,17 +130,57 @@ def test_bm25(spark):
     queries = spark.createDataFrame([(1, "Red fox red"), (2, "absent"), (3, "hen")], "qid long, text string")
     got = lexical.search(queries, df, 3).orderBy("qid", "rank").collect()
     for qid, text in ((1, "red fox"), (3, "hen")):
-        assert [(r.doc_id, r.score) for r in got if r.qid == qid] == brute_bm25(docs, text)[:3]
+        want = brute_bm25(docs, text)[:3]
+        assert [r.doc_id for r in got if r.qid == qid] == [i for i, _ in want]
+        assert [r.score for r in got if r.qid == qid] == pytest.approx([x for _, x in want], abs=1e-12)
     assert {r.qid for r in got} == {1, 3}
 
 
+def test_bm25_ranks_by_full_scores_in_any_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 40)))) for i in range(80)]
+    docs += [(100 + i, docs[i][1]) for i in range(20)] + [(5, docs[5][1]), (5, docs[5][1]), (7, "w1 w1"), (200, None)]
+    queries = [(q, " ".join(rng.choices(words, k=12))) for q in range(9)] + [(9, ""), (None, "w1")]
+    df, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "qid long, text string")
+    toks = [(i, (t or "").lower().split()) for i, t in docs]
+    n, avg = len(docs), sum(len(t) for _, t in toks) / len(docs)
+    want = []
+    for q, text in queries[:9]:
+        scored = []
+        for i, t in toks:
+            parts = []
+            for term in set(text.split()) & set(t):
+                df_ = sum(term in x for _, x in toks)
+                parts.append(math.log(1 + (n - df_ + 0.5) / (df_ + 0.5)) * (t.count(term) * 2.2 / (t.count(term) + 1.2 * (0.25 + 0.75 * len(t) / avg))))
+            if parts:
+                scored.append((-sum(sorted(parts)), i))
+        want += [(q, i) for _, i in sorted(scored, key=lambda x: (round(x[0], 12), x[1]))[:6]]
+    run = lambda: [(r.qid, r.doc_id) for r in lexical.search(asked, df, 6).orderBy("qid", "rank").collect()]
+    assert run() == want
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", 25)
+    assert run() == want
+    shared = type("Held", (), {})()
+    shared.value = lexical.QueryBlock([(1, "w1"), (2, "w1"), (2, "w2"), (3, "w9")], {"w1": 0.5, "w2": 2.0})
+    monkeypatch.setattr(lexical, "MOST_PAIRS", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array([8, 9, 10]), pa.array([2, 3, 1]), pa.array([["w1", "w2"], ["w2", "w1", "w1"], ["w2"]])], names=["id", "len", "terms"])
+    got = [r for b in lexical._scores(shared, {"x": 0.0}, 2.0, 2, 1.2)(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["qid"], r["id"], round(r["score"], 6)) for r in got) == [(1, 8, 0.5), (1, 9, 0.6875), (2, 8, 2.5), (2, 9, 2.6875)]
+
+
 def test_dense_in_blocks(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(200)] + [(300, None)], "vec_id long, embedding array<float>")
     queries = vectors.filter("vec_id < 5").selectExpr("vec_id AS qid", "embedding AS v")
     whole = sorted(map(tuple, dense.top_k(queries, vectors, 4).collect()))
-    monkeypatch.setattr(dense, "QUERY_BYTES", 30)
+    monkeypatch.setattr(dense, "BLOCK_BYTES", 30)
+    monkeypatch.setattr(dense, "LEAST_BLOCKS", 3)
     assert sorted(map(tuple, dense.top_k(queries, vectors, 4).collect())) == whole
-    assert all(r[2] == 1.0 for r in whole if r[3] == 1) and len(whole) == 20
+    assert all(r[2] == pytest.approx(1.0) for r in whole if r[3] == 1) and len(whole) == 20
+    v = [(r.vec_id, r.embedding) for r in vectors.filter("vec_id < 200").collect()]
+    norm = lambda x: math.sqrt(sum(a * a for a in x))
+    for q, own in v[:5]:
+        want = sorted((-sum(a * b for a, b in zip(own, x)) / (norm(own) * norm(x)), i) for i, x in v)[:4]
+        assert [(r[1], r[3]) for r in whole if r[0] == q] == [(i, n + 1) for n, (_, i) in enumerate(want)] or [r[2] for r in whole if r[0] == q] == pytest.approx([-s for s, _ in want])
     assert dense.top_k(queries.limit(0), vectors).count() == 0
 
 
@@ -138,7 +188,7 @@ def test_fusion(spark):
     a = spark.createDataFrame([(1, 7, 1), (1, 8, 2)], "qid long, doc_id long, rank long")
     b = spark.createDataFrame([(1, 9, 1), (1, 7, 3)], "qid long, doc_id long, rank long")
     got = fusion.rrf([a, b], 10).orderBy("rank").collect()
-    assert [(r.doc_id, r.score) for r in got] == [(7, round(1 / 61 + 1 / 63, 6)), (9, round(1 / 61, 6)), (8, round(1 / 62, 6))]
+    assert [(r.doc_id, r.score) for r in got] == [(7, 1 / 63 + 1 / 61), (9, 1 / 61), (8, 1 / 62)]
 
 
 def test_plan_choice(spark):
@@ -147,7 +197,7 @@ def test_plan_choice(spark):
     tq = spark.createDataFrame([(1, "b")], "qid long, text string")
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     top = lambda **o: fusion.hybrid(tq, vq, docs, vectors, 1, **o).first()
-    assert top().doc_id == 2 and top().score == round(1 / 61 + 1 / 62, 6)
+    assert top().doc_id == 2 and top().score == pytest.approx(1 / 61 + 1 / 62)
     assert top(is_hybrid=False).doc_id == 1
     assert fusion.hybrid(None, vq, docs, vectors, 1).first().doc_id == 1
 
@@ -188,6 +238,17 @@ def test_blocks_of_questions_label_as_one(spark, monkeypatch):
     assert relevance.qrels(q, chunks)._jdf.queryExecution().optimizedPlan().toString().count("Join") > 3
 
 
+def test_questions_meet_chunks_by_a_word(spark):
+    rng = random.Random(3)
+    text = lambda n: rng.choice(["", " "]) + "".join(rng.choice(["ab", "c", "dd"]) + rng.choice([" ", " ", "\n", "  ", ""]) for _ in range(n))
+    chunks = [(i, "s", "Part", text(30)) for i in range(40)]
+    phrases = [c[3][a : a + n] for c in chunks[:20] for a, n in ((0, 9), (3, 14), (7, 2), (10, 30))]
+    q = spark.createDataFrame([(i, None, "part", p) for i, p in enumerate(phrases)], QUESTION)
+    got = relevance.qrels(q, spark.createDataFrame(chunks, "doc_id long, source string, section string, text string"))
+    want = sorted((i, c[0]) for i, p in enumerate(phrases) for c in chunks if p and p in c[3])
+    assert sorted((r.qid, r.doc_id) for r in got.collect()) == want
+
+
 @pytest.mark.parametrize("n,want", [(10, (8, 2)), (1, (0, 1)), (0, (30, 10)), (None, (30, 10))])
 def test_stratified_limit(spark, n, want):
     q = spark.range(40).selectExpr("id AS qid", "id % 4 <> 0 AS answerable")
@@ -201,10 +262,12 @@ def test_metrics(spark):
     labels = spark.createDataFrame([(1, 6), (1, 5), (2, 99), (4, 1)], "qid long, doc_id long")
     ranks = metrics.reciprocal_rank(run, labels)
     assert {r.qid: (r.first_rank, r.rr) for r in ranks.collect()} == {1: (1, 1.0), 2: (None, 0.0), 4: (None, 0.0)}
-    assert metrics.hit_rates(ranks).first()["hit_rate@1"] == round(1 / 3, 6)
+    assert metrics.hit_rates(ranks).first()["hit_rate@1"] == pytest.approx(1 / 3)
     a = spark.createDataFrame([(1, 3, 2.0), (2, None, 0.0), (3, None, 1.0)], "qid long, first_rank long, top_score double")
     b = spark.createDataFrame([(1, 1, 2.0), (2, 10, 0.0), (3, None, 1.0)], "qid long, first_rank long, top_score double")
-    assert {r.qid: r.change for r in metrics.compare_ranks(a, b).collect()} == {1: "better", 2: "better", 3: "tie"}
+    compared = metrics.compare_ranks(a, b)
+    assert {r.qid: r.change for r in compared.collect()} == {1: "better", 2: "better", 3: "tie"}
+    assert tuple(metrics.rank_changes(compared).first()) == (2, 2, 0)
 
 
 def test_tags_and_paired_t(spark):
@@ -215,7 +278,10 @@ def test_tags_and_paired_t(spark):
     r = metrics.paired_t(ranks, "x").first()
     d = [1.0 - i % 2 for i in range(6)]
     sd = math.sqrt(sum((x - 0.5) ** 2 for x in d) / 5)
-    assert (r.collection, r.n, r.mean_diff, r.t) == ("y", 6, 0.5, round(0.5 / (sd / math.sqrt(6)), 6))
+    assert (r.collection, r.n, r.mean_diff, r.t) == ("y", 6, 0.5, pytest.approx(0.5 / (sd / math.sqrt(6))))
+    assert (r.p, r.verdict) == (pytest.approx(metrics.p_value(r.t, 5)), metrics.verdict(r.p))
+    same = metrics.paired_t(ranks.filter("collection = 'x'").unionAll(ranks.filter("collection = 'x'").selectExpr("'z'", "qid", "rr")), "x").first()
+    assert (same.mean_diff, same.t, same.p, same.verdict) == (0.0, None, None, None)
 
 
 @pytest.mark.parametrize("t,freedom,p", [(3.25, 69, 0.0018), (2.08, 37, 0.0445), (1.92, 37, 0.0626), (1.59, 37, 0.120), (0.0, 5, 1.0)])
@@ -231,5 +297,5 @@ def test_streamed_postings(spark, tmp_path):
         spark.createDataFrame([(10 * i + j, f"a w{j} é") for j in range(3)], "doc_id long, text string").write.mode("append").parquet(source)
         incremental.append_postings(spark.readStream.schema("doc_id long, text string").parquet(source), out, check).awaitTermination()
     docs = spark.read.parquet(source)
-    want = lexical.term_idf(lexical.postings(docs), lexical.corpus_stats(docs))
+    want = lexical.term_idf(*lexical.index(docs))
     assert sorted(map(tuple, incremental.current_idf(spark, out).collect())) == sorted(map(tuple, want.collect()))
