@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import mixing, packing, repeats, simhash, toxicity
-from cairn.llm.common import read, work_dir
+from cairn.llm.common import read, remove, remove_at_exit, work_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -52,14 +52,20 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Fingerprints, random rounding and token ids have no SQL form; tests hold stages against their operators, run() not yet against brute force.
+#: Fingerprints, random rounding and token ids have no SQL form; run() is tested against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's files go when the next stage is written, the last ones at exit."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{work_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
