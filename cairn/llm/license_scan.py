@@ -4,7 +4,10 @@ All rolling word 2-grams of every text join the 2-grams of the templates on thei
 hash; a match at word p of the text and position t of the template is a vote for the
 diagonal p - t. A diagonal that gets every vote of a short phrase is a place of that
 phrase. For longer notices the votes of neighbouring diagonals (a word more or less)
-are merged, and a label holds where the merged votes cover enough of the notice.
+are merged, and their span is verified: of the merged votes, which are equal words and not
+hashes alone, each place of the notice keeps the one nearest to the diagonal, and only
+those that stand in the text in the notice's order count. A label holds where these cover
+enough of the notice; the verified cover is the score.
 
 Templates are the small fixed side: a parameter whose size is checked before it is
 broadcast. A text's rows meet again by (doc_id, hash of the text), so a hot source or
@@ -67,6 +70,19 @@ def _template_grams(spark, phrases, notices) -> DataFrame:
     return grams.union(ends).select("t", "label", "base", "need", "at", F.col("a").alias("ta"), F.col("b").alias("tb"), F.xxhash64("a", "b").alias("hash"))
 
 
+def in_order(band: Column, diagonal: Column) -> Column:
+    """How many places of the notice stand in the text in its order, from votes struct(at, d) near a diagonal."""
+    nearest = F.array_sort(F.transform(band, lambda v: F.struct(v["at"].alias("at"), F.abs(v["d"] - diagonal).alias("off"), v["d"].alias("d"))))
+    start = F.struct(F.lit(-1).alias("at"), F.lit(-(1 << 30)).alias("last"), F.lit(0).alias("n"))
+
+    def step(state: Column, v: Column) -> Column:
+        word = v["at"] + v["d"]
+        first, after = v["at"] != state["at"], word > state["last"]
+        return F.struct(v["at"].alias("at"), F.when(first & after, word).otherwise(state["last"]).alias("last"), (state["n"] + (first & after).cast("int")).alias("n"))
+
+    return F.aggregate(nearest, start, step)["n"]
+
+
 def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, reach: int = 2, cover: float = 0.6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the spans of notices."""
     spark = docs.sparkSession
@@ -89,9 +105,10 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, reach: int = 2, cove
     votes = votes.repartition("doc_id", "text_key")
     diagonals = votes.groupBy("doc_id", "text_key", "t", "label", "base", "need", "diagonal").agg(F.count("*").alias("n"), F.collect_set("at").alias("ats"))
     near = Window.partitionBy("doc_id", "text_key", "t").orderBy("diagonal").rangeBetween(-reach, reach)
-    merged = diagonals.withColumn("covered", F.size(F.array_distinct(F.flatten(F.collect_list("ats").over(near)))) / F.greatest(F.col("need"), F.lit(1)))
+    band = F.flatten(F.collect_list(F.transform("ats", lambda at: F.struct(at.alias("at"), F.col("diagonal").alias("d")))).over(near))
+    merged = diagonals.withColumn("covered", F.when(~F.col("base") & (F.col("t") >= 0), in_order(band, F.col("diagonal")) / F.col("need")))
     place = F.col("base") & (F.size("ats") == F.col("need"))
-    notice = ~F.col("base") & (F.col("t") >= 0) & (F.col("covered") >= cover)
+    notice = F.coalesce(F.col("covered") >= cover, F.lit(False))
     end = F.col("t") == SENTINEL
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     out = merged.groupBy("doc_id", "text_key").agg(
@@ -102,7 +119,7 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, reach: int = 2, cove
         F.max(F.when(place, F.col("diagonal"))).cast("long").alias("last_word"),
         joined(F.when(place, F.col("label"))).alias("base_labels"),
         joined(F.when(place | notice, F.col("label"))).alias("labels"),
-        F.coalesce(F.max(F.when(place, 1.0).when(notice, F.least(F.col("covered"), F.lit(1.0)))), F.lit(0.0)).alias("score"),
+        F.coalesce(F.max(F.when(place, 1.0).when(notice, F.col("covered"))), F.lit(0.0)).alias("score"),
         F.min(F.when(notice, F.col("diagonal"))).cast("long").alias("first_notice"),
         F.max(F.when(notice, F.col("diagonal") + F.col("need") + 1)).cast("long").alias("notice_end"),
     )

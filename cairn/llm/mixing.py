@@ -39,24 +39,34 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
 
 
+def _numbered(by_source: DataFrame) -> DataFrame:
+    """The table of sources with ``nth`` (from 0) by code point, null last: ranges of sources are numbered each on its own and shifted by the counts of those before."""
+    # the range a source falls into is written down with it
+    ranged = by_source.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id())
+    ranged = materialize(ranged, "sources")
+    # as many rows as ranges
+    counts = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
+    return ranged.withColumn("own", own).join(before, "range").withColumn("nth", F.col("before") + F.col("own")).drop("range", "own", "before")
+
+
 def targets(by_source: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS) -> DataFrame:
     """source, source_size, target: weights repeat over the sources by code point, null last."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    table = by_source.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")).cast("double"))
-    table = table.withColumn("cap", F.col("source_size") * F.lit(most))
-    # sources reach their caps in the order of cap by weight: the level at which one does is its own cap / weight
-    rising = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    table = (
-        table.withColumn("total", F.sum("source_size").over(everything) * F.lit(share))
-        .withColumn("below", F.sum("cap").over(rising) - F.col("cap"))
-        .withColumn("open", F.sum("weight").over(everything) - F.sum("weight").over(rising) + F.col("weight"))
-        .withColumn("level", (F.col("total") - F.col("below")) / F.col("open"))
-        .withColumn("full", F.col("cap") <= F.col("level") * F.col("weight"))
-    )
-    # the first source that isn't full fixes the level of it and all after it
-    level = F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), F.col("level").alias("at")))).over(everything)["at"]
-    return table.select("source", "source_size", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("nth", F.lit(len(weights))) + 1).cast("int")).cast("double")
+    table = _numbered(by_source).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(most))
+    table = materialize(table.select("source", "source_size", "weight", "cap"), "weights")
+    total, open_weight = table.agg(F.coalesce(F.sum("source_size"), F.lit(0)) * F.lit(share), F.sum("weight")).first()
+    # what sources at their caps leave is shared again by weight, until no other source rises above its cap
+    level, n_full = (float(total) / open_weight if open_weight else 0.0), 0
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("weight")
+        n, caps, open_weight = table.agg(F.count(F.when(full, 1)), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == n_full or not open_weight:
+            break
+        level, n_full = (float(total) - caps) / open_weight, n
+    target = F.when(full, F.col("cap")).otherwise(F.lit(level) * F.col("weight"))
+    return table.select("source", "source_size", target.alias("target"))
 
 
 def _unit(*columns: Column) -> Column:

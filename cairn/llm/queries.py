@@ -81,22 +81,27 @@ _FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS N
 
 
 
-def _templates() -> str:
-    """The templates' word pairs as rows of VALUES: template, label, is it a phrase, pairs, place, the two words."""
-    rows = []
-    for t, (label, words) in enumerate([*license_scan.PHRASES, *license_scan.NOTICES]):
-        w = words.split()
-        base = str(t < len(license_scan.PHRASES)).upper()
-        rows += [f"({t}, '{label}', {base}, {len(w) - 1}, {i}, '{w[i]}', '{w[i + 1]}')" for i in range(len(w) - 1)]
-    return ", ".join(rows)
-
+#: Number, label, is it a phrase of the base, words.
+TEMPLATES = """
+  (0, 'mit', TRUE, 'mit license'),
+  (1, 'apache', TRUE, 'apache license'),
+  (2, 'gpl', TRUE, 'general public license'),
+  (3, 'notice-mit', FALSE, 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files'),
+  (4, 'notice-mit', FALSE, 'released under the mit license'),
+  (5, 'notice-apache', FALSE, 'licensed under the apache license version 2 0'),
+  (6, 'notice-gpl', FALSE, 'this work is licensed under the gnu general public license version 3'),
+  (7, 'notice-gpl', FALSE, 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license'),
+  (8, 'notice-bsd', FALSE, 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met'),
+  (9, 'notice-cc-by-nc', FALSE, 'licensed under cc by nc 4 0')
+"""
 
 ORACLES = {
     "op1_license_scan": rf"""
-WITH t(t, label, base, need, place, a, b) AS (VALUES {_templates()}),
+WITH w(t, label, base, w) AS (SELECT t, label, base, string_split(words, ' ') FROM (VALUES {TEMPLATES}) AS v(t, label, base, words)),
+t AS (SELECT t, label, base, len(w) - 1 AS need, place, w[place + 1] AS a, w[place + 2] AS b FROM (SELECT *, unnest(range(len(w) - 1)) AS place FROM w)),
 d AS (
   SELECT row_number() OVER () AS rid, doc_id,
-         regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWERED}'), '{license_scan.WORD}') AS w
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents
 ), g AS (
   SELECT rid, p, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT rid, w, unnest(range(len(w) - 1)) AS p FROM d)
@@ -104,17 +109,21 @@ d AS (
   SELECT rid, t, label, base, need, place, p - place AS diagonal FROM g JOIN t USING (a, b)
 ), x AS (
   SELECT rid, t, label, base, need, diagonal, count(DISTINCT place) AS votes FROM v GROUP BY ALL
-), m AS (
-  SELECT x.rid, x.label, x.diagonal, x.base AND x.votes = x.need AS place, count(DISTINCT v.place) / x.need AS cover,
-         NOT x.base AND cover >= 0.6 AS notice
+), near AS (
+  SELECT x.*, v.place, v.place + v.diagonal AS word,
+         row_number() OVER (PARTITION BY x.rid, x.t, x.diagonal, v.place ORDER BY abs(v.diagonal - x.diagonal), v.diagonal) AS nth
   FROM x JOIN v ON x.rid = v.rid AND x.t = v.t AND v.diagonal BETWEEN x.diagonal - 2 AND x.diagonal + 2
-  GROUP BY x.rid, x.t, x.label, x.base, x.need, x.votes, x.diagonal
+), chain AS (
+  SELECT *, max(word) OVER (PARTITION BY rid, t, diagonal ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM near WHERE nth = 1
+), m AS (
+  SELECT rid, label, diagonal, base AND votes = need AS place, count(*) FILTER (before IS NULL OR word > before) / need AS cover, NOT base AND cover >= 0.6 AS notice
+  FROM chain GROUP BY rid, t, label, base, need, votes, diagonal
 )
 SELECT d.doc_id, len(any_value(d.w))::BIGINT AS n_words, count(*) FILTER (m.place) AS n_base,
        (min(m.diagonal) FILTER (m.place))::BIGINT AS first_word, (max(m.diagonal) FILTER (m.place))::BIGINT AS last_word,
        coalesce(string_agg(DISTINCT m.label, ',' ORDER BY m.label) FILTER (m.place), '') AS base_labels,
        coalesce(string_agg(DISTINCT m.label, ',' ORDER BY m.label) FILTER (m.place OR m.notice), '') AS labels,
-       coalesce(max(CASE WHEN m.place THEN 1.0::DOUBLE WHEN m.notice THEN least(m.cover, 1.0::DOUBLE) END), 0)::DOUBLE AS score
+       coalesce(max(CASE WHEN m.place THEN 1.0::DOUBLE WHEN m.notice THEN m.cover END), 0)::DOUBLE AS score
 FROM d LEFT JOIN m ON d.rid = m.rid GROUP BY d.rid, d.doc_id
 """,
     "op3_exact_top_k": f"""

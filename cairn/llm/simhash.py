@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, materialize
@@ -135,9 +135,9 @@ def links(distinct: DataFrame, distance: int = 3, hot: int = 4096) -> DataFrame:
         raise ValueError("two segments with one wildcard each find up to 3 differing bits")
     halves = [list(range(32)), list(range(32, 64))]
     keyed = distinct.select("fp", F.explode(_variants(F.col("fp"), halves)).alias("v")).select("fp", "v.cut", "v.rest")
-    # counted in the exchange that brings equal variants together; most stand alone and go no further
-    alike = Window.partitionBy("cut", "rest")
-    members = materialize(keyed.withColumn("n", F.count("*").over(alike)).filter("n > 1"), "members")
+    # counted within each task first; most variants stand alone, and their fingerprints go no further
+    shared = keyed.groupBy("cut", "rest").agg(F.count("*").alias("n")).filter("n > 1")
+    members = materialize(keyed.join(shared, ["cut", "rest"]), "members")
 
     def within(rows: DataFrame, *keys: str) -> DataFrame:
         rows = rows.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)

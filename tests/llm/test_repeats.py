@@ -11,7 +11,8 @@ from cairn.llm import repeats
 from cairn.llm.repeats import RunLengthIndex, _planes, _range_minima, _unplanes, anchors, remove_repeats, text_anchors
 
 
-def brute(rows, length=50):
+def gone_of(rows, length=50):
+    """For each row, which of its bytes go."""
     least = {}
     for d, t in rows:
         b = (t or "").encode()
@@ -25,9 +26,19 @@ def brute(rows, length=50):
         for i in range(len(b) - length + 1) if d is not None else ():
             if least[b[i : i + length]] < d:
                 gone[i : i + length] = True
-        kept = bytes(x for x, g in zip(b, gone) if not g)
-        spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(b) else 0
-        out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        out.append(gone)
+    return out
+
+
+def kept_bytes(rows, length=50):
+    return [bytes(x for x, g in zip((t or "").encode(), gone) if not g) for (_, t), gone in zip(rows, gone_of(rows, length))]
+
+
+def brute(rows, length=50):
+    out = []
+    for (d, t), gone, kept in zip(rows, gone_of(rows, length), kept_bytes(rows, length)):
+        spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(gone) else 0
+        out.append((d, len(gone), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
     return sorted(out, key=str)
 
 
