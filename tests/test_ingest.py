@@ -1,0 +1,136 @@
+"""The way into an index against second implementations: positions instead of lists, groups instead of a running state."""
+
+import json
+from itertools import groupby
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from cairn.config import Settings
+from cairn.operators import chunking, ingest
+
+MARKS = ("\n\n", "\n", " ")
+
+
+def plain_pieces(text, marks):
+    """Where pieces of the coarsest mark in the text begin and end; single characters without one."""
+    for n, mark in enumerate(marks):
+        if mark in text:
+            starts, at = [0], text.find(mark)
+            while at >= 0:
+                starts.append(at)
+                at = text.find(mark, at + len(mark))
+            ends = [*starts[1:], len(text)]
+            return [text[a:b] for a, b in zip(starts, ends) if b > a], marks[n + 1 :]
+    return list(text), None
+
+
+def plain_chunks(text, size, overlap, marks=MARKS):
+    if not text:
+        return []
+    pieces, finer = plain_pieces(text, marks)
+    out = []
+    small = lambda p: len(p) < size or finer is None
+    for is_small, run in groupby(pieces, small):
+        run = list(run)
+        if not is_small:
+            for p in run:
+                out += plain_chunks(p, size, overlap, finer)
+            continue
+        length = lambda a, b: sum(map(len, run[a:b]))
+        first = 0
+        for i, p in enumerate(run):
+            if length(first, i) + len(p) > size and i > first:
+                out.append("".join(run[first:i]).strip())
+                while first < i and (length(first, i) > overlap or length(first, i) + len(p) > size):
+                    first += 1
+        out.append("".join(run[first:]).strip())
+    return [c for c in out if c]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("ab  \n\n.é"), max_size=160), st.integers(2, 40), st.integers(0, 12))
+def test_recursive_chunks_against_positions(text, size, overlap):
+    overlap = min(overlap, size - 1)
+    assert (chunking.recursive_chunks(text, size, overlap) if text else []) == plain_chunks(text, size, overlap)
+
+
+def plain_sections(text):
+    """Lines with the headers above them, grouped."""
+    level_of = lambda x: next((n for n in (1, 2, 3) if x == "#" * n or x.startswith("#" * n + " ")), 0)
+    rows, headers, fence, block = [], {}, "", 0
+    for raw in text.split("\n"):
+        line = "".join(c for c in raw.strip() if c.isprintable())
+        opens = next((f for f in ("```", "~~~") if line.startswith(f) and line.count(f) == 1), "")
+        if fence:
+            fence = "" if line.startswith(fence) else fence
+        else:
+            fence = opens
+        level = 0 if fence else level_of(line)
+        if level:
+            headers = {n: t for n, t in headers.items() if n < level} | {level: line[level:].strip()}
+        block += not line or bool(level)
+        if line:
+            rows.append((block, tuple(sorted(headers.items())), line))
+    blocks = [(h, "\n".join(x[2] for x in own)) for (_, h), own in groupby(rows, lambda r: r[:2])]
+    out = []
+    for h, body in blocks:
+        last_is_header = bool(out) and out[-1][1].rsplit("\n", 1)[-1].startswith("#")
+        if out and (out[-1][0] == h or (len(out[-1][0]) < len(h) and last_is_header)):
+            out[-1] = (h, out[-1][1] + "  \n" + body)
+        else:
+            out.append((h, body))
+    return [(body, {f"h{n}": t for n, t in h}) for h, body in out]
+
+
+LINES = st.sampled_from(["# A", "## B", "### C", "#", "#x", "####", " # D ", "text", "more  ", "", "", "```", "```py", "~~~", "## ", "a\tb", "​z"])
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(LINES, max_size=14))
+def test_sections_against_groups(lines):
+    text = "\n".join(lines)
+    assert chunking.header_sections(text) == plain_sections(text)
+
+
+DOCS = [
+    (4, "data/arch_high_enrage_melee.txt", "# T\n.tag:x\nuse <:fsoa:1> now\n\n\n\n## P\n" + "at 500% enrage go " * 60),
+    (1, "b.txt", "before\n" + json.dumps({"embed": {"title": "__E__", "description": "d", "fields": [{"name": "n", "value": "[v](https://x.y/z)"}]}}, indent=1) + "\n.embed:json\n• after <@12>"),
+    (9, "c.txt", None),
+    (7, "c.txt", ""),
+]
+
+
+@pytest.mark.parametrize("config", [Settings(), Settings(chunk_size=80, chunk_overlap=20, enrage_bands=False, emoji_mode="alias"), Settings(preprocess_guide=False)])
+def test_ingest(spark, config):
+    docs = spark.createDataFrame(DOCS, "doc_id long, name string, text string")
+    got = ingest.ingest(docs, config).orderBy("chunk_id").collect()
+    cleaned = {
+        4: "# T\nuse Fractured Staff of Armadyl (fsoa) now\n\n## P\n" + ("at 500% enrage go " * 60).rstrip() + " [enrageband500]\n",
+        1: "before\n### E\nd\n**n**\nhttps://x.y/z\n- after \n",
+    }
+    if not config.preprocess_guide:
+        cleaned = {i: t for i, _, t in DOCS if t}
+    elif not config.enrage_bands:
+        cleaned[4] = cleaned[4].replace("Fractured Staff of Armadyl (fsoa)", "fsoa").replace(" [enrageband500]", "")
+    want = []
+    for i, name, _ in sorted(DOCS):
+        for n, (body, h) in enumerate(plain_sections(cleaned.get(i, ""))):
+            for c, text in enumerate(plain_chunks(body, config.chunk_size, config.chunk_overlap)):
+                stem = name.rsplit("/", 1)[-1]
+                boss, _, style = stem[:-4].partition("_high_enrage_")
+                section = h.get("h3") or h.get("h2") or h.get("h1") or ""
+                want.append((len(want), i, n, c, text, h.get("h1"), h.get("h2"), h.get("h3"), section, stem, style or boss, boss))
+    if config.preprocess_guide:  # what is stripped at the end of a line, and nothing else, is left open above
+        got = [tuple(x.rstrip() if isinstance(x, str) else x for x in r) for r in got]
+        want = [tuple(x.rstrip() if isinstance(x, str) else x for x in r) for r in want]
+    assert [tuple(r) for r in got] == want
+    assert got
+
+
+def test_ingest_of_nothing(spark):
+    docs = spark.createDataFrame([], "doc_id long, name string, text string")
+    assert ingest.ingest(docs).count() == 0
+    assert ingest.ingest(docs).select(F.col("chunk_id")).schema[0].dataType.simpleString() == "bigint"
