@@ -14,11 +14,12 @@ The default template escapes control strings inside texts reversibly, so content
 read back from the output alone.
 
 Conversations are streamed: rows are dealt by conversation and sorted, and a task holds
-the conversation at hand only.
+the conversation at hand only. A black box must be given every prefix, so the time of a
+conversation grows with the square of its turns.
 
 Defined cases: null text and null role are empty; turns are in order of turn (null
-first), then role and text; rows repeated in full are turns of their own; rows with a
-null conv_id form one conversation; an empty table gives none; other columns are ignored.
+first), then role and text; rows repeated in full are turns of their own; a row with a
+null conv_id names no conversation and stands alone; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -120,7 +121,7 @@ def format_conversations(conversations: DataFrame, template: Template = inst_tem
         for pdf in batches:
             for c, role, text in zip(pdf["conv_id"], pdf["role"], pdf["text"]):
                 c = None if pd.isna(c) else c
-                if c != conv or not turns:
+                if c is None or c != conv or not turns:
                     end()
                     conv, turns = c, []
                 turns.append((role, text))
@@ -133,7 +134,9 @@ def format_conversations(conversations: DataFrame, template: Template = inst_tem
 
     kind = conversations.schema["conv_id"].dataType.simpleString()
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    # rows that stand alone are spread
+    rows = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")))
+    rows = rows.repartition("conv_id", "alone").sortWithinPartitions("conv_id", "turn", "role", "text")
     # ids as text: pandas would make a column with a null one of floating point
     rows = rows.select(F.col("conv_id").cast("string").alias("conv_id"), "role", "text")
     out = rows.mapInPandas(run, schema.replace(f"conv_id {kind}", "conv_id string", 1))

@@ -183,7 +183,7 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL}'
 ), t AS (
-  SELECT *, length(replace(replace(replace(text, '\\', '\\\\'), '<', '\\<'), '[', '\\['))
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, length(replace(replace(replace(text, '\\', '\\\\'), '<', '\\<'), '[', '\\['))
     + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6
       ELSE 19 + length(replace(replace(replace(role, '\\', '\\\\'), '<', '\\<'), '[', '\\[')) END AS chars FROM c
 )
@@ -192,6 +192,6 @@ SELECT conv_id, count(*) AS n_turns,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(chars)::BIGINT AS formatted_chars
-FROM t GROUP BY conv_id
+FROM t GROUP BY conv_id, alone
 """,
 }

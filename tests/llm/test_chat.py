@@ -54,10 +54,10 @@ def test_digests_refuse_what_is_not_read_back(spark):
 
 def brute(rows):
     by = {}
-    for c, n, r, t in rows:
-        by.setdefault(c, []).append((-1 if n is None else n, r or "", t or ""))
+    for at, (c, n, r, t) in enumerate(rows):
+        by.setdefault((c, at if c is None else 0), []).append((-1 if n is None else n, r or "", t or ""))
     out = []
-    for c, turns in by.items():
+    for (c, _), turns in by.items():
         turns.sort()
         loss = "".join(t for _, r, t in turns if r == "assistant")
         digest = hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
@@ -65,7 +65,7 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-ROWS = [(1, 0, "user", "hi"), (1, 1, "assistant", "a" * 100_000), (2, 1, "assistant", None), (2, 0, None, "x"), (3, None, "user", "y"), (3, 0, "user", "y"), (3, 0, "user", "y"), (None, 0, "user", "z"), (-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)]
+ROWS = [(1, 0, "user", "hi"), (1, 1, "assistant", "a" * 100_000), (2, 1, "assistant", None), (2, 0, None, "x"), (3, None, "user", "y"), (3, 0, "user", "y"), (3, 0, "user", "y"), (None, 0, "user", "z"), (None, 1, "assistant", "z"), (None, 1, "assistant", "z"), (-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)]
 ROWS += [(9, i, "user" if i % 2 else "assistant", f"turn {i}") for i in range(300)] + [(2**60 + 1, 0, "assistant", "é🙂")]
 
 
