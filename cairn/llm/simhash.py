@@ -26,12 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize
+from .common import LOWER, materialize, partitions
 
 SEED = 42
+MOST_MANY = 100_000
+"""Variants of 12 bytes each that are broadcast."""
 
 
 def fingerprint(text: str | None, k: int = 3, part: int = 1 << 16) -> int:
@@ -134,18 +136,30 @@ def links(distinct: DataFrame, distance: int = 3, hot: int = 4096) -> DataFrame:
     if distance > 3:
         raise ValueError("two segments with one wildcard each find up to 3 differing bits")
     halves = [list(range(32)), list(range(32, 64))]
-    keyed = distinct.select("fp", F.explode(_variants(F.col("fp"), halves)).alias("v")).select("fp", "v.cut", "v.rest")
-    # counted within each task first; most variants stand alone, and their fingerprints go no further
-    shared = keyed.groupBy("cut", "rest").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialize(keyed.join(shared, ["cut", "rest"]), "members")
+    # distinct fingerprints are few bytes in few files; their variants are many rows
+    spread = distinct.select("fp").repartition(partitions(distinct.sparkSession), "fp")
+    variants = lambda df: df.select("fp", F.explode(_variants(F.col("fp"), halves)).alias("v")).select("fp", "v.cut", "v.rest")
+    # which variants very many share is found in a share of all fingerprints; it changes how they are compared, not what is found
+    share = max(1, hot // 64)
+    some = spread.filter(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0)
+    many = materialize(variants(some).groupBy("cut", "rest").agg(F.count("*").alias("n")).filter(F.col("n") > hot // share).select("cut", "rest"), "many")
+    n_many = many.count()
+    many = F.broadcast(many) if n_many <= MOST_MANY else many
+    keyed = variants(spread)
+    few = keyed.join(many, ["cut", "rest"], "left_anti") if n_many else keyed
+    # counted in the exchange that brings equal variants together; most stand alone and go no further
+    alike = Window.partitionBy("cut", "rest")
+    members = materialize(few.withColumn("n", F.count("*").over(alike)).filter("n > 1"), "members")
 
     def within(rows: DataFrame, *keys: str) -> DataFrame:
         rows = rows.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)
         return rows.mapInArrow(_forests(distance), "a long, b long")
 
-    # a hot variant's members again, by one-wildcard variants of the 33 bits in which they may differ
-    again = members.filter(F.col("n") > hot).select("cut", "rest", "fp").mapInArrow(_cut_again, "cut int, rest long, sub int, more long, fp long")
-    found = within(members.filter(F.col("n") <= hot), "cut", "rest").union(within(again, "cut", "rest", "sub", "more"))
+    found = within(members, "cut", "rest")
+    if n_many:
+        # their members again, by one-wildcard variants of the 33 bits in which they may differ
+        again = keyed.join(many, ["cut", "rest"], "left_semi").select("cut", "rest", "fp").mapInArrow(_cut_again, "cut int, rest long, sub int, more long, fp long")
+        found = found.union(within(again, "cut", "rest", "sub", "more"))
     return found.distinct()
 
 
