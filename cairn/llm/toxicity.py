@@ -123,7 +123,7 @@ class Index:
         at = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         return np.bincount(np.repeat(np.arange(len(places)), n), query[self.row_feature[at]] * self.row_value[at], len(places))
 
-    def nearest(self, fids: list[int], tfs: list[int], loose: float = 0.2, many: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, fids: list[int], tfs: list[int], loose: float = 0.05, many: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """Places of the k nearest examples with a positive cosine and other counts than these, and their cosines."""
         none = np.zeros(0, int), np.zeros(0)
         if not len(fids) or not len(self.ids):
@@ -286,7 +286,7 @@ def _document_frequencies(vectors: DataFrame) -> dict[int, int]:
     return {r["f"]: r["n"] for r in found.collect()}  # features of 2 * per_class texts
 
 
-def score(docs: DataFrame, labels: DataFrame, per_class: int = 1000, k: int = 15, pull: float = 0.1, carry: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, per_class: int = 500, k: int = 15, pull: float = 0.1, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted and as evidence the ids of the nearest examples, and the columns named in ``carry``."""
     examples, totals = _examples(docs, labels, per_class)
     features, difference = _features(examples)
