@@ -10,6 +10,7 @@ with queries times documents. Blocks of queries are bounded; more take more bloc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -80,16 +81,15 @@ def _add_in_order(cell: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 
 class QueryBlock:
-    """Which queries of a block ask for a term, and the term's weight."""
+    """Which queries of a block ask for a term."""
 
-    def __init__(self, asked: list[tuple[int, str]], idf_of: dict[str, float]):
-        self.terms = sorted({t for _, t in asked if t in idf_of})
+    def __init__(self, asked: list[tuple[int, str]]):
+        self.terms = sorted({t for _, t in asked})
         number = {t: i for i, t in enumerate(self.terms)}
         self.qids = np.array(sorted({q for q, _ in asked}), np.int64)
-        pairs = sorted((number[t], int(np.searchsorted(self.qids, q))) for q, t in asked if t in number)
+        pairs = sorted((number[t], int(np.searchsorted(self.qids, q))) for q, t in asked)
         self.owner = np.array([q for _, q in pairs], np.int64)
         self.start = np.searchsorted(np.array([t for t, _ in pairs], np.int64), np.arange(len(self.terms) + 1))
-        self.weight = np.array([idf_of[t] for t in self.terms])
 
 
 class Best:
@@ -111,34 +111,37 @@ class Best:
         self.score, self.query, self.doc = (x[nth < self.k] for x in (score, query, doc))
 
 
-def _scores(shared, variants: dict[str, float], avg_len: float, k: int, k1: float):
-    """Maps rows (id, len, terms with repeats) to the k best documents of each query and variant in the task."""
+def _scores(shared, variants: list[str], k: int):
+    """Maps rows (id, postings: term and its weight in each variant) to the k best documents of each query and variant in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: QueryBlock = shared.value
         number = {t: i for i, t in enumerate(block.terms)}
         best = [Best(len(block.qids), k) for _ in variants]
         for batch in batches:
-            ids, length = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1))
-            lists = batch.column(2)
+            # here and not in the plan, where the condition would make another scan
+            batch = batch.filter(batch.column(0).is_valid())
+            ids = np.asarray(batch.column(0)).astype(np.int64)
+            lists = batch.column(1)
+            term, *weights = lists.flatten().flatten()
+            term = np.array([number.get(t, -1) for t in term.to_pylist()], np.int64)
             row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
-            term = np.array([number.get(t, -1) for t in lists.flatten().to_pylist()], np.int64)
-            cell, tf = np.unique((row * max(1, len(number)) + term)[term >= 0], return_counts=True)
-            row, term = np.divmod(cell, max(1, len(number)))
+            asked = term >= 0
+            row, term, weights = row[asked], term[asked], [np.asarray(w)[asked] for w in weights]
             asks = block.start[term + 1] - block.start[term]  # queries for each posting
             ends = np.cumsum(asks)
             at = 0
-            while at < len(cell):  # whole documents, of a bounded number of pairs with queries or one
+            while at < len(row):  # whole documents, of a bounded number of pairs with queries or one
                 upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_PAIRS, "right"))
-                upto = max(int(np.searchsorted(row, row[min(upto, len(row) - 1)])) if upto < len(row) else len(row), int(np.searchsorted(row, row[at], "right")))
+                if upto < len(row):
+                    upto = max(int(np.searchsorted(row, row[upto])), int(np.searchsorted(row, row[at], "right")))
                 some = slice(at, upto)
                 n = asks[some]
                 one = np.repeat(block.start[term[some]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 pair, dense = np.unique(np.repeat(row[some], n) * len(block.qids) + block.owner[one], return_inverse=True)
-                doc, query = np.divmod(pair, max(1, len(block.qids)))
-                for found, b in zip(best, variants.values()):
-                    w = block.weight[term[some]] * (tf[some] * (k1 + 1) / (tf[some] + k1 * (1 - b + b * length[row[some]] / avg_len)))
-                    found.add(_add_in_order(dense, np.repeat(w, n), len(pair)), query, ids[doc])
+                doc, query = np.divmod(pair, len(block.qids))
+                for found, w in zip(best, weights):
+                    found.add(_add_in_order(dense, np.repeat(w[some], n), len(pair)), query, ids[doc])
                 at = upto
         for name, found in zip(variants, best):
             if len(found.score):
@@ -151,7 +154,8 @@ def _scores(shared, variants: dict[str, float], avg_len: float, k: int, k1: floa
 def search_variants(queries: DataFrame, docs: DataFrame, variants: dict[str, float], k: int = 10, k1: float = 1.2, avg_len: float | None = None, key: str = "doc_id", bands: bool = False) -> DataFrame:
     """collection, qid, key, score, rank of the k best documents of each query (qid, text), for each named b.
 
-    Queries and documents without an id have no results; such documents count in the statistics. The corpus is tokenised and counted once for all variants; they differ in the weight of a posting only.
+    Queries and documents without an id have no results; such documents count in the statistics. The corpus
+    is tokenised and exchanged once for all variants; they differ in the weight of a posting only.
     """
     spark = queries.sparkSession
     asked = queries.select(F.col("qid").cast("long").alias("qid"), F.explode(query_terms(F.col("text"), bands)).alias("term")).filter("qid IS NOT NULL").distinct()
@@ -162,38 +166,31 @@ def search_variants(queries: DataFrame, docs: DataFrame, variants: dict[str, flo
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64("text").alias("own"), tokens(F.col("text")).alias("t"))
     rows = rows.select("id", "own", F.size("t").cast("long").alias("len"), F.explode(F.concat("t", F.array(F.lit(EVERY)))).alias("term"))
     held = rows.join(wanted, rows.term == wanted.want).groupBy("id", "own", "len").agg(F.collect_list("term").alias("terms"))
-    # rows alike in id and text stand together; each counts
-    copies = F.size(F.filter("terms", lambda t: t == EVERY))
-    df = held.select(copies.alias("copies"), F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("copies").alias("df"))
-    n, mean = held.select(copies.alias("c"), "len").agg(F.coalesce(F.sum("c"), F.lit(0)), F.try_divide(F.sum(F.col("c") * F.col("len")), F.sum("c"))).first()
-    mean = float(mean or 0.0) if avg_len is None else float(avg_len)
-    weights = df.filter(F.col("term") != EVERY).select("term", idf(F.lit(n), F.col("df")).alias("idf"))
+    # rows alike in id and text stand together, and have their terms as often; from here on no document is moved again
+    own = ["id", "own", "len", "copies"]
+    index = held.withColumn("copies", F.size(F.filter("terms", lambda t: t == EVERY)))
+    index = index.select(*own, F.explode("terms").alias("term")).groupBy(*own, "term").agg((F.count("*") / F.col("copies")).alias("tf"))
+    df = index.groupBy("term").agg(F.sum("copies").alias("df"), F.sum(F.col("copies") * F.col("len")).alias("total"))
+    stats = df.filter(F.col("term") == EVERY).select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avg_len"))
+    weights = df.filter(F.col("term") != EVERY).join(F.broadcast(stats), how="cross")  # one row
+    mean = F.col("avg_len") if avg_len is None else F.lit(float(avg_len))
+    weights = hint(weights.select("term", idf(F.col("n"), F.col("df")).alias("idf"), mean.alias("avg_len")))
+    weigh = lambda b: F.col("idf") * saturation(F.col("tf"), F.col("len"), F.col("avg_len"), k1, b)
+    weighted = index.filter(F.col("term") != EVERY).join(weights, "term")
+    posting = F.struct("term", *(weigh(b).alias(f"w{i}") for i, b in enumerate(variants.values())))
+    scored = weighted.groupBy(*own).agg(F.collect_list(posting).alias("postings"))
+    scored = scored.select("id", "postings", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
     blocks = max(1, -(-n_asked // BLOCK_TERMS))
-    found = None
+    found = [spark.createDataFrame([], "collection string, qid long, id long, score double")]
     for b in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else asked
-        pairs = [tuple(r) for r in own.collect()]  # BLOCK_TERMS rows at most, but for chance
-        if not pairs:
-            continue
-        of = {r["term"]: r["idf"] for r in weights.join(own.select("term").distinct(), "term", "left_semi").collect()}
-        scored = held.select("id", "len", F.filter("terms", lambda t: t != EVERY).alias("terms"), copies.alias("copies")).filter((F.size("terms") > 0) & F.col("id").isNotNull())
-        # several rows in one have their terms as often
-        one = F.when(F.col("copies") == 1, F.col("terms")).otherwise(_share(F.col("terms"), F.col("copies")))
-        scored = scored.select("id", "len", one.alias("terms"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
-        shared = spark.sparkContext.broadcast(QueryBlock(pairs, of))
-        part = scored.mapInArrow(_scores(shared, variants, mean, k, k1), "collection string, qid long, id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "collection string, qid long, id long, score double")
+        # BLOCK_TERMS rows at most, but for chance
+        pairs = [tuple(r) for r in (asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else asked).collect()]
+        if pairs:
+            shared = spark.sparkContext.broadcast(QueryBlock(pairs))
+            found.append(scored.mapInArrow(_scores(shared, list(variants), k), "collection string, qid long, id long, score double"))
     best = Window.partitionBy("collection", "qid").orderBy(F.desc("score"), "id")
-    ranked = found.withColumn("rank", F.row_number().over(best).cast("long"))
-    return ranked.filter(F.col("rank") <= k).select("collection", "qid", F.col("id").alias(key), "score", "rank")
-
-
-def _share(terms: Column, copies: Column) -> Column:
-    """Of the terms of so many equal texts those of one."""
-    ordered = F.array_sort(terms)
-    return F.filter(ordered, lambda t, i: F.pmod(i, copies) == 0)
+    out = reduce(DataFrame.unionByName, found[1:] or found)
+    return out.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k).select("collection", "qid", F.col("id").alias(key), "score", "rank")
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, avg_len: float | None = None, key: str = "doc_id", bands: bool = False) -> DataFrame:

@@ -161,10 +161,12 @@ def test_bm25_ranks_by_full_scores_in_any_blocks(spark, monkeypatch):
     monkeypatch.setattr(lexical, "BLOCK_TERMS", 25)
     assert run() == want
     shared = type("Held", (), {})()
-    shared.value = lexical.QueryBlock([(1, "w1"), (2, "w1"), (2, "w2"), (3, "w9")], {"w1": 0.5, "w2": 2.0})
+    shared.value = lexical.QueryBlock([(1, "w1"), (2, "w1"), (2, "w2"), (3, "w9")])
     monkeypatch.setattr(lexical, "MOST_PAIRS", 3)
-    batch = pa.RecordBatch.from_arrays([pa.array([8, 9, 10]), pa.array([2, 3, 1]), pa.array([["w1", "w2"], ["w2", "w1", "w1"], ["w2"]])], names=["id", "len", "terms"])
-    got = [r for b in lexical._scores(shared, {"x": 0.0}, 2.0, 2, 1.2)(iter([batch])) for r in b.to_pylist()]
+    postings = [[("w1", 0.5), ("w2", 2.0)], [("w2", 2.0), ("w1", 0.6875), ("other", 9.0)], [("w2", 2.0)]]
+    lists = pa.array([[{"term": t, "w0": w} for t, w in x] for x in postings])
+    batch = pa.RecordBatch.from_arrays([pa.array([8, 9, 10]), lists], names=["id", "postings"])
+    got = [r for b in lexical._scores(shared, ["x"], 2)(iter([batch])) for r in b.to_pylist()]
     assert sorted((r["qid"], r["id"], round(r["score"], 6)) for r in got) == [(1, 8, 0.5), (1, 9, 0.6875), (2, 8, 2.5), (2, 9, 2.6875)]
 
 
