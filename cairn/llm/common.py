@@ -15,8 +15,29 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 """Translation table that lower-cases A-Z in UTF-8 bytes and nothing else."""
 
 
+TASK_BYTES = 8 << 20
+LEAST_TASKS = 24
+ROWS_PER_FILE = 100_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """As many tasks as the bytes of a table need; many where they are not known."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(LEAST_TASKS, -(-size // TASK_BYTES)), 1 << 20)
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """A table in very many tiny files is read by as many tasks as its bytes need; others stay as they are."""
+    return df.coalesce(tasks_for(df))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return few_files(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def files_for(rows: int) -> int:
+    """Files for a small intermediate table of so many rows."""
+    return max(4, -(-rows // ROWS_PER_FILE))
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -31,14 +52,16 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back; cuts lineage, survives lost executors.
 
+    ``files`` bounds the number of files of a table that is known to be small beside the number of partitions.
+
     The files go when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, with_copies
+from .common import materialize, tasks_for, with_copies
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -100,7 +100,8 @@ def _fold(items: Column, seed: int) -> Column:
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, fan_in: int = 64, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row."""
-    sized = materialize(sizes(docs).groupBy("doc_id", "source", "size").agg(F.count("*").alias("alike")), "sizes")
+    tasks = tasks_for(docs)
+    sized = materialize(sizes(docs).groupBy("doc_id", "source", "size").agg(F.count("*").alias("alike")), "sizes", tasks)
     by_source = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
     shares = targets(by_source.select("source", "source_size"), share, most, weights)
     shares = materialize(shares.join(by_source.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "shares")
@@ -113,7 +114,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS,
     rows = rows.withColumn("base", F.floor("f")).withColumn("p", F.col("f") - F.col("base"))
     # rows alike settle among themselves; what is over of them goes to the tree as one document
     rows = rows.withColumn("p", F.col("p") * F.col("alike")).withColumn("ones", F.floor("p")).withColumn("p", F.col("p") - F.col("ones"))
-    rows = materialize(rows, "fractions")
+    rows = materialize(rows, "fractions", tasks)
 
     final = ["doc_id", "source", "size", "source_size", "target", "base", "extra"]
     zeros = F.col("alike") - F.col("ones") - (F.col("p") > 0).cast("long")
@@ -128,7 +129,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS,
             # the largest first: what stays over at the end tends to be small
             F.array_sort(F.collect_list("item"), lambda a, b: F.when(a["size"] != b["size"], F.when(a["size"] > b["size"], -1).otherwise(1)).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)).alias("items")
         )
-        folded = materialize(grouped.select(*own, "n", "g", _fold(F.col("items"), seed + level).alias("x")), f"level{level}")
+        folded = materialize(grouped.select(*own, "n", "g", _fold(F.col("items"), seed + level).alias("x")), f"level{level}", tasks)
         whole = folded.select(*own, F.explode("x.done").alias("i"))
         done.append(whole.select("i.doc_id", "source", "i.size", "source_size", "target", "base", F.col("i.p").cast("int").alias("extra")).select(final))
         rest = folded.select(*own, "n", F.col("x.rest").alias("item"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, partitions
+from .common import LOWER, files_for, materialize, partitions, tasks_for
 
 SEED = 42
 MOST_MANY = 100_000
@@ -183,7 +183,7 @@ def _cut_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c.astype(np.int32), r, sub, more, f)], names=["cut", "rest", "sub", "more", "fp"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, files: int | None = None) -> DataFrame:
     """node, root (the smallest node of its component) for all nodes of the links a, b; large-star and small-star."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -198,10 +198,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         return joined.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.filter("c != m").select(F.col("c").alias("a"), F.col("m").alias("b"))).distinct()
 
-    now = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = None
+    now = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", files)
+    mark, files = None, files_for(now.count())
     for _ in range(most_rounds):
-        now = materialize(star(star(now, True), False), "stars")
+        now = materialize(star(star(now, True), False), "stars", files)
         # at the fixed point every edge goes from a node to its root; the sums tell when nothing moves
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if new == mark:
@@ -212,12 +212,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def _roots(prints: DataFrame, distance: int) -> DataFrame:
     """fp, the least doc_id that has it, and the root of its component."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", tasks_for(prints))
     # rows that share an id but not a text hold their fingerprints together
     apart = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("z"))
     apart = apart.filter("b != z").select("doc_id", "b")
     same = prints.join(apart, "doc_id").select(F.col("fp").alias("a"), "b")
-    roots = materialize(components(links(distinct, distance).union(same)), "roots")
+    roots = materialize(components(links(distinct, distance).union(same), files=files_for(distinct.count())), "roots")
     return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     prints = materialize(fingerprints(docs), "fingerprints")
     named = _roots(prints, distance)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = materialize(named.join(least, "root").select(F.col("fp").alias("own"), "component_id"), "names")
+    names = materialize(named.join(least, "root").select(F.col("fp").alias("own"), "component_id"), "names", tasks_for(prints))
     # one fingerprint may be that of a third of all rows: AQE splits such a partition of this join
     out = prints.join(names, prints.fp == names.own)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

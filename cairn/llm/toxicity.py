@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize
+from .common import files_for, give_back, materialize, tasks_for
 
 FOLDS = 5
 STEM = 4
@@ -220,13 +220,13 @@ def _examples(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataF
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.join(docs.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_semi")
-    known = materialize(known, "labels")
+    known = materialize(known, "labels", tasks_for(labels))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = (F.xxhash64("doc_id"), "doc_id")
     chosen = known.filter("toxic = 0").orderBy(*order).limit(per_class).union(known.filter("toxic = 1").orderBy(*order).limit(per_class))
     # 2 * per_class rows of two numbers: a proven bound
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return materialize(texts, "examples"), totals
+    return materialize(texts, "examples", files_for(2 * per_class)), totals
 
 
 def _features(examples: DataFrame) -> tuple[list[str], np.ndarray]:
