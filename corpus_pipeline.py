@@ -12,20 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import mixing, packing, repeats, simhash, toxicity
-from cairn.llm.common import read, remove, remove_at_exit, work_dir
+from cairn.llm.common import few_files, read, remove, remove_at_exit, work_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a toxic verdict; each is judged by its own text, with an id or without."""
-    scored = toxicity.score(docs, read(spark, sf_dir, "labels"), carry=COLUMNS[1:])
+    scored = toxicity.score(few_files(docs), read(spark, sf_dir, "labels"), carry=COLUMNS[1:])
     return scored.filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the one with the smallest id; rows without an id come last."""
-    return simhash.one_of_each(docs, COLUMNS[1:]).select(*COLUMNS)
+    return simhash.one_of_each(few_files(docs), COLUMNS[1:]).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +36,12 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; those without words are not in it."""
-    return mixing.mix_rows(docs).select(*COLUMNS)
+    return mixing.mix_rows(few_files(docs)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs)
+    return packing.pack(few_files(docs))
 
 
 STAGES = [
