@@ -320,6 +320,20 @@ def format_context(spark, sf):
     return context.format_context(hits).select("qid", F.length("context").cast("long").alias("chars"), F.md5("context").alias("digest"))
 
 
+def fill_prompt(spark, sf):
+    """The default prompt with three chunks as context."""
+    style = F.when(F.col("doc_id") % 3 == 0, "melee_magic").when(F.col("doc_id") % 3 == 1, "").otherwise(F.col("lang"))
+    hits = bm25_topk(spark, sf).filter("rank <= 3").join(documents(spark, sf).select("doc_id", "lang", "text"), "doc_id")
+    shown = context.format_context(hits.select("qid", "rank", style.alias("style"), "text"))
+    text = context.prompt(F.col("context"), F.col("text"))
+    return shown.join(questions(spark, sf).select("qid", "text"), "qid").select("qid", F.length(text).cast("long").alias("chars"), F.md5(text).alias("digest"))
+
+
+def dense_only_search(spark, sf):
+    """A collection that is not hybrid is searched by its vectors alone, text queries or not."""
+    return rounded(fusion.hybrid(questions(spark, sf), _vector_queries(spark, sf), documents(spark, sf), table(spark, sf, "embeddings"), 10, is_hybrid=False), "score")
+
+
 # --- relevance ---
 
 
@@ -437,7 +451,7 @@ expand_tokens unmapped_codes collapse_repeats tidy_links embed_to_text flatten_e
 band_tokens annotate_lines annotate_query strip_tokens
 section_lines sections chunk_fixed chunk_recursive chunk_metadata ingest_corpus
 bm25_postings query_terms idf bm25_topk token_overlap
-dense_topk rrf_fusion hybrid_search filtered_search format_context
+dense_topk rrf_fusion hybrid_search dense_only_search filtered_search format_context fill_prompt
 qrels qrels_size unlabelled_questions stratified_limit
 reciprocal_rank hit_rates mrr_by_tag paired_ttest compare_ranks rank_changes
 split_claims refusal_flag parse_yes_no parse_score judge_attempts answer_timing score_record faithfulness generation_summary

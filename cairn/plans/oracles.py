@@ -145,6 +145,11 @@ _yes = lambda r: f"CASE WHEN regexp_matches(lower({r}), '\\byes\\b') THEN true W
 _rating = lambda r: f"least(try_cast(nullif(regexp_extract({r}, '\\d+(?:\\.\\d+)?'), '') AS DOUBLE) / 10, CASE WHEN regexp_matches({r}, '\\d') THEN 1.0 END)"
 _tries = lambda a, b: f"CASE WHEN {a} IS NOT NULL THEN 0 WHEN {b} IS NOT NULL THEN 1 ELSE 2 END::BIGINT"
 
+#: doc_id and an embed's lines: title, description, one video.
+EMBEDS = f"""SELECT doc_id, CASE WHEN lower(t) = 'table of contents' THEN '' ELSE array_to_string(list_filter(
+  [CASE WHEN t <> '' THEN '### ' || t END, CASE WHEN d <> '' THEN d END, '- Example kill video, Kill (5:25): https://youtu.be/' || doc_id], lambda p: p IS NOT NULL), {NL}) END AS x
+FROM (SELECT doc_id, trim('__' || source || '__', '_ ') AS t, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS d FROM documents)"""
+
 ORACLES = {
     "scan_corpus": f"SELECT doc_id, source, length(text)::BIGINT AS chars, len(string_split(text, {NL}))::BIGINT AS lines FROM documents",
     "index_stats": "SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars, count(DISTINCT lang) AS langs FROM documents GROUP BY source",
@@ -161,6 +166,8 @@ SELECT a.event_type, CASE a.event_type WHEN 'click' THEN -5 WHEN 'build' THEN -6
     "unmapped_codes": f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '<:([a-zA-Z0-9_]+):\\d+>', 1), lambda x: NOT list_contains([{', '.join(map(q, NAMES))}], x)))), ' ') AS codes FROM ({MARKED})",
     "collapse_repeats": digest(MARKED, d_collapse("text")),
     "tidy_links": digest(MARKED, sub("text", r"\[([^\]]*)\]\((https?://[^)]+)\)", r"'\2'")),
+    "embed_to_text": f"SELECT doc_id, length(x)::BIGINT AS chars, md5(x) AS digest FROM ({EMBEDS})",
+    "flatten_embeds": f"SELECT doc_id, length(x)::BIGINT AS chars, md5(x) AS digest FROM (SELECT doc_id, '# Top' || {NL} || x || {NL} || 'between' || {NL} || '{{broken' || {NL} || 'end' AS x FROM ({EMBEDS}))",
     "strip_markup": digest(MARKED, d_strip("text")),
     "normalize_bullets": digest(MARKED, d_bullets("text")),
     "tidy_blank_lines": digest(MARKED, d_blank("text")),
@@ -192,6 +199,11 @@ SELECT item_id, array_to_string(s, ' ') AS shared, array_to_string(a, ' ') AS on
 p AS (SELECT qid, rank, '[From the ' || CASE doc_id % 3 WHEN 0 THEN 'Hybrid Melee/Magic' WHEN 1 THEN 'guide' ELSE lang END || ' guide]' || {NL} || text AS part FROM r JOIN (SELECT doc_id, lang, text FROM documents) USING (doc_id)),
 x AS (SELECT qid, string_agg(part, {NL} || {NL} ORDER BY rank) AS context FROM p GROUP BY qid)
 SELECT qid, length(context)::BIGINT AS chars, md5(context) AS digest FROM x""",
+    "fill_prompt": f"""{SEARCH}, {d_search('r', 0.75, 3)},
+p AS (SELECT qid, rank, '[From the ' || CASE doc_id % 3 WHEN 0 THEN 'Hybrid Melee/Magic' WHEN 1 THEN 'guide' ELSE lang END || ' guide]' || {NL} || text AS part FROM r JOIN (SELECT doc_id, lang, text FROM documents) USING (doc_id)),
+x AS (SELECT qid, 'Answer the question from the context alone.' || {NL} || {NL} || 'Context:' || {NL} || string_agg(part, {NL} || {NL} ORDER BY rank) || {NL} || {NL} || 'Question:' || {NL} || any_value(qs.text) || {NL} AS t FROM p JOIN qs USING (qid) GROUP BY qid)
+SELECT qid, length(t)::BIGINT AS chars, md5(t) AS digest FROM x""",
+    "dense_only_search": f"SELECT qid, vec_id AS doc_id, round(score, 6) AS score, rank FROM {near('SELECT item_id AS qid, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON item_id = vec_id')} WHERE rank <= 10",
     "qrels": f"WITH {QUESTIONS}, {QRELS} SELECT * FROM rel",
     "qrels_size": f"WITH {QUESTIONS}, {QRELS} SELECT qid, count(*) AS n_relevant FROM rel GROUP BY qid",
     "unlabelled_questions": f"WITH {QUESTIONS}, {QRELS} SELECT qid FROM qs WHERE phrase <> '' AND qid NOT IN (SELECT qid FROM rel)",

@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -31,3 +36,25 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 2
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_the_rest_works_without_the_training_data_operators(tmp_path):
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    ignore = lambda folder, names: {"llm", "__pycache__", ".git"} & set(names)
+    shutil.copytree(f"{root}/cairn", tmp_path / "cairn", ignore=ignore)
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    say = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", say], cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [str(len(catalogue.QUERIES)), str(len(oracles.ORACLES))]
+
+
+def test_what_is_missing_inside_the_training_data_operators_is_an_error(tmp_path):
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    ignore = lambda folder, names: {"llm", "__pycache__", ".git"} & set(names)
+    shutil.copytree(f"{root}/cairn", tmp_path / "cairn", ignore=ignore)
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    (tmp_path / "cairn" / "llm").mkdir()
+    (tmp_path / "cairn" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "cairn" / "llm" / "queries.py").write_text("import a_library_that_is_not_there\n")
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True)
+    assert out.returncode and "a_library_that_is_not_there" in out.stderr
