@@ -1,7 +1,7 @@
 """License scan by diagonal voting.
 
-All rolling word 2-grams of every text join the 2-grams of the templates on their
-hash; a match at word p of the text and position t of the template is a vote for the
+All rolling word 2-grams of every text are looked up by their hash, and those with a
+template's hash join the templates' 2-grams on hash and words; a match at word p of the text and position t of the template is a vote for the
 diagonal p - t. A diagonal that gets every vote of a short phrase is a place of that
 phrase. For longer notices the votes of neighbouring diagonals (a word more or less)
 are merged, and their span is verified: of the merged votes, which are equal words and not
@@ -86,19 +86,16 @@ def in_order(band: Column, diagonal: Column) -> Column:
 def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, reach: int = 2, cover: float = 0.6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the spans of notices."""
     spark = docs.sparkSession
+    templates = _template_grams(spark, phrases, notices)
+    known = [r["hash"] for r in templates.select("hash").distinct().collect()]  # MAX_TEMPLATE_WORDS at most
     words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
-    grams = words.select(
-        "doc_id",
-        "text_key",
-        F.explode(
-            F.concat(
-                F.transform("w", lambda x, i: F.struct(i.alias("p"), x.alias("a"), F.get(F.col("w"), i + 1).alias("b"))),
-                F.array(F.struct(F.size("w").alias("p"), F.lit("").alias("a"), F.lit("").alias("b"))),
-            )
-        ).alias("g"),
-    ).select("doc_id", "text_key", "g.p", "g.a", "g.b", F.xxhash64("g.a", "g.b").alias("hash"))
-    templates = F.broadcast(_template_grams(spark, phrases, notices))
-    votes = grams.join(templates, (grams.hash == templates.hash) & (grams.a == templates.ta) & (grams.b == templates.tb))
+    # places whose 2-gram has the hash of some template's; the others are not made rows
+    places = F.filter(F.transform("w", lambda x, i: F.when(F.xxhash64(x, F.get("w", i + 1)).isin(known), i)), lambda i: i.isNotNull())
+    grams = words.select("doc_id", "text_key", "w", F.explode(F.concat(places, F.array(F.size("w")))).alias("p"))
+    word = lambda i: F.coalesce(F.get("w", i), F.lit(""))
+    grams = grams.select("doc_id", "text_key", "p", word(F.col("p")).alias("a"), word(F.col("p") + 1).alias("b"))
+    votes = grams.withColumn("hash", F.xxhash64("a", "b")).join(F.broadcast(templates), ["hash"])
+    votes = votes.filter((F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")))
     votes = votes.select("doc_id", "text_key", "t", "label", "base", "need", "at", (F.col("p") - F.col("at")).alias("diagonal"))
 
     # from here on one text's rows stay together: no further exchange

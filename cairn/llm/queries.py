@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import ann, chat, license_scan, mixing, packing, repeats, simhash, tokens, topk, toxicity
 from .common import read
