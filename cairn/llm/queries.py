@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, license_scan, mixing, packing, repeats, simhash, tokens, topk, toxicity
+from . import ann, centroids, chat, codes, fingerprints, license_scan, mixing, packing, repeats, simhash, tokens, topk, toxicity
 from .common import read
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -53,6 +53,18 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op12_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,12 +84,42 @@ QUERIES = {
         op8_nearest_neighbours,
         op9_token_counts,
         op10_simhash_dedup,
+        op11_syncmer_fingerprints,
+        op12_code_compression,
+        op13_centroid_clustering,
         pipeline,
     )
 }
 
 _FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL"
-
+_WHOLE = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE))"
+#: Exact: whole numbers under 2^53.
+_APART = "list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, c.e) + list_inner_product(c.e, c.e)"
+
+
+def _rounds(n: int, keys: str) -> str:
+    """CTEs a0, c1, a1, ... an: nearest entry of each row of v (r, keys, e), and entries as floored means; c0 is there."""
+    same = " AND ".join(f"v.{k} = c.{k}" for k in keys.split()) or "TRUE"
+    own = "".join(f"{k}, " for k in keys.split())
+    of = lambda t: "".join(f"{t}.{k}, " for k in keys.split())
+    out = []
+    for i in range(n + 1):
+        out.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, {own}c, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY r{"".join(", " + k for k in keys.split())} ORDER BY d, c) AS nth FROM (SELECT v.r, {of("v")}c.c, {_APART} AS d FROM v JOIN c{i} c ON {same})
+  ) WHERE nth = 1
+)""")
+        if i < n:
+            join = " AND ".join(f"o.{k} = s.{k}" for k in ["c", *keys.split()])
+            group = "".join(f"a.{k}, " for k in keys.split())
+            out.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT {of("o")}o.c, coalesce(s.e, o.e) AS e FROM c{i} o LEFT JOIN (
+    SELECT {own}c, list(floor(total / n) ORDER BY i) AS e FROM (
+      SELECT {group}a.c, i, sum(v.e[i]) AS total, count(*) AS n FROM a{i} a JOIN v ON a.r = v.r{"".join(f" AND a.{k} = v.{k}" for k in keys.split())}, (SELECT unnest(range(1, (SELECT max(len(e)) FROM v) + 1)) AS i) GROUP BY ALL
+    ) GROUP BY {own}c
+  ) s ON {join}
+)""")
+    return ",\n".join(out)
 
 
 #: Number, label, is it a phrase of the base, words.
@@ -192,5 +234,31 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(chars)::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id, alone
+""",
+    "op12_code_compression": f"""
+WITH u AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, {_WHOLE} AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (
+  SELECT r, p, e[p * (len(e) // 16) + 1 : (p + 1) * (len(e) // 16)] AS e FROM u, (SELECT unnest(range(16)) AS p)
+), c0 AS (
+  SELECT p, r - 1 AS c, e FROM v WHERE r <= 64
+), {_rounds(2, "p")}, coded AS (
+  SELECT r, string_agg(printf('%02x', c::INTEGER), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(list_transform(e, lambda x: x::BIGINT), ','), ',' ORDER BY p, c)) FROM c2) AS codebooks_sha256
+FROM u JOIN coded USING (r)
+""",
+    "op13_centroid_clustering": f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, {_WHOLE} AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e FROM (SELECT sha256('2:' || vec_id) AS h, e FROM v WHERE vec_id IS NOT NULL ORDER BY h, e LIMIT 40)
+), {_rounds(5, "")}
+SELECT v.vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c5.e, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a5 JOIN v USING (r) JOIN c5 USING (c)
 """,
 }
