@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import clean
-from ..sources import corpus
+from ..sources import corpus, work
 from . import chunking
 
 
@@ -26,11 +26,6 @@ def chunks_of(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_
 
 
 def ingest(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id") -> DataFrame:
-    """Chunks numbered from 0, by document, section and place."""
-    cut = chunks_of(docs, settings, key)
-    # a document's chunks are numbered where they are, then shifted by the counts of the documents before
-    own = F.array_sort(F.collect_list(F.struct("section_no", "chunk_no", "text", "h1", "h2", "h3", "section", "source", "style", "boss")))
-    held = cut.groupBy(key).agg(own.alias("own"), F.count("*").alias("chunks"))
-    placed = corpus.running_total(held, key, "chunks", "before")
-    out = placed.select(key, "before", F.posexplode("own").alias("nth", "c"))
-    return out.select((F.col("before") + F.col("nth")).cast("long").alias("chunk_id"), key, "c.*")
+    """Chunks numbered from 0, by document, section and place; texts are cleaned and cut once, and numbered from what was written."""
+    cut = work.written(chunks_of(docs, settings, key), "chunks")
+    return corpus.number_rows(cut, [key, "section_no", "chunk_no"], "chunk_id").select("chunk_id", *cut.columns)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, clean, judging
 from ..config import Settings
-from ..operators import chunking, context, dense, fusion, ingest, lexical, metrics, relevance
-from ..sources import corpus, registry
+from ..operators import chunking, context, dense, english, fusion, ingest, lexical, metrics, relevance, stored
+from ..sources import corpus, registry, work
 from ..sources.corpus import table
 
 #: Marked-up text made from a document; the same expression in both engines.
@@ -120,7 +120,7 @@ def load_chunks(spark, sf):
 
 
 def build_index(spark, sf):
-    return corpus.number_rows(documents(spark, sf).select("doc_id", "source"), "source", "doc_id", "chunk_id").select("chunk_id", "doc_id", "source")
+    return corpus.number_rows(documents(spark, sf).select("doc_id", "source"), ["source", "doc_id"], "chunk_id").select("chunk_id", "doc_id", "source")
 
 
 def registry_latest(spark, sf):
@@ -282,6 +282,52 @@ def bm25_topk(spark, sf):
     return rounded(lexical.search(questions(spark, sf), documents(spark, sf), 10), "score")
 
 
+def _index(spark, encoder: str = "plain"):
+    return stored.open_store(spark, work.new_folder(spark, "index"), encoder)
+
+
+def indexed_search(spark, sf):
+    """The same from a stored index, blocks skipped by their bounds."""
+    index = _index(spark)
+    index.rebuild(documents(spark, sf).select("doc_id", "text"))
+    return rounded(stored.search(index, questions(spark, sf), 10), "score")
+
+
+def _changes(spark, sf):
+    """An index that is built, gets other texts and more documents, loses some and is made one again; it and its state after each step."""
+    index, docs = _index(spark), documents(spark, sf).select("doc_id", "text")
+    part = F.col("doc_id") % 4
+    old = docs.filter(part != 3).withColumn("text", F.when(part == 1, F.concat(F.lit("an older text "), "text")).otherwise(F.col("text")))
+    yield index, index.rebuild(old)
+    yield index, index.upsert(docs.filter(part.isin(1, 3)))
+    yield index, index.delete(docs.filter("doc_id % 8 = 2"))
+    yield index, index.compact()
+
+
+def updated_search(spark, sf):
+    """A search after texts were replaced and documents deleted, before segments are made one."""
+    steps = _changes(spark, sf)
+    index, state = [next(steps) for _ in range(3)][-1]
+    return rounded(stored.search(index, questions(spark, sf), 10, state), "score")
+
+
+def index_history(spark, sf):
+    """Live documents and tokens after each change."""
+    states = [(i + 1, s.n, s.meta["total"], len(s.meta["segments"]), sum(d["n"] for d in s.meta["deletions"])) for i, (_, s) in enumerate(_changes(spark, sf))]
+    return spark.createDataFrame(states, "snapshot long, documents long, tokens long, segments long, marks long")
+
+
+def stemmed_topk(spark, sf):
+    """English stems without stop words, and the constant mean length."""
+    index = _index(spark, "english")
+    index.rebuild(documents(spark, sf).select("doc_id", "text"))
+    return rounded(stored.search(index, questions(spark, sf), 10, avg_len=english.AVERAGE_LENGTH), "score")
+
+
+def stem_terms(spark, sf):
+    return english.dictionary(documents(spark, sf))
+
+
 def token_overlap(spark, sf):
     docs = documents(spark, sf).select("doc_id", F.col("text").alias("doc"))
     return table(spark, sf, "benchmark").join(docs, F.col("item_id") == F.col("doc_id")).select("item_id", *(c.alias(n) for n, c in lexical.token_overlap(F.col("text"), F.col("doc")).items()))
@@ -451,6 +497,7 @@ expand_tokens unmapped_codes collapse_repeats tidy_links embed_to_text flatten_e
 band_tokens annotate_lines annotate_query strip_tokens
 section_lines sections chunk_fixed chunk_recursive chunk_metadata ingest_corpus
 bm25_postings query_terms idf bm25_topk token_overlap
+indexed_search updated_search index_history stemmed_topk stem_terms
 dense_topk rrf_fusion hybrid_search dense_only_search filtered_search format_context fill_prompt
 qrels qrels_size unlabelled_questions stratified_limit
 reciprocal_rank hit_rates mrr_by_tag paired_ttest compare_ranks rank_changes

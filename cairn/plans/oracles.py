@@ -60,19 +60,21 @@ _P = (
 )
 
 
-def d_bands() -> str:
-    """o_orderkey, line, tokens."""
+BAND_LINES = f"SELECT o_orderkey, {c.BAND_LINE} AS line FROM orders"
+
+
+def d_bands(inner: str = BAND_LINES, key: str = "o_orderkey") -> str:
+    """The key, line, tokens."""
     series = lambda lo, hi: f"generate_series((least(greatest({lo}, 0), 5000) // 500) * 500, least(greatest({hi}, 0), 5000), 500)"
     one = lambda n, lo, hi: f"flatten(list_transform(a{n}, lambda z: {series(lo, hi)}))"
     v = "z::BIGINT"
-    inner = f"SELECT o_orderkey, {c.BAND_LINE} AS line FROM orders"
     inner = f"SELECT *, regexp_extract_all(line, {q(_P[0])}, 1) AS a0, regexp_extract_all(line, {q(_P[0])}, 2) AS b0, {sub('line', _P[0], q(' '))} AS r0 FROM ({inner})"
     for n in range(1, 5):
         inner = f"SELECT *, regexp_extract_all(r{n - 1}, {q(_P[n])}, 1) AS a{n}, {sub(f'r{n - 1}', _P[n], q(' '))} AS r{n} FROM ({inner})"
     first = f"flatten(list_transform(list_zip(a0, b0), lambda z: CASE WHEN z[1]::BIGINT <= z[2]::BIGINT THEN {series('z[1]::BIGINT', 'z[2]::BIGINT')} ELSE [] END))"
     every = f"flatten([{first}, {one(1, v, '5000')}, {one(2, '0', f'greatest({v} - 500, 0)')}, {one(3, v, '5000')}, {one(4, v, v)}])"
-    return f"""SELECT o_orderkey, line, array_to_string(list_transform(list_filter(l, lambda x, i: list_position(l, x) = i), lambda x: 'enrageband' || x), ' ') AS tokens
-FROM (SELECT o_orderkey, line, {every} AS l FROM ({inner}))"""
+    return f"""SELECT {key}, line, array_to_string(list_transform(list_filter(l, lambda x, i: list_position(l, x) = i), lambda x: 'enrageband' || x), ' ') AS tokens
+FROM (SELECT {key}, line, {every} AS l FROM ({inner}))"""
 
 
 TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce({t}, '')), '[^\p{L}\p{N}_]+'), lambda t: t <> '')"
@@ -133,6 +135,49 @@ def _header(n: int) -> str:
 
 
 CHUNKS = "SELECT doc_id, name, t, unnest(range(greatest(ceil((length(t) - 50) / 450.0), 1)::BIGINT)) AS chunk_no FROM (SELECT doc_id, coalesce(text, '') AS t, " + c.FILE_NAME + " AS name FROM documents)"
+_line = "regexp_replace(x, '^\\s+|\\s+$', '', 'g')"
+_depth = lambda t: " + ".join(f"CASE WHEN {t}.h{n} IS NULL THEN 0 ELSE 1 END" for n in (1, 2, 3))
+
+
+def d_sections(docs: str) -> str:
+    """CTEs; the last is sec (doc_id, section_no, text, h1, h2, h3) of (doc_id, text) rows without code fences."""
+    return f"""sl AS (SELECT doc_id, unnest(list_transform(string_split(text, {NL}), lambda x: {_line})) AS line, unnest(range(len(string_split(text, {NL})))) AS line_no FROM ({docs})),
+sh AS (SELECT *, length(regexp_extract(line, '^(#{{1,3}})(?: |$)', 1)) AS level, trim(regexp_replace(line, '^#{{1,3}}', '')) AS title FROM sl),
+sf AS (SELECT *, {_header(1)}, {_header(2)}, {_header(3)}, sum(CASE WHEN level > 0 OR line = '' THEN 1 ELSE 0 END) {_w} AS block FROM sh),
+sb AS (SELECT doc_id, block, h1, h2, h3, string_agg(line, {NL} ORDER BY line_no) AS body, arg_max(line, line_no) AS last FROM sf WHERE line <> '' GROUP BY ALL),
+sn AS (SELECT b.*, CASE WHEN a.doc_id IS NULL THEN 1 WHEN a.h1 IS NOT DISTINCT FROM b.h1 AND a.h2 IS NOT DISTINCT FROM b.h2 AND a.h3 IS NOT DISTINCT FROM b.h3 THEN 0
+  WHEN {_depth("a")} < {_depth("b")} AND starts_with(a.last, '#') THEN 0 ELSE 1 END AS fresh
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS k FROM sb) b LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block) + 1 AS k FROM sb) a ON a.doc_id = b.doc_id AND a.k = b.k),
+sg AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY block) - 1 AS section_no FROM sn),
+sec AS (SELECT doc_id, section_no::BIGINT AS section_no, string_agg(body, '  ' || {NL} ORDER BY block) AS text,
+  arg_max({{'h': h1}}, block).h AS h1, arg_max({{'h': h2}}, block).h AS h2, arg_max({{'h': h3}}, block).h AS h3 FROM sg GROUP BY doc_id, section_no)"""
+
+
+def d_chunks(docs: str, size: int = 500, overlap: int = 50) -> str:
+    """CTEs; the last is chunk (id, chunk_no, text) of (id, text) rows: pieces by each separator in turn, runs of small ones folded to windows."""
+    out, ids = [], []
+    for n, mark in enumerate((f"{NL} || {NL}", NL, "' '"), 1):
+        before = "".join(f"r{i}, " for i in range(1, n))
+        source = docs if n == 1 else f"SELECT id, {before}ps[1] AS text FROM run{n - 1} WHERE over"
+        cut = f"list_filter(list_transform(string_split(text, {mark}), lambda x, i: CASE WHEN i = 1 THEN x ELSE {mark} || x END), lambda x: x <> '')"
+        own = f"PARTITION BY id, {before}1 ORDER BY k"
+        out.append(f"""piece{n} AS (SELECT id, {before}unnest(c) AS p, unnest(range(len(c))) AS k FROM (SELECT id, {before}{cut} AS c FROM ({source}))),
+run{n} AS (SELECT id, {before}r{n}, list(p ORDER BY k) AS ps, bool_or(length(p) >= {size}) AS over FROM (
+  SELECT *, sum(CASE WHEN k = 0 OR length(p) >= {size} OR big THEN 1 ELSE 0 END) OVER ({own}) AS r{n} FROM (SELECT *, lag(length(p) >= {size}) OVER ({own}) AS big FROM piece{n})) GROUP BY id, {before}r{n})""")
+        ids.append(f"SELECT id, {before}r{n}, {''.join(f'0 AS r{i}, ' for i in range(n + 1, 4))}ps FROM run{n} WHERE NOT over")
+    chars = "lambda z: length(z)"
+    kept = f"list_min(list_filter(range(len(a.w) + 1), lambda d: coalesce(list_sum(list_transform(a.w[d + 1:], {chars})), 0) <= least({overlap}, {size} - x.n)))"
+    fold = f"""list_reduce(list_transform(ps, lambda p: {{'w': [p], 'n': length(p), 'o': []::VARCHAR[]}}), lambda a, x: CASE WHEN a.n + x.n > {size}
+  THEN {{'w': a.w[{kept} + 1:] || x.w, 'n': (coalesce(list_sum(list_transform(a.w[{kept} + 1:], {chars})), 0) + x.n)::BIGINT, 'o': a.o || [array_to_string(a.w, '')]}}
+  ELSE {{'w': a.w || x.w, 'n': a.n + x.n, 'o': a.o}} END)"""
+    out.append(f"""small AS ({" UNION ALL ".join(ids)}),
+fold AS (SELECT id, r1, r2, r3, f.o || [array_to_string(f.w, '')] AS c FROM (SELECT id, r1, r2, r3, {fold} AS f FROM small)),
+wide AS (SELECT id, r1, r2, r3, list_transform(range((greatest(ceil((length(ps[1]) - {size}) / {size - overlap}.0), 0) + 1)::BIGINT), lambda i: substr(ps[1], i * {size - overlap} + 1, {size})) AS c FROM run3 WHERE over),
+every AS (SELECT id, r1, r2, r3, unnest(list_transform(c, lambda x: {_line})) AS text, unnest(range(len(c))) AS i FROM (SELECT * FROM fold UNION ALL SELECT * FROM wide)),
+chunk AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY r1, r2, r3, i) - 1 AS chunk_no, text FROM every WHERE text <> '')""")
+    return ",\n".join(out)
+
+
 _stem = "regexp_replace(regexp_extract(name, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1')"
 _part = lambda n: f"CASE WHEN contains({_stem}, '_high_enrage_') THEN string_split({_stem}, '_high_enrage_')[{n}] ELSE {_stem} END"
 SCORES = (
@@ -150,6 +195,18 @@ EMBEDS = f"""SELECT doc_id, CASE WHEN lower(t) = 'table of contents' THEN '' ELS
   [CASE WHEN t <> '' THEN '### ' || t END, CASE WHEN d <> '' THEN d END, '- Example kill video, Kill (5:25): https://youtu.be/' || doc_id], lambda p: p IS NOT NULL), {NL}) END AS x
 FROM (SELECT doc_id, trim('__' || source || '__', '_ ') AS t, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS d FROM documents)"""
 
+def d_ingest() -> str:
+    """CTEs of the whole way into an index: texts with an embed, cleaned, with band tokens, in sections and chunks; the last is cut (doc_id, section_no, chunk_no, text, h1, h2, h3)."""
+    embedded = f"'# Top' || {NL} || x || {NL} || 'between' || {NL} || '{{broken' || {NL} || 'end'"
+    whole = f"SELECT doc_id, {d_expand('text')} || {embedded} AS text FROM ({MARKED}) JOIN ({EMBEDS}) USING (doc_id)"
+    lines = f"SELECT doc_id, unnest(string_split(text, {NL})) AS line, unnest(range(len(string_split(text, {NL})))) AS line_no FROM clean"
+    return f"""clean AS MATERIALIZED (SELECT doc_id, {d_blank(d_bullets(d_strip("text")))} AS text FROM ({whole})),
+tagged AS MATERIALIZED (SELECT doc_id, string_agg(CASE WHEN tokens = '' THEN line ELSE line || ' [' || tokens || ']' END, {NL} ORDER BY line_no) AS text FROM ({d_bands(lines, "doc_id, line_no")}) GROUP BY doc_id),
+{d_sections("SELECT * FROM tagged")},
+{d_chunks("SELECT doc_id * 100000 + section_no AS id, text FROM sec")},
+cut AS (SELECT doc_id, section_no, chunk_no, chunk.text, h1, h2, h3 FROM chunk JOIN sec ON id = doc_id * 100000 + section_no)"""
+
+
 ORACLES = {
     "scan_corpus": f"SELECT doc_id, source, length(text)::BIGINT AS chars, len(string_split(text, {NL}))::BIGINT AS lines FROM documents",
     "index_stats": "SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars, count(DISTINCT lang) AS langs FROM documents GROUP BY source",
@@ -182,12 +239,26 @@ SELECT a.event_type, CASE a.event_type WHEN 'click' THEN -5 WHEN 'build' THEN -6
     "section_lines": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, {NL})) AS line, unnest(range(len(string_split(text, {NL})))) AS line_no FROM ({MARKED})),
 h AS (SELECT *, length(regexp_extract(line, '^(#{{1,3}})(?: |$)', 1)) AS level, trim(regexp_replace(line, '^#{{1,3}}', '')) AS title FROM l)
 SELECT doc_id, line_no::BIGINT AS line_no, md5(line) AS line, CAST(sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) {_w} AS BIGINT) AS section_no, {_header(1)}, {_header(2)}, {_header(3)} FROM h""",
+    "sections": f"WITH {d_sections(MARKED)} SELECT * REPLACE (md5(text) AS text) FROM sec",
+    "chunk_recursive": f"WITH {d_chunks('SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL')} SELECT id AS doc_id, chunk_no, length(text)::BIGINT AS chars, md5(text) AS digest FROM chunk",
+    "ingest_corpus": f"""WITH {d_ingest()}
+SELECT row_number() OVER (ORDER BY doc_id, section_no, chunk_no) - 1 AS chunk_id, doc_id, section_no, chunk_no, coalesce(h3, h2, h1, '') AS section,
+  regexp_extract(name, '([^/]*)$', 1) AS source, {_part(2)} AS style, {_part(1)} AS boss, length(text)::BIGINT AS chars, md5(text) AS digest
+FROM cut JOIN (SELECT doc_id, {c.FILE_NAME} AS name FROM documents) USING (doc_id)""",
     "chunk_fixed": f"SELECT doc_id, chunk_no, length(x)::BIGINT AS chars, md5(x) AS digest FROM (SELECT doc_id, chunk_no, substr(t, chunk_no * 450 + 1, 500) AS x FROM ({CHUNKS}))",
     "chunk_metadata": f"SELECT doc_id, chunk_no, regexp_extract(name, '([^/]*)$', 1) AS source, {_part(2)} AS style, {_part(1)} AS boss FROM ({CHUNKS})",
     "bm25_postings": f"WITH {INDEX.replace('__WHERE__', '')} SELECT doc_id, term, tf, round({weight(0.75)}, 6) AS weight FROM tf, st",
     "query_terms": f"SELECT item_id, array_to_string(list_sort(list_distinct({tokens('text')})), ' ') AS terms FROM benchmark",
     "idf": f"WITH {INDEX.replace('__WHERE__', '')} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"{SEARCH}, {d_search('r', 0.75)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM r",
+    "indexed_search": f"{SEARCH}, {d_search('r', 0.75)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM r",
+    "updated_search": f"WITH {INDEX.replace('__WHERE__', 'WHERE doc_id % 8 <> 2')}, {QUESTIONS}, {d_search('r', 0.75)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM r",
+    "index_history": f"""WITH d AS (SELECT doc_id, len({tokens('text')}) AS n FROM documents),
+s AS (SELECT 1 AS snapshot, n + CASE WHEN doc_id % 4 = 1 THEN 3 ELSE 0 END AS n FROM d WHERE doc_id % 4 <> 3
+  UNION ALL SELECT 2, n FROM d UNION ALL SELECT unnest([3, 4]), n FROM d WHERE doc_id % 8 <> 2),
+m AS (SELECT 2 AS snapshot, count(*) AS marks FROM d WHERE doc_id % 4 = 1 UNION ALL SELECT 3, count(*) FROM d WHERE doc_id % 4 = 1 OR doc_id % 8 = 2)
+SELECT snapshot::BIGINT AS snapshot, count(*) AS documents, sum(n)::BIGINT AS tokens, CASE WHEN snapshot IN (2, 3) THEN 2 ELSE 1 END::BIGINT AS segments, coalesce(any_value(marks), 0) AS marks
+FROM s LEFT JOIN m USING (snapshot) GROUP BY snapshot""",
     "token_overlap": f"""WITH p AS (SELECT item_id, list_distinct({tokens('b.text')}) AS x, list_distinct({tokens('d.text')}) AS y FROM benchmark b JOIN documents d ON item_id = doc_id),
 o AS (SELECT item_id, list_sort(list_intersect(x, y)) AS s, list_sort(list_filter(x, lambda t: NOT list_contains(y, t))) AS a, list_sort(list_filter(y, lambda t: NOT list_contains(x, t))) AS b FROM p)
 SELECT item_id, array_to_string(s, ' ') AS shared, array_to_string(a, ' ') AS only_a, array_to_string(b, ' ') AS only_b, len(a) = 0 AND len(b) = 0 AS same FROM o""",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from . import work
 
 SPLIT_ON = "_high_enrage_"
 
@@ -87,49 +88,25 @@ def shown_section(h2: Column, h3: Column) -> Column:
     return F.coalesce(F.nullif(h3, F.lit("")), h2)
 
 
-def number_rows(df: DataFrame, major: str, minor: str, name: str, span: int = 4096) -> DataFrame:
-    """0-based positions in the order (major, minor), nulls first, without one task that sees all rows.
+def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """0-based positions in the order of these columns, nulls first; keys of any type, spread in any way.
 
-    Rows fall into cells of about ``span`` by their minor value, which is taken to be spread evenly. Counts go
-    up from cells to spans of cells, to majors, to prefixes of majors; at each level what comes before is a sum
-    within the next, so no window holds more than about ``span`` rows but the one over prefixes of two letters.
+    Rows are dealt into sampled ranges and written in order, each with its place in its range; the counts of the
+    ranges before are added. No window, and no task that sees more than a range.
     """
-    low, high, n = df.agg(F.min(minor), F.max(minor), F.count("*")).first()
-    step = max(1, ((high or 0) - (low or 0)) * span // max(1, n))
-    by = {"_m": F.col(major), "_p": F.substring(F.col(major).cast("string"), 1, 2), "_g": F.floor((F.col(minor) - F.lit(low or 0)) / F.lit(step)).cast("long")}
-    cells = df.withColumns(by).withColumn("_s", F.floor(F.col("_g") / span))
-    count = cells.groupBy("_p", "_m", "_s", "_g").agg(F.count("*").alias("_n"))
-    levels = ["_p", "_m", "_s", "_g"]
-    before = count
-    for depth in range(len(levels)):
-        keys, own = levels[:depth], levels[depth]
-        sums = count.groupBy(*keys, own).agg(F.sum("_n").alias("_n"))
-        window = Window.partitionBy(*keys).orderBy(F.col(own).asc_nulls_first())
-        sums = sums.select(*(F.col(c).alias(f"{c}{depth}") for c in [*keys, own]), (F.sum("_n").over(window) - F.col("_n")).alias(f"_b{depth}"))
-        same = [F.col(c).eqNullSafe(F.col(f"{c}{depth}")) for c in [*keys, own]]
-        before = before.join(sums, same).drop(*(f"{c}{depth}" for c in [*keys, own]))
-    total = sum((F.col(f"_b{d}") for d in range(1, len(levels))), F.col("_b0"))
-    before = before.select(*(F.col(c).alias(f"{c}x") for c in levels), total.alias("_before"))
-    own = F.row_number().over(Window.partitionBy(*levels).orderBy(F.col(minor).asc_nulls_first())) - 1
-    joined = cells.withColumn("_own", own).join(before, [F.col(c).eqNullSafe(F.col(f"{c}x")) for c in levels])
-    return joined.withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_own", "_before", *levels, *(f"{c}x" for c in levels))
-
-
-def running_total(df: DataFrame, order: str, size: str, name: str, span: int = 4096) -> DataFrame:
-    """The sum of ``size`` over all rows before each in the order of a number, nulls first: sums within cells, and cells within all."""
-    low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
-    step = max(1, ((high or 0) - (low or 0)) * span // max(1, n))
-    cells = df.withColumn("_g", F.floor((F.col(order) - F.lit(low or 0)) / F.lit(step)).cast("long")).withColumn("_s", F.floor(F.col("_g") / span))
-    earlier = lambda *by: Window.partitionBy(*by)
-    within = F.sum(size).over(earlier("_g").orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
-    sums = cells.groupBy("_s", "_g").agg(F.sum(size).alias("_n"))
-    spans = sums.groupBy("_s").agg(F.sum("_n").alias("_n"))
-    first = lambda w, c: F.coalesce(F.sum("_n").over(w.orderBy(F.col(c).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = spans.select(F.col("_s").alias("_t"), first(earlier(), "_s").alias("_b0"))
-    sums = sums.withColumn("_b1", first(earlier("_s"), "_g")).join(spans, F.col("_s").eqNullSafe(F.col("_t")))
-    sums = sums.select(F.col("_g").alias("_h"), (F.col("_b0") + F.col("_b1")).alias("_before"))
-    out = cells.withColumn("_own", F.coalesce(within, F.lit(0))).join(sums, F.col("_g").eqNullSafe(F.col("_h")))
-    return out.withColumn(name, F.col("_before") + F.col("_own")).drop("_g", "_s", "_h", "_own", "_before")
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a task's ids are its number, 33 bits further left, and the place of the row
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = work.written(placed, "numbered")
+    counts = {r["r"]: r["n"] for r in placed.groupBy(F.shiftright("_at", 33).alias("r")).agg(F.count("*").alias("n")).collect()}  # a number for each range
+    before, total = [], 0
+    for r in sorted(counts):
+        before.append((r, total))
+        total += counts[r]
+    offsets = F.broadcast(spark.createDataFrame(before, "_range long, _before long"))  # one row for each range
+    out = placed.join(offsets, F.shiftright("_at", 33) == F.col("_range"))
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_range", "_before")
 
 
 def write_index(chunks: DataFrame, path: str, hybrid: bool) -> None:
@@ -137,17 +114,12 @@ def write_index(chunks: DataFrame, path: str, hybrid: bool) -> None:
     chunks.write.mode("overwrite" if hybrid else "append").parquet(path)
 
 
-def _file_system(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
 def index_exists(spark: SparkSession, path: str) -> bool:
-    files, target = _file_system(spark, path)
+    files, target = work.file_system(spark, path)
     return files.exists(target)
 
 
 def delete_index(spark: SparkSession, path: str) -> bool:
     """True if there was one."""
-    files, target = _file_system(spark, path)
+    files, target = work.file_system(spark, path)
     return files.delete(target, True)

@@ -1,11 +1,10 @@
 """The way into an index against second implementations: positions instead of lists, groups instead of a running state."""
 
 import json
+import random
 from itertools import groupby
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cairn.config import Settings
@@ -50,11 +49,21 @@ def plain_chunks(text, size, overlap, marks=MARKS):
     return [c for c in out if c]
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.text(st.sampled_from("ab  \n\n.é"), max_size=160), st.integers(2, 40), st.integers(0, 12))
-def test_recursive_chunks_against_positions(text, size, overlap):
-    overlap = min(overlap, size - 1)
-    assert (chunking.recursive_chunks(text, size, overlap) if text else []) == plain_chunks(text, size, overlap)
+def made(letters, n, most, seed):
+    """Texts of up to so many of the letters."""
+    r = random.Random(seed)
+    return ["".join(r.choice(letters) for _ in range(r.randrange(most + 1))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("size,overlap", [(2, 0), (2, 1), (5, 0), (7, 3), (12, 11), (20, 5), (40, 12), (9, 8)])
+def test_recursive_chunks_against_positions(spark, size, overlap):
+    texts = ["", " ", "\n\n\n", "a" * size, "a" * (size + 1), "\xa0" * (3 * size)] + made(["a", "b", " ", " ", "\n", "\n\n", ".", "é", "\U0001f600"], 250, 140, size)
+    texts += made(["abcdefg", " ", "\n", "xy"], 100, 60, overlap)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in chunking.chunk_recursive(df, size=size, overlap=overlap).collect():
+        got.setdefault(r.doc_id, {})[r.chunk_no] = r.text
+    assert [[got.get(i, {})[n] for n in range(len(got.get(i, {})))] for i in range(len(texts))] == [plain_chunks(t, size, overlap) for t in texts]
 
 
 def plain_sections(text):
@@ -85,14 +94,33 @@ def plain_sections(text):
     return [(body, {f"h{n}": t for n, t in h}) for h, body in out]
 
 
-LINES = st.sampled_from(["# A", "## B", "### C", "#", "#x", "####", " # D ", "text", "more  ", "", "", "```", "```py", "~~~", "## ", "a\tb", "​z"])
+LINES = ["# A", "## B", "### C", "#", "#x", "####", " # D ", "text", "more  ", "", "", "```", "```py", "~~~", "````", "``````", "## ", "a\tb", "\u200bz", "#\u00a0n", "\ue000", "\x1c# A"]
+
+
+def test_sections_against_groups(spark):
+    r = random.Random(5)
+    texts = ["", None, "\n\n"] + ["\n".join(r.choice(LINES) for _ in range(r.randrange(15))) for _ in range(1200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for x in chunking.sections(df).collect():
+        got.setdefault(x.doc_id, {})[x.section_no] = (x.text, {h: x[h] for h in ("h1", "h2", "h3") if x[h] is not None})
+    for i, t in enumerate(texts):
+        own = got.get(i, {})
+        assert [own[n] for n in range(len(own))] == plain_sections(t or ""), repr(t)
+
+
+def test_no_python_in_chunking(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = chunking.chunk_recursive(chunking.sections(df))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-@settings(max_examples=500, deadline=None)
-@given(st.lists(LINES, max_size=14))
-def test_sections_against_groups(lines):
-    text = "\n".join(lines)
-    assert chunking.header_sections(text) == plain_sections(text)
+def test_a_long_text(spark):
+    text = "some words of a line " * 40_000 + "x" * 3000 + "\n\nend"
+    df = spark.createDataFrame([(1, f"# H\n{text}")], "doc_id long, text string")
+    (one,) = chunking.sections(df).collect()
+    assert one.text == f"# H\n{text}".replace("\n\n", "  \n")
+    assert [r.text for r in chunking.chunk_recursive(df).orderBy("chunk_no").collect()] == plain_chunks(f"# H\n{text}", 500, 50)
 
 
 DOCS = [

@@ -11,23 +11,29 @@ from cairn.sources import corpus, registry
 from cairn.streaming import incremental
 
 
-def test_recursive_chunks():
+def chunks_of(spark, text, size, overlap):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return [r.text for r in chunking.chunk_recursive(df, size=size, overlap=overlap).orderBy("chunk_no").collect()]
+
+
+def test_recursive_chunks(spark):
     text = "para one is here.\n\npara two " + "word " * 60 + "\nnext line\n\n" + "x" * 130
-    chunks = chunking.recursive_chunks(text, 100, 20)
+    chunks = chunks_of(spark, text, 100, 20)
     assert all(0 < len(c) <= 100 for c in chunks) and chunks[0] == "para one is here."
     assert "".join("".join(chunks).split()).startswith("paraoneishere.paratwo")
-    words = chunking.recursive_chunks(" ".join(f"w{i}" for i in range(200)), 50, 20)
+    words = chunks_of(spark, " ".join(f"w{i}" for i in range(200)), 50, 20)
     assert all(set(a.split()) & set(b.split()) for a, b in zip(words, words[1:]))
-    assert chunking.recursive_chunks("short", 100, 20) == ["short"]
-    assert chunking.recursive_chunks("a" * 25, 10, 3) == ["a" * 10, "a" * 10, "a" * 10, "a" * 4][: len(chunking.recursive_chunks("a" * 25, 10, 3))]
+    assert chunks_of(spark, "short", 100, 20) == ["short"]
+    assert chunks_of(spark, "a" * 25, 10, 3) == ["a" * 10, "a" * 10, "a" * 10, "a" * 4]
 
 
-def test_header_sections():
+def test_header_sections(spark):
     text = "# A\nintro\n\nmore\n## B\n### C\nbody\n```\n# no header\n```\n## D\nend"
-    got = chunking.header_sections(text)
-    assert got[0] == ("# A\nintro  \nmore", {"h1": "A"})
-    assert got[1][1] == {"h1": "A", "h2": "B", "h3": "C"} and got[1][0].startswith("## B  \n### C\nbody") and "# no header" in got[1][0]
-    assert got[2] == ("## D\nend", {"h1": "A", "h2": "D"})
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [(r.text, (r.h1, r.h2, r.h3)) for r in chunking.sections(df).orderBy("section_no").collect()]
+    assert got[0] == ("# A\nintro  \nmore", ("A", None, None))
+    assert got[1][1] == ("A", "B", "C") and got[1][0].startswith("## B  \n### C\nbody") and "# no header" in got[1][0]
+    assert got[2] == ("## D\nend", ("A", "D", None))
 
 
 def test_section_lines(spark):
@@ -71,14 +77,19 @@ def test_json_files(spark, tmp_path):
 
 def test_index_sinks_and_numbers(spark, tmp_path):
     rows = spark.createDataFrame([("b", 5), ("a", 9000), ("a", 3), (None, 1)], "source string, doc_id long")
-    got = {r.doc_id: r.chunk_id for r in corpus.number_rows(rows, "source", "doc_id", "chunk_id").collect()}
+    got = {r.doc_id: r.chunk_id for r in corpus.number_rows(rows, ["source", "doc_id"], "chunk_id").collect()}
     assert got == {1: 0, 3: 1, 9000: 2, 5: 3}
-    many = spark.createDataFrame([(["aa", "ab", "b", None][i % 4], [i * 3, -i, 2**40 + i, 7][i % 4]) for i in range(300)] + [("aa", None)], "source string, doc_id long")
-    rows_ = corpus.number_rows(many, "source", "doc_id", "n", span=3).collect()
-    keyed = sorted((r.n, (r.source is not None, r.source or ""), (r.doc_id is not None, r.doc_id or 0)) for r in rows_)
-    assert [k[0] for k in keyed] == list(range(301)) and [k[1:] for k in keyed] == sorted(k[1:] for k in keyed)
-    totals = corpus.running_total(spark.createDataFrame([(i * i, i) for i in range(50)], "k long, size long"), "k", "size", "before", span=2)
-    assert all(r.before == sum(range(r.size)) for r in totals.collect())
+    many = [(["aa", "ab", "b", None][i % 4], [i * 3, -i, 10**18 if i == 2 else 2**40 + i, 7][i % 4]) for i in range(300)] + [("aa", None)]
+    for order in (["source", "doc_id"], ["doc_id", "source"]):
+        found = corpus.number_rows(spark.createDataFrame(many, "source string, doc_id long"), order, "n").collect()
+        keyed = sorted((r.n, *((r[c] is not None, 0 if r[c] is None else r[c]) for c in order)) for r in found)
+        assert [k[0] for k in keyed] == list(range(301)) and [k[1:] for k in keyed] == sorted(k[1:] for k in keyed)
+    hot = spark.createDataFrame([(1,)] * 500 + [(10**18,), (None,)], "k long").withColumn("s", F.concat(F.lit("key "), F.col("k").cast("string")))
+    by_text = {r.s: r.n for r in corpus.number_rows(hot.distinct(), ["s"], "n").collect()}
+    assert by_text == {None: 0, "key 1": 1, f"key {10**18}": 2} and sorted(r.n for r in corpus.number_rows(hot, ["k"], "n").collect()) == list(range(502))
+    assert corpus.number_rows(hot.filter("k = 0"), ["k"], "n").count() == 0
+    plan = corpus.number_rows(hot, ["k"], "n")._jdf.queryExecution().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
     for hybrid, want in ((False, 4), (False, 8), (True, 4)):
         corpus.write_index(rows, str(tmp_path / "index"), hybrid)
         assert spark.read.parquet(str(tmp_path / "index")).count() == want
