@@ -11,7 +11,10 @@ characters are cut where no token can stand across the cut: before white space t
 follows another character, or between two characters that are not white space where no
 entry of the vocabulary spans the two sides. So texts without spaces, in any script, are
 cut too; only a run whose every place is inside some entry (one letter repeated for
-megabytes) is encoded whole.
+megabytes) is encoded whole. A run of over ``SPLIT`` white-space characters is one token of
+the pattern, but for its last character if another follows; it is merged without the
+pattern, which would need a stack as deep as the run, and as one count for equal neighbours
+if it repeats one byte.
 
 Defined cases: a null text counts as empty (0 tokens); every row, repeated or not, gives
 one row; a null doc_id is kept; other columns are ignored.
@@ -37,6 +40,9 @@ BATCH_BYTES = 1 << 20
 SPLIT = 1 << 16
 NEAR = 1 << 12
 
+#: What the pattern takes for white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_LONG_WHITE = re.compile(f"(?<![{WHITE}])[{WHITE}]{{{SPLIT},}}+")
 _BEFORE_SPACE = re.compile("(?<=[^\\s᠎])(?=[ \t\n\r])")
 _SPACE = re.compile("[\\s᠎]")
 
@@ -108,7 +114,10 @@ class Encoder:
         if self.fast is None:
             yield text
             return
-        for piece in self.mark.split(text) if self.mark and self.mark.search(text) else (text,):
+        for piece in self.stretches(text):
+            if self.white(piece):
+                yield piece
+                continue
             at = 0
             while len(piece) - at > SPLIT and piece not in self.special and (cut := self.cut(piece, at + SPLIT)):
                 yield piece[at:cut]
@@ -116,11 +125,69 @@ class Encoder:
             if at < len(piece):
                 yield piece[at:] if at else piece
 
+    def stretches(self, text: str) -> Iterator[str]:
+        """Special strings, long runs of white space, and what is between."""
+        for piece in self.mark.split(text) if self.mark and self.mark.search(text) else (text,):
+            at = 0
+            for run in _LONG_WHITE.finditer(piece):
+                start, end = run.span()
+                end -= end < len(piece)  # the last one belongs to what follows
+                if start > at:
+                    yield piece[at:start]
+                yield piece[start:end]
+                at = end
+            yield piece[at:] if at else piece
+
+    def white(self, part: str) -> bool:
+        """True for a part that is one long run of white space."""
+        return len(part) >= SPLIT - 1 and part[0] in WHITE and part[-1] in WHITE and not part.strip(WHITE)
+
+    def white_ids(self, run: str) -> np.ndarray:
+        """The ids of a run that the pattern takes whole."""
+        if run[0] < "\x80" and run.count(run[0]) == len(run):
+            return self.repeated(run[0].encode(), len(run))
+        return np.array(self.fast._encode_single_piece(run), np.uint32)
+
+    def repeated(self, byte: bytes, n: int) -> np.ndarray:
+        """The ids of one byte n times: merges by falling priority, over (entry, how often) instead of single entries."""
+        runs = [(byte, n)]
+        rank = lambda a, b: self.ranks.get(a + b, len(self.ranks) + 256)
+        while True:
+            inside = [rank(x, x) for x, m in runs if m > 1]
+            between = [rank(x, y) for (x, _), (y, _) in zip(runs, runs[1:])]
+            best = min(inside + between, default=None)
+            if best is None or best >= len(self.ranks) + 256:
+                return np.concatenate([np.full(m, self.ranks[x], np.uint32) for x, m in runs])
+            out: list[tuple[bytes, int]] = []
+
+            def put(x: bytes, m: int) -> None:
+                if m and out and out[-1][0] == x:
+                    out[-1] = (x, out[-1][1] + m)
+                elif m:
+                    out.append((x, m))
+
+            todo = runs[::-1]
+            while todo:
+                x, m = todo.pop()
+                if m > 1 and rank(x, x) == best:
+                    put(x + x, m // 2)
+                    m %= 2
+                if m and todo and rank(x, todo[-1][0]) == best:
+                    y, k = todo.pop()
+                    put(x, m - 1)
+                    put(x + y, 1)
+                    if k > 1:
+                        todo.append((y, k - 1))
+                else:
+                    put(x, m)
+            runs = out
+
     def ids(self, text: str) -> np.ndarray:
         """Ids as unsigned 32-bit numbers."""
         if self.fast is None:
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
-        own = [np.array([self.special[p]], np.uint32) if p in self.special else np.array(self.fast.encode_ordinary(p), np.uint32) for p in self.parts(text)]
+        of = lambda p: np.array([self.special[p]] if p in self.special else self.fast.encode_ordinary(p), np.uint32)
+        own = [self.white_ids(p) if self.white(p) else of(p) for p in self.parts(text)]
         return own[0] if len(own) == 1 else np.concatenate([np.zeros(0, np.uint32), *own])
 
     def lengths(self, texts: list[str]) -> np.ndarray:
@@ -144,6 +211,9 @@ class Encoder:
                 if self.fast is not None and part in self.special:
                     out[i] += 1
                     continue
+                if self.fast is not None and self.white(part):
+                    out[i] += len(self.white_ids(part))
+                    continue
                 if batch and size + len(part) > 2 * SPLIT:
                     encode()
                     size = 0

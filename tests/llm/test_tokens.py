@@ -70,6 +70,39 @@ def test_long_texts_and_special_strings(kind):
         assert max(map(len, ENC.parts(text))) < 2 * SPLIT
 
 
+WHITE = {"spaces": " ", "newlines": "\n", "tabs": "\t", "mixed": "\n  \t\r", "no-break": "\xa0", "wide": "\u2003 "}
+
+
+def same(text):
+    want = lib(text)
+    return ENC.ids(text).tolist() == want and ENC.lengths([text, "a"]).tolist() == [len(want), 1]
+
+
+@pytest.mark.parametrize("kind", WHITE)
+def test_long_white_space(kind):
+    unit = WHITE[kind]
+    for n in (SPLIT - 2, SPLIT - 1, SPLIT, SPLIT + 1, 200_000):
+        run = (unit * n)[:n]
+        for text in (run, f"x{run}", f"{run}y", f"x{run}y z", f"x{run}<|endoftext|>{run}'s", f"1{run}.{run}é"):
+            assert same(text), (kind, n, text[:1], text[-1:])
+    n = 5_000_000 if len(unit) == 1 and unit < "\x80" else 1_000_000
+    assert same(f"x{(unit * n)[:n]}y")
+
+
+@pytest.mark.parametrize("byte", " \n\t\r\x0b")
+def test_one_byte_repeated(byte):
+    for n in (*range(1, 300), 1023, 1025, 70_001):
+        assert ENC.repeated(byte.encode(), n).tolist() == lib(byte * n)
+
+
+def test_white_space_of_a_million_in_tables(docs_of):
+    texts = ["x" + "\n" * 1_000_000 + "y", " " * 1_000_000, "\t \n" * 400_000]
+    df = docs_of(list(enumerate(texts)))
+    assert sorted(r["n_tokens"] for r in count_tokens(df).collect()) == sorted(len(lib(t)) for t in texts)
+    packed = pack(df).groupBy("doc_id").sum("length").collect()
+    assert sorted(r[1] for r in packed) == sorted(len(lib(t)) + 1 for t in texts)
+
+
 def test_special_strings():
     for text in ("a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "a <|endoftext|>  b", "<|endoftext|"):
         assert list(ENC.ids(text)) == lib(text)
