@@ -19,32 +19,62 @@ def _key_word(phrase: Column) -> Column:
     return F.get(F.array_sort(inner, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 0)
 
 
+#: Lengths of the grams that short phrases are looked up by; a phrase takes the longest that it has.
+GRAMS = (8, 4, 2, 1)
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The distinct pieces of n characters, wherever they begin."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def _by_rarest_gram(have: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """Chunks and questions that share the rarest of a phrase's grams: an equality join; phrases are n characters long at least."""
+    texts = have.withColumn("gram", F.explode(_grams(F.col("text"), n)))
+    own = asked.select("phrase", F.explode(_grams(F.col("phrase"), n)).alias("gram")).distinct()
+    # the grams of a block of questions: of bounded bytes, as the block is
+    held = texts.select("gram").join(F.broadcast(own.select("gram").distinct()), "gram").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = own.join(held, "gram", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    # a phrase with a gram that no text has is in no text
+    keyed = asked.join(rarest.filter("least.n > 0").select("phrase", F.col("least.gram").alias("own_gram")), "phrase")
+    return texts.join(F.broadcast(keyed), F.col("gram") == F.col("own_gram"))
+
+
 def qrels(questions: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """qid, key, grade 1 where a chunk answers: source allowed, section and phrase contained.
 
     Questions meet the chunks that hold a word of their phrase, by an equality join; what they meet is verified.
-    Phrases without such a word (of one or two words) are looked for in every chunk. A block of questions is held
-    to about QUESTION_BYTES before it goes to every task of a scan; more questions take more blocks.
+    Phrases without such a word (of one or two words) meet the chunks that hold the rarest of their grams. A block of
+    questions is held to about QUESTION_BYTES before it goes to every task of a scan; more questions take more blocks.
     """
     want = questions.select("qid", "expected_source", normalize_text(F.col("expected_section")).alias("want"), F.coalesce("expected_phrase", F.lit("")).alias("phrase"))
     want = want.filter("want <> '' AND phrase <> ''").withColumn("key_word", _key_word(F.col("phrase")))
     any_source = F.coalesce(F.size("expected_source"), F.lit(0)) <= 0
     have = chunks.select(key, "source", normalize_text(F.col("section")).alias("section"), F.coalesce("text", F.lit("")).alias("text"))
     same = (any_source | F.array_contains("expected_source", F.col("source"))) & F.col("section").contains(F.col("want")) & F.col("text").contains(F.col("phrase"))
-    size = F.octet_length("want") + F.octet_length("phrase") + F.octet_length(F.concat_ws("", "expected_source")) + 16 * F.greatest(F.coalesce(F.size("expected_source"), F.lit(0)), F.lit(0)) + 64
-    kinds = want.groupBy(F.col("key_word").isNull().alias("short")).agg(F.sum(size.cast("long")).alias("n")).collect()
+    # a phrase's grams go to every task as well
+    size = (1 + F.when(F.col("key_word").isNull(), GRAMS[0]).otherwise(0)) * F.octet_length("phrase") + F.octet_length("want") + F.octet_length(F.concat_ws("", "expected_source"))
+    size = size + 16 * F.greatest(F.coalesce(F.size("expected_source"), F.lit(0)), F.lit(0)) + 64
+    gram = F.when(F.col("key_word").isNotNull(), 0)
+    for n in GRAMS:
+        gram = gram.when(F.length("phrase") >= n, n)
+    want = want.withColumn("grams", gram)
+    kinds = want.groupBy("grams").agg(F.sum(size.cast("long")).alias("n")).collect()  # five rows at most
     # only words are multiplied before the join; the text is looked at where a key word was met
     words = have.withColumn("word", F.explode(F.array_distinct(F.split("text", r"\s+", -1))))
-    found = [have.join(F.broadcast(want), F.lit(False))]
+    found = []
     for kind in kinds:
-        own = want.filter(F.col("key_word").isNull() if kind["short"] else F.col("key_word").isNotNull())
+        own = want.filter(F.col("grams") == kind["grams"])
         blocks = max(1, -(-kind["n"] // QUESTION_BYTES))
         # by the whole question, as a qid may stand often
         block = F.pmod(F.xxhash64("qid", "want", "phrase"), F.lit(blocks))
         for b in range(blocks):
-            asked = F.broadcast(own.filter(block == b) if blocks > 1 else own)
-            found.append(have.join(asked, same) if kind["short"] else words.join(asked, F.col("word") == F.col("key_word")).filter(same))
-    return reduce(DataFrame.unionByName, (x.select("qid", key, F.lit(1).alias("grade")) for x in found[1:] or found))
+            asked = own.filter(block == b) if blocks > 1 else own
+            met = _by_rarest_gram(have, asked, kind["grams"]) if kind["grams"] else words.join(F.broadcast(asked), F.col("word") == F.col("key_word"))
+            found.append(met.filter(same))
+    if not found:
+        found = [have.join(F.broadcast(want), F.lit(False))]
+    return reduce(DataFrame.unionByName, (x.select("qid", key, F.lit(1).alias("grade")) for x in found))
 
 
 def qrels_size(labels: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bands, clean, judging
 from ..config import Settings
-from ..operators import chunking, context, dense, english, fusion, ingest, lexical, metrics, relevance, stored
+from ..operators import chunking, context, dense, english, fusion, ingest, lexical, metrics, relevance, results, stored
 from ..sources import corpus, registry, work
 from ..sources.corpus import table
 
@@ -387,6 +389,12 @@ def qrels(spark, sf):
     return labelled(spark, sf)
 
 
+def qrels_short(spark, sf):
+    """Phrases of a few characters, from inside words too, that are looked up by their rarest gram."""
+    asked = questions(spark, sf).withColumn("expected_phrase", F.expr("substring(text, cast(2 + qid % 5 AS int), cast(1 + qid % 12 AS int))"))
+    return relevance.qrels(asked, documents(spark, sf).withColumn("section", F.col("source")))
+
+
 def qrels_size(spark, sf):
     return relevance.qrels_size(labelled(spark, sf))
 
@@ -470,6 +478,33 @@ def judge_attempts(spark, sf):
     )
 
 
+def stand_in(texts: list[str]) -> list[str]:
+    """A model that always says the same to a text, and fails at every seventh length."""
+    if any(len(t) % 7 == 0 for t in texts):
+        raise ValueError("no result")
+    return [hashlib.md5(t.encode()).hexdigest() for t in texts]
+
+
+def model_results(spark, sf):
+    """Turns with what the stand-in says to them, after a second run that asks only what failed in the first."""
+    path, turns = work.new_folder(spark, "results"), table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    results.run(turns.filter("turn % 2 = 0"), stand_in, path)
+    out = results.run(turns, stand_in, path)
+    return out.select("conv_id", "turn", "result", F.col("error").alias("error"))
+
+
+def run_times(spark, sf):
+    """Sketches of each run's times: how many there are, and whether median and 95th percentile lie within the stated rank error."""
+    times = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("run_name"), F.col("value").alias("seconds"))
+    found = registry.time_quantiles(registry.time_sketches(times, "run_name", "seconds"), {"p50": 0.5, "p95": 0.95})
+    every = times.withColumn("run", F.explode(F.array(F.col("run_name"), F.lit(None)))).filter("seconds IS NOT NULL")
+    joined = every.join(F.broadcast(found.select(F.col("run_name").alias("of"), "n", "p50", "p95")), F.col("run").eqNullSafe(F.col("of")))
+    below = lambda p: F.avg((F.col("seconds") < F.col(p)).cast("double"))
+    upto = lambda p: F.avg((F.col("seconds") <= F.col(p)).cast("double"))
+    near = lambda p, q: ((below(p) <= q + registry.RANK_ERROR) & (upto(p) >= q - registry.RANK_ERROR)).alias(f"{p}_near")
+    return joined.groupBy(F.coalesce("of", F.lit("all runs")).alias("run_name"), "n").agg(near("p50", 0.5), near("p95", 0.95))
+
+
 def answer_timing(spark, sf):
     """Answers that took a tenth of a second for each character."""
     answers = table(spark, sf, "conversations").select((F.length("text") / 10).alias("seconds"))
@@ -499,9 +534,9 @@ section_lines sections chunk_fixed chunk_recursive chunk_metadata ingest_corpus
 bm25_postings query_terms idf bm25_topk token_overlap
 indexed_search updated_search index_history stemmed_topk stem_terms
 dense_topk rrf_fusion hybrid_search dense_only_search filtered_search format_context fill_prompt
-qrels qrels_size unlabelled_questions stratified_limit
+qrels qrels_short qrels_size unlabelled_questions stratified_limit
 reciprocal_rank hit_rates mrr_by_tag paired_ttest compare_ranks rank_changes
-split_claims refusal_flag parse_yes_no parse_score judge_attempts answer_timing score_record faithfulness generation_summary
+split_claims refusal_flag parse_yes_no parse_score judge_attempts model_results run_times answer_timing score_record faithfulness generation_summary
 """.split()
 
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -276,6 +276,7 @@ x AS (SELECT qid, 'Answer the question from the context alone.' || {NL} || {NL}
 SELECT qid, length(t)::BIGINT AS chars, md5(t) AS digest FROM x""",
     "dense_only_search": f"SELECT qid, vec_id AS doc_id, round(score, 6) AS score, rank FROM {near('SELECT item_id AS qid, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON item_id = vec_id')} WHERE rank <= 10",
     "qrels": f"WITH {QUESTIONS}, {QRELS} SELECT * FROM rel",
+    "qrels_short": f"WITH qs AS (SELECT item_id AS qid, substr(text, 2 + item_id % 5, 1 + item_id % 12) AS phrase FROM benchmark), {QRELS} SELECT * FROM rel",
     "qrels_size": f"WITH {QUESTIONS}, {QRELS} SELECT qid, count(*) AS n_relevant FROM rel GROUP BY qid",
     "unlabelled_questions": f"WITH {QUESTIONS}, {QRELS} SELECT qid FROM qs WHERE phrase <> '' AND qid NOT IN (SELECT qid FROM rel)",
     "stratified_limit": "SELECT qid, answerable FROM (SELECT item_id AS qid, item_id % 4 <> 0 AS answerable, row_number() OVER (PARTITION BY item_id % 4 <> 0 ORDER BY item_id) AS n FROM benchmark) WHERE n <= CASE WHEN answerable THEN 8 ELSE 2 END",
@@ -302,6 +303,8 @@ SELECT count(*) FILTER (coalesce(rank_a, 0) <> coalesce(rank_b, 0)) AS differing
   SELECT conv_id, turn, {c.REPLY} AS a, {c.REPLY.replace('conv_id + turn', 'conv_id + turn * 3')} AS b, {c.RATING} AS c, {c.RATING.replace('conv_id + turn', 'conv_id + turn * 3')} AS d FROM conversations))
 SELECT conv_id, turn, coalesce(y1, y2) AS verdict, {_tries('y1', 'y2')} AS verdict_retries, y1 IS NULL AND y2 IS NULL AS verdict_failed,
   coalesce(r1, r2) AS relevancy, {_tries('r1', 'r2')} AS rating_retries, r1 IS NULL AND r2 IS NULL AS rating_failed FROM r""",
+    "model_results": "SELECT conv_id, turn, CASE WHEN length(text) % 7 <> 0 THEN md5(text) END AS result, CASE WHEN length(text) % 7 = 0 THEN 'ValueError: no result' END AS error FROM conversations",
+    "run_times": "SELECT coalesce(r, 'all runs') AS run_name, count(*) AS n, true AS p50_near, true AS p95_near FROM (SELECT unnest([user_id::VARCHAR, NULL]) AS r FROM events WHERE value IS NOT NULL) GROUP BY r",
     "answer_timing": "SELECT count(*) AS answers, round(sum(length(text) / 10) / 60, 6) AS minutes, round(avg(length(text) / 10), 6) AS seconds_each FROM conversations",
     "score_record": f"WITH {SCORES} SELECT * FROM s",
     "faithfulness": f"SELECT conv_id AS id, round(avg(CASE v WHEN true THEN 1.0 WHEN false THEN 0.0 END), 6) AS faithfulness FROM (SELECT conv_id, {c.VERDICT} AS v FROM conversations) GROUP BY conv_id",

@@ -72,3 +72,26 @@ def log_comparison(spark, path, baseline: str, comparisons: dict[str, tuple[floa
 
 def leaderboard(runs: DataFrame, metric: str = "mrr_at_10") -> DataFrame:
     return runs.withColumn(metric, F.try_element_at("metrics", F.lit(metric))).orderBy(F.desc_nulls_last(metric), "run_name")
+
+
+#: Size of a time sketch, and the rank error that its quantiles stay within.
+SKETCH_K, RANK_ERROR = 800, 0.0165
+
+
+def time_sketches(times: DataFrame, run: str, seconds: str) -> DataFrame:
+    """run_name, n and a mergeable sketch of the seconds of each run: combined in every task before the shuffle."""
+    return times.groupBy(F.col(run).cast("string").alias("run_name")).agg(F.count(seconds).alias("n"), F.kll_sketch_agg_double(F.col(seconds).cast("double"), F.lit(SKETCH_K)).alias("sketch"))
+
+
+def log_times(times: DataFrame, path: str, run: str = "run_name", seconds: str = "seconds") -> None:
+    """Appends the sketches of these runs; a run may be logged in several parts."""
+    time_sketches(times, run, seconds).write.mode("append").parquet(path)
+
+
+def time_quantiles(log: DataFrame, ranks: dict[str, float]) -> DataFrame:
+    """run_name, n and the named quantiles of each run, and of all runs where run_name is null, from sketches alone."""
+    merged = F.kll_merge_agg_double("sketch").alias("sketch")
+    per = log.filter("n > 0").groupBy("run_name").agg(F.sum("n").alias("n"), merged)
+    over = per.agg(F.sum("n").alias("n"), merged).select(F.lit(None).cast("string").alias("run_name"), "n", "sketch").filter("n IS NOT NULL")
+    quantile = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(float(q)))
+    return per.unionByName(over).select("run_name", "n", *(quantile(q).alias(name) for name, q in ranks.items()))
