@@ -10,8 +10,10 @@ conversation's spans are found on the final output, each turn probed in the whol
 conversation. What a turn's role had around its text before is tried first, and probed
 anew where the text is not read back.
 
-The default template escapes control strings inside texts reversibly, so contents are
-read back from the output alone.
+The default template escapes control strings inside texts and roles reversibly, so roles,
+turns and contents are read back from the output alone, by a reader that knows its marks.
+Digests come from what is read there; they are null where it can't be read, where a text
+is not read back, or where a turn's output does not tell its role from another one.
 
 Conversations are streamed: rows are dealt by conversation and sorted, and a task holds
 the conversation at hand only. A black box must be given every prefix, so the time of a
@@ -47,6 +49,11 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def escape_role(role: str) -> str:
+    """Nor an unescaped ``]``, which ends a role."""
+    return escape(role).replace("]", "\\]")
+
+
 def inst_template(turns: list[Turn]) -> str:
     """User turns stand in [INST] marks, assistant turns end with </s>, others carry their role."""
     out = []
@@ -57,10 +64,36 @@ def inst_template(turns: list[Turn]) -> str:
         elif role == "assistant":
             out.append(f" {text} </s>")
         else:
-            out.append(f"<s>[ROLE {escape(role)}] {text} [/ROLE]")
+            out.append(f"<s>[ROLE {escape_role(role)}] {text} [/ROLE]")
     return "".join(out)
 
 
+_TURN = re.compile(
+    r"""<s>\[INST\]\ (?P<user>(?:[^\\<\[]++|\\.)*+)\[/INST\]
+    |\ (?P<assistant>(?:[^\\<\[]++|\\.)*+)</s>
+    |<s>\[ROLE\ (?P<role>(?:[^\\<\[\]]++|\\.)*+)\]\ (?P<other>(?:[^\\<\[]++|\\.)*+)\[/ROLE\]""",
+    re.S | re.X,
+)
+
+
+def read_inst(text: str) -> list[Turn] | None:
+    """The turns that an output of the default template holds; None where it is no such output."""
+    turns, at = [], 0
+    while at < len(text):
+        found = _TURN.match(text, at)
+        if not found:
+            return None
+        kind = found.lastgroup
+        content = found[kind]
+        role = kind if kind in ("user", "assistant") else unescape(found["role"])
+        # a space stands before the closing mark; other roles than these two have marks of their own
+        if not content.endswith(" ") or kind == "other" and role in ("user", "assistant"):
+            return None
+        turns.append((role, unescape(content[:-1])))
+        at = found.end()
+    return turns
+
+
 def _common(a: str, b: str) -> int:
     return len(os.path.commonprefix((a, b)))
 
@@ -75,7 +108,7 @@ class Rendered:
     """The output for a conversation, and for each turn the span of its content in it."""
 
     def __init__(self, turns: list[Turn], template: Template, undo: Callable[[str], str] = unescape):
-        self.turns, self.rewrites, self.contents = turns, False, []
+        self.turns, self.template, self.rewrites, self.contents = turns, template, False, []
         outputs, frames = [template([])], {}
         for i, (role, text) in enumerate(turns):
             now = template(turns[: i + 1])
@@ -101,8 +134,14 @@ class Rendered:
         return undo(self.text[start:stop])
 
     def faithful(self, undo: Callable[[str], str] = unescape) -> bool:
-        """True if every turn's text is read back from the output as it was."""
-        return all(self.content(i, undo) == t for i, (_, t) in enumerate(self.turns))
+        """True if every turn's text is read back from the output as it was, and no role gives the output of another."""
+        return all(self.content(i, undo) == t for i, (_, t) in enumerate(self.turns)) and self.tells_roles()
+
+    def tells_roles(self) -> bool:
+        """True if each role's turn alone differs in output from the same turn of any other role here and of one that is not."""
+        known = {r for r, _ in self.turns}
+        alone = {r: self.template([(r, "x")]) for r in (*known, f"not {max(known, default='')}")}
+        return len(set(alone.values())) == len(alone)
 
 
 def format_conversations(conversations: DataFrame, template: Template = inst_template, undo: Callable[[str], str] = unescape) -> DataFrame:
@@ -143,25 +182,27 @@ def format_conversations(conversations: DataFrame, template: Template = inst_tem
     return out.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What is read back from the formatted texts: digests of the turns and of what is under the loss mask, null where a text is not read back."""
+def digests(formatted: DataFrame, read: Callable[[str], list[Turn] | None] = read_inst) -> DataFrame:
+    """What ``read`` finds in the formatted texts: number and digest of the turns, and what is under the loss mask; null where the output doesn't give them back."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         for pdf in batches:
             out = []
-            for conv, text, roles, starts, stops, faithful in zip(pdf["conv_id"], pdf["formatted"], pdf["roles"], pdf["starts"], pdf["stops"], pdf["faithful"]):
-                turns, loss = hashlib.sha256(), []
-                for role, a, b in zip(roles, starts, stops):
-                    content = unescape(text[a:b])
+            for conv, text, faithful in zip(pdf["conv_id"], pdf["formatted"], pdf["faithful"]):
+                found = read(text) if faithful else None
+                if found is None:
+                    out.append((conv, None, None, None, None, len(text)))
+                    continue
+                turns = hashlib.sha256()
+                for role, content in found:
                     turns.update(f"{role}\n{content}\n".encode())
-                    if role == "assistant":
-                        loss.append(content)
-                loss = "".join(loss)
-                out.append((conv, len(roles), turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), faithful))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "faithful"])
+                loss = "".join(content for role, content in found if role == "assistant")
+                out.append((conv, len(found), turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+            made = pd.DataFrame(out, columns=names)
+            yield made.astype({"n_turns": "Int64", "loss_chars": "Int64"})
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    rows = formatted.select(F.col("conv_id").cast("string").alias("conv_id"), "formatted", "roles", "starts", "stops", "faithful")
-    out = rows.mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, faithful boolean")
-    read = {c: F.when(F.col("faithful"), F.col(c)) for c in ("turns_sha256", "loss_chars", "loss_sha256")}
-    return out.withColumns({"conv_id": F.col("conv_id").cast(kind), **read}).drop("faithful")
+    rows = formatted.select(F.col("conv_id").cast("string").alias("conv_id"), "formatted", "faithful")
+    out = rows.mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return out.withColumn("conv_id", F.col("conv_id").cast(kind))

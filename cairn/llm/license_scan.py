@@ -9,8 +9,9 @@ hashes alone, each place of the notice keeps the one nearest to the diagonal, an
 those that stand in the text in the notice's order count. A label holds where these cover
 enough of the notice; the verified cover is the score.
 
-Templates are the small fixed side: a parameter whose size is checked before it is
-broadcast. A text's rows meet again by (doc_id, hash of the text), so a hot source or
+Templates are a parameter. Up to ``MAX_TEMPLATE_WORDS`` words they are broadcast and only
+places with a template's hash become rows; a larger library is joined by a shuffle on the
+hash, with the same result. A text's rows meet again by (doc_id, hash of the text), so a hot source or
 group of copies spreads evenly; only one text's own matches share a task.
 
 Defined cases: a null or empty text has no words, no places and score 0; a null doc_id
@@ -46,6 +47,7 @@ NOTICES = (
 )
 
 MAX_TEMPLATE_WORDS = 50_000
+"""The bound of what is broadcast; more words are joined by a shuffle."""
 SENTINEL = -1
 
 
@@ -55,7 +57,8 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
 
 
-def _template_grams(spark, phrases, notices) -> DataFrame:
+def _template_grams(spark, phrases, notices) -> tuple[DataFrame, int]:
+    """A row for each 2-gram of the templates and one for the end of a text, and how many words the templates have."""
     rows, n = [], 0
     for t, (label, words) in enumerate([*phrases, *notices]):
         words = words.split()
@@ -63,11 +66,9 @@ def _template_grams(spark, phrases, notices) -> DataFrame:
             raise ValueError("a template needs two words at least")
         n += len(words)
         rows += [(t, label, t < len(phrases), len(words) - 1, i, *words[i : i + 2]) for i in range(len(words) - 1)]
-    if n > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates have {n} words; the broadcast side is held to {MAX_TEMPLATE_WORDS}")
     grams = spark.createDataFrame(rows, "t int, label string, base boolean, need int, at int, a string, b string").coalesce(1)
     ends = spark.createDataFrame([(SENTINEL, None, False, 0, 0, "", "")], grams.schema).coalesce(1)
-    return grams.union(ends).select("t", "label", "base", "need", "at", F.col("a").alias("ta"), F.col("b").alias("tb"), F.xxhash64("a", "b").alias("hash"))
+    return grams.union(ends).select("t", "label", "base", "need", "at", F.col("a").alias("ta"), F.col("b").alias("tb"), F.xxhash64("a", "b").alias("hash")), n
 
 
 def in_order(band: Column, diagonal: Column) -> Column:
@@ -86,15 +87,23 @@ def in_order(band: Column, diagonal: Column) -> Column:
 def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, reach: int = 2, cover: float = 0.6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the spans of notices."""
     spark = docs.sparkSession
-    templates = _template_grams(spark, phrases, notices)
-    known = [r["hash"] for r in templates.select("hash").distinct().collect()]  # MAX_TEMPLATE_WORDS at most
+    templates, n_words = _template_grams(spark, phrases, notices)
+    few = n_words <= MAX_TEMPLATE_WORDS
+    known = [r["hash"] for r in templates.select("hash").distinct().collect()] if few else []  # MAX_TEMPLATE_WORDS at most
     words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
-    # places whose 2-gram has the hash of some template's; the others are not made rows
-    places = F.filter(F.transform("w", lambda x, i: F.when(F.xxhash64(x, F.get("w", i + 1)).isin(known), i)), lambda i: i.isNotNull())
+    # places whose 2-gram has the hash of some template's; the others are not made rows, but where templates are many
+    may = (lambda x, i: F.xxhash64(x, F.get("w", i + 1)).isin(known)) if few else (lambda x, i: i < F.size("w") - 1)
+    places = F.filter(F.transform("w", lambda x, i: F.when(may(x, i), i)), lambda i: i.isNotNull())
     grams = words.select("doc_id", "text_key", "w", F.explode(F.concat(places, F.array(F.size("w")))).alias("p"))
     word = lambda i: F.coalesce(F.get("w", i), F.lit(""))
     grams = grams.select("doc_id", "text_key", "p", word(F.col("p")).alias("a"), word(F.col("p") + 1).alias("b"))
-    votes = grams.withColumn("hash", F.xxhash64("a", "b")).join(F.broadcast(templates), ["hash"])
+    votes = grams.withColumn("hash", F.xxhash64("a", "b"))
+    if few:
+        votes = votes.join(F.broadcast(templates), ["hash"])
+    else:
+        # ends of texts would be one hot key of the join; the row that they meet is one
+        ends = votes.filter("a = ''").crossJoin(F.broadcast(templates.filter(F.col("t") == SENTINEL).drop("hash")))
+        votes = votes.filter("a <> ''").join(templates.filter(F.col("t") != SENTINEL), ["hash"]).unionByName(ends)
     votes = votes.filter((F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")))
     votes = votes.select("doc_id", "text_key", "t", "label", "base", "need", "at", (F.col("p") - F.col("at")).alias("diagonal"))
 

@@ -226,7 +226,7 @@ WITH c AS (
 ), t AS (
   SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, length(replace(replace(replace(text, '\\', '\\\\'), '<', '\\<'), '[', '\\['))
     + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6
-      ELSE 19 + length(replace(replace(replace(role, '\\', '\\\\'), '<', '\\<'), '[', '\\[')) END AS chars FROM c
+      ELSE 19 + length(replace(replace(replace(replace(role, '\\', '\\\\'), '<', '\\<'), '[', '\\['), ']', '\\]')) END AS chars FROM c
 )
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,

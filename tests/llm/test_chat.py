@@ -1,10 +1,11 @@
 import hashlib
+import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cairn.llm.chat import Rendered, digests, escape, format_conversations, inst_template, unescape
+from cairn.llm.chat import Rendered, digests, escape, format_conversations, inst_template, read_inst, unescape
 from cairn.llm.queries import CONTROL
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -47,11 +48,35 @@ def test_spans_after_a_rewrite_and_in_changing_frames():
 def test_digests_refuse_what_is_not_read_back(spark):
     df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "assistant", "zz")], SCHEMA)
     lossy = lambda ts: "".join(f"<{r}>{escape(t).replace('q', '')}" for r, t in ts)
-    got = {r.conv_id: r for r in digests(format_conversations(df, lossy)).collect()}
-    assert got[1].turns_sha256 is got[1].loss_chars is got[1].loss_sha256 is None and got[1].n_turns == 2
+    read = lambda text: [(r, unescape(t)) for r, t in re.findall(r"<(\w+)>((?:[^\\<]|\\.)*)", text)]
+    got = {r.conv_id: r for r in digests(format_conversations(df, lossy), read).collect()}
+    assert got[1].turns_sha256 is got[1].loss_chars is got[1].loss_sha256 is got[1].n_turns is None
     assert got[2].loss_chars == 2 and got[2].loss_sha256 == hashlib.sha256(b"zz").hexdigest()
 
 
+def test_a_template_that_drops_roles_is_refused(spark):
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "q"), (3, 0, "system", "q")], SCHEMA)
+    dropping = lambda ts: "".join(f"<s>[INST] {escape(t)} [/INST]" for _, t in ts)
+    for r in digests(format_conversations(df, dropping)).collect():
+        assert r.turns_sha256 is r.loss_sha256 is r.n_turns is None and r.formatted_chars > 0
+    # roles that share marks: a conversation with either is refused
+    merged = lambda ts: "".join(f"<s>[INST] {escape(t)} [/INST]" if r in ("user", "system") else f" {escape(t)} </s>" for r, t in ts)
+    assert not Rendered([("user", "a"), ("system", "b")], merged).faithful()
+
+
+@settings(max_examples=200)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "</s>", "a] b", "", "\\"]), TEXT), max_size=6))
+def test_the_reader_gives_back_all_turns(turns):
+    assert read_inst(inst_template(turns)) == turns
+
+
+def test_the_reader_refuses_other_texts():
+    for text in ("x", "<s>[INST] a[/INST]", "<s>[INST] a [/INST] tail", " a", "<s>[ROLE user] a [/ROLE]", "<s>[INST] a < b [/INST]"):
+        assert read_inst(text) is None
+    long = "a\\<[" * 300_000
+    assert read_inst(inst_template([("user", long), ("assistant", long)])) == [("user", long), ("assistant", long)]
+
+
 def brute(rows):
     by = {}
     for at, (c, n, r, t) in enumerate(rows):

@@ -1,5 +1,6 @@
 import re
 
+from cairn.llm import license_scan
 from cairn.llm.license_scan import NOTICES, PHRASES, scan
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -41,3 +42,15 @@ def test_notices_add_labels(docs_of):
     assert rows[2].labels == "notice-mit" and 0.6 <= rows[2].score <= 1 and rows[2].first_notice == 2
     assert rows[3].labels == "" and rows[3].score == 0
     assert rows[4].labels == "mit,notice-mit" and rows[4].base_labels == "mit" and rows[4].first_word == 3
+
+
+def test_more_templates_than_a_broadcast_holds(docs_of, small, monkeypatch):
+    rows = [(1, None), (2, "x"), (3, NOTICES[0][1] + " mit license"), (3, "mit license"), (None, "Released under the MIT license."), (4, "a b " * 2000)]
+    many = [*NOTICES, *((f"notice-{i}", f"word{i} of licence number {i} that nobody has") for i in range(200))]
+    for df in (docs_of(rows), small):
+        want = sorted(map(tuple, scan(df, notices=many).collect()), key=str)
+        with monkeypatch.context() as m:
+            m.setattr(license_scan, "MAX_TEMPLATE_WORDS", 10)
+            got = scan(df, notices=many)
+            assert sorted(map(tuple, got.collect()), key=str) == want
+            assert "hash" in str(got._jdf.queryExecution().optimizedPlan()) and len(want) == df.count()
