@@ -1,11 +1,12 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Features are word stems: a word's first ``STEM`` letters, or all of a shorter word. Every
+Features are whole words, and beside a longer word its first ``STEM`` letters, under which
+its forms meet; where a script has no spaces, every pair of neighbouring characters. Every
 feature of the labelled examples counts. A feature's weight in a text is (1 + log count)
 times its inverse document frequency over the whole corpus times the difference between
 its inverse document frequencies in the two classes of examples (delta TF-IDF), smoothed,
-so that a stem as frequent in both weighs nothing. Stems that no example has tell nothing
-about labels and weigh nothing either.
+so that a feature as frequent in both weighs nothing. Features that no example has tell
+nothing about labels and weigh nothing either.
 
 The examples form a block-max inverted index: postings of each feature by example, and
 for each feature and block of examples the largest weight. Postings are read by falling
@@ -48,17 +49,30 @@ from .common import files_for, give_back, materialize, tasks_for
 
 FOLDS = 5
 STEM = 4
+#: Letters of scripts that write without spaces.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(r"[^\W_]+")
+_RUN = re.compile(f"[{_UNSPACED}]+")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def stems_of(text: str | None) -> Counter:
+def features_of(text: str | None) -> Counter:
+    """How often each feature stands in the whole text; a first part of a word ends in a hyphen, which no word has."""
     found: Counter = Counter()
     for word, n in Counter(_WORD.findall((text or "").lower())).items():
-        found[word[:STEM]] += n
+        if not word.isascii() and _RUN.search(word):
+            for run in _RUN.findall(word):
+                for at in range(max(1, len(run) - 1)):
+                    found[run[at : at + 2]] += n
+            for other in filter(None, _RUN.split(word)):
+                found[other] += n
+            continue
+        found[word] += n
+        if len(word) > STEM:
+            found[word[:STEM] + "-"] += n
     return found
 
 
@@ -183,7 +197,12 @@ class Model:
         share, evidence = self.share(fids, tfs)
         if share is None:
             return self.base, []
-        return 1 / (1 + math.exp(-self.curve[0] - self.curve[1] * odds(share))), evidence
+        return sigmoid(self.curve[0] + self.curve[1] * odds(share)), evidence
+
+
+def sigmoid(x: float) -> float:
+    """A steep curve may leave the range of exponents; the limits are 0 and 1."""
+    return 1 / (1 + math.exp(-min(max(x, -700.0), 700.0)))
 
 
 def odds(share: float) -> float:
@@ -236,7 +255,7 @@ def _features(examples: DataFrame) -> tuple[list[str], np.ndarray]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[y].update(stems_of(text).keys())
+                seen[y].update(features_of(text).keys())
         keys = list(seen[0].keys() | seen[1].keys())
         for s in range(0, len(keys), 1 << 16):
             part = keys[s : s + (1 << 16)]
@@ -260,7 +279,7 @@ def _vectors(docs: DataFrame, features: list[str], extra: list[str]) -> DataFram
                 part = batch.slice(s, 512)
                 fids, tfs = [], []
                 for text in part.column(len(extra)).to_pylist():
-                    found = sorted((number[f], n) for f, n in stems_of(text).items() if f in number)
+                    found = sorted((number[f], n) for f, n in features_of(text).items() if f in number)
                     fids.append([f for f, _ in found])
                     tfs.append([n for _, n in found])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(extra)], pa.array(fids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=names)

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cairn.llm.toxicity import Index, logistic, odds, score, stems_of
+from cairn.llm.toxicity import Index, features_of, logistic, score, sigmoid
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -59,10 +59,32 @@ def test_no_labels_or_rows(spark, docs_of):
     assert score(docs_of([]), none).count() == 0
 
 
+def words_and_stems(text):
+    """Features of a text in one script with spaces, by another way."""
+    words = [w for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()]
+    return Counter(words + [w[:4] + "-" for w in words if len(w) > 4])
+
+
+def fitted(x, y):
+    """Offset and slope of a logistic curve by plain descent over a grid that closes in."""
+    n1, n0 = sum(y), len(y) - sum(y)
+    target = np.where(np.array(y) == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x = np.array(x)
+    loss = lambda a, b: float(np.sum(np.logaddexp(0, a + b * x) - target * (a + b * x)))
+    best, width = (0.0, 1.0), 4.0
+    for _ in range(120):
+        around = [(best[0] + i * width, best[1] + j * width) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        nearest = min(around, key=lambda p: loss(*p))
+        if nearest == best:
+            width /= 2
+        best = nearest
+    return best
+
+
 def plain_scores(texts, labels, k=15, pull=0.1):
     """Every step again without an index, for labels of all classes under the bound: (doc_id, text) rows and {doc_id: label}."""
     learn = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 5}
-    counts = [dict(stems_of(t)) for _, t in texts]
+    counts = [dict(words_and_stems(t)) for _, t in texts]
     known = [(i, learn[i], c) for (i, _), c in zip(texts, counts) if i in learn]
     n_class = Counter(y for _, y, _ in known)
     in_class = [Counter(f for _, y, c in known if y == z for f in c) for z in (0, 1)]
@@ -88,9 +110,10 @@ def plain_scores(texts, labels, k=15, pull=0.1):
         votes = -sum(s for s, _, _ in near)
         return (sum(-s * y for s, _, y in near) + pull * base) / (votes + pull) if near else None
 
-    got = [(odds(x), y) for _, y, c, _ in vectors if (x := share(c)) is not None]
-    a, b = logistic(*(np.array([g[j] for g in got], float) for j in (0, 1)), np.ones(len(got)))
-    return [base if (x := share(c)) is None else 1 / (1 + math.exp(-a - b * odds(x))) for c in counts]
+    got = [(x, y) for _, y, c, _ in vectors if (x := share(c)) is not None]
+    log_odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    a, b = fitted([log_odds(g[0]) for g in got], [g[1] for g in got])
+    return [base if (x := share(c)) is None else 1 / (1 + math.exp(-a - b * log_odds(x))) for c in counts]
 
 
 def test_scores_against_brute_force(spark, docs_of):
@@ -105,7 +128,7 @@ def test_scores_against_brute_force(spark, docs_of):
     made = spark.createDataFrame([(i, 1, y) for i, y in labels.items() if i % 7], LABELS)
     got = {r.doc_id: r.score for r in score(docs_of(texts), made).collect()}
     want = plain_scores(texts, {i: y for i, y in labels.items() if i % 7})
-    assert [got[i] for i, _ in texts] == pytest.approx(want, abs=1e-6)
+    assert [got[i] for i, _ in texts] == pytest.approx(want, abs=1e-5)
 
 
 def test_a_rows_own_label_is_not_in_its_score(spark, docs_of):
@@ -115,6 +138,27 @@ def test_a_rows_own_label_is_not_in_its_score(spark, docs_of):
     assert zlib.crc32(b"101") % 5 and got[0] < 0.2 and got[1] < 0.2
 
 
+def test_features():
+    assert features_of(None) == features_of("?! _") == {}
+    assert features_of("Toxic toxicity a_b") == {"toxic": 1, "toxi-": 2, "toxicity": 1, "a": 1, "b": 1}
+    assert features_of("语言模型x好") == {"语言": 1, "言模": 1, "模型": 1, "x": 1, "好": 1}
+    # every part of a long word or text is read
+    assert features_of("abcdefgh") != features_of("abcdxyz") and features_of("好" * 9 + "坏")["好坏"] == 1
+
+
+def test_scripts_without_spaces(spark, docs_of):
+    calm, rude = "今天天气很好我们去公园散步", "滚开你这个讨厌的坏东西"
+    texts = [(i, f"我在第{i}天写下这些话{calm if i % 2 else rude}然后就结束了") for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(120)], LABELS)
+    new = [(500, f"很长的一段话没有空格{'也没有别的' * 20}{rude}"), (501, f"很长的一段话没有空格{'也没有别的' * 20}{calm}")]
+    got = {r.doc_id: r.predicted for r in score(docs_of(texts + new), labels).collect()}
+    assert got[500] == 1 and got[501] == 0 and all(got[i] == int(i % 2 == 0) for i in range(120))
+
+
+def test_steep_curves_stay_in_range():
+    assert sigmoid(1e9) == 1.0 and 0 <= sigmoid(-1e9) < 1e-300 and sigmoid(0.0) == 0.5
+
+
 def test_calibration():
     """Shares that overstate the odds come back to the rates behind them."""
     rng = np.random.default_rng(7)
