@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
 LEAST_BLOCKS = 8
+MOST_PAIRS = 1 << 21
+"""Pairs of a query and a vector whose product a task holds at once."""
 
 
 def _usable(vector: Column) -> Column:
@@ -34,18 +36,21 @@ def _sum_in_order(x: np.ndarray) -> np.ndarray:
 
 
 def _best(q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, unit: bool):
-    """(place of the query, id, score) of each query's k best."""
+    """Places of the query, ids and scores of each query's k best; the product of some queries at a time."""
     length = lambda x: np.sqrt(_sum_in_order(x * x)) if unit else np.ones(len(x))
     q_long, v_long = (np.where(n > 0, n, 1.0) for n in (length(q), length(v)))
-    near = (q / q_long[:, None]) @ (v / v_long[:, None]).T
+    unit_v = (v / v_long[:, None]).T
     slack = 1e-14 * (q.shape[1] + 16) * (1.0 if unit else max(1.0, np.abs(q).max(initial=0) * np.abs(v).max(initial=0)))
     kk = min(k, len(ids))
-    floor = np.partition(near, len(ids) - kk, axis=1)[:, len(ids) - kk] - slack
-    for at, row in enumerate(near):
-        may = np.flatnonzero(row >= floor[at])
-        score = _sum_in_order(q[at] * v[may]) / (q_long[at] * v_long[may])
-        for i in np.lexsort((ids[may], -score))[:k].tolist():
-            yield at, int(ids[may[i]]), float(score[i])
+    step = max(1, MOST_PAIRS // len(ids))
+    for begin in range(0, len(q), step):
+        near = (q[begin : begin + step] / q_long[begin : begin + step, None]) @ unit_v
+        floor = np.partition(near, len(ids) - kk, axis=1)[:, len(ids) - kk] - slack
+        for at, row in enumerate(near, begin):
+            may = np.flatnonzero(row >= floor[at - begin])
+            score = _sum_in_order(q[at] * v[may]) / (q_long[at] * v_long[may])
+            best = np.lexsort((ids[may], -score))[:k]
+            yield np.full(len(best), at), ids[may[best]], score[best]
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", unit: bool = True) -> DataFrame:
@@ -64,12 +69,12 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_i
     right = good.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(v_blocks)).cast("int").alias("vb"), every(q_blocks).alias("qb"))
 
     def run(q: pa.Table, v: pa.Table) -> pa.Table:
-        rows = []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if q.num_rows and v.num_rows:
-            qids = q["qid"].to_pylist()
-            rows = [(qids[at], i, s) for at, i, s in _best(_stack(q["v"], width), np.asarray(v["id"]), _stack(v["v"], width), k, unit)]
-        columns = zip(*rows) if rows else ([], [], [])
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["qid", "id", "score"])
+            found += _best(_stack(q["v"], width), np.asarray(v["id"]), _stack(v["v"], width), k, unit)
+        at, ids, scores = (np.concatenate(x) for x in zip(*found))
+        qids = q["qid"].combine_chunks().take(pa.array(at)) if q.num_rows else pa.array([], pa.int64())
+        return pa.Table.from_arrays([qids, pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["qid", "id", "score"])
 
     found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(run, "qid long, id long, score double")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")

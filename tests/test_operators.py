@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -312,3 +313,15 @@ def test_streamed_postings(spark, tmp_path):
     docs = spark.read.parquet(source)
     want = lexical.term_idf(*lexical.index(docs))
     assert sorted(map(tuple, incremental.current_idf(spark, out).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_dense_products_are_held_in_steps(monkeypatch):
+    rng = np.random.default_rng(4)
+    q, v, ids = rng.normal(size=(90, 8)), rng.normal(size=(700, 8)), np.arange(700)[::-1].copy()
+    rows = lambda: [tuple(map(tuple, r)) for r in dense._best(q, ids, v, 5, True)]
+    whole = rows()
+    monkeypatch.setattr(dense, "MOST_PAIRS", 2000)
+    held = []
+    part = np.partition
+    monkeypatch.setattr(dense.np, "partition", lambda x, *a, **o: held.append(x.size) or part(x, *a, **o))
+    assert rows() == whole and len(whole) == 90 and max(held) <= 2000
