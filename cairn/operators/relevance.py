@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,21 +27,121 @@ def _key_word(phrase: Column) -> Column:
 GRAMS = (8, 4, 2, 1)
 
 
-def _grams(text: Column, n: int) -> Column:
-    """The distinct pieces of n characters, wherever they begin."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+STEP_CHARS = 1 << 20
+"""Characters of texts that are looked through at once; a longer text stands alone."""
 
 
-def _by_rarest_gram(have: DataFrame, asked: DataFrame, n: int) -> DataFrame:
-    """Chunks and questions that share the rarest of a phrase's grams: an equality join; phrases are n characters long at least."""
-    texts = have.withColumn("gram", F.explode(_grams(F.col("text"), n)))
-    own = asked.select("phrase", F.explode(_grams(F.col("phrase"), n)).alias("gram")).distinct()
-    # the grams of a block of questions: of bounded bytes, as the block is
-    held = texts.select("gram").join(F.broadcast(own.select("gram").distinct()), "gram").groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = own.join(held, "gram", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
-    # a phrase with a gram that no text has is in no text
-    keyed = asked.join(rarest.filter("least.n > 0").select("phrase", F.col("least.gram").alias("own_gram")), "phrase")
-    return texts.join(F.broadcast(keyed), F.col("gram") == F.col("own_gram"))
+def _grams(phrase: str, n: int) -> set[str]:
+    """The distinct pieces of n characters, wherever they begin."""
+    return {phrase[i : i + n] for i in range(len(phrase) - n + 1)}
+
+
+class Finder:
+    """Which of some grams stand in texts: windows of each length as 64-bit numbers, of which few pass a table of bits and are looked up."""
+
+    NO_CHARACTER = 0x110000
+    MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+
+    def __init__(self, grams: Iterable[str]):
+        self.grams = sorted(set(grams))
+        self.kinds = []
+        for n in sorted({len(g) for g in self.grams}):
+            own = [i for i, g in enumerate(self.grams) if len(g) == n]
+            keys = np.array([self._windows(self._points(self.grams[i]), n)[0] for i in own], np.uint64)
+            order = np.argsort(keys, kind="stable")
+            table = np.zeros(1 << 16, bool)
+            table[self._cell(keys)] = True
+            self.kinds.append((n, keys[order], np.array(own, np.int64)[order], table))
+
+    @staticmethod
+    def _points(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+    @classmethod
+    def _cell(cls, keys: np.ndarray) -> np.ndarray:
+        return (keys * cls.MIX[0]) >> np.uint64(48)
+
+    @classmethod
+    def _windows(cls, points: np.ndarray, n: int) -> np.ndarray:
+        """A number for each window of n characters, n a power of two: exact for two, beyond that equal windows have equal numbers."""
+        at, width = points, 1
+        while width < n:
+            at = (at[: len(at) - width] << np.uint64(32) | at[width:]) if width == 1 else at[: len(at) - width] * cls.MIX[1] + (at[width:] ^ cls.MIX[2])
+            width *= 2
+        return at
+
+    def find(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(place of a text, number of a gram), each pair once; beyond two characters a gram may be another's."""
+        parts = [x for t in texts for x in (self._points(t), np.array([self.NO_CHARACTER], np.uint64))]
+        points = np.concatenate(parts or [np.zeros(0, np.uint64)])
+        starts = np.r_[0, np.cumsum([len(t) + 1 for t in texts])].astype(np.int64)
+        pairs = [np.zeros(0, np.int64)]
+        for n, keys, own, table in self.kinds:
+            if len(points) < n:
+                continue
+            windows = self._windows(points, n)
+            at = np.flatnonzero(table[self._cell(windows)])
+            nth = np.minimum(np.searchsorted(keys, windows[at]), len(keys) - 1)
+            same = keys[nth] == windows[at]
+            text = np.searchsorted(starts, at[same], "right") - 1
+            pairs.append(np.unique(text * len(self.grams) + own[nth[same]]))
+        return np.divmod(np.concatenate(pairs), max(1, len(self.grams)))
+
+
+def _steps(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Neighbouring texts of STEP_CHARS bytes in all, and where they begin."""
+    begin, held = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if held and held + n > STEP_CHARS:
+            yield begin, texts.slice(begin, i - begin).to_pylist()
+            begin, held = i, 0
+        held += n
+    yield begin, texts.slice(begin).to_pylist()
+
+
+def _by_rarest_gram(have: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Chunks without their texts and the questions whose phrases they contain, found by the rarest of a phrase's grams.
+
+    One pass counts in how many chunks each gram stands, a row for each task and gram; a second looks only for the rarest of each
+    phrase, and for the phrase where that stands. Nothing else leaves a task.
+    """
+    sc = have.sparkSession.sparkContext
+    # the phrases of a block of questions: of bounded bytes, as the block is
+    grams = {r["phrase"]: sorted(_grams(r["phrase"], r["grams"])) for r in asked.select("phrase", "grams").distinct().collect()}
+    unsure = sc.broadcast(Finder(g for own in grams.values() if len(own) > 1 for g in own))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = unsure.value
+        n = np.zeros(len(finder.grams), np.int64)
+        for batch in batches:
+            for _, texts in _steps(batch.column(0)):
+                n += np.bincount(finder.find(texts)[1], minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["gram", "n"])
+
+    held = dict.fromkeys(unsure.value.grams, 0)
+    if held:
+        for r in have.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+            held[unsure.value.grams[r["gram"]]] = r["n"]
+    rarest: dict[str, list[str]] = {}
+    for phrase, own in grams.items():
+        least = min(own, key=lambda g: held.get(g, 1))
+        # a phrase with a gram that no text has is in no text
+        if held.get(least, 1):
+            rarest.setdefault(least, []).append(phrase)
+    shared = sc.broadcast((Finder(rarest), rarest))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, phrases = shared.value
+        for batch in batches:
+            for begin, texts in _steps(batch.column(3)):
+                met = [(i, p) for i, g in zip(*(x.tolist() for x in finder.find(texts))) for p in phrases[finder.grams[g]] if p in texts[i]]
+                own = [batch.column(c).take(pa.array([begin + i for i, _ in met], pa.int64())) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([p for _, p in met], pa.string())], names=[key, "source", "section", "own_phrase"])
+
+    kinds = ", ".join(f"`{c}` {have.schema[c].dataType.simpleString()}" for c in (key, "source", "section"))
+    met = have.select(key, "source", "section", "text").mapInArrow(meet, f"{kinds}, own_phrase string")
+    return met.join(F.broadcast(asked), F.col("own_phrase") == F.col("phrase"))
 
 
 def qrels(questions: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -51,7 +155,7 @@ def qrels(questions: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataF
     want = want.filter("want <> '' AND phrase <> ''").withColumn("key_word", _key_word(F.col("phrase")))
     any_source = F.coalesce(F.size("expected_source"), F.lit(0)) <= 0
     have = chunks.select(key, "source", normalize_text(F.col("section")).alias("section"), F.coalesce("text", F.lit("")).alias("text"))
-    same = (any_source | F.array_contains("expected_source", F.col("source"))) & F.col("section").contains(F.col("want")) & F.col("text").contains(F.col("phrase"))
+    same = (any_source | F.array_contains("expected_source", F.col("source"))) & F.col("section").contains(F.col("want"))
     # a phrase's grams go to every task as well
     size = (1 + F.when(F.col("key_word").isNull(), GRAMS[0]).otherwise(0)) * F.octet_length("phrase") + F.octet_length("want") + F.octet_length(F.concat_ws("", "expected_source"))
     size = size + 16 * F.greatest(F.coalesce(F.size("expected_source"), F.lit(0)), F.lit(0)) + 64
@@ -59,18 +163,22 @@ def qrels(questions: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataF
     for n in GRAMS:
         gram = gram.when(F.length("phrase") >= n, n)
     want = want.withColumn("grams", gram)
-    kinds = want.groupBy("grams").agg(F.sum(size.cast("long")).alias("n")).collect()  # five rows at most
+    short = F.col("grams") > 0
+    kinds = want.groupBy(short.alias("short")).agg(F.sum(size.cast("long")).alias("n")).collect()  # two rows at most
     # only words are multiplied before the join; the text is looked at where a key word was met
     words = have.withColumn("word", F.explode(F.array_distinct(F.split("text", r"\s+", -1))))
     found = []
     for kind in kinds:
-        own = want.filter(F.col("grams") == kind["grams"])
+        own = want.filter(short == kind["short"])
         blocks = max(1, -(-kind["n"] // QUESTION_BYTES))
         # by the whole question, as a qid may stand often
         block = F.pmod(F.xxhash64("qid", "want", "phrase"), F.lit(blocks))
         for b in range(blocks):
             asked = own.filter(block == b) if blocks > 1 else own
-            met = _by_rarest_gram(have, asked, kind["grams"]) if kind["grams"] else words.join(F.broadcast(asked), F.col("word") == F.col("key_word"))
+            if kind["short"]:
+                met = _by_rarest_gram(have, asked, key)
+            else:
+                met = words.join(F.broadcast(asked), F.col("word") == F.col("key_word")).filter(F.col("text").contains(F.col("phrase")))
             found.append(met.filter(same))
     if not found:
         found = [have.join(F.broadcast(want), F.lit(False))]

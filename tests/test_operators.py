@@ -325,3 +325,20 @@ def test_dense_products_are_held_in_steps(monkeypatch):
     part = np.partition
     monkeypatch.setattr(dense.np, "partition", lambda x, *a, **o: held.append(x.size) or part(x, *a, **o))
     assert rows() == whole and len(whole) == 90 and max(held) <= 2000
+
+
+def test_grams_are_found_without_a_row_for_each(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = ["", "a", "\U0001f600b\U0001f600", *("".join(rng.choices("ab cé\U0001f600", k=rng.randint(0, 60))) for _ in range(60))]
+    grams = {"a", "é", "ab", " c", "abab", "b\U0001f600ca", "aaaaaaaa", texts[5][:8]} - {""}
+    finder = relevance.Finder(grams)
+    assert sorted(zip(*(x.tolist() for x in finder.find(texts)))) == sorted((i, n) for i, t in enumerate(texts) for n, g in enumerate(finder.grams) if g in t)
+    chunks = spark.createDataFrame([(i, "s", "Part", t) for i, t in enumerate(texts)], "doc_id long, source string, section string, text string")
+    phrases = ["a", "é\U0001f600", "ab ", "bbb", "never there", texts[7][:11]]
+    q = spark.createDataFrame([(i, None, "part", p) for i, p in enumerate(phrases)], QUESTION)
+    want = sorted((i, d) for i, p in enumerate(phrases) for d, t in enumerate(texts) if p in t)
+    monkeypatch.setattr(relevance, "STEP_CHARS", 40)
+    found = relevance.qrels(q, chunks)
+    assert sorted((r.qid, r.doc_id) for r in found.collect()) == want
+    # texts were multiplied by their grams before
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
