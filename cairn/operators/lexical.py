@@ -1,10 +1,10 @@
 """An inverted index as DataFrames, and BM25 over it.
 
-A term is the string itself. Searches tokenise the corpus once, keep only the terms the
-queries ask for before anything is shuffled, and bring a document's terms together. Once
-their frequencies are known, a document is scored for all queries of a block in its own
-task, and each task passes on its k best of each query: what is shuffled does not grow
-with queries times documents. Blocks of queries are bounded; more take more blocks.
+A term is the string itself. Searches tokenise the corpus once, count the terms the
+queries ask for in the document's own row and write these counts. Once their frequencies
+are known, a document is scored for all queries of a block in its own task, and each task
+passes on its k best of each query: what is shuffled does not grow with the corpus or with
+queries times documents. Blocks of queries are bounded; more take more blocks.
 """
 
 from __future__ import annotations
@@ -14,16 +14,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import annotate_query
+from ..sources import work
 
 SPLITTER = r"[^\p{L}\p{N}_]+"
-MOST_QUERY_TERMS = 1_000_000
 BLOCK_TERMS = 1_000_000
 """Terms of all queries of a block, repeats over queries included."""
-MOST_PAIRS = 1 << 21
+STEP_ROWS = 256
+"""Documents whose terms a task turns over at once."""
+MOST_PAIRS = 1 << 18
 """Pairs of a posting and a query that a task looks at in one step."""
 EVERY = ""
 """Stands in every document, once; tokens are never empty."""
@@ -124,7 +127,7 @@ def _scores(shared, variants: list[str], k: int):
             ids = np.asarray(batch.column(0)).astype(np.int64)
             lists = batch.column(1)
             term, *weights = lists.flatten().flatten()
-            term = np.array([number.get(t, -1) for t in term.to_pylist()], np.int64)
+            term = np.asarray(term) if pa.types.is_integer(term.type) else np.array([number.get(t, -1) for t in term.to_pylist()], np.int64)
             row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
             asked = term >= 0
             row, term, weights = row[asked], term[asked], [np.asarray(w)[asked] for w in weights]
@@ -151,43 +154,76 @@ def _scores(shared, variants: list[str], k: int):
     return run
 
 
+def _counts(shared):
+    """Maps rows (id, tokens) to (id, len, terms: numbers of the block's terms in the text, tfs): a row for each, copies and rows without an id too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: QueryBlock = shared.value
+        terms = pa.array(block.terms, pa.string())
+        for batch in batches:
+            for s in range(0, batch.num_rows, STEP_ROWS):
+                some = batch.slice(s, STEP_ROWS)
+                lists = some.column(1)
+                length = np.diff(np.asarray(lists.offsets))
+                number = pc.index_in(lists.flatten(), terms)
+                held = np.asarray(number.is_valid())
+                cell = np.repeat(np.arange(some.num_rows), length)[held] * max(1, len(terms)) + np.asarray(number.drop_null())
+                cell, tf = np.unique(cell, return_counts=True)
+                row, term = np.divmod(cell, max(1, len(terms)))
+                ends = pa.array(np.searchsorted(row, np.arange(some.num_rows + 1)), pa.int32())
+                lists_of = lambda x: pa.ListArray.from_arrays(ends, pa.array(x, pa.int32()))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(length, pa.int32()), lists_of(term), lists_of(tf)], names=["id", "len", "terms", "tfs"])
+
+    return run
+
+
+def _weighted(batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float, k1: float, variants: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, postings: a term's number and its weight in each variant) of rows (id, len, terms, tfs)."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, STEP_ROWS):
+            some = batch.slice(s, STEP_ROWS)
+            lists = some.column(2)
+            n = np.diff(np.asarray(lists.offsets))
+            term, tf = np.asarray(lists.flatten()), np.asarray(some.column(3).flatten()).astype(np.float64)
+            length = np.repeat(np.asarray(some.column(1)).astype(np.float64), n)
+            weights = [idf[term] * saturation(tf, length, mean, k1, b) for b in variants.values()]
+            posting = pa.StructArray.from_arrays([pa.array(term, pa.int64()), *map(pa.array, weights)], names=["term", *(f"w{i}" for i in range(len(weights)))])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), posting)
+            yield pa.RecordBatch.from_arrays([some.column(0), lists], names=["id", "postings"])
+
+
 def search_variants(queries: DataFrame, docs: DataFrame, variants: dict[str, float], k: int = 10, k1: float = 1.2, avg_len: float | None = None, key: str = "doc_id", bands: bool = False) -> DataFrame:
     """collection, qid, key, score, rank of the k best documents of each query (qid, text), for each named b.
 
-    Queries and documents without an id have no results; such documents count in the statistics. The corpus
-    is tokenised and exchanged once for all variants; they differ in the weight of a posting only.
+    Queries and documents without an id have no results; such documents count in the statistics. For each block of
+    queries the corpus is tokenised once for all variants, and the counts of the terms asked for are written, a row for
+    each document; statistics and scores come from these. No document is ever moved: rows alike are scored one by one.
     """
     spark = queries.sparkSession
     asked = queries.select(F.col("qid").cast("long").alias("qid"), F.explode(query_terms(F.col("text"), bands)).alias("term")).filter("qid IS NOT NULL").distinct()
-    n_asked = asked.count()
-    hint = F.broadcast if n_asked <= MOST_QUERY_TERMS else (lambda df: df)
-    # each document adds one row for EVERY, so that sizes, counts and statistics come from one exchange
-    wanted = hint(asked.select(F.col("term").alias("want")).union(spark.createDataFrame([(EVERY,)], "want string").coalesce(1)).distinct())
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64("text").alias("own"), tokens(F.col("text")).alias("t"))
-    rows = rows.select("id", "own", F.size("t").cast("long").alias("len"), F.explode(F.concat("t", F.array(F.lit(EVERY)))).alias("term"))
-    held = rows.join(wanted, rows.term == wanted.want).groupBy("id", "own", "len").agg(F.collect_list("term").alias("terms"))
-    # rows alike in id and text stand together, and have their terms as often; from here on no document is moved again
-    own = ["id", "own", "len", "copies"]
-    index = held.withColumn("copies", F.size(F.filter("terms", lambda t: t == EVERY)))
-    index = index.select(*own, F.explode("terms").alias("term")).groupBy(*own, "term").agg((F.count("*") / F.col("copies")).alias("tf"))
-    df = index.groupBy("term").agg(F.sum("copies").alias("df"), F.sum(F.col("copies") * F.col("len")).alias("total"))
-    stats = df.filter(F.col("term") == EVERY).select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avg_len"))
-    weights = df.filter(F.col("term") != EVERY).join(F.broadcast(stats), how="cross")  # one row
-    mean = F.col("avg_len") if avg_len is None else F.lit(float(avg_len))
-    weights = hint(weights.select("term", idf(F.col("n"), F.col("df")).alias("idf"), mean.alias("avg_len")))
-    weigh = lambda b: F.col("idf") * saturation(F.col("tf"), F.col("len"), F.col("avg_len"), k1, b)
-    weighted = index.filter(F.col("term") != EVERY).join(weights, "term")
-    posting = F.struct("term", *(weigh(b).alias(f"w{i}") for i, b in enumerate(variants.values())))
-    scored = weighted.groupBy(*own).agg(F.collect_list(posting).alias("postings"))
-    scored = scored.select("id", "postings", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
-    blocks = max(1, -(-n_asked // BLOCK_TERMS))
-    found = [spark.createDataFrame([], "collection string, qid long, id long, score double")]
+    blocks = max(1, -(-asked.count() // BLOCK_TERMS))
+    rows = docs.select(F.col(key).cast("long").alias("id"), tokens(F.col("text")).alias("t"))
+    schema = "collection string, qid long, id long, score double"
+    found = [spark.createDataFrame([], schema)]
     for b in range(blocks):
         # BLOCK_TERMS rows at most, but for chance
         pairs = [tuple(r) for r in (asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else asked).collect()]
-        if pairs:
-            shared = spark.sparkContext.broadcast(QueryBlock(pairs))
-            found.append(scored.mapInArrow(_scores(shared, list(variants), k), "collection string, qid long, id long, score double"))
+        if not pairs:
+            continue
+        block = QueryBlock(pairs)
+        shared = spark.sparkContext.broadcast(block)
+        held = work.written(rows.mapInArrow(_counts(shared), "id long, len int, terms array<int>, tfs array<int>"), "counts")
+        n, total = held.agg(F.count("*"), F.sum(F.col("len").cast("long"))).first()
+        df = np.zeros(len(block.terms))
+        for r in held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect():  # of the block's terms
+            df[r["term"]] = r["n"]
+        inverse = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        mean = float(avg_len if avg_len is not None else (total or 0) / n if n else 0.0)
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared, inverse=inverse, mean=mean) -> Iterator[pa.RecordBatch]:
+            return _scores(shared, list(variants), k)(_weighted(batches, inverse, mean, k1, variants))
+
+        found.append(held.mapInArrow(score, schema))
     best = Window.partitionBy("collection", "qid").orderBy(F.desc("score"), "id")
     out = reduce(DataFrame.unionByName, found[1:] or found)
     return out.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k).select("collection", "qid", F.col("id").alias(key), "score", "rank")

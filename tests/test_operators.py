@@ -342,3 +342,26 @@ def test_grams_are_found_without_a_row_for_each(spark, monkeypatch):
     assert sorted((r.qid, r.doc_id) for r in found.collect()) == want
     # texts were multiplied by their grams before
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_search_moves_no_document(spark):
+    docs = spark.createDataFrame([(i % 50, f"w{i % 7} w{i % 3} é") for i in range(100)] + [(None, "w1"), (60, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "w1 w2"), (2, "é absent")], "qid long, text string")
+    found = lexical.search_variants(queries, docs, {"a": 0.75, "b": 0.0}, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # documents were exchanged, gathered and joined with the terms before
+    assert "Join" not in plan and "collect_list" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert [r["rank"] for r in found.orderBy("collection", "qid", "rank").collect()] == [1, 2, 3] * 4
+
+
+def test_terms_are_turned_over_a_few_documents_at_a_time(monkeypatch):
+    shared = type("Held", (), {"value": lexical.QueryBlock([(1, "a"), (1, "b"), (2, "b")])})()
+    texts = [["b", "a", "b", "c"], [], ["c"], ["a"]] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(19), None]), pa.array(texts, pa.list_(pa.string()))], names=["id", "t"])
+    monkeypatch.setattr(lexical, "STEP_ROWS", 3)
+    made = list(lexical._counts(shared)(iter([batch.slice(1)])))
+    assert max(b.num_rows for b in made) == 3
+    got = [(r["len"], dict(zip(r["terms"], r["tfs"]))) for b in made for r in b.to_pylist()]
+    assert got == [(len(t), {n: t.count(x) for n, x in enumerate("ab") if x in t}) for t in texts[1:]]
+    weighed = list(lexical._weighted(iter(made), np.array([1.0, 2.0]), 2.0, 1.2, {"x": 0.0}))
+    assert [p["term"] for b in weighed for r in b.to_pylist() for p in r["postings"]] == [n for _, c in got for n in c] and max(b.num_rows for b in weighed) == 3
