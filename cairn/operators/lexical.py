@@ -63,8 +63,33 @@ def idf(n: Column, df: Column) -> Column:
 
 def term_idf(index: DataFrame, stats: DataFrame) -> DataFrame:
     """term, df, idf; N is applied at query time, so it stays right as documents come in."""
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(stats), how="cross").select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
+    return _with_idf(index.groupBy("term").agg(F.count("*").alias("df")), stats.select("n"))
+
+
+def _with_idf(df: DataFrame, n: DataFrame) -> DataFrame:
+    return df.join(F.broadcast(n), how="cross").select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
+
+
+def corpus_idf(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The same of a corpus, without its postings: terms are made distinct in a row, and counts combined before their exchange.
+
+    Rows that share a key and a length are one document to ``index``. They are found by key and length alone; only their
+    terms are brought together.
+    """
+    rows = docs.select(F.col(key).alias("key"), tokens(F.col("text")).alias("t"))
+    sized = rows.select("key", F.size("t").alias("len"), F.array_distinct("t").alias("t"))
+    # numbers only
+    often = sized.groupBy("key", "len").agg(F.count("*").alias("n")).filter("n > 1").select(F.struct("key", "len").alias("of"))
+    distinct = F.explode("t").alias("term")
+    if often.isEmpty():
+        df = sized.select(distinct).groupBy("term").agg(F.count("*").alias("df"))
+    else:
+        marked = sized.withColumn("own", F.struct("key", "len"))
+        same = F.col("own").eqNullSafe(F.col("of"))
+        alone = marked.join(often, same, "left_anti").select(distinct)
+        together = marked.join(often, same, "left_semi").select("own", distinct).distinct().select("term")
+        df = alone.unionByName(together).groupBy("term").agg(F.count("*").alias("df"))
+    return _with_idf(df, docs.agg(F.count("*").alias("n")))
 
 
 def saturation(tf: Column, length: Column, avg_len: Column, k1: float = 1.2, b: float = 0.75) -> Column:

@@ -365,3 +365,14 @@ def test_terms_are_turned_over_a_few_documents_at_a_time(monkeypatch):
     assert got == [(len(t), {n: t.count(x) for n, x in enumerate("ab") if x in t}) for t in texts[1:]]
     weighed = list(lexical._weighted(iter(made), np.array([1.0, 2.0]), 2.0, 1.2, {"x": 0.0}))
     assert [p["term"] for b in weighed for r in b.to_pylist() for p in r["postings"]] == [n for _, c in got for n in c] and max(b.num_rows for b in weighed) == 3
+
+
+def test_document_frequencies_without_postings(spark):
+    once = [(i, f"w{i % 7} w{i % 3} é w{i}") for i in range(40)] + [(None, "w1"), (60, None), (61, "")]
+    for docs in (once, once + [(3, "w1 w2 w1 w9"), (3, "w3 w3 w3"), (None, "w1"), (None, "w2"), (60, ""), (3, "w1 w8 w1 w8")]):
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        got = lexical.corpus_idf(df)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lexical.term_idf(*lexical.index(df)).collect()))
+    # every posting was exchanged before
+    plan = lexical.corpus_idf(spark.createDataFrame(once, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(term" in plan
