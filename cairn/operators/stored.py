@@ -5,8 +5,8 @@ alone: the largest count and the smallest length bound each weight in it, and th
 query's terms bounds what any document of a stripe can score. The stripes that promise most
 are scored first; the k-th best score found there is a floor, and of the other stripes only
 those whose bound reaches it are scored. So the result is that of a full search, whatever is
-skipped. A stripe is scored in one group, with the queries that may find something in it and
-their terms as rows of their own: nothing stands in the driver but which folders are read.
+skipped. A stripe is scored in one group, with the queries that may find something in it.
+Queries come in blocks of bounded bytes; their terms stand in the driver and in every task.
 
 Defined cases: queries without an id, or none of whose terms is in the index, have no
 results; ties go to the smaller id; fewer documents than k give fewer rows.
@@ -14,11 +14,14 @@ results; ties go to the smaller id; fewer documents than k give fewer rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import work
 from ..sources.store import Snapshot, Store, bucket_of
 from . import lexical
 
@@ -53,40 +56,43 @@ class Search:
         self.buckets = sorted(r[0] for r in asked.select("bucket").distinct().collect())
         df = snapshot.terms(self.buckets).join(asked.select("term").distinct(), "term", "left_semi")
         idf = lexical.idf(F.lit(float(snapshot.n)), F.col("df"))
-        self.asked = asked.join(df.select("term", idf.alias("idf")), "term").select("qid", "term", "idf")
+        # the terms of a block of queries: bounded, see search()
+        self.asked = work.written(asked.join(df.select("term", idf.alias("idf")), "term").select("qid", "term", "idf"), "asked")
+        terms: dict[int, list[tuple[str, float]]] = {}
+        for r in self.asked.orderBy("qid", "term").collect():
+            terms.setdefault(r["qid"], []).append((r["term"], r["idf"]))
+        self.terms = spark.sparkContext.broadcast(terms)
+        self.own = F.broadcast(self.asked.select("term").distinct())
         self.blocks = snapshot.postings(self.buckets)
         self.marks = snapshot.marks() if snapshot.meta["deletions"] else None
         most = F.col("idf") * lexical.saturation(F.col("max_tf"), F.col("min_len"), F.lit(self.avg_len), k1, b)
-        bounds = self.blocks.select("seg", "stripe", "term", "max_tf", "min_len").join(self.asked, "term")
-        self.bounds = bounds.groupBy("qid", "seg", "stripe").agg((F.sum(most) * (1 + SLACK)).alias("most"))
+        # a stripe's summaries come together, once for each term, before they meet the queries that ask for it
+        summaries = self.blocks.select("seg", "stripe", "term", "max_tf", "min_len").join(self.own, "term", "left_semi").repartition("seg", "stripe")
+        bounds = summaries.join(F.broadcast(self.asked), "term")
+        self.bounds = work.written(bounds.groupBy("qid", "seg", "stripe").agg((F.sum(most) * (1 + SLACK)).alias("most")), "bounds")
         nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("most"), "seg", "stripe"))
-        ranked = self.bounds.withColumn("nth", nth)
-        self.first = ranked.filter(F.col("nth") <= FIRST).drop("nth")
-        early = self.scored(self.first)
-        self.early = lexical.top_k(early, k, key="id")
+        self.first = self.bounds.withColumn("nth", nth).filter(F.col("nth") <= FIRST).drop("nth")
+        self.first = work.written(self.first, "first")
+        self.early = work.written(lexical.top_k(self.scored(self.first), k, key="id"), "early")
         # a query with fewer than k documents so far has no floor
         floor = self.early.filter(F.col("rank") == k).select("qid", F.col("score").alias("floor"))
-        later = ranked.filter(F.col("nth") > FIRST).join(floor, "qid", "left")
+        later = self.bounds.join(F.broadcast(self.first.drop("most")), ["qid", "seg", "stripe"], "left_anti").join(F.broadcast(floor), "qid", "left")
         self.second = later.filter(F.col("floor").isNull() | (F.col("most") >= F.col("floor"))).select("qid", "seg", "stripe", "most")
         self.spark = spark
 
     def scored(self, pairs: DataFrame) -> DataFrame:
         """qid, id, score of the k best of each query in each stripe of (qid, seg, stripe)."""
-        k, k1, b, mean = self.k, self.k1, self.b, self.avg_len
-        terms = self.asked.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms"))
-        asks = pairs.select("qid", "seg", "stripe").join(terms, "qid")
-        if self.marks is None:
-            asks = asks.withColumn("gone", F.array().cast("array<bigint>"))
-        else:
-            gone = self.marks.groupBy("seg", "stripe").agg(F.collect_list("id").alias("gone"))
-            asks = asks.join(gone, ["seg", "stripe"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
-        held = self.blocks.select("seg", "stripe", "term", "ids", "tfs", "lens").join(self.asked.select("term").distinct(), "term", "left_semi")
+        k, k1, b, mean, shared = self.k, self.k1, self.b, self.avg_len, self.terms
+        asks = pairs.select(F.col("seg").alias("q_seg"), F.col("stripe").alias("q_stripe"), "qid", F.lit(None).cast("long").alias("gone"))
+        if self.marks is not None:  # a row for each, whatever the number of queries
+            asks = asks.unionByName(self.marks.select(F.col("seg").alias("q_seg"), F.col("stripe").alias("q_stripe"), F.lit(None).cast("long").alias("qid"), F.col("id").alias("gone")))
+        held = self.blocks.select("seg", "stripe", "term", "ids", "tfs", "lens").join(self.own, "term", "left_semi")
         held = held.join(pairs.select("seg", "stripe").distinct(), ["seg", "stripe"], "left_semi")
 
         def run(blocks: pa.Table, queries: pa.Table) -> pa.Table:
             out: list[tuple[int, int, float]] = []
             if blocks.num_rows and queries.num_rows:
-                gone = set(queries["gone"][0].as_py())
+                gone = set(queries["gone"].drop_null().to_pylist())
                 at = {t: i for i, t in enumerate(blocks["term"].to_pylist())}
                 flat = lambda name: np.asarray(blocks[name].combine_chunks().flatten().fill_null(-1))
                 ends = np.asarray(blocks["ids"].combine_chunks().offsets)
@@ -95,8 +101,8 @@ class Search:
                 every, doc = np.unique(ids, return_inverse=True)
                 live = np.array([i >= 0 and i not in gone for i in every.tolist()], bool)
                 weight = tfs * (k1 + 1) / (tfs + k1 * (1 - b + b * lens / mean))
-                for qid, own in zip(queries["qid"].to_pylist(), queries["terms"].to_pylist()):
-                    parts = [(at[t["term"]], t["idf"]) for t in own if t["term"] in at]
+                for qid in queries["qid"].drop_null().to_pylist():
+                    parts = [(at[t], idf) for t, idf in shared.value[qid] if t in at]
                     if not parts:
                         continue
                     cells = np.concatenate([doc[ends[i] : ends[i + 1]] for i, _ in parts])
@@ -108,7 +114,6 @@ class Search:
             columns = zip(*out) if out else ([], [], [])
             return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["qid", "id", "score"])
 
-        asks = asks.select(F.col("seg").alias("q_seg"), F.col("stripe").alias("q_stripe"), "qid", "terms", "gone")
         return held.groupBy("seg", "stripe").cogroup(asks.groupBy("q_seg", "q_stripe")).applyInArrow(run, "qid long, id long, score double")
 
     def result(self, key: str = "doc_id") -> DataFrame:
@@ -118,4 +123,10 @@ class Search:
 
 def search(store: Store, queries: DataFrame, k: int = 10, snapshot: Snapshot | None = None, key: str = "doc_id", **options) -> DataFrame:
     """qid, key, score, rank of the k best documents of each query (qid, text) in the current or a given snapshot."""
-    return Search(store, snapshot or store.snapshot(), queries, k, **options).result(key)
+    snapshot = snapshot or store.snapshot()
+    # a token takes two bytes at least, with what follows it
+    size = queries.select(F.sum(F.octet_length("text").cast("long") + 1).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // (2 * lexical.BLOCK_TERMS)))
+    block = F.pmod(F.xxhash64(F.col("qid").cast("long")), F.lit(blocks))
+    parts = [queries.filter(block == b) for b in range(blocks)] if blocks > 1 else [queries]
+    return reduce(DataFrame.unionByName, (Search(store, snapshot, x, k, **options).result(key) for x in parts))

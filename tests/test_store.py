@@ -217,3 +217,21 @@ def test_same_as_the_search_over_texts(spark):
     index.rebuild(docs)
     key = lambda df: sorted((r.qid, r["rank"], r.doc_id, round(r.score, 9)) for r in df.collect())
     assert key(stored.search(index, queries)) == key(lexical.search(queries, docs))
+
+
+def test_queries_terms_are_not_sent_with_every_stripe(spark, index, monkeypatch):
+    from cairn.operators import lexical
+
+    texts = {i: f"common w{i % 5} number{i}" for i in range(60)}
+    index.rebuild(rows(spark, texts))
+    index.delete(spark.createDataFrame([(1,), (6,)], "doc_id long"))
+    queries = asked(spark, "w1 common", "number7 w2", "absent")
+    found = stored.Search(index, index.snapshot(), queries, k=4)
+    plan = found.scored(found.first)._jdf.queryExecution().optimizedPlan().toString()
+    # lists of terms and of marks stood beside each query of a stripe before
+    assert "collect_list" not in plan
+    key = lambda df: sorted((r.qid, r["rank"], r.doc_id, r.score) for r in df.collect())
+    whole = key(stored.search(index, queries, 4))
+    assert not {1, 6} & {r[2] for r in whole} and whole == key(found.result())
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", 5)
+    assert key(stored.search(index, queries, 4)) == whole
