@@ -42,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +50,13 @@ from .common import files_for, give_back, materialize, tasks_for
 
 FOLDS = 5
 STEM = 4
+STEP_BYTES = 1 << 20
+"""Bytes of texts whose words stand as Python objects at once."""
 #: Letters of scripts that write without spaces.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(r"[^\W_]+")
+_GAP = re.compile(r"[\W_]+")
+_PLAIN = bytes(ord(c.lower()) if (c := chr(i)).isascii() and c.isalnum() else 32 for i in range(256))
 _RUN = re.compile(f"[{_UNSPACED}]+")
 
 
@@ -59,23 +64,67 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def _spaced(text: str | None) -> bytes:
+    """The words of a text with a space between."""
+    if not text or text.isascii():
+        return (text or "").encode().translate(_PLAIN)
+    return _GAP.sub(" ", text.lower()).encode()
+
+
+def _parts(word: str) -> list[str]:
+    """The features of a word, repeats included; a first part of a word ends in a hyphen, which no word has."""
+    if not word.isascii() and _RUN.search(word):
+        pairs = [run[at : at + 2] for run in _RUN.findall(word) for at in range(max(1, len(run) - 1))]
+        return pairs + [other for other in _RUN.split(word) if other]
+    return [word, word[:STEM] + "-"] if len(word) > STEM else [word]
+
+
 def features_of(text: str | None) -> Counter:
-    """How often each feature stands in the whole text; a first part of a word ends in a hyphen, which no word has."""
+    """How often each feature stands in the whole text."""
     found: Counter = Counter()
     for word, n in Counter(_WORD.findall((text or "").lower())).items():
-        if not word.isascii() and _RUN.search(word):
-            for run in _RUN.findall(word):
-                for at in range(max(1, len(run) - 1)):
-                    found[run[at : at + 2]] += n
-            for other in filter(None, _RUN.split(word)):
-                found[other] += n
-            continue
-        found[word] += n
-        if len(word) > STEM:
-            found[word[:STEM] + "-"] += n
+        for f in _parts(word):
+            found[f] += n
     return found
 
 
+def _places(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... to n[0] of them, and so on for each start."""
+    return np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+
+
+def numbered(texts: list[str | None], features: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of each text, places of its features among these, rising, and their counts; each distinct word is looked up once for all texts."""
+    words = pc.ascii_split_whitespace(pa.array(map(_spaced, texts), pa.string()))
+    coded = words.flatten().dictionary_encode()
+    known = coded.dictionary
+    place = lambda x: pc.index_in(x, features).fill_null(-1).to_numpy()
+    first = pc.binary_join_element_wise(pc.utf8_slice_codeunits(known, 0, STEM), "-", "")
+    both = np.stack([place(known), np.where(pc.greater(pc.utf8_length(known), STEM).to_numpy(zero_copy_only=False), place(first), -1)], 1)
+    odd = {}
+    for at in np.flatnonzero(~pc.string_is_ascii(known).to_numpy(zero_copy_only=False)):
+        if _RUN.search(word := known[at].as_py()):
+            odd[at] = _parts(word)
+    both[list(odd)] = -1
+    more = place(pa.array([f for x in odd.values() for f in x], pa.string()))
+    flat = np.r_[both.ravel(), more].astype(np.int64)
+    owner = np.r_[np.repeat(np.arange(len(known)), 2), np.repeat(np.array(list(odd), np.int64), [len(x) for x in odd.values()])]
+    owner, flat = owner[flat >= 0], flat[flat >= 0]
+    order = np.argsort(owner, kind="stable")
+    flat, each = flat[order], np.bincount(owner, minlength=len(known))
+    ends = words.offsets.to_numpy()
+    doc = np.repeat(np.arange(len(texts)), np.diff(ends))
+    pair, times = np.unique(doc * max(1, len(known)) + coded.indices.to_numpy(), return_counts=True)
+    doc, word = np.divmod(pair, max(1, len(known)))
+    n = each[word]
+    key = np.repeat(doc, n) * max(1, len(features)) + flat[_places((np.cumsum(each) - each)[word], n)]
+    order = np.argsort(key, kind="stable")
+    key, times = key[order], np.repeat(times, n)[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    doc, fid = np.divmod(key[first], max(1, len(features)))
+    return np.r_[0, np.cumsum(np.bincount(doc, minlength=len(texts)))], fid, np.add.reduceat(times, first) if len(first) else times
+
+
 def class_difference(n0: np.ndarray, n1: np.ndarray, all0: int, all1: int) -> np.ndarray:
     """Size of the difference of inverse document frequencies; each class is smoothed by one text with the rate of both."""
     rate = (n0 + n1) / max(1, all0 + all1)
@@ -87,33 +136,39 @@ class Index:
 
     BLOCK = 64
 
-    def __init__(self, weight: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], k: int):
+    def __init__(self, weight: np.ndarray, examples: list[tuple], k: int):
         self.weight, self.k = weight, k
-        filled = [e for e in examples if e[2]]
+        filled = [e for e in examples if len(e[2])]
         # alike examples share blocks, which keeps bounds tight: by class, then by the features of most weight
         heavy = [(e[1], *np.asarray(e[2])[np.argsort(-self.unit(e[2], e[3]), kind="stable")[:3]].tolist(), e[0]) for e in filled]
         filled = [filled[i] for i in sorted(range(len(filled)), key=heavy.__getitem__)]
         self.ids = np.array([e[0] for e in filled], np.int64)
         self.label = np.array([e[1] for e in filled], np.float64)
-        self.same: dict[tuple, list[int]] = {}
+        self.same: dict[bytes, list[int]] = {}
         for at, e in enumerate(filled):
-            self.same.setdefault((tuple(e[2]), tuple(e[3])), []).append(at)
+            self.same.setdefault(self._key(e[2], e[3]), []).append(at)
         self.blocks = -(-len(filled) // self.BLOCK)
-        feature = np.concatenate([np.zeros(0, np.int64), *(np.asarray(e[2], np.int64) for e in filled)])
-        owner = np.repeat(np.arange(len(filled)), [len(e[2]) for e in filled])
+        feature = np.concatenate([np.zeros(0, np.int32), *(np.asarray(e[2], np.int32) for e in filled)])
+        owner = np.repeat(np.arange(len(filled), dtype=np.int32), [len(e[2]) for e in filled])
         value = np.concatenate([np.zeros(0), *(self.unit(e[2], e[3]) for e in filled)])
         self.rows = np.r_[0, np.cumsum([len(e[2]) for e in filled])].astype(np.int64)
         self.row_feature, self.row_value, self.read = feature, value, 0
         order = np.lexsort((owner, feature))
-        feature, self.owner, self.value = feature[order], owner[order].astype(np.int32), value[order]
-        # postings of feature f in block b stand from start[f, b] to start[f, b + 1]
-        cell = feature * self.blocks + self.owner // self.BLOCK
-        grid = np.arange(len(weight))[:, None] * self.blocks + np.arange(self.blocks + 1)
-        self.start = np.searchsorted(cell, grid).astype(np.int32)
-        self.most = np.zeros(len(weight) * self.blocks)
-        if len(cell):
-            np.maximum.at(self.most, cell, self.value)
-        self.most = self.most.reshape(len(weight), self.blocks)
+        feature, self.owner, self.value = feature[order], owner[order], value[order]
+        # postings of feature f stand from start[f] to start[f + 1]; the blocks that it stands in, from block_start[f], with its largest weight in each
+        self.start = np.searchsorted(feature, np.arange(len(weight) + 1)).astype(np.int64)
+        block = self.owner // self.BLOCK
+        first = np.flatnonzero(np.r_[True, (feature[1:] != feature[:-1]) | (block[1:] != block[:-1])][: len(feature)])
+        self.block_start = np.searchsorted(feature[first], np.arange(len(weight) + 1)).astype(np.int64)
+        self.block_of = block[first]
+        self.block_most = np.maximum.reduceat(self.value, first) if len(first) else self.value
+        self.most = np.zeros(len(weight))
+        np.maximum.at(self.most, feature[first], self.block_most)
+        self.query = np.zeros(len(weight))  # zero between searches
+
+    @staticmethod
+    def _key(fids, tfs) -> bytes:
+        return np.asarray([fids, tfs], np.int32).tobytes()
 
     def unit(self, fids, tfs) -> np.ndarray:
         w = (1 + np.log(np.asarray(tfs, np.float64))) * self.weight[np.asarray(fids, int)]
@@ -122,29 +177,37 @@ class Index:
 
     def _sums(self, fids: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Of all examples, over the postings of these features."""
-        start, stop = self.start[fids, 0], self.start[fids, -1]
-        n = stop - start
-        at = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        start = self.start[fids]
+        n = self.start[fids + 1] - start
+        at = _places(start, n)
         self.read += len(at)
         return np.bincount(self.owner[at], self.value[at] * np.repeat(w, n), len(self.ids))
 
+    def _bounds(self, fids: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What these features can add to each example, by the maxima of its block."""
+        start = self.block_start[fids]
+        n = self.block_start[fids + 1] - start
+        at = _places(start, n)
+        return np.repeat(np.bincount(self.block_of[at], self.block_most[at] * np.repeat(w, n), self.blocks), self.BLOCK)[: len(self.ids)]
+
     def _whole(self, fids: np.ndarray, w: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Cosines of some examples by their own vectors."""
-        query = np.zeros(len(self.weight))
-        query[fids] = w
-        start, stop = self.rows[places], self.rows[places + 1]
-        n = stop - start
-        at = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return np.bincount(np.repeat(np.arange(len(places)), n), query[self.row_feature[at]] * self.row_value[at], len(places))
-
-    def nearest(self, fids: list[int], tfs: list[int], loose: float = 0.05, many: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        self.query[fids] = w
+        start = self.rows[places]
+        n = self.rows[places + 1] - start
+        at = _places(start, n)
+        found = np.bincount(np.repeat(np.arange(len(places)), n), self.query[self.row_feature[at]] * self.row_value[at], len(places))
+        self.query[fids] = 0.0
+        return found
+
+    def nearest(self, fids, tfs, loose: float = 0.01, many: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """Places of the k nearest examples with a positive cosine and other counts than these, and their cosines."""
         none = np.zeros(0, int), np.zeros(0)
         if not len(fids) or not len(self.ids):
             return none
         w, at = self.unit(fids, tfs), np.asarray(fids, int)
-        own = self.same.get((tuple(fids), tuple(tfs)), [])
-        most = w * self.most[at].max(axis=1)
+        own = self.same.get(self._key(fids, tfs), [])
+        most = w * self.most[at]
         order = np.argsort(-most, kind="stable")
         left = most.sum() - np.cumsum(most[order])
         cut = int(np.searchsorted(-left, -loose)) + 1  # features read; the others can add ``loose`` at most
@@ -153,8 +216,8 @@ class Index:
         sums[own] = -np.inf
         k = min(self.k, len(sums))
         least = max(np.partition(sums, len(sums) - k)[len(sums) - k], 0.0)
-        more = np.repeat(w[rest] @ self.most[at[rest]], self.BLOCK)[: len(sums)]  # by the maxima of their blocks
-        places = np.flatnonzero((sums + more >= least - 1e-9) & (sums + more > 0))
+        reach = sums + self._bounds(at[rest], w[rest]) if len(rest) else sums
+        places = np.flatnonzero((reach >= least - 1e-9) & (reach > 0))
         if len(places) > many and len(rest):
             cosines = (sums + self._sums(at[rest], w[rest]))[places]
         else:
@@ -170,13 +233,13 @@ class Model:
     def __init__(self, weight: np.ndarray, examples, totals: dict[int, int], k: int, pull: float):
         # an example stands for so many labels of its class
         stands = {y: totals.get(y, 0) / max(1, sum(e[1] == y for e in examples)) for y in (0, 1)}
-        blank = {y: stands[y] * sum(e[1] == y and not e[2] for e in examples) for y in (0, 1)}
+        blank = {y: stands[y] * sum(e[1] == y and not len(e[2]) for e in examples) for y in (0, 1)}
         self.base = blank[1] / (blank[0] + blank[1]) if blank[0] + blank[1] else totals.get(1, 0) / max(1, sum(totals.values()))
         mean = sum(totals.values()) / max(1, len(examples))
         self.votes = np.array([stands[0], stands[1]]) / (mean or 1.0)
         self.pull, self.index = pull, Index(weight, examples, k)
         self.curve = (0.0, 1.0)
-        self.curve = self.fit([e for e in examples if e[2]], stands)
+        self.curve = self.fit([e for e in examples if len(e[2])], stands)
 
     def share(self, fids, tfs) -> tuple[float | None, list[int]]:
         """Weighted share of votes for label 1 and the nearest examples; None without any."""
@@ -267,22 +330,34 @@ def _features(examples: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r[0] for r in rows], class_difference(*(np.array([r[i] for r in rows], np.float64) for i in (1, 2)), n0, n1)
 
 
+def _some(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about STEP_BYTES of text; a longer text stands alone."""
+    size = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + STEP_BYTES, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """A view of each row's numbers."""
+    ends = column.offsets.to_numpy()
+    return np.split(column.flatten().to_numpy(), ends[1:-1] - ends[0]) if len(column) else []
+
+
 def _vectors(docs: DataFrame, features: list[str], extra: list[str]) -> DataFrame:
     """The extra columns, and the numbers and counts of the features in each text."""
     names = [*extra, "fids", "tfs"]
-    shared = docs.sparkSession.sparkContext.broadcast(features)
+    shared = docs.sparkSession.sparkContext.broadcast(pa.array(features, pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {f: i for i, f in enumerate(shared.value)}
+        known = shared.value
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512)
-                fids, tfs = [], []
-                for text in part.column(len(extra)).to_pylist():
-                    found = sorted((number[f], n) for f, n in features_of(text).items() if f in number)
-                    fids.append([f for f, _ in found])
-                    tfs.append([n for _, n in found])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(extra)], pa.array(fids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=names)
+            for part in _some(batch, len(extra)):
+                offsets, fids, tfs = numbered(part.column(len(extra)).to_pylist(), known)
+                lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (fids, tfs)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(extra)], *lists], names=names)
         give_back()
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra)
@@ -313,7 +388,9 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 1000, k: int = 15
     n = vectors.count()
     df = _document_frequencies(vectors)
     idf = np.array([math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(features))])
-    rows = sorted(tuple(r) for r in _vectors(examples, features, ["doc_id", "toxic"]).collect())  # 2 * per_class rows at most
+    made = _vectors(examples, features, ["doc_id", "toxic"]).toArrow().combine_chunks()  # 2 * per_class rows at most
+    ids, toxic, fids, tfs = (made.column(i).combine_chunks() for i in range(4))
+    rows = sorted(zip(ids.to_pylist(), toxic.to_pylist(), _lists(fids), _lists(tfs)), key=lambda r: r[:2])
     model = Model(idf * difference, rows, totals, k, pull)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     n_own = 1 + len(carry)
@@ -323,7 +400,7 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 1000, k: int = 15
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
-                found = [own.score(f, t) for f, t in zip(part.column(n_own).to_pylist(), part.column(n_own + 1).to_pylist())]
+                found = [own.score(f, t) for f, t in zip(_lists(part.column(n_own)), _lists(part.column(n_own + 1)))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_own], pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["doc_id", *carry, "score", "evidence"])
         give_back()
 

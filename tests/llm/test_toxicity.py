@@ -1,11 +1,13 @@
 import math
+import pickle
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from cairn.llm.toxicity import Index, features_of, logistic, score, sigmoid
+from cairn.llm.toxicity import Index, _some, features_of, logistic, numbered, score, sigmoid
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -146,6 +148,31 @@ def test_features():
     assert features_of("abcdefgh") != features_of("abcdxyz") and features_of("好" * 9 + "坏")["好坏"] == 1
 
 
+def test_features_of_many_texts_at_once():
+    texts = ["Toxic toxicity a_b TOXIC-", None, "", "?!", "语言模型x好 语言 Ünïted ünï İstanbul ΣΑΣ", "x" * 70_000, "好好好 好", " lead\x1ftrail\x00x ", "toxi- toxi"]
+    every = sorted(set().union(*map(features_of, texts)))
+    for features in (every, every[::2], []):
+        offsets, fids, tfs = numbered(texts, pa.array(features, pa.string()))
+        for i, text in enumerate(texts):
+            got = list(zip(fids[offsets[i] : offsets[i + 1]].tolist(), tfs[offsets[i] : offsets[i + 1]].tolist()))
+            want = features_of(text)
+            assert got == [(at, want[f]) for at, f in enumerate(features) if f in want]
+    assert [len(x) for x in numbered([], pa.array(every))] == [1, 0, 0]
+
+
+def test_long_texts_stand_alone():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", None, "b" * (3 << 20), "c", "d"])], names=["text"])
+    assert [p.num_rows for p in _some(batch, 0)] == [2, 1, 2]
+    assert [p.num_rows for p in _some(batch.slice(1, 3), 0)] == [1, 1, 1]
+
+
+def test_a_model_holds_postings_alone():
+    """What every worker loads grows with the examples' features, not with features times blocks."""
+    rng = np.random.default_rng(8)
+    examples = [(i, i % 2, np.sort(rng.choice(60_000, 20, replace=False)), np.ones(20, int)) for i in range(1920)]
+    assert len(pickle.dumps(Index(np.ones(60_000), examples, 15))) < 60_000 * 30 * 4
+
+
 def test_scripts_without_spaces(spark, docs_of):
     calm, rude = "今天天气很好我们去公园散步", "滚开你这个讨厌的坏东西"
     texts = [(i, f"我在第{i}天写下这些话{calm if i % 2 else rude}然后就结束了") for i in range(120)]
