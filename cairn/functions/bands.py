@@ -44,23 +44,28 @@ def _bands_of(span):
     return bands
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def band_tokens(text: Column) -> Column:
     """Tokens of all expressions in the text, each once, in order of the patterns; a match is blanked for those after it."""
-    if_percent = text.contains("%")
-    found, rest = [], text
-    for pattern, span in PATTERNS:
+
+    def bands(rest: Column, patterns) -> Column:
+        (pattern, span), *others = patterns
         lows = F.regexp_extract_all(rest, F.lit(pattern), F.lit(1))
         highs = F.regexp_extract_all(rest, F.lit(pattern), F.lit(2)) if pattern.count("(\\d") == 2 else lows
+        found = F.flatten(F.zip_with(lows, highs, _bands_of(span)))
+        # each text with blanks is made once
+        return F.concat(found, let(F.regexp_replace(rest, pattern, " "), lambda x: bands(x, others))) if others else found
 
-        found.append(F.flatten(F.zip_with(lows, highs, _bands_of(span))))
-        rest = F.regexp_replace(rest, pattern, " ")
-    tokens = F.transform(F.array_distinct(F.concat(*found)), lambda b: F.concat(F.lit("enrageband"), b.cast("string")))
-    return F.when(if_percent, tokens).otherwise(F.array().cast("array<string>"))
+    tokens = F.transform(F.array_distinct(bands(text, PATTERNS)), lambda b: F.concat(F.lit("enrageband"), b.cast("string")))
+    return F.when(text.contains("%"), tokens).otherwise(F.array().cast("array<string>"))
 
 
 def _with_tokens(text: Column, form: tuple[str, str]) -> Column:
-    tokens = band_tokens(text)
-    return F.when(F.size(tokens) > 0, F.concat(text, F.lit(form[0]), F.array_join(tokens, " "), F.lit(form[1]))).otherwise(text)
+    return let(band_tokens(text), lambda tokens: F.when(F.size(tokens) > 0, F.concat(text, F.lit(form[0]), F.array_join(tokens, " "), F.lit(form[1]))).otherwise(text))
 
 
 def annotate(text: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bands import let
 from ..functions.clean import SPACES, strip
 
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -40,11 +41,6 @@ def section_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return out.select(key, (F.col("s.at") + F.col("nth")).cast("long").alias("line_no"), "line", F.col("section_no").cast("long").alias("section_no"), "s.h1", "s.h2", "s.h3")
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 #: What does not print, but for the space.
 HIDDEN = r"[\p{C}\p{Z}&&[^ ]]"
 _HEADS = tuple(f"h{n}" for n in range(1, LEVELS + 1))
@@ -78,7 +74,7 @@ def _blocks(lines: Column) -> Column:
     filled = lambda i: F.get(lines, i) != ""
     starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: filled(i) & ((i == 0) | ~F.coalesce(filled(i - 1), F.lit(False))))
     cut = lambda s: F.transform(s, lambda i, n: F.slice(lines, i + 1, F.coalesce(F.get(s, n + 1), F.size(lines)) - i))
-    return F.transform(_let(starts, cut), lambda b: F.array_join(F.filter(b, lambda x: x != ""), "\n"))
+    return F.transform(let(starts, cut), lambda b: F.array_join(F.filter(b, lambda x: x != ""), "\n"))
 
 
 def header_sections(text: Column) -> Column:
@@ -95,11 +91,11 @@ def header_sections(text: Column) -> Column:
         def cut(heads: Column) -> Column:
             stop = lambda i: F.coalesce(F.get(heads, i + 1)["at"], F.size(found))
             own = lambda h, i: F.slice(found, h["at"] + 1, stop(i) - h["at"])
-            of = lambda h, i: _let(F.filter(own(h, i), lambda x: x != ""), lambda filled: F.struct(
+            of = lambda h, i: let(F.filter(own(h, i), lambda x: x != ""), lambda filled: F.struct(
                 F.array_join(_blocks(own(h, i)), "  \n").alias("text"), F.coalesce(F.get(filled, F.size(filled) - 1).startswith("#"), F.lit(False)).alias("hangs"), *(h[x].alias(x) for x in _HEADS)))
             return F.filter(F.transform(heads, of), lambda r: r["text"] != "")
 
-        return _let(_headers(found), cut)
+        return let(_headers(found), cut)
 
     depth = lambda r: sum((r[h].isNotNull().cast("int") for h in _HEADS[1:]), r[_HEADS[0]].isNotNull().cast("int"))
 
@@ -116,9 +112,9 @@ def header_sections(text: Column) -> Column:
             text = lambda i, n: F.array_join(F.transform(F.slice(found, i + 1, end(n) - i), lambda r: r["text"]), "  \n")
             return F.transform(s, lambda i, n: F.struct(text(i, n).alias("text"), *(F.get(found, end(n) - 1)[h].alias(h) for h in _HEADS)))
 
-        return _let(starts, cut)
+        return let(starts, cut)
 
-    return _let(lines, lambda x: _let(regions(x), joined))
+    return let(lines, lambda x: let(regions(x), joined))
 
 
 def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -202,8 +198,8 @@ def recursive_chunks(text: str, size: int = 500, overlap: int = 50, separators:
     whole = _bind(cut, p, f"CASE WHEN size({p}) > 0 THEN {_bind(starts, s, runs)} ELSE {_STRINGS} END")
     if len(mark) > 1:
         return whole
-    # no piece can be large, and looking up a place in the text is cheap
-    plain = f"length({text}) <= {SHORT} AND NOT {text} RLIKE {_literal(f'[^{mark}]{{{max(1, size - 1)},}}')}"
+    # no piece can be large, and looking up a place in the text is cheap; a stretch is looked at from its beginning only
+    plain = f"length({text}) <= {SHORT} AND NOT {text} RLIKE {_literal(f'(?:^|{mark})[^{mark}]{{{max(1, size - 1)}}}')}"
     return f"CASE WHEN {plain} THEN {_windows_at(text, sign, size, overlap)} ELSE {whole} END"
 
 

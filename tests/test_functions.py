@@ -1,4 +1,7 @@
 import json
+import random
+import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from cairn.config import Settings
 from cairn.functions import bands, clean, judging
 from cairn.functions.lookup import ALIASES, NAMES
+from cairn.operators import chunking
 
 
 @pytest.fixture
@@ -192,3 +196,29 @@ def test_embeds_are_cut_a_few_texts_at_a_time(monkeypatch):
     array = pa.array
     monkeypatch.setattr(clean.pa, "array", lambda x, *a: seen.append(len(x)) or array(x, *a))
     assert clean._cut_embeds(array(texts)).to_pylist() == whole and max(seen) == 7
+
+
+def test_doubled_names_are_found_in_one_pass(spark):
+    """As a look for every name in every text does it, longest names first."""
+    rng, names = random.Random(3), sorted(set(NAMES.values()), key=lambda n: (-len(n), n))
+    texts = [" ".join(rng.choice([*rng.sample(names, 3), "x", "Soul", "Death", "of", "(flanking)"]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    texts += [" ".join(n.split(" ")[0] + " " + n for _ in range(3)) for n in names] + ["".join(f"{n} {n}" for n in names), "a" + f"{names[0]} " * 3, "", None]
+
+    def plain(t):
+        for n in names if t else ():
+            t = re.sub(f"(?:{re.escape(n)} )+{re.escape(n)}", n, t)
+        return t
+
+    for t in filter(None, texts):
+        found = {m.group(1) for m in re.finditer(clean._STANDS, t)}
+        assert {n for n in names if n in t} == {n for n in names if any(f.startswith(n) for f in found)}
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", clean.collapse_repeats(F.col("t")).alias("t")).collect()
+    assert {r.i: r.t for r in got} == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_large_pieces_are_looked_for_in_linear_time():
+    pattern = re.search(r"RLIKE '([^']*)'", chunking.recursive_chunks("text")).group(1)
+    pattern = re.compile(re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m.group(1), 16)), pattern))
+    began = time.process_time()
+    assert not pattern.search(("x" * 480 + "\n") * 4000) and time.process_time() - began < 0.5
+    assert pattern.search("x" * 499) and pattern.search("a\n" + "x" * 499 + "\nb") and not pattern.search("a\n" + "x" * 498 + "\nb")
