@@ -349,19 +349,24 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
 def _vectors(docs: DataFrame, features: list[str], extra: list[str]) -> DataFrame:
     """The extra columns, and the numbers and counts of the features in each text."""
     names = [*extra, "fids", "tfs"]
+    # a text that is carried goes to Python once
+    sent = extra if "text" in extra else [*extra, "text"]
+    at = sent.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(pa.array(features, pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for part in _some(batch, len(extra)):
-                offsets, fids, tfs = numbered(part.column(len(extra)).to_pylist(), known)
+            for part in _some(batch, at):
+                offsets, fids, tfs = numbered(part.column(at).to_pylist(), known)
                 lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (fids, tfs)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(extra)], *lists], names=names)
-        give_back()
+            # no batch stands beside the next one
+            batch = part = None
+            give_back()
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra)
-    return docs.select(*extra, F.col("text").alias("words")).mapInArrow(run, f"{kinds}, fids array<int>, tfs array<int>")
+    return docs.select(*sent).mapInArrow(run, f"{kinds}, fids array<int>, tfs array<int>")
 
 
 def _document_frequencies(vectors: DataFrame) -> dict[int, int]:
@@ -397,12 +402,14 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 1000, k: int = 15
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        give_back()  # of what the model was read from
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
                 found = [own.score(f, t) for f, t in zip(_lists(part.column(n_own)), _lists(part.column(n_own + 1)))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_own], pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["doc_id", *carry, "score", "evidence"])
-        give_back()
+            batch = part = None
+            give_back()
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
     out = vectors.mapInArrow(run, f"{kinds}, score double, evidence array<bigint>")

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cairn.llm.toxicity import Index, _some, features_of, logistic, numbered, score, sigmoid
+from cairn.llm.toxicity import Index, _some, _vectors, features_of, logistic, numbered, score, sigmoid
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -243,3 +243,14 @@ def test_held_out_accuracy(spark):
     clean = got[got.toxic == 0]
     assert (clean.predicted == 1).mean() < 0.01
     assert got[got.predicted == 1].toxic.mean() > 0.9
+
+
+def test_a_carried_text_goes_to_python_once(spark, docs_of):
+    docs = docs_of([(1, "calm vilesome calm"), (2, None), (None, "vilesome")])
+    carried, plain = (_vectors(docs, ["calm", "vilesome"], extra) for extra in (["doc_id", "text"], ["doc_id"]))
+    sent = [str(d._jdf.queryExecution().analyzed().children().head().output().size()) for d in (carried, plain)]
+    assert sent == ["2", "2"]
+    key = lambda r: (r.doc_id or 0, r.fids, r.tfs)
+    assert sorted(map(key, carried.collect())) == sorted(map(key, plain.collect())) == [(0, [1], [1]), (1, [0, 1], [2, 1]), (2, [], [])]
+    assert {r.text for r in carried.collect()} == {"calm vilesome calm", None, "vilesome"}
+
