@@ -93,7 +93,9 @@ class Search:
             out: list[tuple[int, int, float]] = []
             if blocks.num_rows and queries.num_rows:
                 gone = set(queries["gone"].drop_null().to_pylist())
-                at = {t: i for i, t in enumerate(blocks["term"].to_pylist())}
+                at: dict[str, list[int]] = {}
+                for i, t in enumerate(blocks["term"].to_pylist()):
+                    at.setdefault(t, []).append(i)
                 flat = lambda name: np.asarray(blocks[name].combine_chunks().flatten().fill_null(-1))
                 ends = np.asarray(blocks["ids"].combine_chunks().offsets)
                 ends = ends - ends[0]
@@ -102,7 +104,7 @@ class Search:
                 live = np.array([i >= 0 and i not in gone for i in every.tolist()], bool)
                 weight = tfs * (k1 + 1) / (tfs + k1 * (1 - b + b * lens / mean))
                 for qid in queries["qid"].drop_null().to_pylist():
-                    parts = [(at[t], idf) for t, idf in shared.value[qid] if t in at]
+                    parts = [(i, idf) for t, idf in shared.value[qid] for i in at.get(t, ())]
                     if not parts:
                         continue
                     cells = np.concatenate([doc[ends[i] : ends[i + 1]] for i, _ in parts])

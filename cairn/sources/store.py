@@ -2,7 +2,7 @@
 
 A segment is written once and never changed. Its forward table has a row for each document
 (its terms and their counts) in stripes of STRIPE documents; its postings have a row for each
-term and stripe: the documents, their counts and lengths, and the largest count and the
+term and stripe (two, where a stripe lies across row groups of a file): the documents, their counts and lengths, and the largest count and the
 smallest length among them, from which any BM25 weight in the block is bounded whatever k1,
 b and the mean length are. Postings lie in folders by a hash of the term, sorted by term, so
 a search reads the folders of its terms; a term in very many documents is written by many
@@ -27,10 +27,12 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,15 @@ STRIPE = 128
 BUCKETS = 64
 DOCS_PER_TASK = 1 << 20
 """Documents whose postings of a bucket one task writes."""
+STEP_ROWS = 256
+"""Documents whose tokens a task counts at once."""
+RUN_POSTINGS = 1 << 20
+"""Postings of a run, the stripes that a task turns over at once, if one stripe has no more."""
+SENT_MARKS = 1 << 21
+"""Marks that are sent to every task; more are joined by an exchange of the documents."""
 MARKS = "seg int, stripe long, id long"
+FORWARD = "id long, version long, len int, terms array<struct<term:string,tf:int>>"
+RUNS = "term string, n long, first long, stripes array<bigint>, ends array<int>, max_tfs array<int>, min_lens array<int>, ids array<bigint>, tfs array<int>, lens array<int>"
 TERMS = "bucket int, term string, n long"
 
 
@@ -65,6 +75,92 @@ def counted(tokens: Column) -> Column:
     return let(F.array_sort(tokens), runs)
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, version, len, terms) of rows (id, version, tokens)."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, STEP_ROWS):
+            some = batch.slice(s, STEP_ROWS)
+            lists = some.column(2)
+            length = np.diff(np.asarray(lists.offsets))
+            word = lists.flatten().dictionary_encode()
+            row, code, tf = _cells(np.repeat(np.arange(some.num_rows), length), np.asarray(word.indices), len(word.dictionary))
+            ends = pa.array(np.searchsorted(row, np.arange(some.num_rows + 1)), pa.int32())
+            terms = pa.StructArray.from_arrays([word.dictionary.take(pa.array(code)), pa.array(tf, pa.int32())], names=["term", "tf"])
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(length, pa.int32()), pa.ListArray.from_arrays(ends, terms)], names=["id", "version", "len", "terms"])
+
+
+def _cells(row: np.ndarray, code: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair of a row and a code once, in order, and how often it is there."""
+    cell, n = np.unique(row.astype(np.int64) * max(1, codes) + code, return_counts=True)
+    return *np.divmod(cell, max(1, codes)), n
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (term, n) of lists of terms: in how many of a batch's documents a term is."""
+    for batch in batches:
+        word = batch.column(0).flatten().dictionary_encode()
+        n = np.bincount(np.asarray(word.indices), minlength=len(word.dictionary))
+        yield pa.RecordBatch.from_arrays([word.dictionary, pa.array(n, pa.int64())], names=["term", "n"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """RUNS of rows (stripe, id, len, terms) that stand in order of stripes; a task never holds much more than a batch."""
+    held: list[pa.RecordBatch] = []  # of the last stripe, which may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        stripe, ends = np.asarray(batch.column(0)), np.asarray(batch.column(3).offsets)
+        if held and held[0].column(0)[0].as_py() != stripe[0]:
+            yield _turned(held)
+            held = []
+        starts = np.flatnonzero(np.r_[True, stripe[1:] != stripe[:-1]])
+        at = 0
+        while at < len(starts) - 1:  # whole stripes, of a bounded number of postings or one
+            upto = int(np.searchsorted(ends[starts], ends[starts[at]] + RUN_POSTINGS, "right")) - 1
+            upto = min(max(upto, at + 1), len(starts) - 1)
+            yield _turned([*held, batch.slice(starts[at], starts[upto] - starts[at])])
+            held, at = [], upto
+        held.append(batch.slice(starts[at]))
+    if held:
+        yield _turned(held)
+
+
+def _turned(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A run of some whole stripes: for each term its blocks, in order of stripes, and in a block the documents in order of ids."""
+    stripe, ids, lens, lists = (c.combine_chunks() for c in pa.Table.from_batches(parts).columns)
+    term, tf = lists.flatten().flatten()
+    word = term.dictionary_encode()
+    place = np.empty(len(ids), np.int64)  # of each row
+    place[np.lexsort((np.asarray(ids.fill_null(-(1 << 63))), np.asarray(stripe)))] = np.arange(len(ids))
+    at = np.argsort(place)  # the row in each place
+    posting = np.asarray(word.indices).astype(np.int64) * len(ids) + np.repeat(place, np.diff(np.asarray(lists.offsets)))
+    order = np.argsort(posting)
+    code, row = np.divmod(posting[order], max(1, len(ids)))
+    row, tf = at[row], np.asarray(tf)[order]
+    of, length = np.asarray(stripe)[row], np.asarray(lens)[row]
+    begins = np.flatnonzero((code[1:] != code[:-1]) | (of[1:] != of[:-1])) + 1
+    begins = np.r_[0, begins] if len(code) else np.zeros(0, np.int64)  # of each block
+    heads = np.flatnonzero(np.r_[True, code[begins][1:] != code[begins][:-1]]) if len(code) else begins  # the first block of each term
+    blocks, postings = np.r_[heads, len(begins)], np.r_[begins[heads], len(code)]
+    ends = np.r_[begins[1:], len(code)][: len(begins)] - np.repeat(postings[:-1], np.diff(blocks))
+    each = lambda f, x: f.reduceat(x, begins) if len(begins) else x
+    of_blocks = lambda x, t=pa.int32(): pa.ListArray.from_arrays(pa.array(blocks, pa.int32()), pa.array(x, t))
+    of_postings = lambda x: pa.ListArray.from_arrays(pa.array(postings, pa.int32()), x)
+    columns = [word.dictionary.take(pa.array(code[begins[heads]])), pa.array(np.diff(postings), pa.int64()), pa.array(of[begins[heads]], pa.int64())]
+    columns += [of_blocks(of[begins], pa.int64()), of_blocks(ends), of_blocks(each(np.maximum, tf)), of_blocks(each(np.minimum, length))]
+    columns += [of_postings(ids.take(pa.array(row))), of_postings(pa.array(tf, pa.int32())), of_postings(pa.array(length, pa.int32()))]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "n", "first", "stripes", "ends", "max_tfs", "min_lens", "ids", "tfs", "lens"])
+
+
+def _unpacked(runs: DataFrame) -> DataFrame:
+    """The blocks of runs; what is not asked for is not read."""
+    at = lambda name: F.get(name, F.col("i"))
+    begin = F.coalesce(F.get("ends", F.col("i") - 1), F.lit(0))
+    own = lambda name: F.slice(name, begin + 1, at("ends") - begin).alias(name)
+    each = runs.select("*", F.posexplode("stripes").alias("i", "stripe"))
+    return each.select("bucket", "stripe", "term", (at("ends") - begin).alias("n"), at("max_tfs").alias("max_tf"), at("min_lens").alias("min_len"), own("ids"), own("tfs"), own("lens"))
+
+
 @dataclass(frozen=True)
 class Snapshot:
     """A state of the index; what it names is never changed."""
@@ -90,7 +186,12 @@ class Snapshot:
 
     def postings(self, buckets: list[int] | None = None) -> DataFrame:
         """seg, stripe, term, n, max_tf, min_len, ids, tfs, lens of the blocks in these buckets."""
-        own = lambda s: self._read(f"{self.path}/{s['folder']}/postings", buckets).withColumn("seg", F.lit(s["seg"]))
+
+        def own(s: dict) -> DataFrame:
+            held = self._read(f"{self.path}/{s['folder']}/postings", buckets)
+            # segments of an earlier form hold blocks themselves
+            return (held if "stripe" in held.columns else _unpacked(held)).withColumn("seg", F.lit(s["seg"]))
+
         return self._union([own(s) for s in self.meta["segments"] if s["postings"]], "bucket int, seg int, stripe long, term string, n int, max_tf int, min_len int, ids array<bigint>, tfs array<int>, lens array<int>")
 
     def terms(self, buckets: list[int] | None = None) -> DataFrame:
@@ -104,11 +205,25 @@ class Snapshot:
         """seg, stripe, id of documents that are no longer there."""
         return self._union([self.spark.read.schema(MARKS).parquet(f"{self.path}/{d['folder']}/marks") for d in self.meta["deletions"]], MARKS)
 
-    def documents(self) -> DataFrame:
-        """seg, stripe, id, version, len, terms of live documents."""
+    def every(self) -> DataFrame:
+        """seg, stripe, id, version, len, terms of all documents, those that are no longer there too."""
         own = lambda s: self.spark.read.parquet(f"{self.path}/{s['folder']}/docs").withColumn("seg", F.lit(s["seg"]))
-        every = self._union([own(s) for s in self.meta["segments"]], "seg int, stripe long, id long, version long, len int, terms array<struct<term:string,tf:int>>")
-        return every.join(self.marks(), ["seg", "stripe", "id"], "left_anti") if self.meta["deletions"] else every
+        return self._union([own(s) for s in self.meta["segments"]], f"seg int, stripe long, {FORWARD}")
+
+    def documents(self) -> DataFrame:
+        """The same of live documents."""
+        if not self.meta["deletions"]:
+            return self.every()
+        return _split(self.every(), self.marks(), sum(d["n"] for d in self.meta["deletions"]), False)
+
+
+def _split(docs: DataFrame, marks: DataFrame, n: int, marked: bool) -> DataFrame:
+    """The documents that n marks name, or the others. They stay in their tasks, unless there are very many marks: terms are wide."""
+    by_stripe = marks.groupBy("seg", "stripe").agg(F.collect_list("id").alias("gone"))
+    met = docs.join(F.broadcast(by_stripe) if n <= SENT_MARKS else by_stripe, ["seg", "stripe"], "inner" if marked else "left")
+    # a row without an id is never marked
+    named = F.coalesce(F.array_contains("gone", F.col("id")), F.lit(False))
+    return met.filter(named if marked else ~named).drop("gone")
 
 
 class Store:
@@ -178,23 +293,20 @@ class Store:
         docs = self.spark.read.parquet(f"{at}/docs")
         n, total = docs.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0)).cast("long")).first()
         groups = max(1, -(-n // DOCS_PER_TASK))
-        each = docs.select("stripe", "id", "len", F.explode("terms").alias("t")).select("stripe", "id", "len", "t.term", "t.tf")
-        each = each.withColumn("bucket", bucket_of(F.col("term"), self.buckets)).withColumn("part", F.pmod(F.xxhash64("stripe"), F.lit(groups)).cast("int"))
+        # blocks are made where their stripes are: what is dealt, sorted and written is a row for each term of a run, not for each posting
+        runs = docs.select("stripe", "id", "len", "terms").mapInArrow(_runs, RUNS).withColumn("bucket", bucket_of(F.col("term"), self.buckets))
         tasks = min(self.buckets * groups, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), groups))
-        # one exchange: what is dealt by bucket and part is grouped by term and stripe where it is
-        dealt = each.repartition(tasks, "bucket", "part")
-        listed = F.array_sort(F.collect_list(F.struct("id", "tf", "len")))
-        blocks = dealt.groupBy("bucket", "part", "term", "stripe").agg(listed.alias("l"))
-        blocks = blocks.select("bucket", "term", "stripe", F.size("l").alias("n"), F.array_max("l.tf").alias("max_tf"), F.array_min("l.len").alias("min_len"), F.col("l.id").alias("ids"), F.col("l.tf").alias("tfs"), F.col("l.len").alias("lens"))
-        blocks.sortWithinPartitions("bucket", "term", "stripe").write.partitionBy("bucket").parquet(f"{at}/postings")
+        place = F.col("bucket") * groups + F.pmod(F.xxhash64("first"), F.lit(groups)).cast("int")
+        dealt = runs.repartitionById(tasks, F.pmod(place, F.lit(tasks))).drop("first")
+        dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/postings")
         if total:
-            held = self.spark.read.parquet(f"{at}/postings").groupBy("bucket", "term").agg(F.sum("n").alias("n"))
-            self._write_terms(held, f"{at}/terms")
+            self._write_terms(self.spark.read.parquet(f"{at}/postings").select("bucket", "term", "n"), f"{at}/terms")
         return {"seg": seg, "folder": folder, "n": n, "total": total, "postings": total > 0}
 
     def _write_terms(self, terms: DataFrame, path: str) -> None:
+        """Writes the sums of (bucket, term, n) rows."""
         few = min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        terms.repartition(few, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+        terms.repartition(few, "bucket").groupBy("bucket", "term").agg(F.sum("n").alias("n")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
 
     def _forward(self, docs: DataFrame, key: str, version: str | None) -> DataFrame:
         """id, version, len, terms; one row for each id."""
@@ -205,20 +317,23 @@ class Store:
             named = last.select("id", F.col("r.col1").alias("version"), F.col("r.text").alias("text"))
             rows = named.unionByName(rows.filter("id IS NULL"))
         tokens = self.encode(rows)
-        return tokens.select("id", "version", F.size("tokens").alias("len"), counted(F.col("tokens")).alias("terms"))
+        return tokens.select("id", "version", "tokens").mapInArrow(_counts, FORWARD)
 
-    def _taken_back(self, gone: DataFrame) -> tuple[dict | None, int, int]:
-        """Writes marks for rows of live documents, and what they take from df, n and total length."""
+    def _taken_back(self, base: Snapshot, ids: DataFrame) -> tuple[dict | None, int, int]:
+        """Writes marks for the live documents with these ids, and what they take from df, n and total length."""
         folder = f"deletions/{uuid.uuid4().hex}"
         at = f"{self.path}/{folder}"
-        gone.select("seg", "stripe", "id", "len", "terms").write.parquet(f"{at}/rows")
+        # ids alone meet; terms are read once it is known whose
+        base.documents().select("seg", "stripe", "id", "len").join(ids.select("id"), "id", "left_semi").select("seg", "stripe", "id", "len").write.parquet(f"{at}/rows")
         rows = self.spark.read.parquet(f"{at}/rows")
         n, total = rows.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0)).cast("long")).first()
         if not n:
             work.remove(self.spark, at)
             return None, 0, 0
-        rows.select("seg", "stripe", "id").write.parquet(f"{at}/marks")
-        held = rows.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("n")).withColumn("bucket", bucket_of(F.col("term"), self.buckets))
+        marks = rows.select("seg", "stripe", "id")
+        marks.write.parquet(f"{at}/marks")
+        gone = _split(base.every().select("seg", "stripe", "id", F.col("terms.term").alias("term")), marks, n, True)
+        held = gone.select("term").mapInArrow(_held, "term string, n long").withColumn("bucket", bucket_of(F.col("term"), self.buckets))
         # also without a term there is a folder to read
         self._write_terms(held.unionByName(self.spark.createDataFrame([(0, "", 0)], TERMS)), f"{at}/terms")
         work.remove(self.spark, f"{at}/rows")
@@ -237,14 +352,13 @@ class Store:
         base = self.snapshot()
         if applied and base.meta["applied"].get(applied[0], -1) >= applied[1]:
             return base
-        live = base.documents()
-        rows = work.written(self._forward(docs, key, version), "incoming")
+        rows = self._forward(docs, key, version)
         if version:
-            newer = live.filter("id IS NOT NULL").select("id", F.coalesce("version", F.lit(-(1 << 63))).alias("stored"))
-            rows = rows.join(newer, "id", "left").filter(F.col("stored").isNull() | (F.coalesce("version", F.lit(-(1 << 63))) >= F.col("stored"))).drop("stored")
             rows = work.written(rows, "incoming")
-        marks, n, total = self._taken_back(live.join(rows.select("id"), "id", "left_semi"))
+            newer = base.documents().filter("id IS NOT NULL").select("id", F.coalesce("version", F.lit(-(1 << 63))).alias("stored"))
+            rows = rows.join(newer, "id", "left").filter(F.col("stored").isNull() | (F.coalesce("version", F.lit(-(1 << 63))) >= F.col("stored"))).drop("stored")
         made = self._segment(base.meta["next"], rows)
+        marks, n, total = self._taken_back(base, self.spark.read.parquet(f"{self.path}/{made['folder']}/docs"))
         meta = {"next": base.meta["next"] + 1, "n": base.n - n + made["n"], "total": base.meta["total"] - total + made["total"]}
         meta["segments"] = [*base.meta["segments"], made]
         meta["deletions"] = base.meta["deletions"] + ([marks] if marks else [])
@@ -255,7 +369,7 @@ class Store:
     def delete(self, ids: DataFrame, key: str = "doc_id") -> Snapshot:
         base = self.snapshot()
         gone = ids.select(F.col(key).cast("long").alias("id")).distinct()
-        marks, n, total = self._taken_back(base.documents().join(gone, "id", "left_semi"))
+        marks, n, total = self._taken_back(base, gone)
         if not marks:
             return base
         return self._publish(base, {"n": base.n - n, "total": base.meta["total"] - total, "deletions": [*base.meta["deletions"], marks]})

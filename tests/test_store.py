@@ -4,11 +4,12 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import english, lexical, stored
-from cairn.sources import work
+from cairn.sources import store, work
 from cairn.sources.store import Conflict, counted
 
 DOC = "doc_id long, text string"
@@ -235,3 +236,71 @@ def test_queries_terms_are_not_sent_with_every_stripe(spark, index, monkeypatch)
     assert not {1, 6} & {r[2] for r in whole} and whole == key(found.result())
     monkeypatch.setattr(lexical, "BLOCK_TERMS", 5)
     assert key(stored.search(index, queries, 4)) == whole
+
+
+def blocks_of(docs):
+    """(stripe, term): ids, counts and lengths, of (stripe, id, len, terms) rows."""
+    out = {}
+    for stripe, i, length, terms in sorted(docs, key=lambda r: (r[0], -math.inf if r[1] is None else r[1])):
+        for t, tf in terms:
+            out.setdefault((stripe, t), []).append((i, tf, length))
+    return out
+
+
+@pytest.mark.parametrize("run", [1, 7, 1 << 20])
+def test_runs_of_stripes(monkeypatch, run):
+    monkeypatch.setattr(store, "RUN_POSTINGS", run)
+    docs = [(i // 3, None if i % 8 == 5 else (i * 7) % 40, i % 4, [(f"t{j}", 1 + (i + j) % 3) for j in range(i % 4)]) for i in range(40)]
+    kinds = pa.schema([("stripe", pa.int64()), ("id", pa.int64()), ("len", pa.int32()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())])))])
+    whole = pa.RecordBatch.from_arrays([pa.array([[dict(zip(("term", "tf"), t)) for t in x] if k == 3 else x for x in c], kinds[k].type) for k, c in enumerate(zip(*docs))], schema=kinds)
+    # batches end within stripes, one is empty
+    made = [r for b in store._runs(iter([whole.slice(0, 5), whole.slice(5, 0), whole.slice(5, 17), whole.slice(22)])) for r in b.to_pylist()]
+    found = {}
+    for r in made:
+        assert r["n"] == len(r["ids"]) == r["ends"][-1] and r["first"] == r["stripes"][0] and r["stripes"] == sorted(set(r["stripes"]))
+        for stripe, a, b, most, least in zip(r["stripes"], [0, *r["ends"]], r["ends"], r["max_tfs"], r["min_lens"]):
+            assert (stripe, r["term"]) not in found and (most, least) == (max(r["tfs"][a:b]), min(r["lens"][a:b]))
+            found[stripe, r["term"]] = list(zip(r["ids"][a:b], r["tfs"][a:b], r["lens"][a:b]))
+    assert found == blocks_of(docs)
+    # the last stripe of a batch may go on, so it is a run of its own
+    assert run < 1 << 20 or sum(b.num_rows for b in store._runs(iter([whole]))) == 3 + 3
+    assert sum(b.num_rows for b in store._runs(iter([whole.slice(0, 1)]))) == 0
+
+
+def test_a_segment_has_a_row_for_each_term_of_a_run(spark, index):
+    texts = {i: f"common w{i % 5} number{i}" for i in range(60)}
+    state = index.rebuild(rows(spark, texts).coalesce(1))
+    folder = state.meta["segments"][0]["folder"]
+    held = spark.read.parquet(f"{index.path}/{folder}/postings")
+    # a row for each term and stripe before, 8 for the common one; the last stripe of 4 is a run of its own
+    assert held.count() == 1 + 5 + 56 + 1 + 4 + 4 and held.filter("term = 'common'").count() == 2
+    blocks = state.postings()
+    assert blocks.filter("term = 'common'").count() == 8 and blocks.agg(F.sum("n")).first()[0] == 180
+    key = lambda df: sorted((r.seg, r.stripe, r.term, r.n, r.max_tf, r.min_len, r.ids, r.tfs, r.lens) for r in df.collect())
+    assert {(b[1], b[2]): list(zip(*b[6:])) for b in key(blocks)} == blocks_of((r.stripe, r.id, r.len, r.terms) for r in state.documents().collect())
+    # summaries are read without the postings
+    plan = blocks.select("seg", "stripe", "term", "max_tf", "min_len")._jdf.queryExecution().executedPlan().toString()
+    assert "min_lens" in plan and "tfs:array" not in plan.replace("max_tfs:array", "")
+    # a segment that holds blocks themselves, as they were written before
+    blocks.drop("seg").withColumn("bucket", store.bucket_of(F.col("term"), index.buckets)).write.partitionBy("bucket").parquet(f"{index.path}/earlier/postings")
+    earlier = store.Snapshot(spark, index.path, state.meta | {"segments": [state.meta["segments"][0] | {"folder": "earlier"}]})
+    assert key(earlier.postings()) == key(blocks)
+
+
+def test_documents_are_not_moved_for_marks(spark, index, monkeypatch):
+    texts = {i: words(i) for i in range(60)} | {7: None}
+    index.rebuild(rows(spark, [*texts.items(), (None, "w1 w2")]))
+    index.upsert(rows(spark, {i: words(i + 1) for i in range(50, 70)}))
+    state = index.delete(spark.createDataFrame([(i,) for i in range(0, 70, 9)], "doc_id long"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        key = lambda: sorted(((r.seg, r.stripe, r.id, r.len, sorted(map(tuple, r.terms))) for r in state.documents().collect()), key=str)
+        live = key()
+        # documents with their terms were exchanged and sorted before
+        assert "SortMergeJoin" not in state.documents()._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(store, "SENT_MARKS", 0)
+        assert "SortMergeJoin" in state.documents()._jdf.queryExecution().executedPlan().toString() and key() == live
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r[2] for r in live if r[2] is not None) == [i for i in range(70) if i % 9] and len(live) == 63 == state.n
