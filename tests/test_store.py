@@ -188,6 +188,19 @@ def test_stemmed_search(spark, tmp_path):
     assert got(index, spark, "hoped", avg_len=256)[0] and index.snapshot().meta["total"] == sum(len(tokens(t)) for t in texts.values())
 
 
+def test_stop_words_are_looked_for_once_for_each_distinct_token(spark, monkeypatch):
+    looked = []
+    monkeypatch.setattr(english, "STOP_WORDS", type("Seen", (frozenset,), {"__contains__": lambda self, w: looked.append(w) or frozenset.__contains__(self, w)})(english.STOP_WORDS))
+    lists = pa.array([["the", "runs", "x" * 41], [], ["of", "the"], ["hoping", "the", "runs", "é" * 40]], pa.list_(pa.string()))
+    found = [x.to_pylist() for x in english._stems(iter([lists, lists.slice(1), lists.slice(1, 1)]))]
+    want = [["run"], [], [], ["hope", "run", "é" * 40]]
+    assert found == [want, want[1:], want[1:2]]
+    # every token of every text was compared with them before
+    assert sorted(looked) == sorted({"the", "runs", "x" * 41, "of", "hoping", "é" * 40})
+    plan = english.encode(rows(spark, {1: "The runs"}))._jdf.queryExecution().optimizedPlan().toString()
+    assert "whom" not in plan
+
+
 #: Published pairs of words and their stems.
 PAIRS = """
 consign consign consigned consign consignment consign consist consist consisted consist consistency consist consistently consist
