@@ -1,12 +1,13 @@
 """A stored index: immutable segments of block-max postings, and numbered snapshots behind one pointer.
 
 A segment is written once and never changed. Its forward table has a row for each document
-(its terms and their counts) in stripes of STRIPE documents; its postings have a row for each
-term and stripe (two, where a stripe lies across row groups of a file): the documents, their counts and lengths, and the largest count and the
-smallest length among them, from which any BM25 weight in the block is bounded whatever k1,
-b and the mean length are. Postings lie in folders by a hash of the term, sorted by term, so
-a search reads the folders of its terms; a term in very many documents is written by many
-tasks, a range of stripes each.
+(its terms and their counts) in stripes of STRIPE documents. Its postings are blocks, one for
+each term and stripe (two, where a stripe lies across row groups of a file): the documents,
+their counts and lengths, and the largest count and the smallest length among them, from which
+any BM25 weight in the block is bounded whatever k1, b and the mean length are. A task makes
+the blocks of a run of stripes at once and writes a row for each term of the run. Postings lie
+in folders by a hash of the term, so a search reads the folders of its terms; a term in very
+many documents is written by many tasks, a share of the runs each.
 
 A document is replaced or deleted by marks: (segment, stripe, id) rows, with the counts by
 term that go with them. A snapshot is a small file that names segments and marks and holds
@@ -44,7 +45,7 @@ DOCS_PER_TASK = 1 << 20
 """Documents whose postings of a bucket one task writes."""
 STEP_ROWS = 256
 """Documents whose tokens a task counts at once."""
-RUN_POSTINGS = 1 << 20
+RUN_POSTINGS = 1 << 21
 """Postings of a run, the stripes that a task turns over at once, if one stripe has no more."""
 SENT_MARKS = 1 << 21
 """Marks that are sent to every task; more are joined by an exchange of the documents."""
@@ -298,7 +299,8 @@ class Store:
         tasks = min(self.buckets * groups, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), groups))
         place = F.col("bucket") * groups + F.pmod(F.xxhash64("first"), F.lit(groups)).cast("int")
         dealt = runs.repartitionById(tasks, F.pmod(place, F.lit(tasks))).drop("first")
-        dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/postings")
+        # in order of buckets alone: a search reads a folder whole, and an order of terms costs as much as their exchange
+        dealt.write.partitionBy("bucket").parquet(f"{at}/postings")
         if total:
             self._write_terms(self.spark.read.parquet(f"{at}/postings").select("bucket", "term", "n"), f"{at}/terms")
         return {"seg": seg, "folder": folder, "n": n, "total": total, "postings": total > 0}
