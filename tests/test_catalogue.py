@@ -33,6 +33,18 @@ def test_query(spark, duck, name):
     assert sorted(map(str, map(tuple, got.select(*names).collect()))) == sorted(map(str, want.fetchall()))
 
 
+def test_ingest_leaves_names_in_embeds(spark, tmp_path):
+    texts = ["x Rend Rend y", "Rend\nRend Rend", "<:fsoa:1> <:zz:2>", "Powder of Penance <:powderofpenance:1>", "Soul Split Soul Split 50%+", "Rend", "", None]
+    docs = [(i, t, "en", "src1", len(t or "")) for i, t in enumerate(texts * 5)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(oracles.ORACLES["ingest_corpus"])
+    names = [c[0] for c in want.description]
+    got = __spark_entry__.queries()["ingest_corpus"](spark, str(tmp_path)).select(*names)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 2
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
